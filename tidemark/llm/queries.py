@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import sql
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.substring_dedup import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that also start earlier go: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
+    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.75 or more: ``doc_id, n_shingles, component_id``."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard_join,)}
-ORACLES = {"op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op6_ngram_jaccard_join)}
+ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}

@@ -13,3 +13,21 @@ l AS MATERIALIZED (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT n.doc_id, n.n AS n_shingles, m.c AS component_id FROM n JOIN (SELECT x, min(y) AS c FROM r GROUP BY x) m ON m.x = n.doc_id
 """
+
+REMOVED_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, unnest(range(0, CAST(length(h) // 2 - 99 AS BIGINT))) AS p, h FROM d WHERE length(h) >= 200),
+g AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM w),
+e AS (SELECT doc_id, p, (doc_id, p) > min((doc_id, p)) OVER (PARTITION BY s) AS again FROM g),
+r AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e WHERE again),
+i AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM r GROUP BY doc_id, k),
+j AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM i),
+q AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a) AS n FROM j),
+s AS (SELECT doc_id, n, min(a) AS a, max(b) AS b FROM q GROUP BY doc_id, n),
+k AS (SELECT s.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+        string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+      FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
