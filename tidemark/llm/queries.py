@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import sql
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.packing import pack_documents
 from tidemark.llm.substring_dedup import remove_repeats
 
 
@@ -18,10 +20,15 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 ids: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.75 or more: ``doc_id, n_shingles, component_id``."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op6_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op6_ngram_jaccard_join)}
 ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
