@@ -125,4 +125,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, width:
     groups = max(1, round(pieces.count() / group_pieces))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids array<int>, sequence_id long, offset long"
     dealt = pieces.withColumn("group", F.pmod("spread", F.lit(groups))).drop("spread")
-    return dealt.groupBy("group").applyInArrow(partial(_pack, capacity=width), schema)
+    return dealt.groupBy("group").applyInArrow(lambda table: _pack(table, width), schema)
