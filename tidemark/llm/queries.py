@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import held_out, learn, score_documents
 from tidemark.llm.substring_dedup import remove_repeats
 
 
@@ -30,5 +32,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op6_ngram_jaccard_join)}
+def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality by text: ``doc_id, held_out, score, predicted``."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_documents(docs, learn(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op6_ngram_jaccard_join, op9_pu_quality_classifier)}
 ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
