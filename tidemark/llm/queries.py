@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
@@ -27,6 +28,11 @@ def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op5_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item, with the aligned stretch: ``doc_id, item_id, ...``."""
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity of 0.75 or more: ``doc_id, n_shingles, component_id``."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
@@ -39,5 +45,5 @@ def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op6_ngram_jaccard_join, op9_pu_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op9_pu_quality_classifier)}
 ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
