@@ -20,7 +20,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier go: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
-    return remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op4_ffd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

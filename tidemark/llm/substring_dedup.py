@@ -31,6 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import textops
 from tidemark.llm.lyndon import suffix_arrays
@@ -48,9 +49,10 @@ _LOW = _U64((1 << 24) - 1)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """doc_id (null: before all others) and a text check of 16 bits, which keeps rows apart that repeat an id with another text."""
+    """doc_id (null: before all others) and a text check of 16 bits, which keeps rows apart that repeat an id with another text; ``row`` is the whole row but its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(id_order("doc_id").alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("check"), F.col("doc_id").isNull().alias("no_id"), text.alias("text"))
+    row = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    return docs.select(id_order("doc_id").alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("check"), row.alias("row"), text.alias("text"))
 
 
 def _windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +289,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         packed = pa.array([press.compress(x.as_buffer()) for x in batch.column("text").cast(pa.binary())], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("check"), batch.column("no_id"), packed], names=["doc", "check", "no_id", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("check"), batch.column("row"), packed], names=["doc", "check", "row", "packed"])
 
 
 def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,9 +299,6 @@ def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), text], names=[*names, "text"])
 
 
-_KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-
-
 def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Documents with the stretches that go: what stays."""
     for batch in batches:
@@ -321,22 +320,18 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, with_text: bool) -> Ite
             spans = np.concatenate([[0], np.cumsum(begins)])
             n_removed, n_spans = removed[at[1:]] - removed[at[:-1]], spans[at[1:]] - spans[at[:-1]]
             kept = [(data[a:b][~out[a:b]] if k else data[a:b]).tobytes() for a, b, k in zip(at[:-1], at[1:], n_removed, strict=True)]
-            ids = part.column("doc").to_numpy()
+            texts = [x.decode("utf-8", "ignore") for x in kept] if with_text else [None] * len(kept)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64(), mask=part.column("no_id").to_numpy(zero_copy_only=False)),
-                    pa.array(np.diff(at)),
-                    pa.array(n_removed),
-                    pa.array(n_spans),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in kept]),
-                    pa.array(kept if with_text else [None] * len(kept), pa.binary()),
-                ],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+                [part.column("row"), pa.array(np.diff(at)), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept]), pa.array(texts, pa.string())],
+                names=["row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
             )
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``kept`` (its bytes, if asked for).
+    """One row per document: ``row`` (its columns but the text), ``n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, ``kept``.
+
+    ``kept`` is what stays as text; where a cut runs through a character of
+    several bytes, the rest of that character goes too.
 
     Texts are UTF-8 bytes; a null is an empty text.  A byte goes if a string of
     ``length`` bytes that covers it also starts earlier: in a document with a
@@ -352,17 +347,17 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     spark = docs.sparkSession
     spread = partitions(spark)
     keyed = _with_key(docs)
-    anchors = keyed.mapInArrow(partial(_anchors, length=length), _ANCHORS)
+    anchors = keyed.drop("row").mapInArrow(partial(_anchors, length=length), _ANCHORS)
     anchors = anchors.repartition(spread, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
     found = staged(anchors.mapInArrow(_classes, _FOUND), "repeats")
 
-    packed = keyed.mapInArrow(_packed, "doc long, check int, no_id boolean, packed binary")
+    packed = keyed.mapInArrow(_packed, T.StructType([*keyed.drop("text").schema.fields, T.StructField("packed", T.BinaryType())]))
     owners = found.where("classes > 0").groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows", "anchor", "offset", "classes")).alias("found"))
-    # a document that repeats counts once here: equal rows stand at equal places
-    lanes = packed.drop("no_id").join(owners.hint("shuffle_hash"), ["doc", "check"]).mapInArrow(partial(_lanes, length=length), _LANES)
+    lanes = packed.drop("row").join(owners.hint("shuffle_hash"), ["doc", "check"]).mapInArrow(partial(_lanes, length=length), _LANES)
     lanes = lanes.repartition(spread, "lane").sortWithinPartitions("lane")
     more = lanes.mapInArrow(partial(_suffix_sort, length=length), "doc long, check int, start long, windows int")
     gone = found.where("classes = 0").select("doc", "check", "start", "windows").union(more)
     gone = gone.groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
     joined = packed.join(gone.hint("shuffle_hash"), ["doc", "check"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<start:bigint,windows:int>>")))
-    return joined.mapInArrow(partial(_cut, length=length, with_text=with_text), _KEPT)
+    figures = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField(c, T.StringType()) for c in ("kept_sha256", "kept")]
+    return joined.mapInArrow(partial(_cut, length=length, with_text=with_text), T.StructType([packed.schema["row"], *figures]))
