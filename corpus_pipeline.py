@@ -1,16 +1,67 @@
-"""Corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing."""
+"""Corpus pipeline: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``.  All but the last return the
+columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.decontaminate import without_leaks
+from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.packing import pack_documents
+from tidemark.llm.quality import learn, score_documents
+from tidemark.llm.shared import staged
+from tidemark.llm.substring_dedup import remove_repeats
+
+#: A document whose score of quality is below this goes.
+LEAST_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the positive-unlabelled classifier rejects."""
+    scorer = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_documents(docs, scorer, "_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group of near copies; rows that repeat a doc_id of a group are one document."""
+    groups = jaccard_components(docs)
+    kept = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
+    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_shingles")
+    return rows.join(kept.hint("shuffle_hash"), "_id").select(*docs.columns)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts out every 100-byte string that also starts earlier; a document with nothing left goes."""
+    cut = remove_repeats(docs, with_text=True).where("n_removed = 0 OR kept <> ''")
+    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return cut.select(*(columns[c].alias(c) if c in columns else F.col(f"row.{c}") for c in docs.columns))
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a benchmark item."""
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 4096 ids."""
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("leaks", leaks), ("packing", packing)]
 
-STAGES: list = []
+#: SQL can express neither the classifier nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``."""
+    """Applies the stages to ``documents``; each stage reads what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
