@@ -12,6 +12,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.winnowing import fingerprints
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op7_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text: ``doc_id, n_chars, edited_sha256, fingerprint, ...``."""
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality by text: ``doc_id, held_out, score, predicted``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,5 +52,5 @@ def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op9_pu_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op9_pu_quality_classifier)}
 ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
