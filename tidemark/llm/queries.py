@@ -12,6 +12,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.warc import read_archives, write_archives
 from tidemark.llm.winnowing import fingerprints
 
 
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
+    back = read_archives(write_archives(_table(spark, sf_dir, "pages")))
+    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strings of 100 bytes that also start earlier go: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,5 +59,5 @@ def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op9_pu_quality_classifier)}
-ORACLES = {"op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
+QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op9_pu_quality_classifier)}
+ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}

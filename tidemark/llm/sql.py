@@ -31,3 +31,13 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_remo
   sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
+
+WARC_RECORDS = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+q AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS d FROM p),
+r AS (SELECT *, row_number() OVER w AS k, first_value(page_id) OVER w AS f FROM q WINDOW w AS (PARTITION BY d ORDER BY page_id NULLS LAST))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+  CASE WHEN n >= 100 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND k > 1 THEN f END AS refers_to
+FROM r
+"""
