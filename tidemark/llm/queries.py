@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import sql
 from tidemark.llm.decontaminate import find_leaks
+from tidemark.llm.html_layout import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
@@ -52,6 +53,11 @@ def op7_winnowing_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_html_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page as it is laid out: ``page_id, url, text, n_chars, n_lines, n_tables``."""
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality by text: ``doc_id, held_out, score, predicted``."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,5 +65,5 @@ def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op9_pu_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier)}
 ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
