@@ -10,6 +10,7 @@ from tidemark.llm import sql
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.html_layout import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
 from tidemark.llm.substring_dedup import remove_repeats
@@ -65,5 +66,10 @@ def op9_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence families by paragraph classifier and template: ``doc_id, n_paragraphs, n_licensed, license, ...``."""
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan)}
 ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
