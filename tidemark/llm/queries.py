@@ -13,6 +13,7 @@ from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.licenses import scan_licenses
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
+from tidemark.llm.shards import arrive_and_compact
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.warc import read_archives, write_archives
 from tidemark.llm.winnowing import fingerprints
@@ -22,6 +23,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after arrivals and size-tiered compaction: their columns as digests, and the shard of each."""
+    rows = arrive_and_compact(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", "shard", "shard_bytes", "version")
+
+
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
     back = read_archives(write_archives(_table(spark, sf_dir, "pages")))
@@ -71,5 +78,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_sharding_size_tiered, op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan)}
 ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
