@@ -10,7 +10,7 @@ filter under the order rarest first) propose pairs.  For each proposed pair the
 fragments count partial overlaps separately, and the counts are summed.
 
 Equal sets are one set.  Proposals are made in rounds: each round links every
-set of an n-gram's group with the group's head and with its neighbour, verified
+set of an n-gram's group with the group's most common set and with its neighbour, verified
 links merge groups, and what has merged is not compared again.  A last round
 proposes every pair of one group that is still apart, so no link between
 different components is missed and yet no group emits all of its pairs.
@@ -157,19 +157,19 @@ def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             yield _batch(out)
 
 
-_HOME = "doc_id long, digest long, size int, grams array<long>"
+_HOME = "doc_id long, digest long, size int, common double, grams array<long>"
 
 
 def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Per home: every document's set, and every set that has enough shared n-grams with these, rarest first."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("common", pa.float64()), ("grams", pa.list_(pa.int64()))])
     for _, rows in _groups(batches):
         own = [r for r in rows if r["docs"] is not None]
         ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in own])
         null = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in own]) > 0
         size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in own])
         digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in own])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
         told = [r for r in rows if r["docs"] is None]
         rows = []
         if not told:
@@ -184,11 +184,12 @@ def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         keep = enough[owner]
         owner, gram, held = owner[keep], gram[keep], held[keep]
         order = np.lexsort((gram, held, owner))
-        owner, gram = owner[order], gram[order]
+        owner, gram, held = owner[order], gram[order], held[order]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(gram.view(np.int64)))
         who = owner[first]
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int64()), pa.array(sets[who].view(np.int64)), pa.array(size[who].astype(np.int32)), lists], schema=schema)
+        common = np.add.reduceat(held.astype(np.float64), first) / size[who] if len(first) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int64()), pa.array(sets[who].view(np.int64)), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -204,7 +205,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return summed.where(f"100 * overlap >= {percent} * (size_a + size_b - overlap)").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 3, fragments: int = 4) -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2, fragments: int = 4) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
     Words are runs of bytes other than space and \\t..\\r, with A-Z lower-cased;
@@ -229,11 +230,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     told = told.repartition(spread, "bucket").sortWithinPartitions("bucket")
     homes = staged(told.mapInArrow(partial(_home, percent=percent), _HOME), "sets")
     documents = homes.where("grams IS NULL").select("doc_id", "digest", F.col("size").cast("long").alias("n_shingles"))
-    sets = homes.where("grams IS NOT NULL").select("digest", "size", "grams")
+    sets = homes.where("grams IS NOT NULL").select("digest", "size", "common", "grams")
 
     # The rarest grams propose: what a partner must share at least once, less the grams that nobody shares.
-    prefix = sets.select("digest", "size", F.explode(F.slice("grams", F.lit(1), F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("size") * percent / F.lit(100.0)).cast("int") + 1))).alias("gram"))
-    prefix = staged(prefix, "prefixes")
+    # left: how many shared grams a set has from this one on; no overlap that begins here can be larger.
+    proposing = F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("size") * percent / F.lit(100.0)).cast("int") + 1)
+    prefix = sets.select("digest", "size", "common", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", F.lit(1), proposing)).alias("rank", "gram"))
+    prefix = staged(prefix.select("digest", "size", "common", "gram", (F.col("shared") - F.col("rank")).alias("left")), "prefixes")
     fragment = F.floor(F.shiftright("gram", 40) * fragments / n).cast("int")
     segments = staged(
         sets.select("digest", "size", F.explode("grams").alias("gram")).groupBy("digest", "size", fragment.alias("fragment")).agg(F.collect_list("gram").alias("grams")),
@@ -247,17 +250,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
             rows = rows.withColumn("root", F.col("digest"))
         apart = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "lo")
         rows = rows.join(apart, "gram")
+        me = F.struct("digest", "size", "left", "root")
         if k < rounds:
-            order = Window.partitionBy("gram").orderBy(F.xxhash64("digest", F.lit(k)), "digest")
-            near = rows.withColumn("me", F.struct("digest", "size", "root"))
-            near = near.select("me", F.first("me").over(order).alias("head"), F.lag("me").over(order).alias("before"))
+            # the set with the most common grams is the likely hub of its group; later rounds try others
+            hub = F.desc("common") if k == 0 else F.xxhash64("digest", F.lit(k))
+            order = Window.partitionBy("gram").orderBy(hub, "digest")
+            near = rows.withColumn("me", me).select("me", F.first("me").over(order).alias("head"), F.lag("me").over(order).alias("before"))
             pairs = near.select("me", F.explode(F.array("head", "before")).alias("other")).where("other IS NOT NULL")
         else:
             most = rows.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
-            few = rows.join(most, "gram").where("root <> most").select("gram", F.struct("digest", "size", "root").alias("me"))
-            pairs = few.join(rows.select("gram", F.struct("digest", "size", "root").alias("other")), "gram")
+            few = rows.join(most, "gram").where("root <> most").select("gram", me.alias("me"))
+            pairs = few.join(rows.select("gram", me.alias("other")), "gram")
         pairs = (
             pairs.where("me.root <> other.root")
+            .where(f"{100 + percent} * least(me.left, other.left) >= {percent} * (me.size + other.size)")
             .where(f"100 * least(me.size, other.size) >= {percent} * greatest(me.size, other.size)")
             .select(F.least("me.digest", "other.digest").alias("a"), F.greatest("me.digest", "other.digest").alias("b"))
             .distinct()
