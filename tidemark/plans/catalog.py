@@ -1,4 +1,532 @@
-"""Registered queries of the bar, label and feature operators, with their SQL."""
+"""Registered queries of the bar, label and feature operators, with their SQL.
+
+Every query reads a table of the given folder as a trade tape or a price
+series and applies one operator to all of it.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.stats import ensemble_accuracy, weighted_tau
+from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, labels, series, weights
+from tidemark.plans import oracles
+from tidemark.session import staged
+from tidemark.sources import trades
+from tidemark.sources.tapes import DAY, micros, tape_events, tape_orders
+from tidemark.streaming import bars as streams
+
+HOUR = DAY // 24
+VOLUME_BAR, DOLLAR_BAR = 200, 2_000_000
+ORDER_BAR = 500_000_000
+FFD_D, FFD_THRESHOLD = 0.4, 0.01
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def _query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show."""
+    return frame.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in frame.dtypes))
+
+
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """The event tape as one price series per type."""
+    return tape_events(spark, d).select("symbol", "us", "price")
+
+
+# bars ---------------------------------------------------------------------------------------------------------------
+
+
+@_query
+def time_bars_1h(spark, d):
+    return bars.time_bars(tape_events(spark, d), "1h")
+
+
+@_query
+def time_bars_7d_start_day(spark, d):
+    return bars.time_bars(tape_events(spark, d), "7d")
+
+
+@_query
+def time_bars_7d_per_day(spark, d):
+    return bars.time_bars(tape_events(spark, d), "7d", origin="per_day")
+
+
+@_query
+def value_bars_whole_volume(spark, d):
+    return bars.value_bars_whole(tape_events(spark, d), "qty", VOLUME_BAR)
+
+
+@_query
+def value_bars_whole_dollar(spark, d):
+    return bars.value_bars_whole(tape_events(spark, d), "dollar", DOLLAR_BAR)
+
+
+@_query
+def value_bars_split_dollar(spark, d):
+    return bars.value_bars_split(tape_events(spark, d), "dollar", DOLLAR_BAR)
+
+
+@_query
+def value_bars_split_volume(spark, d):
+    return bars.value_bars_split(tape_events(spark, d), "qty", VOLUME_BAR)
+
+
+@_query
+def bar_merge(spark, d):
+    return bars.merge_bars(bars.time_bars(tape_events(spark, d), "15m"), HOUR)
+
+
+@_query
+def bar_repair_avg(spark, d):
+    split = bars.value_bars_split(tape_events(spark, d), "dollar", 20_000)
+    return bars.repair_repeats(split, ["open", "high", "low", "close", "value"])
+
+
+@_query
+def dedupe_keep_last(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", micros("l_shipdate").alias("us"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return trades.keep_last(rows, ["l_orderkey", "l_linenumber"], ["us", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+
+
+@_query
+def dynamic_threshold_log(spark, d):
+    return bars.dynamic_thresholds(tape_events(spark, d), "dollar", 12)
+
+
+@_query
+def adaptive_bars(spark, d):
+    return bars.adaptive_bars(tape_events(spark, d), "dollar", 12)
+
+
+# thresholds and diagnostics ------------------------------------------------------------------------------------------
+
+
+@_query
+def daily_totals(spark, d):
+    return bars.daily_totals(tape_events(spark, d))
+
+
+@_query
+def threshold_from_freq(spark, d):
+    return _rounded(diagnostics.thresholds_by_frequency(bars.daily_totals(tape_events(spark, d)), ["1d", "4h", "1h", "15m"]))
+
+
+@_query
+def threshold_from_freq_mean(spark, d):
+    return _rounded(diagnostics.thresholds_by_frequency(bars.daily_totals(tape_events(spark, d)), ["1d", "4h", "1h", "15m"], "mean"))
+
+
+@_query
+def threshold_from_counts(spark, d):
+    return _rounded(diagnostics.thresholds_by_count(tape_events(spark, d), "1h"))
+
+
+def _order_bars(spark, d):
+    return bars.value_bars_whole(tape_orders(spark, d), "dollar", ORDER_BAR)
+
+
+def _order_returns(spark, d):
+    return diagnostics.log_returns(_order_bars(spark, d), ["symbol"], ["bar_index"])
+
+
+@_query
+def log_returns(spark, d):
+    return _rounded(_order_returns(spark, d).select("symbol", "bar_index", "r"), 9)
+
+
+@_query
+def weekly_bar_count(spark, d):
+    return diagnostics.weekly_counts(_order_bars(spark, d), ["symbol"])
+
+
+@_query
+def monthly_variance(spark, d):
+    return _rounded(diagnostics.monthly_variance(_order_returns(spark, d), ["symbol"]))
+
+
+@_query
+def serial_corr(spark, d):
+    return _rounded(diagnostics.serial_correlation(_order_returns(spark, d), ["symbol"], ["bar_index"]))
+
+
+@_query
+def jarque_bera(spark, d):
+    return _rounded(diagnostics.jarque_bera(_order_returns(spark, d), ["symbol"]).select("symbol", "n", "skew", "kurt", "jb", "p"))
+
+
+@_query
+def series_describe(spark, d):
+    return _rounded(diagnostics.describe(_order_returns(spark, d), ["symbol"]))
+
+
+@_query
+def return_histogram(spark, d):
+    return _rounded(diagnostics.histogram(_order_returns(spark, d), ["symbol"], 20), 5)
+
+
+@_query
+def bar_kind_counts(spark, d):
+    """Three kinds of bars side by side by week: one union, one aggregate."""
+    t = tape_events(spark, d)
+    kinds = {"time": bars.time_bars(t, "1h").withColumnRenamed("bar_us", "us"), "volume": bars.value_bars_whole(t, "qty", VOLUME_BAR), "dollar": bars.value_bars_whole(t, "dollar", DOLLAR_BAR)}
+    parts = [b.select(F.lit(k).alias("kind"), "symbol", "us") for k, b in kinds.items()]
+    return diagnostics.weekly_counts(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["kind", "symbol"])
+
+
+@_query
+def coverage_scan(spark, d):
+    """Days of the order tape between its first and last, against a calendar: those without trades are missing."""
+    have = tape_orders(spark, d).groupBy(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("us") / DAY).cast("int")).alias("day")).agg(F.sum("qty").alias("bytes"))
+    span = have.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("day"))
+    out = trades.coverage(days, have)
+    return out.select(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), F.col("bytes").alias("rows"), "status")
+
+
+# events and labels ---------------------------------------------------------------------------------------------------
+
+
+@_query
+def asof_prev_day(spark, d):
+    return labels.as_of_before(_series(spark, d)).where("previous IS NOT NULL")
+
+
+def _volatility(spark, d):
+    return series.ewm_std(labels.returns_over(_series(spark, d)), "ret", 100)
+
+
+@_query
+def daily_vol(spark, d):
+    return _rounded(_volatility(spark, d))
+
+
+@_query
+def daily_vol_log(spark, d):
+    return _rounded(series.ewm_std(labels.returns_over(_series(spark, d), log=True), "ret", 100))
+
+
+@_query
+def rolling_std(spark, d):
+    """Deviation of the last 100 changes, null until the window is full."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("symbol").orderBy("us")
+    rows = _series(spark, d).withColumn("c", F.col("price") / F.lag("price").over(w) - 1)
+    full = w.rowsBetween(-99, 0)
+    return _rounded(rows.withColumn("std", F.when(F.count("c").over(full) == 100, F.stddev_samp("c").over(full))).select("symbol", "us", "std"))
+
+
+@_query
+def rolling_side(spark, d):
+    return labels.moving_side(_series(spark, d), 5, 20).select("symbol", "us", "side")
+
+
+def _cusum(spark, d):
+    vol = _volatility(spark, d).withColumn("x", F.log("price"))
+    h = vol.groupBy("symbol").agg((F.avg("vol") * 0.25).alias("h"))
+    return series.cusum(vol.join(F.broadcast(h), "symbol"), "x", "h")
+
+
+@_query
+def cusum_events(spark, d):
+    return _cusum(spark, d)
+
+
+@_query
+def cusum_positional(spark, d):
+    """CUSUM on changes themselves, positive side first, with a fixed threshold."""
+    from pyspark.sql import Window
+
+    x = F.log(F.col("price") / F.lag("price").over(Window.partitionBy("symbol").orderBy("us")))
+    rows = _series(spark, d).withColumn("x", F.coalesce(x, F.lit(0.0))).withColumn("h", F.lit(2.5))
+    return series.cusum(rows, "x", "h", positive_first=True, on_levels=False)
+
+
+@_query
+def vertical_barrier(spark, d):
+    return labels.as_of_after(_series(spark, d), 3 * HOUR).select("symbol", "us", "t1")
+
+
+def _events(spark, d, side: Column | None = None):
+    vol = _volatility(spark, d).select("symbol", "us", "vol")
+    at = labels.as_of_after(labels.moving_side(_series(spark, d), 5, 20), 3 * HOUR, "vertical")
+    rows = _cusum(spark, d).select("symbol", "us").join(vol, ["symbol", "us"]).join(at, ["symbol", "us"]).where("vol > 0")
+    return rows.select("symbol", F.col("us").alias("t0"), F.col("price").alias("p0"), "vertical", (F.col("vol") * 0.1).alias("target"), (F.lit(1) if side is None else side).alias("side"))
+
+
+def _touched(spark, d, meta: bool = False):
+    if meta:
+        return labels.triple_barrier(_events(spark, d, F.col("side")).where("side IS NOT NULL"), _series(spark, d), 2.0, 1.0, 3 * HOUR)
+    return labels.triple_barrier(_events(spark, d), _series(spark, d), 1.0, 1.0, 3 * HOUR)
+
+
+@_query
+def triple_barrier(spark, d):
+    return _touched(spark, d).select("symbol", "t0", "vertical", "sl", "pt", "t1")
+
+
+def _labels(spark, d, meta: bool = False):
+    return labels.label(_touched(spark, d, meta), _series(spark, d), meta)
+
+
+@_query
+def event_labels(spark, d):
+    return _rounded(_labels(spark, d).select("symbol", "t0", "t1", "ret", "bin"), 9)
+
+
+@_query
+def meta_labels(spark, d):
+    return _rounded(_labels(spark, d, True).select("symbol", "t0", "t1", "side", "ret", "bin"), 9)
+
+
+@_query
+def meta_metrics(spark, d):
+    """Share of executed bets and mean returns, all and executed."""
+    return _rounded(_labels(spark, d, True).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("bin").alias("executed"), F.avg("ret").alias("mean_ret"), F.avg(F.when(F.col("bin") == 1, F.col("ret"))).alias("mean_ret_executed")))
+
+
+@_query
+def drop_rare_labels(spark, d):
+    return labels.drop_rare(_labels(spark, d).select("symbol", "t0", "bin"))
+
+
+@_query
+def label_counts(spark, d):
+    rows = _labels(spark, d).groupBy("bin").agg(F.count("*").alias("rows"))
+    return _rounded(rows.crossJoin(F.broadcast(rows.agg(F.sum("rows").alias("n")))).select("bin", "rows", (F.col("rows") / F.col("n")).alias("share")))
+
+
+@_query
+def event_mapping(spark, d):
+    return labels.event_mapping(_series(spark, d), 50)
+
+
+# overlap and weights -------------------------------------------------------------------------------------------------
+
+
+def _spans_all(spark, d):
+    """Events at every fifth row of a series, three hours long; the last ones stay open."""
+    rows = labels.as_of_after(_series(spark, d), 3 * HOUR)
+    return labels.event_mapping(_series(spark, d), 5).select("symbol", "us").join(rows, ["symbol", "us"]).select("symbol", F.col("us").alias("t0"), "t1")
+
+
+@_query
+def concurrency(spark, d):
+    return weights.concurrency(_spans_all(spark, d), _series(spark, d))
+
+
+@_query
+def avg_uniqueness(spark, d):
+    e = _spans_all(spark, d)
+    return _rounded(weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d))))
+
+
+@_query
+def return_weights(spark, d):
+    e, s = _spans_all(spark, d), _series(spark, d)
+    return _rounded(weights.return_weights(e, weights.concurrency(e, s), s).select("symbol", "t0", "w"))
+
+
+@_query
+def time_decay(spark, d):
+    e = _spans_all(spark, d)
+    u = weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d)))
+    return _rounded(weights.time_decay(u, 0.5).select("symbol", "t0", "decay"))
+
+
+@_query
+def time_decay_cut(spark, d):
+    e = _spans_all(spark, d)
+    u = weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d)))
+    return _rounded(weights.time_decay(u, -0.25).select("symbol", "t0", "decay"))
+
+
+@_query
+def matrix_uniqueness(spark, d):
+    return _rounded(weights.matrix_uniqueness(weights.indicator(_spans_all(spark, d), _series(spark, d), 3 * HOUR)))
+
+
+@_query
+def seq_bootstrap(spark, d):
+    e = _spans_all(spark, d).where("t1 IS NOT NULL").withColumn("day", F.floor(F.col("t0") / DAY).cast("long"))
+    return weights.bootstrap_by_group(e, ["symbol", "day"])
+
+
+@_query
+def mc_uniqueness(spark, d):
+    """Sequential against uniform draws over all days: the distribution of mean uniqueness."""
+    rows = seq_bootstrap(spark, d)
+    both = rows.select(F.explode(F.array(F.struct(F.lit("standard").alias("kind"), F.col("u_standard").alias("u")), F.struct(F.lit("sequential").alias("kind"), F.col("u_sequential").alias("u")))).alias("x")).select("x.*")
+    return diagnostics.describe(both, ["kind"], "u")
+
+
+# fractional differentiation -------------------------------------------------------------------------------------------
+
+
+def _log_series(spark, d):
+    return _series(spark, d).withColumn("x", F.log("price"))
+
+
+@_query
+def ffd(spark, d):
+    return _rounded(fracdiff.ffd(_log_series(spark, d), "x", FFD_D, FFD_THRESHOLD).select("symbol", "us", "fd"))
+
+
+@_query
+def fracdiff_expanding(spark, d):
+    """Expanding window over hourly closes."""
+    hourly = bars.time_bars(tape_events(spark, d), "4h").select("symbol", F.col("bar_us").alias("us"), F.log("close").alias("x"))
+    return _rounded(fracdiff.fracdiff_expanding(hourly, "x", FFD_D, 0.2, 200).select("symbol", "us", "fd"))
+
+
+@_query
+def ffill(spark, d):
+    gaps = _series(spark, d).withColumn("x", F.when(F.col("price") % 3 == 0, F.col("price")))
+    return fracdiff.forward_fill(gaps, "x", "filled").select("symbol", "us", "filled")
+
+
+@_query
+def resample_last(spark, d):
+    return fracdiff.resample_last(_series(spark, d), "price", DAY)
+
+
+def _daily(spark, d):
+    """Four-hourly log closes: the series of the stationarity figures."""
+    return bars.time_bars(tape_events(spark, d), "4h").select("symbol", F.col("bar_us").alias("us"), F.log("close").alias("x"))
+
+
+@_query
+def adf_moments(spark, d):
+    return _rounded(fracdiff.adf_moments(_daily(spark, d), "x", ["symbol"]), 5)
+
+
+@_query
+def min_d_corr(spark, d):
+    return _rounded(fracdiff.min_d_table(_daily(spark, d), "x", [0.0, 0.3, 0.6, 1.0], 0.05).select("symbol", "d", "nobs", "stat", "corr", "rows"), 5)
+
+
+@_query
+def pick_d(spark, d):
+    return fracdiff.pick_d(fracdiff.min_d_table(_daily(spark, d), "x", [0.0, 0.3, 0.6, 1.0], 0.05), fracdiff.adf_critical_5(10_000))
+
+
+@_query
+def lag_features(spark, d):
+    fd = fracdiff.ffd(_log_series(spark, d), "x", FFD_D, FFD_THRESHOLD)
+    return _rounded(fracdiff.lag_features(fd, "fd", 3))
+
+
+# cross-validation ------------------------------------------------------------------------------------------------------
+
+
+def _samples(spark, d):
+    rows = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("sample"), micros("ts").alias("t0"), (micros("ts") + HOUR * (1 + F.col("event_id") % 5)).alias("t1"))
+    return crossval.positions(rows, ["t0", "sample"])
+
+
+@_query
+def purged_kfold(spark, d):
+    return crossval.purged_kfold(_samples(spark, d), 3, 0.01)
+
+
+@_query
+def purged_kfold_by_start(spark, d):
+    return crossval.purged_kfold(_samples(spark, d), 3, 0.01, purge="t0")
+
+
+@_query
+def embargo_times(spark, d):
+    return crossval.embargo_times(_samples(spark, d), 0.01)
+
+
+@_query
+def purge_train_times(spark, d):
+    rows = _samples(spark, d)
+    return crossval.purge_train(rows, rows.where("pos % 1000 = 500")).select("sample", "t0", "t1")
+
+
+# models -----------------------------------------------------------------------------------------------------------------
+
+_FEATURES = ["f0", "f1", "f2", "f3"]
+
+
+def _learning(spark, d):
+    """Numbered rows with features, a label and spans: vectors of the embedding table in order of their id."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    rows = e.select(F.col("vec_id").alias("sample"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)), (F.col("label") % 2).cast("double").alias("y"), F.lit(1.0).alias("w"), F.col("vec_id").alias("t0"), (F.col("vec_id") + 3).alias("t1"))
+    # read again for every fit: written once
+    rows = staged(crossval.positions(rows, ["t0", "sample"]), "samples")
+    return rows, staged(crossval.purged_kfold(rows, 3, 0.01), "folds")
+
+
+@_query
+def cv_score(spark, d):
+    rows, roles = _learning(spark, d)
+    return importance.cv_scores(rows, roles, 3, _FEATURES, trees=10)
+
+
+@_query
+def mdi(spark, d):
+    rows, _ = _learning(spark, d)
+    return importance.mean_decrease_impurity(spark, importance.forest(rows, _FEATURES, trees=20), _FEATURES)
+
+
+@_query
+def mda(spark, d):
+    rows, roles = _learning(spark, d)
+    return importance.mean_decrease_accuracy(rows, roles, 3, _FEATURES[:2], trees=10)
+
+
+@_query
+def sfi(spark, d):
+    rows, roles = _learning(spark, d)
+    return importance.single_feature(rows, roles, 3, _FEATURES[:2], trees=10)
+
+
+@_query
+def pca_moments(spark, d):
+    return _rounded(importance.correlations(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 8), 5)
+
+
+@_query
+def pca_features(spark, d):
+    return importance.principal_components(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 8)
+
+
+@_query
+def weighted_rank_tau(spark, d):
+    """How alike customers' nations rank by mean balance and by number of customers."""
+    c = spark.read.parquet(f"{d}/customer.parquet").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 4).alias("x"), F.count("*").cast("double").alias("y"))
+    return _rounded(weighted_tau(c, "x", "y"))
+
+
+@_query
+def vote_accuracy(spark, d):
+    """Ensemble accuracy for each priority's share of finished orders."""
+    p = spark.read.parquet(f"{d}/orders.parquet").groupBy("o_orderpriority").agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("p"))
+    return _rounded(p.select("o_orderpriority", "p", ensemble_accuracy(F.col("p"), 11, 2).alias("accuracy")))
+
+
+# streams -----------------------------------------------------------------------------------------------------------------
+
+
+@_query
+def stream_time_bars_1h(spark, d):
+    return streams.time_bars_once(spark, d, "1 hour")
+
+
+@_query
+def stream_value_bars_dollar(spark, d):
+    return streams.value_bars_once(spark, d, DOLLAR_BAR)
+
+
+ORACLES = oracles.build(dict(hour=HOUR, day=DAY, volume=VOLUME_BAR, dollar=DOLLAR_BAR, order=ORDER_BAR, ffd=fracdiff.ffd_weights(FFD_D, FFD_THRESHOLD), grid={g: fracdiff.ffd_weights(g, 0.05) for g in (0.0, 0.3, 0.6, 1.0)}, expanding=fracdiff.weights(FFD_D, 200), critical=fracdiff.adf_critical_5(10_000), comb=[math.comb(11, i) for i in range(12)]))
