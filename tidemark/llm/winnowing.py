@@ -55,11 +55,12 @@ def chosen(data: np.ndarray, at: np.ndarray, k: int = GRAM, window: int = WINDOW
     fresh = np.ones(len(place), bool)
     fresh[1:] = place[1:] != place[:-1]
     place = np.concatenate([place[fresh], np.asarray(extra, np.int64), at[tiny]])
-    sums = textops.prefix_hash(data)
+    place = np.sort(place)
     owner = np.searchsorted(at, place, "right") - 1
-    value = textops.span_hash(sums, place, np.minimum(place + k, at[owner + 1])) >> np.uint64(32)
-    order = np.argsort(place, kind="stable")
-    place, owner, value = place[order], owner[order], value[order]
+    value = np.append(hashed, np.uint64(0))[np.minimum(place, n)]
+    small = size[owner] < k
+    value[small] = textops.span_hash(textops.prefix_hash(data), place[small], at[owner[small] + 1])
+    value >>= np.uint64(32)
     return value.astype(np.uint32), (place - at[owner]).astype(np.uint32), np.searchsorted(owner, np.arange(len(at)))
 
 
@@ -162,7 +163,7 @@ def fingerprints(docs: DataFrame, k: int = GRAM, window: int = WINDOW) -> DataFr
     # ranges of the ring, a few to a partition; every range also gets the first document of the range after it
     ranges = 4 * partitions(spark)
     at = rows.approxQuantile("rank", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    splits = [-float("inf"), *sorted(set(at)), float("inf")]
+    splits = [-float("inf"), *(sorted(set(at)) or [0.0]), float("inf")]
     number = Bucketizer(splits=splits, inputCol="at", outputCol="number")
     rows = number.transform(rows.withColumn("at", F.col("rank").cast("double"))).withColumn("part", F.col("number").cast("int")).drop("at", "number")
     heads = rows.groupBy("part").agg(F.min("rank").alias("rank")).orderBy("part").collect()  # as many as there are ranges
