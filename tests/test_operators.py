@@ -215,3 +215,34 @@ def test_stream_equals_batch_over_batches(spark, tmp_path):
     whole = whole[[r.bar_index < last[r.symbol] for r in whole.itertuples()]]
     key = ["symbol", "bar_index"]
     assert got.sort_values(key)[[*key, "open", "close", "dollar"]].values.tolist() == whole.sort_values(key)[[*key, "open", "close", "dollar"]].values.tolist()
+
+
+def test_tables_by_extension(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.feather
+
+    from tidemark.sources import tables
+
+    data = pa.table({"a": [1, 2], "b": ["x", "y"]})
+    pyarrow.feather.write_feather(data, str(tmp_path / "t.feather"), compression="uncompressed")
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "a long, b string")
+    tables.write_bars(rows, str(tmp_path / "t.parquet"), "b")
+    tables.write_small(rows, str(tmp_path / "t.csv"))
+    for kind in ("feather", "parquet", "csv"):
+        assert sorted((r.a, r.b) for r in tables.read_table(spark, str(tmp_path / f"t.{kind}")).collect()) == [(1, "x"), (2, "y")]
+    with pytest.raises(ValueError):
+        tables.read_table(spark, "t.json")
+
+
+def test_event_lists_and_ranges(spark):
+    from tidemark.sources import tables
+
+    assert [r.event_idx for r in tables.parse_events(spark, "3, 17,20").collect()] == [3, 17, 20]
+    with pytest.raises(ValueError):
+        tables.parse_events(spark, "3,x")
+    s = frame(spark, [("a", 10 * i, i) for i in range(5)], "symbol string, us long, price long")
+    assert [r.us for r in tables.map_events(s, tables.parse_events(spark, "1,4,9")).orderBy("us").collect()] == [10, 40]
+    assert tables.look_back(1000, months=2) == (940, 1000) and tables.look_back(1000, years=1) == (635, 1000)
+    days = frame(spark, [(None,), (1,), (2,), (3,)], "day long")
+    assert [r.day for r in tables.in_days(days, 2, None).orderBy("day").collect()] == [2, 3]
+    assert tables.next_start(frame(spark, [("a", DAY + 5)], "symbol string, us long"), "last_input_day_end").first().start_us == 2 * DAY - 1_000_000

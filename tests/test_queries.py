@@ -22,7 +22,7 @@ def duck():
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    text = lambda x: "null" if x is None or x is pd.NaT or x != x else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    text = lambda x: "null" if pd.isna(x) else repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(text(x) for x in r) for r in frame.astype(object).values.tolist())
 
 

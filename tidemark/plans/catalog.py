@@ -15,7 +15,7 @@ from tidemark.functions.stats import ensemble_accuracy, weighted_tau
 from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, labels, series, weights
 from tidemark.plans import oracles
 from tidemark.session import staged
-from tidemark.sources import trades
+from tidemark.sources import tables, trades
 from tidemark.sources.tapes import DAY, micros, tape_events, tape_orders
 from tidemark.streaming import bars as streams
 
@@ -192,6 +192,25 @@ def coverage_scan(spark, d):
     return out.select(F.datediff("day", F.lit("1970-01-01").cast("date")).cast("long").alias("day"), F.col("bytes").alias("rows"), "status")
 
 
+@_query
+def incremental_start(spark, d):
+    """Where the next run over the bars of each symbol would begin."""
+    return tables.next_start(bars.time_bars(tape_events(spark, d), "1h").withColumnRenamed("bar_us", "us"))
+
+
+@_query
+def run_metadata(spark, d):
+    return tables.run_metadata(bars.time_bars(tape_events(spark, d), "1h").withColumnRenamed("bar_us", "us"), frequency="1h", dollar_per_bar=DOLLAR_BAR)
+
+
+@_query
+def day_range_totals(spark, d):
+    """Day totals of the last 14 days of the tape."""
+    t = bars.daily_totals(tape_events(spark, d))
+    last = t.agg(F.max("day")).first()[0]
+    return tables.in_days(t, last - 13, last)
+
+
 # events and labels ---------------------------------------------------------------------------------------------------
 
 
@@ -310,6 +329,24 @@ def event_mapping(spark, d):
     return labels.event_mapping(_series(spark, d), 50)
 
 
+@_query
+def event_membership(spark, d):
+    """Rows of the series at the times of CUSUM events, with their positions."""
+    return tables.map_events(_series(spark, d), _cusum(spark, d).select("us").distinct(), "timestamp")
+
+
+@_query
+def standard_bootstrap(spark, d):
+    """As many uniform draws as events, by day of a symbol: a seeded choice of position for every event."""
+    from pyspark.sql import Window
+
+    e = _spans_all(spark, d).withColumn("day", F.floor(F.col("t0") / DAY).cast("long"))
+    w = Window.partitionBy("symbol", "day")
+    rows = e.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("t0")) - 1)
+    drawn = rows.select("symbol", "day", F.pmod(F.xxhash64("symbol", "t0", F.lit(7)), F.col("n")).alias("k")).groupBy("symbol", "day", "k").agg(F.count("*").alias("times"))
+    return rows.join(drawn, ["symbol", "day", "k"]).select("symbol", "t0", "t1", "times")
+
+
 # overlap and weights -------------------------------------------------------------------------------------------------
 
 

@@ -158,6 +158,10 @@ b AS (SELECT {_PIECES} FROM p GROUP BY symbol, bar_id) SELECT * FROM b WHERE val
         "return_histogram": f"WITH {returns}, q AS (SELECT symbol, min(r) AS lo, max(r) AS hi, avg(r) AS mean, stddev_samp(r) AS std, count(*) AS n FROM r GROUP BY symbol), h AS (SELECT q.*, CAST(least(19, floor((r - lo) / ((hi - lo) / 20))) AS INTEGER) AS bin FROM r JOIN q ON q.symbol = r.symbol) SELECT symbol, bin, count(*) AS rows, round(count(*) / (n * ((hi - lo) / 20)), 5) AS density, round({normal}, 5) AS normal FROM h GROUP BY symbol, bin, lo, hi, mean, std, n",
         "bar_kind_counts": f"WITH {_T}, k AS (SELECT 'time' AS kind, symbol, us // {hour} * {hour} AS us FROM t GROUP BY ALL UNION ALL SELECT 'volume', symbol, us FROM (WITH {_whole(_T, 'qty', volume)} SELECT * FROM b) UNION ALL SELECT 'dollar', symbol, us FROM (WITH {_whole(_T, 'dollar', dollar)} SELECT * FROM b)) SELECT kind, symbol, {week} AS week, count(*) AS bars FROM k GROUP BY kind, symbol, {week}",
         "coverage_scan": f"WITH {_O}, h AS (SELECT us // {day} AS day, count(*) AS rows FROM t GROUP BY 1), c AS (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM h) SELECT c.day, h.rows, CASE WHEN h.rows IS NULL THEN 'missing' ELSE 'complete' END AS status FROM c LEFT JOIN h ON h.day = c.day",
+        "incremental_start": f"WITH {_T} SELECT symbol, (max(us // {hour} * {hour}) // {day} + 1) * {day} AS start_us FROM t GROUP BY symbol",
+        "run_metadata": f"WITH {_T}, b AS (SELECT DISTINCT symbol, us // {hour} * {hour} AS us FROM t) SELECT '1h' AS frequency, {dollar} AS dollar_per_bar, min(us) AS first_us, max(us) AS last_us, count(*) AS rows FROM b",
+        "day_range_totals": f"WITH {_T}, {totals} SELECT * FROM d WHERE day >= (SELECT max(day) FROM d) - 13",
+        "event_membership": f"WITH RECURSIVE {cusum}, rn AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY us) - 1 AS event_idx, us, price FROM s) SELECT * FROM rn WHERE us IN (SELECT us FROM k WHERE direction <> 0)",
         "asof_prev_day": f"WITH {_S} SELECT a.symbol, a.us, a.price, b.price AS previous FROM s a ASOF JOIN s b ON a.symbol = b.symbol AND a.us - {day} > b.us",
         "daily_vol": f"WITH RECURSIVE {vol} SELECT symbol, us, price, round(ret, 6) AS ret, round(vol, 6) AS vol FROM v",
         "daily_vol_log": f"WITH RECURSIVE {ewm('ln(a.price / b.price)')} SELECT symbol, us, price, round(ret, 6) AS ret, round(vol, 6) AS vol FROM v",
