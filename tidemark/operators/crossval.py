@@ -21,12 +21,11 @@ def positions(samples: DataFrame, order: list[str]) -> DataFrame:
 
 def fold_bounds(samples: DataFrame, folds: int) -> DataFrame:
     """Folds are runs of near-equal length, the first ones a row longer: ``fold, lo, hi, t0_lo, t0_hi, t1_hi, n``."""
-    n = samples.agg(F.count("*").alias("n"))
-    rows = samples.crossJoin(F.broadcast(n))
-    size, extra = F.floor(F.col("n") / folds), F.col("n") % folds
+    n = samples.count()
+    size, extra = divmod(n, folds)
     edge = extra * (size + 1)
-    fold = F.when(F.col("pos") < edge, F.floor(F.col("pos") / (size + 1))).otherwise(extra + F.floor((F.col("pos") - edge) / F.greatest(size, F.lit(1))))
-    return rows.groupBy(fold.cast("int").alias("fold")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("t0").alias("t0_lo"), F.max("t0").alias("t0_hi"), F.max("t1").alias("t1_hi"), F.first("n").alias("n"))
+    fold = F.when(F.col("pos") < edge, F.floor(F.col("pos") / (size + 1))).otherwise(extra + F.floor((F.col("pos") - edge) / max(size, 1)))
+    return samples.groupBy(fold.cast("int").alias("fold")).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("t0").alias("t0_lo"), F.max("t0").alias("t0_hi"), F.max("t1").alias("t1_hi"), F.lit(n).cast("long").alias("n"))
 
 
 def purged_kfold(samples: DataFrame, folds: int, embargo: float, purge: str = "t1") -> DataFrame:
@@ -38,7 +37,7 @@ def purged_kfold(samples: DataFrame, folds: int, embargo: float, purge: str = "t
     """
     bounds = F.broadcast(fold_bounds(samples, folds))  # one row per fold
     end = F.col("t0_hi") if purge == "t0" else F.greatest("t0_hi", "t1_hi")
-    rows = samples.crossJoin(bounds)
+    rows = samples.withColumn("fold", F.explode(F.array(*(F.lit(k) for k in range(folds))))).join(bounds, "fold")
     test = F.col("pos").between(F.col("lo"), F.col("hi"))
     overlap = (F.col("t0") <= end) & (F.col("t1") >= F.col("t0_lo"))
     held = (F.col("pos") > F.col("hi")) & (F.col("pos") <= F.col("hi") + F.floor(F.col("n") * embargo))
@@ -48,10 +47,10 @@ def purged_kfold(samples: DataFrame, folds: int, embargo: float, purge: str = "t
 
 def embargo_times(samples: DataFrame, share: float) -> DataFrame:
     """Each time with the time ``int(n * share)`` rows later; the tail has the last time."""
-    total = samples.agg(F.count("*").alias("n"), F.max("t0").alias("last"))
+    n, last = samples.agg(F.count("*"), F.max("t0")).first()
     later = samples.select((F.col("pos")).alias("_p"), F.col("t0").alias("later"))
-    rows = samples.crossJoin(F.broadcast(total)).withColumn("_p", F.col("pos") + F.floor(F.col("n") * share))
-    return rows.join(later, "_p", "left").select("sample", "t0", F.coalesce("later", "last").alias("embargo"))
+    rows = samples.withColumn("_p", F.col("pos") + int(n * share))
+    return rows.join(later, "_p", "left").select("sample", "t0", F.coalesce("later", F.lit(last)).alias("embargo"))
 
 
 def purge_train(train: DataFrame, tests: DataFrame) -> DataFrame:

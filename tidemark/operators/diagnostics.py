@@ -18,10 +18,9 @@ def statistic(kind: str, column: str) -> Column:
 
 def thresholds_by_frequency(totals: DataFrame, frequencies: list[str], kind: str = "median") -> DataFrame:
     """Bars per day of each frequency, and a day's value and quantity over it."""
-    spark = totals.sparkSession
-    listed = spark.createDataFrame([(f, DAY / parse_frequency(f)) for f in frequencies], "freq string, bars_per_day double")
+    listed = F.explode(F.array(*(F.struct(F.lit(f).alias("freq"), F.lit(DAY / parse_frequency(f)).alias("bars_per_day")) for f in frequencies)))
     stats = totals.groupBy("symbol").agg(statistic(kind, "dollar").alias("daily_dollar"), statistic(kind, "qty").alias("daily_qty"))
-    return stats.crossJoin(F.broadcast(listed)).select("symbol", "freq", "bars_per_day", "daily_dollar", "daily_qty", (F.col("daily_dollar") / F.col("bars_per_day")).alias("dollar_per_bar"), (F.col("daily_qty") / F.col("bars_per_day")).alias("qty_per_bar"))
+    return stats.withColumn("_f", listed).select("symbol", "_f.freq", "_f.bars_per_day", "daily_dollar", "daily_qty").select("symbol", "freq", "bars_per_day", "daily_dollar", "daily_qty", (F.col("daily_dollar") / F.col("bars_per_day")).alias("dollar_per_bar"), (F.col("daily_qty") / F.col("bars_per_day")).alias("qty_per_bar"))
 
 
 def thresholds_by_count(tape: DataFrame, frequency: str) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.crossval import positions
+
 
 def forest(rows: DataFrame, features: list[str], trees: int = 20, share: float = 1.0, subset: str = "sqrt", depth: int = 5, seed: int = 1) -> RandomForestClassificationModel:
     """Entropy forest on ``y`` with weights ``w`` times the balance of classes; ``subset="all"`` makes it bagged trees."""
@@ -51,11 +53,10 @@ def mean_decrease_impurity(spark, model: RandomForestClassificationModel, featur
 
 
 def permuted(rows: DataFrame, feature: str, seed: int) -> DataFrame:
-    """The rows with one column shuffled among them: two random numberings, joined."""
-    order = F.xxhash64("sample", F.lit(seed), F.lit(feature))
-    left = rows.drop(feature).withColumn("_n", F.row_number().over(Window.orderBy("sample")))
-    right = rows.select("sample", feature).withColumn("_n", F.row_number().over(Window.orderBy(order, "sample"))).drop("sample")
-    return left.join(right, "_n").drop("_n")
+    """The rows with one column shuffled among them: numbered by id and by a random key, and joined by number."""
+    left = positions(rows.drop(feature, "pos"), ["sample"])
+    right = positions(rows.select(feature, F.xxhash64("sample", F.lit(seed), F.lit(feature)).alias("_key")), ["_key"]).drop("_key")
+    return left.join(right, "pos")
 
 
 def mean_decrease_accuracy(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], seed: int = 3, **options) -> DataFrame:

@@ -320,8 +320,10 @@ def drop_rare_labels(spark, d):
 
 @_query
 def label_counts(spark, d):
-    rows = _labels(spark, d).groupBy("bin").agg(F.count("*").alias("rows"))
-    return _rounded(rows.crossJoin(F.broadcast(rows.agg(F.sum("rows").alias("n")))).select("bin", "rows", (F.col("rows") / F.col("n")).alias("share")))
+    from pyspark.sql import Window
+
+    rows = _labels(spark, d).groupBy("bin").agg(F.count("*").alias("rows"))  # a row per sign
+    return _rounded(rows.select("bin", "rows", (F.col("rows") / F.sum("rows").over(Window.partitionBy())).alias("share")))
 
 
 @_query
