@@ -430,3 +430,5 @@ def test_pipeline_odd(spark, odd_docs, no_docs):
             out = stage(spark, docs, SMALL)
             n = out.count()
             assert rows is None or n == rows, name
+    one = corpus_pipeline.near_copies(spark, odd_docs, SMALL)
+    assert one.columns == odd_docs.columns and Counter(r.doc_id for r in one.collect()) == Counter([1, 2, None, 4, 5, 6, 7])
