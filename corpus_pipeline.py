@@ -28,12 +28,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies; rows that repeat a doc_id of a group are one document."""
+    """Keeps the document with the smallest doc_id of each group of near copies.
+
+    Rows that repeat a doc_id with the same text are one document, and one of
+    them stays.  Rows without an id stay unless they are near copies of one
+    that has an id.
+    """
     groups = jaccard_components(docs)
-    kept = groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.max("n_shingles").alias("_shingles"))
-    rows = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    kept = kept.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id"), "_shingles")
-    return rows.join(kept.hint("shuffle_hash"), "_id").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    kept = groups.where("doc_id <=> component_id").select(key.alias("_id")).distinct()
+    rows = docs.withColumn("_id", key).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # the rows stand by _id already, so dropping repeats moves nothing
+    return rows.join(kept.hint("shuffle_hash"), "_id").dropDuplicates(["_id", "_text"]).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
