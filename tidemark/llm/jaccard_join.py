@@ -221,9 +221,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     An empty table gives an empty result.  Columns other than doc_id and text
     are ignored.
     """
-    spark = docs.sparkSession
-    n = buckets(spark)
-    spread = partitions(spark)
+    n = buckets(docs, "text")
+    spread = partitions(docs.sparkSession)
     dealt = docs.select("doc_id", "text").mapInArrow(partial(_deal, n=n, width=width), _DEALT)
     dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket")
     told = dealt.mapInArrow(partial(_count, n=n), _DEALT)

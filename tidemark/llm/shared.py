@@ -1,58 +1,34 @@
-"""Session helpers of the text operators: the shared folder, staged tables, partition counts."""
+"""Session helpers of the text operators: the shared folder, staged tables, numbers of partitions and buckets."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import new_path, partitions, shared_folder, staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it.
-
-    Only a local session may go without ``spark.checkpoint.dir``; it gets a
-    temporary folder of its own.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = getattr(spark, "_tidemark_folder", None)
-    if own is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        own = spark._tidemark_folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
+__all__ = ["bounded_sample", "buckets", "id_order", "new_path", "partitions", "shared_folder", "staged"]
 
-def staged(frame: DataFrame, name: str) -> DataFrame:
-    """Writes a frame once into the shared folder and reads it back.
-
-    This cuts the lineage: what was made survives lost executors, and several
-    readers do not compute it again.
-    """
-    spark = frame.sparkSession
-    path = new_path(spark, name)
-    frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
 
-
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def buckets(spark: SparkSession, each: int = 4) -> int:
-    """A power of two of at least ``each`` buckets per shuffle partition, so that buckets grow in number, not in size."""
-    return 1 << (max(8, each * partitions(spark)) - 1).bit_length()
+def buckets(rows: DataFrame, column: str, each: int = 4 << 20) -> int:
+    """A power of two of buckets for about ``each`` bytes of a text column, so that buckets grow in number, not in size."""
+    total = rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    return 1 << max(3, (-(-total // each) - 1).bit_length())
 
 
 def id_order(column: str | Column) -> Column:
     """Sort key that puts a null identifier before every other."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(1 << 63)).cast("long"))
+
+
+def bounded_sample(rows: DataFrame, by: list[str], most: int, seed: int, keep: list[Column] | None = None) -> DataFrame:
+    """At most ``most`` rows (or ``keep`` of them), those with the smallest hashes of ``by``; the same ones in every run.
+
+    A threshold on the hash leaves about four times as many before they are
+    ordered, so what the ordering gathers does not grow with the table.
+    """
+    h = F.xxhash64(*by, F.lit(seed))
+    total = rows.count()
+    if total > 4 * most:
+        rows = rows.where(h < int(-(1 << 63) + (1 << 64) * (4 * most / total)))
+    return rows.select(*(keep or rows.columns), h.alias("_h")).orderBy("_h").limit(most).drop("_h")
