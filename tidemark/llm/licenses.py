@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
+from tidemark.llm.shared import bounded_sample
 
 #: Corpus documents that train and calibrate the unknown class, at most, and the characters of each that are used.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 4000
@@ -240,9 +241,9 @@ def fit(paragraphs: list[str], seed: int = 3) -> Model:
 
 
 def learn(docs: DataFrame, seed: int = 3) -> Model:
-    """Fits the model with unlicensed paragraphs of at most ``SAMPLE_DOCS`` documents, by smallest hash of the text."""
+    """Fits the model with unlicensed paragraphs of at most ``SAMPLE_DOCS`` documents, by smallest hash of id and text."""
     grams, templates = _known_grams()
-    sample = docs.where("text IS NOT NULL").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text", F.lit(seed)).alias("h")).orderBy("h").limit(SAMPLE_DOCS).select("text").collect()
+    sample = bounded_sample(docs.select("doc_id", "text").where("text IS NOT NULL"), ["doc_id", "text"], SAMPLE_DOCS, seed, [F.substring("text", 1, SAMPLE_CHARS).alias("text")]).collect()
     out: list[str] = []
     for row in sample:
         for p in row.text.split("\n"):

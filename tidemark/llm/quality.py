@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import textops
+from tidemark.llm.shared import bounded_sample
 
 #: Labelled positives, unlabelled rows and calibration rows that a fit may use at most.
 SAMPLE = 20_000
@@ -207,11 +208,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     blank = Scorer(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
     if not prior:
         return blank
-    first = lambda frame, seed: frame.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+    first = lambda frame, seed: bounded_sample(frame.select("doc_id").distinct(), ["doc_id"], sample, seed)
     roles = (
         first(known.where("quality = 1"), 1).withColumn("role", F.lit(1))
         .union(first(docs.where("doc_id IS NOT NULL").where(~held_out("doc_id")), 2).withColumn("role", F.lit(2)))
-        .union(known.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample).select("doc_id", (F.col("quality") + 3).alias("role")))
+        .union(bounded_sample(known, ["doc_id"], sample, 3).select("doc_id", (F.col("quality") + 3).alias("role")))
     )
     # at most three samples of ids: bounded, so it may be sent to every executor
     chosen = docs.select("doc_id", "text").join(F.broadcast(roles.groupBy("doc_id").agg(F.sum(F.pow(F.lit(2), F.col("role"))).cast("int").alias("role"))), "doc_id")
