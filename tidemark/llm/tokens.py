@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import textops
 
 #: Distinct words that a worker keeps; beyond it, it starts anew.
-_KEEP = 800_000
+_KEEP = 150_000
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the word pattern that the vocabulary file names, for the characters of _PLAIN.
 _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -41,24 +41,25 @@ class WordTokens:
 
     def _start_anew(self) -> None:
         self._slot: dict[int, int] = {}
-        self._piece: dict[str, list[int]] = {}
+        self._piece: dict[str, bytes] = {}
         self._pool, self._begin, self._size = array("H", [self._end_id]), array("q", [0]), array("q", [1])
 
-    def _encode_word(self, word: str) -> list[int]:
+    def _encode_word(self, word: str) -> bytes:
+        """A word's ids as 16-bit numbers."""
         if not _PLAIN.fullmatch(word):
-            return self._all.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
+            return array("H", self._all.encode(word, add_special_tokens=False).ids).tobytes()
+        out = b""
         for piece in _PIECES.findall(word.lower()):
             ids = self._piece.get(piece)
             if ids is None:
                 shown = piece if piece.isascii() else "".join(self._letters[b] for b in piece.encode())
-                ids = self._piece[piece] = [t.id for t in self._all.model.tokenize(shown)]
+                ids = self._piece[piece] = array("H", [t.id for t in self._all.model.tokenize(shown)]).tobytes()
             out += ids
         return out
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, each row closed by the end id, and the rows' ends among them."""
-        if len(self._slot) > _KEEP:
+        if len(self._slot) > _KEEP or len(self._piece) > _KEEP:
             self._start_anew()
         raw = data.tobytes()
         # the strings of special tokens count only as they are written, so such rows go through the library whole
@@ -75,8 +76,8 @@ class WordTokens:
                 ids = self._encode_word(text[start[w] : end[w]].decode())
                 known[k] = self._slot[int(distinct[k])] = len(self._begin)
                 self._begin.append(len(self._pool))
-                self._size.append(len(ids))
-                self._pool.extend(ids)
+                self._size.append(len(ids) // 2)
+                self._pool.frombytes(ids)
         begin, size, pool = (np.frombuffer(x, k) for x, k in ((self._begin, np.int64), (self._size, np.int64), (self._pool, np.uint16)))
         slots = np.insert(np.asarray(known, np.int64)[back] if len(back) else np.zeros(0, np.int64), first[1:], 0)
         count = size[slots]
