@@ -78,11 +78,17 @@ def _windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return window[start], window[np.append(start[1:], len(window)) - 1], anchor[start]
 
 
-_ANCHORS = "anchor long, context long, doc long, place long"
+_ANCHORS = "anchor long, context long, doc long, place long, again int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """place: start (32 bits), check (16), anchor's offset (8) and number of windows less one (8)."""
+    """place: start (32 bits), check (16), anchor's offset (8) and number of windows less one (8).
+
+    Text that repeats itself gives one anchor and context over and over; all
+    but the first of such a run go, whatever other documents hold.  The run's
+    rest is one row, with its windows in ``again`` and a key of its own, so a
+    repetitive document makes no anchor frequent.
+    """
     for batch in batches:
         for part, data, at in textops.blocks(batch, "text"):
             first, last, anchor = _windows(data, at, length)
@@ -93,14 +99,23 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             start = first - at[row]
             check = part.column("check").to_numpy().astype(np.int64)[row]
             place = (start << 32) | (check << 16) | ((anchor - first) << 8) | (last - first)
+            gram = textops.span_hash(sums, anchor, anchor + GRAM)
+            context = textops.span_hash(sums, first, last + length)
+            again = np.zeros(len(first), np.int64)
+            same = np.zeros(len(first), bool)
+            same[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (row[1:] == row[:-1]) & (first[1:] == last[:-1] + 1)
+            if same.any():
+                lead = same.copy()
+                lead[1:] &= ~same[:-1]
+                ends = same.copy()
+                ends[:-1] &= ~same[1:]
+                again[lead] = last[ends] - first[lead] + 1
+                gram[lead] = textops.mix(gram[lead] ^ place[lead].view(np.uint64))
+                keep = ~same | lead
+                gram, context, place, row, again = gram[keep], context[keep], place[keep], row[keep], again[keep]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(textops.span_hash(sums, anchor, anchor + GRAM).view(np.int64)),
-                    pa.array(textops.span_hash(sums, first, last + length).view(np.int64)),
-                    pa.array(part.column("doc").to_numpy()[row]),
-                    pa.array(place),
-                ],
-                names=["anchor", "context", "doc", "place"],
+                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(part.column("doc").to_numpy()[row]), pa.array(place), pa.array(again.astype(np.int32))],
+                names=["anchor", "context", "doc", "place", "again"],
             )
 
 
@@ -111,6 +126,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor, context, doc and place: those that go at once (classes 0), and the owners of anchors with several classes."""
     kept = [np.zeros(0, np.int64)] * 4
 
+    def runs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        anchor, _, doc, place, again = rows
+        return found(doc, place, again, anchor, np.zeros(len(doc), np.int64))
+
+    def found(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, anchor: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        columns = [doc, ((place >> 16) & 0xFFFF).astype(np.int32), place >> 32, windows.astype(np.int32), anchor, ((place >> 8) & 0xFF).astype(np.int32), classes.astype(np.int32)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "check", "start", "windows", "anchor", "offset", "classes"])
+
     def look(rows: list[np.ndarray], end: bool) -> pa.RecordBatch:
         nonlocal kept
         anchor, context, doc, place = rows
@@ -131,24 +154,14 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = owner & ~open_ & ((classes > 1) | (np.bincount(which[owner], minlength=which[-1] + 1)[which] > classes))
         kept = [x[open_ & owner] for x in rows]
         out = np.flatnonzero(later | several)
-        place = place[out]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(doc[out]),
-                pa.array(((place >> 16) & 0xFFFF).astype(np.int32)),
-                pa.array(place >> 32),
-                pa.array(((place & 0xFF) + 1).astype(np.int32)),
-                pa.array(anchor[out]),
-                pa.array(((place >> 8) & 0xFF).astype(np.int32)),
-                pa.array(np.where(later[out], 0, np.maximum(2, classes[out])).astype(np.int32)),
-            ],
-            names=["doc", "check", "start", "windows", "anchor", "offset", "classes"],
-        )
+        return found(doc[out], place[out], (place[out] & 0xFF) + 1, anchor[out], np.where(later[out], 0, np.maximum(2, classes[out])))
 
     for batch in batches:
-        if batch.num_rows:
-            rows = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(kept)]
-            yield look(rows, False)
+        again = batch.column("again").to_numpy()
+        if again.any():
+            yield runs([batch.column(i).to_numpy()[again > 0] for i in range(5)])
+        if (again == 0).any():
+            yield look([np.concatenate([old, batch.column(i).to_numpy()[again == 0]]) for i, old in enumerate(kept)], False)
     if len(kept[0]):
         yield look(kept, True)
 
