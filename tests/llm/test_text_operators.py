@@ -148,6 +148,15 @@ def test_repeats_brute_force(some_docs, odd_docs, no_docs):
     assert sorted(run_sql(sql.REMOVED_REPEATS, some_docs)) == sorted(removed(texts(some_docs)).elements())
 
 
+def test_repeats_many_without_id(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    shared = [word(130) for _ in range(20)]
+    rows = [(None if k % 3 else 7, word(rng.integers(1, 90)) + (shared[k % 20] if k % 2 else word(rng.integers(1, 120))) + word(rng.integers(0, 60))) for k in range(4000)]
+    frame = spark.createDataFrame([*rows, *rows[:40], *((k, t) for k, (_, t) in enumerate(rows[:40]))], "doc_id long, text string")
+    assert dedup(frame) == removed(texts(frame))
+
+
 def test_suffix_arrays():
     from tidemark.llm.lyndon import suffix_arrays
 

@@ -49,10 +49,10 @@ _LOW = _U64((1 << 24) - 1)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
-    """doc_id (null: before all others) and a text check of 16 bits, which keeps rows apart that repeat an id with another text; ``row`` is the whole row but its text."""
+    """doc_id (null: before all others) and a text check of 64 bits, which keeps rows apart that have no id or repeat one with another text; ``row`` is the whole row but its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
-    return docs.select(id_order("doc_id").alias("doc"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("check"), row.alias("row"), text.alias("text"))
+    return docs.select(id_order("doc_id").alias("doc"), F.xxhash64(text).alias("check"), row.alias("row"), text.alias("text"))
 
 
 def _windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,11 +78,11 @@ def _windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     return window[start], window[np.append(start[1:], len(window)) - 1], anchor[start]
 
 
-_ANCHORS = "anchor long, context long, doc long, place long, again int"
+_ANCHORS = "anchor long, context long, doc long, place long, check long, again int"
 
 
 def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """place: start (32 bits), check (16), anchor's offset (8) and number of windows less one (8).
+    """place: start (32 bits), anchor's offset (8) and number of windows less one (8).
 
     Text that repeats itself gives one anchor and context over and over; all
     but the first of such a run go, whatever other documents hold.  The run's
@@ -97,8 +97,8 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             row = np.searchsorted(at, first, "right") - 1
             sums = textops.prefix_hash(data)
             start = first - at[row]
-            check = part.column("check").to_numpy().astype(np.int64)[row]
-            place = (start << 32) | (check << 16) | ((anchor - first) << 8) | (last - first)
+            check = part.column("check").to_numpy()[row]
+            place = (start << 16) | ((anchor - first) << 8) | (last - first)
             gram = textops.span_hash(sums, anchor, anchor + GRAM)
             context = textops.span_hash(sums, first, last + length)
             again = np.zeros(len(first), np.int64)
@@ -110,43 +110,43 @@ def _anchors(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 ends = same.copy()
                 ends[:-1] &= ~same[1:]
                 again[lead] = last[ends] - first[lead] + 1
-                gram[lead] = textops.mix(gram[lead] ^ place[lead].view(np.uint64))
+                gram[lead] = textops.mix(gram[lead] ^ place[lead].view(np.uint64) ^ check[lead].view(np.uint64))
                 keep = ~same | lead
-                gram, context, place, row, again = gram[keep], context[keep], place[keep], row[keep], again[keep]
+                gram, context, place, check, row, again = gram[keep], context[keep], place[keep], check[keep], row[keep], again[keep]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(part.column("doc").to_numpy()[row]), pa.array(place), pa.array(again.astype(np.int32))],
-                names=["anchor", "context", "doc", "place", "again"],
+                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(part.column("doc").to_numpy()[row]), pa.array(place), pa.array(check), pa.array(again.astype(np.int32))],
+                names=["anchor", "context", "doc", "place", "check", "again"],
             )
 
 
-_FOUND = "doc long, check int, start long, windows int, anchor long, offset int, classes int"
+_FOUND = "doc long, check long, start long, windows int, anchor long, offset int, classes int"
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, context, doc and place: those that go at once (classes 0), and the owners of anchors with several classes."""
-    kept = [np.zeros(0, np.int64)] * 4
+    """Rows sorted by anchor, context, doc, place and check: those that go at once (classes 0), and the owners of anchors with several classes."""
+    kept = [np.zeros(0, np.int64)] * 5
 
     def runs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, _, doc, place, again = rows
-        return found(doc, place, again, anchor, np.zeros(len(doc), np.int64))
+        anchor, _, doc, place, check, again = rows
+        return found(doc, place, check, again, anchor, np.zeros(len(doc), np.int64))
 
-    def found(doc: np.ndarray, place: np.ndarray, windows: np.ndarray, anchor: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
-        columns = [doc, ((place >> 16) & 0xFFFF).astype(np.int32), place >> 32, windows.astype(np.int32), anchor, ((place >> 8) & 0xFF).astype(np.int32), classes.astype(np.int32)]
+    def found(doc: np.ndarray, place: np.ndarray, check: np.ndarray, windows: np.ndarray, anchor: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
+        columns = [doc, check, place >> 16, windows.astype(np.int32), anchor, ((place >> 8) & 0xFF).astype(np.int32), classes.astype(np.int32)]
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "check", "start", "windows", "anchor", "offset", "classes"])
 
     def look(rows: list[np.ndarray], end: bool) -> pa.RecordBatch:
         nonlocal kept
-        anchor, context, doc, place = rows
+        anchor, context, doc, place, check = rows
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new_class = new_anchor.copy()
         new_class[1:] |= context[1:] != context[:-1]
         number = np.cumsum(new_class) - 1
         head = np.flatnonzero(new_class)
-        start = place >> 32
+        start = place >> 16
         later = (doc > doc[head][number]) | (start > start[head][number])
         repeat = np.zeros(len(anchor), bool)
-        repeat[1:] = ~new_class[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+        repeat[1:] = ~new_class[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (check[1:] == check[:-1])
         owner = ~later & ~repeat
         which = np.cumsum(new_anchor) - 1
         classes = np.bincount(which[new_class], minlength=which[-1] + 1)[which]
@@ -154,19 +154,19 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         several = owner & ~open_ & ((classes > 1) | (np.bincount(which[owner], minlength=which[-1] + 1)[which] > classes))
         kept = [x[open_ & owner] for x in rows]
         out = np.flatnonzero(later | several)
-        return found(doc[out], place[out], (place[out] & 0xFF) + 1, anchor[out], np.where(later[out], 0, np.maximum(2, classes[out])))
+        return found(doc[out], place[out], check[out], (place[out] & 0xFF) + 1, anchor[out], np.where(later[out], 0, np.maximum(2, classes[out])))
 
     for batch in batches:
         again = batch.column("again").to_numpy()
         if again.any():
-            yield runs([batch.column(i).to_numpy()[again > 0] for i in range(5)])
+            yield runs([batch.column(i).to_numpy()[again > 0] for i in range(6)])
         if (again == 0).any():
             yield look([np.concatenate([old, batch.column(i).to_numpy()[again == 0]]) for i, old in enumerate(kept)], False)
     if len(kept[0]):
         yield look(kept, True)
 
 
-_LANES = "lane long, doc long, check int, start long, bytes binary"
+_LANES = "lane long, doc long, check long, start long, bytes binary"
 
 
 def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                         [
                             pa.array(lane.view(np.int64)),
                             pa.array(part.column("doc").to_numpy()[row[own]]),
-                            pa.array(part.column("check").to_numpy()[row[own]].astype(np.int32)),
+                            pa.array(part.column("check").to_numpy()[row[own]]),
                             pa.array(lo - at[row[own]]),
                             pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(taken.tobytes())]),
                         ],
@@ -361,14 +361,14 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     spread = partitions(spark)
     keyed = _with_key(docs)
     anchors = keyed.drop("row").mapInArrow(partial(_anchors, length=length), _ANCHORS)
-    anchors = anchors.repartition(spread, "anchor").sortWithinPartitions("anchor", "context", "doc", "place")
+    anchors = anchors.repartition(spread, "anchor").sortWithinPartitions("anchor", "context", "doc", "place", "check")
     found = staged(anchors.mapInArrow(_classes, _FOUND), "repeats")
 
     packed = keyed.mapInArrow(_packed, T.StructType([*keyed.drop("text").schema.fields, T.StructField("packed", T.BinaryType())]))
     owners = found.where("classes > 0").groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows", "anchor", "offset", "classes")).alias("found"))
     lanes = packed.drop("row").join(owners.hint("shuffle_hash"), ["doc", "check"]).mapInArrow(partial(_lanes, length=length), _LANES)
     lanes = lanes.repartition(spread, "lane").sortWithinPartitions("lane")
-    more = lanes.mapInArrow(partial(_suffix_sort, length=length), "doc long, check int, start long, windows int")
+    more = lanes.mapInArrow(partial(_suffix_sort, length=length), "doc long, check long, start long, windows int")
     gone = found.where("classes = 0").select("doc", "check", "start", "windows").union(more)
     gone = gone.groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
     joined = packed.join(gone.hint("shuffle_hash"), ["doc", "check"], "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<start:bigint,windows:int>>")))
