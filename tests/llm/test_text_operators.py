@@ -7,13 +7,14 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 from tests.conftest import SMALL
-from tidemark.llm import decontaminate, html_layout, licenses, packing, quality, queries, shards, sql, textops, warc, winnowing
+from tidemark.llm import decontaminate, html_layout, licenses, packing, quality, queries, shards, sql, substring_dedup, textops, warc, winnowing
 from tidemark.llm.components import components
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.substring_dedup import remove_repeats
@@ -157,6 +158,39 @@ def test_repeats_many_without_id(spark):
     assert dedup(frame) == removed(texts(frame))
 
 
+def hot_docs():
+    """One passage with different text around it in very many documents, and one at the head of rows without id."""
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    hot, head = word(130), word(400)
+    rows = [(k * 7 % 3001, word(rng.integers(40, 90)) + hot + word(90)) for k in range(3001)]
+    return [*rows, *rows[:30], *((None, head + word(rng.integers(0, 90))) for _ in range(300)), (5, word(30) + head[:250]), (-4, head[120:] + hot[:101])]
+
+
+def test_repeats_hot(spark):
+    rows = hot_docs()
+    assert dedup(spark.createDataFrame(rows, "doc_id long, text string")) == removed(rows)
+
+
+def test_hot_lanes_hold_few_texts(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_PARTS", ((8, 2), (256, 8)))
+    rows = [(d, k, t.encode()) for k, (d, t) in enumerate(x for x in hot_docs() if x[0] is not None)]
+    doc, check, text = (pa.array(x) for x in zip(*rows, strict=True))
+    batch = pa.record_batch([doc, check, text], ["doc", "check", "text"])
+    anchors = pa.Table.from_batches(substring_dedup._anchors([batch], 100)).sort_by([(c, "ascending") for c in ("anchor", "context", "doc", "place", "check")])
+    found = pa.Table.from_batches(substring_dedup._classes(anchors.to_batches(500))).to_pylist()
+    lists = [[] for _ in rows]
+    for f in found:
+        if f["classes"]:
+            lists[f["check"]].append({k: f[k] for k in ("start", "windows", "anchor", "offset", "classes")})
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("windows", pa.int32()), ("anchor", pa.int64()), ("offset", pa.int32()), ("classes", pa.int32())]))
+    packed = next(substring_dedup._packed([pa.record_batch([doc, check, doc, text], ["doc", "check", "row", "text"])]))
+    owners = pa.record_batch([doc, check, packed.column("packed"), pa.array(lists, kind)], ["doc", "check", "packed", "found"])
+    assert max(f["classes"] for f in found) > 256
+    lanes = pa.Table.from_batches(substring_dedup._lanes([owners], 100))
+    assert max(Counter(lanes["lane"].to_pylist()).values()) <= 2 * 256
+
+
 def test_suffix_arrays():
     from tidemark.llm.lyndon import suffix_arrays
 

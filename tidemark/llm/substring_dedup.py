@@ -16,7 +16,9 @@ are dealt out by content first:
    around the anchor, finer for anchors with many classes, so that a lane holds
    texts which share at least their core.  All texts of a lane form one suffix
    array (:mod:`tidemark.llm.lyndon`).  Windows that are equal stand next to
-   each other in it; all but the earliest of a run go.
+   each other in it; all but the earliest of a run go.  Where a part is a single
+   window, a lane's texts are all equal: no text moves, each block keeps only
+   its earliest, and the earliest of all is found in one pass over the rest.
 4. The removed stretches return to their documents.
 """
 
@@ -123,11 +125,19 @@ _FOUND = "doc long, check long, start long, windows int, anchor long, offset int
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, context, doc, place and check: those that go at once (classes 0), and the owners of anchors with several classes."""
+    """Rows sorted by anchor, context, doc, place and check: those that go at once (classes 0), and the owners of anchors with several classes.
+
+    The owners of the last anchor wait until its classes are counted, or until
+    they are so many that the number no longer matters.
+    """
     kept = [np.zeros(0, np.int64)] * 5
+    done = 0  # the first of kept, which are out already
+    most = max(m for m, _ in _PARTS)
 
     def runs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        anchor, _, doc, place, check, again = rows
+        fresh = np.ones(len(rows[0]), bool)
+        fresh[1:] = np.any([x[1:] != x[:-1] for x in rows], axis=0)
+        anchor, _, doc, place, check, again = (x[fresh] for x in rows)
         return found(doc, place, check, again, anchor, np.zeros(len(doc), np.int64))
 
     def found(doc: np.ndarray, place: np.ndarray, check: np.ndarray, windows: np.ndarray, anchor: np.ndarray, classes: np.ndarray) -> pa.RecordBatch:
@@ -135,7 +145,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "check", "start", "windows", "anchor", "offset", "classes"])
 
     def look(rows: list[np.ndarray], end: bool) -> pa.RecordBatch:
-        nonlocal kept
+        nonlocal kept, done
         anchor, context, doc, place, check = rows
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
@@ -149,24 +159,68 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeat[1:] = ~new_class[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1]) & (check[1:] == check[:-1])
         owner = ~later & ~repeat
         which = np.cumsum(new_anchor) - 1
-        classes = np.bincount(which[new_class], minlength=which[-1] + 1)[which]
-        open_ = (which == which[-1]) & (not end)
-        several = owner & ~open_ & ((classes > 1) | (np.bincount(which[owner], minlength=which[-1] + 1)[which] > classes))
-        kept = [x[open_ & owner] for x in rows]
-        out = np.flatnonzero(later | several)
-        return found(doc[out], place[out], check[out], (place[out] & 0xFF) + 1, anchor[out], np.where(later[out], 0, np.maximum(2, classes[out])))
-
+        count = np.bincount(which[new_class], minlength=which[-1] + 1)
+        if done:
+            count[0] = max(count[0], most + 1)
+        classes = count[which]
+        open_ = (which == which[-1]) & (not end) & (classes <= most)
+        out = (later & ~repeat) | (owner & ~open_ & (classes > 1))
+        out[:done] = False
+        out = np.flatnonzero(out)
+        if count[-1] > most:
+            stay = np.unique([head[-1], np.flatnonzero(owner)[-1]])
+            kept, done = [x[stay] for x in rows], len(stay)
+        else:
+            kept, done = [x[open_ & owner] for x in rows], 0
+        return found(doc[out], place[out], check[out], (place[out] & 0xFF) + 1, anchor[out], np.where(later[out], 0, classes[out]))
+
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         again = batch.column("again").to_numpy()
         if again.any():
             yield runs([batch.column(i).to_numpy()[again > 0] for i in range(6)])
         if (again == 0).any():
-            yield look([np.concatenate([old, batch.column(i).to_numpy()[again == 0]]) for i, old in enumerate(kept)], False)
-    if len(kept[0]):
-        yield look(kept, True)
-
-
-_LANES = "lane long, doc long, check long, start long, bytes binary"
+            held.append([batch.column(i).to_numpy()[again == 0] for i in range(5)])
+            if sum(len(x[0]) for x in held) >= len(kept[0]):
+                yield look([np.concatenate(x) for x in zip(kept, *held, strict=True)], False)
+                held.clear()
+    if held or len(kept[0]):
+        yield look([np.concatenate(x) for x in zip(kept, *held, strict=True)], True)
+
+
+_LANES = "lane long, doc long, check long, start long, windows int, bytes binary"
+
+
+def _single(lane: np.ndarray, doc: np.ndarray, check: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Rows of lanes without text: what a block's other windows show to go (windows above 0, under keys of their own), and each lane's earliest, still open (windows 0)."""
+    order = np.lexsort((check, start, doc, lane))
+    lane, doc, check, start = lane[order], doc[order], check[order], start[order]
+    fresh = np.ones(len(lane), bool)
+    fresh[1:] = lane[1:] != lane[:-1]
+    head = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    later = (doc > doc[head]) | (start > start[head])
+    first = np.flatnonzero(~later)
+    gone = np.flatnonzero(later)
+    gone = gone[np.lexsort((start[gone], check[gone], doc[gone]))]
+    cut = np.ones(len(gone), bool)
+    a, b = gone[1:], gone[:-1]
+    step = start[a] - start[b]
+    cut[1:] = (doc[a] != doc[b]) | (check[a] != check[b]) | (step > 1)
+    begin = gone[cut]
+    last = gone[np.append(np.flatnonzero(cut)[1:], len(gone)) - 1] if len(gone) else gone
+    key = textops.mix(start[begin].view(np.uint64) ^ check[begin].view(np.uint64))
+    rows = np.append(first, begin)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(lane[first], key.view(np.int64))),
+            pa.array(doc[rows]),
+            pa.array(check[rows]),
+            pa.array(start[rows]),
+            pa.array(np.append(np.zeros(len(first), np.int64), start[last] - start[begin] + 1).astype(np.int32)),
+            pa.nulls(len(rows), pa.binary()),
+        ],
+        names=["lane", "doc", "check", "start", "windows", "bytes"],
+    )
 
 
 def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -192,6 +246,7 @@ def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 parts[classes <= most] = into
             for into in np.unique(parts):
                 pick = np.flatnonzero(parts == into)
+                single = []
                 edges = (np.arange(into + 1) * (widest + 1)) // into  # offsets of the anchor in a window, by part
                 for j in range(into):
                     lo, hi = np.maximum(first[pick], place[pick] - edges[j + 1] + 1), np.minimum(first[pick] + windows[pick] - 1, place[pick] - edges[j])
@@ -201,6 +256,9 @@ def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                     own, lo, hi = pick[some], lo[some], hi[some]
                     core = textops.span_hash(sums, place[own] - edges[j], place[own] - edges[j + 1] + 1 + length)
                     lane = textops.mix(core ^ anchor[own].view(np.uint64) ^ _U64(into * 1009 + j))
+                    if into == widest + 1:
+                        single.append((lane.view(np.int64), part.column("doc").to_numpy()[row[own]], part.column("check").to_numpy()[row[own]], lo - at[row[own]]))
+                        continue
                     size = hi - lo + length
                     ends = np.concatenate([[0], np.cumsum(size)])
                     taken = data[np.arange(ends[-1]) + np.repeat(lo - ends[:-1], size)]
@@ -210,15 +268,18 @@ def _lanes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                             pa.array(part.column("doc").to_numpy()[row[own]]),
                             pa.array(part.column("check").to_numpy()[row[own]]),
                             pa.array(lo - at[row[own]]),
+                            pa.array(np.zeros(len(own), np.int32)),
                             pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(taken.tobytes())]),
                         ],
-                        names=["lane", "doc", "check", "start", "bytes"],
+                        names=["lane", "doc", "check", "start", "windows", "bytes"],
                     )
+                if single:
+                    yield _single(*(np.concatenate(x) for x in zip(*single, strict=True)))
 
 
-def _sorted_lanes(rows: list[np.ndarray], data: np.ndarray, ends: np.ndarray, length: int) -> pa.RecordBatch:
+def _sorted_lanes(rows: list[np.ndarray], checks: pa.ListArray, data: np.ndarray, ends: np.ndarray, length: int) -> pa.RecordBatch:
     """Suffix arrays of whole lanes: the windows that also start earlier, as stretches."""
-    lane, doc, check, start = rows
+    lane, doc, start = rows
     size = np.diff(ends)
     fresh = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
     symbols = np.zeros(len(data) + len(size), np.int32)
@@ -250,27 +311,54 @@ def _sorted_lanes(rows: list[np.ndarray], data: np.ndarray, ends: np.ndarray, le
     else:
         a, windows = hit, hit
     t = text_of[a]
+    every = checks.take(pa.array(t))
+    many = np.repeat(np.arange(len(t)), np.diff(every.offsets.to_numpy()))
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc[t]), pa.array(check[t]), pa.array(start[t] + a - at[t]), pa.array(windows.astype(np.int32))],
+        [pa.array(doc[t][many]), every.flatten(), pa.array((start[t] + a - at[t])[many]), pa.array(windows.astype(np.int32)[many])],
         names=["doc", "check", "start", "windows"],
     )
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of one lane, doc, start and text as one, with all their checks."""
+    data, ends = textops.text_bytes(batch.column("bytes"))
+    lane, doc, start = (batch.column(c).to_numpy() for c in ("lane", "doc", "start"))
+    text, size = textops.span_hash(textops.prefix_hash(data), ends[:-1], ends[1:]), np.diff(ends)
+    fresh = np.ones(batch.num_rows, bool)
+    fresh[1:] = np.any([x[1:] != x[:-1] for x in (lane, doc, start, text, size)], axis=0)
+    head = np.flatnonzero(fresh)
+    check = batch.column("check").to_numpy()
+    group = np.cumsum(fresh) - 1
+    order = np.lexsort((check, group))
+    check, group = check[order], group[order]
+    new = np.ones(len(check), bool)
+    new[1:] = (check[1:] != check[:-1]) | (group[1:] != group[:-1])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(group[new], minlength=len(head)))]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(check[new]))
+    return pa.RecordBatch.from_arrays([pa.array(lane[head]), pa.array(doc[head]), lists, pa.array(start[head]), batch.column("bytes").take(pa.array(head))], names=["lane", "doc", "checks", "start", "bytes"])
+
+
 def _suffix_sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by lane.  Lanes of one text are done; the others are sorted by length and worked off in blocks."""
+    """Rows sorted by lane, doc, start and bytes.  Lanes of one text are done; the others are sorted by length and worked off in blocks.
+
+    A lane with texts has at most as many different ones as ``_PARTS`` allows
+    classes, so it is gathered; a lane without is one pass that remembers its
+    earliest row.
+    """
+    low = np.zeros((3, 0), np.int64)
     held: list[pa.RecordBatch] = []
-    gathered = 0
+    gathered, limit = 0, _GATHER_BYTES
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, gathered
-        table = pa.Table.from_batches(held).combine_chunks()
-        batch = table.to_batches()[0]
+        nonlocal held, gathered, limit
+        batch = pa.concat_batches(held)
         lane = batch.column("lane").to_numpy()
         head = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
         stop = batch.num_rows if last else int(head[-1])
         held = [batch.slice(stop)] if stop < batch.num_rows else []
         data, ends = textops.text_bytes(batch.column("bytes"))
         gathered = int(ends[-1] - ends[stop])
+        limit = max(_GATHER_BYTES, 2 * gathered)
         head = head[head < stop]
         count = np.diff(np.append(head, stop))
         weight = ends[head + count] - ends[head]
@@ -284,14 +372,29 @@ def _suffix_sort(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             size = ends[rows + 1] - ends[rows]
             own_ends = np.concatenate([[0], np.cumsum(size)])
             own_data = data[np.arange(own_ends[-1]) + np.repeat(ends[rows] - own_ends[:-1], size)]
-            yield _sorted_lanes([batch.column(c).to_numpy()[rows] for c in ("lane", "doc", "check", "start")], own_data, own_ends, length)
+            yield _sorted_lanes([batch.column(c).to_numpy()[rows] for c in ("lane", "doc", "start")], batch.column("checks").take(pa.array(rows)), own_data, own_ends, length)
 
     for batch in batches:
+        without = batch.column("bytes").is_null().to_numpy(zero_copy_only=False)
+        if without.any():
+            lane, doc, check, start, windows = (batch.column(i).to_numpy()[without] for i in range(5))
+            open_ = np.flatnonzero(windows == 0)
+            rows = np.concatenate([low, [lane[open_], doc[open_], start[open_]]], axis=1)
+            if rows.shape[1]:
+                fresh = np.ones(rows.shape[1], bool)
+                fresh[1:] = rows[0, 1:] != rows[0, :-1]
+                head = rows[:, np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+                windows[open_] = ((rows[1:] > head[1:]).any(axis=0))[low.shape[1] :]
+                low = head[:, -1:]
+            some = windows > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (doc, check, start, windows)], names=["doc", "check", "start", "windows"])
+            batch = batch.filter(pa.array(~without))
         if not batch.num_rows:
             continue
+        batch = _once(batch)
         held.append(batch)
         gathered += batch.column("bytes").nbytes
-        if gathered >= _GATHER_BYTES:
+        if gathered >= limit:
             yield from work(False)
     if held:
         yield from work(True)
@@ -367,7 +470,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     packed = keyed.mapInArrow(_packed, T.StructType([*keyed.drop("text").schema.fields, T.StructField("packed", T.BinaryType())]))
     owners = found.where("classes > 0").groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows", "anchor", "offset", "classes")).alias("found"))
     lanes = packed.drop("row").join(owners.hint("shuffle_hash"), ["doc", "check"]).mapInArrow(partial(_lanes, length=length), _LANES)
-    lanes = lanes.repartition(spread, "lane").sortWithinPartitions("lane")
+    lanes = lanes.repartition(spread, "lane").sortWithinPartitions("lane", "doc", "start", "bytes")
     more = lanes.mapInArrow(partial(_suffix_sort, length=length), "doc long, check long, start long, windows int")
     gone = found.where("classes = 0").select("doc", "check", "start", "windows").union(more)
     gone = gone.groupBy("doc", "check").agg(F.collect_list(F.struct("start", "windows")).alias("gone"))
