@@ -377,6 +377,15 @@ def test_html_odd(spark):
     assert html_layout.extract_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "html",
+    ["<blockquote>" * 3000 + "deep", "<ul><li>" * 3000 + "deep", "<ol><li>" * 3000 + "deep", "<dl><dd>" * 3000 + "deep", "<table><tr><td>" * 3000 + "deep", "<table>" * 3000 + "deep", "<pre>" + "<b>" * 3000 + "deep",
+     "<blockquote><p>x</p><ul><li>y" * 1000 + "deep"],
+)
+def test_layout_deep(html):
+    assert html_layout.render(html)[0].endswith("deep")
+
+
 # quality ---------------------------------------------------------------------------------------------------------------
 
 

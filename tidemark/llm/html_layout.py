@@ -13,7 +13,7 @@ columns aligned.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -93,7 +93,7 @@ def build(html: str) -> tuple[Element, list[str]]:
         for i in range(len(stack) - 1, 1, -1):
             if stack[i].name in names:
                 del stack[i:]
-                return close(names, walls)
+                continue
             if stack[i].name in walls:
                 return None
         return None
@@ -198,8 +198,21 @@ class _Page:
         self.gap |= spaced
 
 
+def _run(step: Generator) -> object:
+    """Runs a generator that yields generators for what lies deeper, on a stack of its own, so depth takes no frames of Python."""
+    stack, value = [step], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+    return value
+
+
 class Renderer:
-    """Renders one page; counts its tables."""
+    """Renders one page; counts its tables.  The methods that return generators are for :func:`_run`."""
 
     def __init__(self, rules: set[tuple[str, str, str]]):
         self.rules, self.tables = rules, 0
@@ -217,13 +230,13 @@ class Renderer:
             return any((n, kind, value) in self.rules for kind, value in names for n in (e.name, "") if n or kind)
         return False
 
-    def lines(self, e: Element) -> list[str]:
+    def lines(self, e: Element) -> Generator:
         page = _Page()
-        self.into(page, e)
+        yield self.into(page, e)
         page.flush()
         return page.lines
 
-    def into(self, page: _Page, e: Element) -> None:
+    def into(self, page: _Page, e: Element) -> Generator:
         number = None
         if e.name == "ol":
             start = e.attribute("start") or "1"
@@ -251,18 +264,18 @@ class Renderer:
                     value = child.attribute("value") or ""
                     number = int(value) if value.lstrip("-").isdigit() and len(value) < 10 else number
                     mark, number = f"{number}. ", number + 1
-                own = self.lines(child) or [""]
+                own = (yield self.lines(child)) or [""]
                 page.block([(mark + own[0]).rstrip(), *((" " * len(mark) + t).rstrip() for t in own[1:])], False)
             elif name in ("ul", "ol", "menu", "dir"):
-                page.block(self.lines(child), e.name not in ("li", "ul", "ol"))
+                page.block((yield self.lines(child)), e.name not in ("li", "ul", "ol"))
             elif name == "pre":
                 text = unescape("".join(_strings(child, self)))
                 page.block([t.rstrip("\r") for t in text.removeprefix("\n").rstrip("\n").split("\n")], True)
             elif name in ("blockquote", "dd"):
-                page.block([("    " + t).rstrip() for t in self.lines(child)], name == "blockquote")
+                page.block([("    " + t).rstrip() for t in (yield self.lines(child))], name == "blockquote")
             elif name == "table":
                 self.tables += 1
-                page.block(self.table(child), True)
+                page.block((yield self.table(child)), True)
             elif name in ("textarea", "xmp"):
                 page.block([t for t in (unescape(x) if name == "textarea" else x for x in child.children)], False)
             elif name == "input":
@@ -271,18 +284,18 @@ class Renderer:
             elif name in _SPACED or name in _LINE:
                 page.flush()
                 page.gap |= name in _SPACED
-                self.into(page, child)
+                yield self.into(page, child)
                 page.flush()
                 page.gap |= name in _SPACED
             else:
-                self.into(page, child)
+                yield self.into(page, child)
 
-    def table(self, e: Element) -> list[str]:
+    def table(self, e: Element) -> Generator:
         rows: list[list[tuple[list[str], int]]] = []
         before: list[str] = []
         held: dict[int, int] = {}  # columns that a cell above still spans
 
-        def walk(node: Element) -> None:
+        def walk(node: Element) -> Generator:
             for child in node.children:
                 if isinstance(child, str):
                     if child.strip():
@@ -290,7 +303,7 @@ class Renderer:
                 elif self.hidden(child):
                     continue
                 elif child.name in ("thead", "tbody", "tfoot"):
-                    walk(child)
+                    yield walk(child)
                 elif child.name == "tr":
                     row: list[tuple[list[str], int]] = []
                     column = 0
@@ -305,17 +318,17 @@ class Renderer:
                             column += 1
                         span, down = (int(v) if (v := cell.attribute(a) or "1").isdigit() and 0 < int(v[:4]) else 1 for a in ("colspan", "rowspan"))
                         span, down = min(span, 1000), min(down, 65534)
-                        row.append((self.lines(cell), span))
+                        row.append(((yield self.lines(cell)), span))
                         for c in range(column, column + span):
                             held[c] = down - 1
                         column += span
                     rows.append(row)
                 elif child.name == "caption":
-                    before.extend(self.lines(child))
+                    before.extend((yield self.lines(child)))
                 elif child.name not in ("colgroup", "col"):
-                    before.extend(self.lines(child))
+                    before.extend((yield self.lines(child)))
 
-        walk(e)
+        yield walk(e)
         width: dict[int, int] = {}
         for row in rows:
             column = 0
@@ -336,13 +349,17 @@ class Renderer:
 
 
 def _strings(e: Element, renderer: Renderer) -> Iterator[str]:
-    for child in e.children:
-        if isinstance(child, str):
+    stack = [iter(e.children)]
+    while stack:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+        elif isinstance(child, str):
             yield child
         elif child.name == "br":
             yield "\n"
         elif not renderer.hidden(child):
-            yield from _strings(child, renderer)
+            stack.append(iter(child.children))
 
 
 def render(html: str) -> tuple[str, int]:
@@ -354,7 +371,7 @@ def render(html: str) -> tuple[str, int]:
         for part in root.children[1:]:
             if isinstance(part, str) or renderer.hidden(part):
                 continue
-            renderer.into(page, part)
+            _run(renderer.into(page, part))
             page.flush()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
