@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import without_leaks
-from tidemark.llm.jaccard_join import jaccard_components
+from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn, score_documents
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import id_order, staged
 from tidemark.llm.substring_dedup import remove_repeats
 
 #: A document whose score of quality is below this goes.
@@ -28,18 +28,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies.
+    """Keeps one document of each group of near copies: that with the smallest doc_id, null ids last.
 
-    Rows that repeat a doc_id with the same text are one document, and one of
-    them stays.  Rows without an id stay unless they are near copies of one
-    that has an id.
+    A document is a doc_id and a text: rows that repeat both are one, and one
+    of them stays; rows without an id, or that repeat one with another text,
+    are documents like any other.  Of equal ids in a group the text with the
+    smallest hash stays.  Texts without words are near copies of nothing.
     """
-    groups = jaccard_components(docs)
-    key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    kept = groups.where("doc_id <=> component_id").select(key.alias("_id")).distinct()
-    rows = docs.withColumn("_id", key).withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # the rows stand by _id already, so dropping repeats moves nothing
-    return rows.join(kept.hint("shuffle_hash"), "_id").dropDuplicates(["_id", "_text"]).select(*docs.columns)
+    groups = jaccard_groups(docs).select(F.col("doc_id").isNull().alias("_null"), id_order("doc_id").alias("_id"), F.col("check").alias("_text"), "root")
+    own = F.struct("_null", "_id", "_text")
+    best = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("own")).select("own.*")
+    kept = best.union(groups.where("root IS NULL").select("_null", "_id", "_text").distinct())
+    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": id_order("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # the rows stand by these keys already, so dropping repeats moves nothing
+    keys = ["_null", "_id", "_text"]
+    return rows.join(kept.hint("shuffle_hash"), keys).dropDuplicates(keys).select(*docs.columns)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -484,3 +484,18 @@ def test_pipeline_odd(spark, odd_docs, no_docs):
             assert rows is None or n == rows, name
     one = corpus_pipeline.near_copies(spark, odd_docs, SMALL)
     assert one.columns == odd_docs.columns and Counter(r.doc_id for r in one.collect()) == Counter([1, 2, None, 4, 5, 6, 7])
+
+
+def test_near_copies_without_id(spark):
+    import corpus_pipeline
+
+    words = lambda seed: [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 80)]
+    text = lambda seed, end="": " ".join([*words(seed), end])
+    rows = [
+        (None, ""), (None, text(1, "null copy")), (3, text(1, "with id")), (None, text(2, "one")), (None, text(2, "two")), (None, text(3)), (None, text(3)),
+        (4, text(4)), (9, text(4, "near")), (9, text(5, "alone")), (9, text(5, "alone")), (-5, text(6)), (None, text(6)), (7, text(7, "a")), (7, text(7, "b")), (8, " "), (8, None),
+    ]
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect())
+    assert sum(got.values()) == len(got) == 10
+    assert {(None, ""), (3, text(1, "with id")), (None, text(3)), (4, text(4)), (9, text(5, "alone")), (-5, text(6)), (8, " ")} < set(got)
+    assert len({(None, text(2, "one")), (None, text(2, "two"))} & set(got)) == len({(7, text(7, "a")), (7, text(7, "b"))} & set(got)) == 1

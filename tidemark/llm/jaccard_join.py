@@ -67,6 +67,7 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.
         null = np.concatenate([x[1] for x in held])
         keys = np.concatenate([x[2] for x in held])
         size = np.concatenate([x[3] for x in held])
+        check = np.concatenate([x[4] for x in held])
         row = np.repeat(np.arange(len(size)), size)
         sums = np.concatenate([[np.uint64(0)], np.cumsum(textops.mix(keys), dtype=np.uint64)])
         end = np.cumsum(size)
@@ -76,7 +77,7 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.
         order = np.argsort(home, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
             if len(part):
-                rows.append(_row(-1 - int(home[part[0]]), docs=ids[part], sizes=size[part].astype(np.uint32), digests=digest[part], counts=null[part]))
+                rows.append(_row(-1 - int(home[part[0]]), docs=ids[part], sizes=size[part].astype(np.uint32), digests=digest[part], counts=null[part], keys=check[part]))
         once = np.zeros(len(digest), bool)
         once[np.unique(digest, return_index=True)[1]] = True
         keep = once[row]
@@ -95,7 +96,7 @@ def _deal(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.
         for part, data, at in textops.blocks(batch, "text"):
             keys, offsets = textops.shingle_sets(data, at, width)
             column = part.column("doc_id")
-            held.append((column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), keys, np.diff(offsets)))
+            held.append((column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), keys, np.diff(offsets), part.column("check").to_numpy()))
             gathered += len(keys) + part.num_rows
             if gathered >= _FLUSH:
                 yield flush()
@@ -157,19 +158,20 @@ def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch
             yield _batch(out)
 
 
-_HOME = "doc_id long, digest long, size int, common double, grams array<long>"
+_HOME = "doc_id long, check long, digest long, size int, common double, grams array<long>"
 
 
 def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Per home: every document's set, and every set that has enough shared n-grams with these, rarest first."""
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("common", pa.float64()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("common", pa.float64()), ("grams", pa.list_(pa.int64()))])
     for _, rows in _groups(batches):
         own = [r for r in rows if r["docs"] is not None]
         ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in own])
         null = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in own]) > 0
         size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in own])
         digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in own])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
+        check = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in own])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(check), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
         told = [r for r in rows if r["docs"] is None]
         rows = []
         if not told:
@@ -189,7 +191,7 @@ def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(gram.view(np.int64)))
         who = owner[first]
         common = np.add.reduceat(held.astype(np.float64), first) / size[who] if len(first) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int64()), pa.array(sets[who].view(np.int64)), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), pa.array(sets[who].view(np.int64)), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
@@ -221,14 +223,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     An empty table gives an empty result.  Columns other than doc_id and text
     are ignored.
     """
+    return jaccard_groups(docs, width, percent, rounds, fragments).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2, fragments: int = 4) -> DataFrame:
+    """The rows of :func:`jaccard_components` with two columns more: ``check``, the xxhash64 of the text (null: empty), and ``root``, the component whatever ids it has (null for an empty set)."""
     n = buckets(docs, "text")
     spread = partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").mapInArrow(partial(_deal, n=n, width=width), _DEALT)
+    dealt = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check")).mapInArrow(partial(_deal, n=n, width=width), _DEALT)
     dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket")
     told = dealt.mapInArrow(partial(_count, n=n), _DEALT)
     told = told.repartition(spread, "bucket").sortWithinPartitions("bucket")
     homes = staged(told.mapInArrow(partial(_home, percent=percent), _HOME), "sets")
-    documents = homes.where("grams IS NULL").select("doc_id", "digest", F.col("size").cast("long").alias("n_shingles"))
+    documents = homes.where("grams IS NULL").select("doc_id", "check", "digest", F.col("size").cast("long").alias("n_shingles"))
     sets = homes.where("grams IS NOT NULL").select("digest", "size", "common", "grams")
 
     # The rarest grams propose: what a partner must share at least once, less the grams that nobody shares.
@@ -276,4 +283,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     low = low.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("doc_id").alias("component_id"))
     rooted = documents.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
     rooted = rooted.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "digest")))
-    return rooted.join(low, "root", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rooted.join(low, "root", "left").select("doc_id", "check", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
