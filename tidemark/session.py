@@ -48,4 +48,16 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = new_path(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes staged tables; nothing that is still to be computed may read them."""
+    for frame in frames:
+        path = getattr(frame, "_staged", None)
+        if path:
+            spark = frame.sparkSession
+            own = spark._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
