@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+from tidemark.session import staged
+
 
 def positions(samples: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``pos``, the row number from 0 over the whole table, without one task sorting it all.
 
-    Rows are range-partitioned and numbered inside their partition; partition
-    sizes (one small row each) give the offsets.
+    Rows are range-partitioned, sorted and numbered inside their partition,
+    and written once: the partitions' sizes (one small row each) and the rows
+    then speak of the same partitions, however Spark cut them.
     """
-    spread = samples.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    spread = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    spread = samples.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits of this id count a partition's rows in their order
+    spread = spread.withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", 33)).withColumn("_row", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
+    spread = staged(spread, "positions")
     sizes = spread.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
-    return spread.join(F.broadcast(before), "_part").withColumn("pos", F.col("_row") + F.col("_before") - 1).drop("_part", "_row", "_before")
+    return spread.join(F.broadcast(before), "_part").withColumn("pos", F.col("_row") + F.col("_before")).drop("_part", "_row", "_before")
 
 
 def fold_bounds(samples: DataFrame, folds: int) -> DataFrame:
@@ -54,6 +60,32 @@ def embargo_times(samples: DataFrame, share: float) -> DataFrame:
 
 
 def purge_train(train: DataFrame, tests: DataFrame) -> DataFrame:
-    """Training rows whose span neither begins nor ends in a test span, nor covers one (few test spans)."""
-    a = tests.select(F.col("t0").alias("_a"), F.col("t1").alias("_b"))
-    return train.join(F.broadcast(a), (F.col("t0") <= F.col("_b")) & (F.col("t1") >= F.col("_a")), "left_anti")
+    """Training rows whose span neither begins nor ends in a test span, nor covers one.
+
+    A row meets a test span if the latest end among those that begin by its own
+    end is not before its start: a running maximum, whatever the number of spans.
+    """
+    nothing = F.lit(None).cast("long")
+    starts = tests.groupBy(F.col("t0").alias("_at")).agg(F.max("t1").alias("_end")).select("_at", F.lit(0).alias("_kind"), "_end", *(F.lit(None).cast(t).alias(c) for c, t in train.dtypes))
+    ends = train.select(F.col("t1").alias("_at"), F.lit(1).alias("_kind"), nothing.alias("_end"), *train.columns)
+    rows = running(starts.unionByName(ends), ["_at", "_kind"], {"_latest": ("max", F.col("_end"))}, by=())
+    return rows.where("_kind = 1 AND (_latest IS NULL OR _latest < t0)").select(*train.columns)
+
+
+def purged_folds_of_events(samples: DataFrame, folds: int, embargo: float) -> DataFrame:
+    """``fold, sample, role`` by the positions of an ordered event list ``samples(sample, pos, t0, t1)``.
+
+    A fold's test rows are a run of positions.  Training rows before it are
+    those whose label ends by the fold's first start; those after it begin
+    ``int(n * embargo)`` rows or more behind the rows that start before the
+    fold's latest end.
+    """
+    bounds = fold_bounds(samples, folds)
+    reach = samples.join(F.broadcast(bounds.select("fold", "t1_hi")), F.col("t0") < F.col("t1_hi")).groupBy("fold").agg(F.count("*").alias("after"))
+    bounds = F.broadcast(bounds.join(reach, "fold", "left"))  # one row per fold
+    rows = samples.withColumn("fold", F.explode(F.array(*(F.lit(k) for k in range(folds))))).join(bounds, "fold")
+    test = F.col("pos").between(F.col("lo"), F.col("hi"))
+    left = (F.col("pos") < F.col("lo")) & (F.col("t1") <= F.col("t0_lo"))
+    right = (F.col("pos") > F.col("hi")) & (F.col("pos") >= F.coalesce("after", F.lit(0)) + F.floor(F.col("n") * embargo))
+    role = F.when(test, "test").when(left | right, "train")
+    return rows.withColumn("role", role).where("role IS NOT NULL").select("fold", "sample", "role")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import blocked, running, unblocked
+
 
 def weights(d: float, size: int) -> list[float]:
     """The first ``size`` weights of (1 - L)**d, newest first."""
@@ -27,7 +29,7 @@ def ffd_weights(d: float, threshold: float, most: int = 100_000) -> list[float]:
 
 def forward_fill(series: DataFrame, value: str, out: str) -> DataFrame:
     """The last value that is not null, at or before each row."""
-    return series.withColumn(out, F.last(value, ignorenulls=True).over(Window.partitionBy("symbol").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)))
+    return running(series, ["us"], {out: ("last", F.col(value))})
 
 
 def finite(value: str) -> Column:
@@ -38,16 +40,14 @@ def ffd(series: DataFrame, value: str, d: float, threshold: float, out: str = "f
     """Fixed-width fractional difference; the first rows, as many as the width, are absent, and so are rows whose own value is not finite."""
     w = ffd_weights(d, threshold)
     filled = forward_fill(series, value, "_x").where("_x IS NOT NULL")
-    order = Window.partitionBy("symbol").orderBy("us")
+    filled, order = blocked(filled, len(w) - 1)
+    frame = F.collect_list("_x").over(order.rowsBetween(1 - len(w), 0))
     if len(w) <= 64:
         total = sum((F.lit(c) * F.lag("_x", k).over(order) for k, c in enumerate(w) if k), F.lit(w[0]) * F.col("_x"))
-        full = F.row_number().over(order) >= len(w)
     else:
-        frame = F.collect_list("_x").over(order.rowsBetween(1 - len(w), 0))
         total = F.aggregate(F.zip_with(frame, F.array(*(F.lit(c) for c in reversed(w))), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
-        full = F.size(frame) == len(w)
-    rows = filled.withColumn(out, F.when(full, total))
-    return rows.where(F.col(out).isNotNull() & finite(value)).drop("_x")
+    rows = filled.withColumn(out, F.when(F.col("_pos") >= len(w) - 1, total))
+    return unblocked(rows, len(w) - 1).where(F.col(out).isNotNull() & finite(value)).drop("_x")
 
 
 def fracdiff_expanding(series: DataFrame, value: str, d: float, threshold: float, most: int, out: str = "fd") -> DataFrame:

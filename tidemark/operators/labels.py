@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import blocked, numbered, running, unblocked
 from tidemark.sources.tapes import DAY
 
 
+def _as_of(series: DataFrame, at: Column, value: str, out: str, back: bool) -> DataFrame:
+    """Adds the last ``value`` strictly before ``at``, or with ``back`` the first at or after it: questions and rows in one running pass."""
+    sign = -1 if back else 1
+    asked = series.select((at * sign).alias("_at"), F.lit(1 if back else 0).alias("_kind"), F.lit(None).cast(dict(series.dtypes)[value]).alias(f"_{out}"), *series.columns)
+    known = series.select((F.col("us") * sign).alias("_at"), F.lit(0 if back else 1).alias("_kind"), F.col(value).alias(f"_{out}"), *(F.col(c) if c == "symbol" else F.lit(None).cast(t).alias(c) for c, t in series.dtypes))
+    rows = running(asked.unionByName(known), ["_at", "_kind"], {out: ("last", F.col(f"_{out}"))})
+    return rows.where(F.col("_kind") == (1 if back else 0)).select(*series.columns, out)
+
+
 def as_of_before(series: DataFrame, span: int = DAY, value: str = "price", out: str = "previous") -> DataFrame:
-    """Adds the last ``value`` strictly before ``us - span`` (null if there is none): an as-of join as a range frame."""
-    w = Window.partitionBy("symbol").orderBy("us").rangeBetween(Window.unboundedPreceding, -span - 1)
-    return series.withColumn(out, F.last(value).over(w))
+    """Adds the last ``value`` strictly before ``us - span`` (null if there is none)."""
+    return _as_of(series, F.col("us") - span, value, out, False)
 
 
 def as_of_after(series: DataFrame, span: int, out: str = "t1") -> DataFrame:
-    """Adds the first time at or after ``us + span`` (null if there is none).
-
-    The frame runs over descending time, so it only grows; a frame with an
-    unbounded end would be read again for every row.
-    """
-    w = Window.partitionBy("symbol").orderBy("_back").rangeBetween(Window.unboundedPreceding, -span)
-    return series.withColumn("_back", -F.col("us")).withColumn(out, F.last("us").over(w)).drop("_back")
+    """Adds the first time at or after ``us + span`` (null if there is none)."""
+    return _as_of(series, F.col("us") + span, "us", out, True)
 
 
 def returns_over(series: DataFrame, span: int = DAY, log: bool = False) -> DataFrame:
@@ -85,16 +89,17 @@ def drop_rare(labels: DataFrame, least_share: float = 0.05) -> DataFrame:
 
 def moving_side(series: DataFrame, fast: int, slow: int) -> DataFrame:
     """+1 where the fast mean is above the slow one, else -1; null until both windows are full."""
+    reach = max(fast, slow) - 1
+    rows, order = blocked(series, reach)
 
     def mean(n: int) -> Column:
-        w = Window.partitionBy("symbol").orderBy("us").rowsBetween(1 - n, 0)
+        w = order.rowsBetween(1 - n, 0)
         return F.when(F.count("price").over(w) == n, F.sum("price").over(w) / F.lit(n))
 
-    rows = series.withColumn("fast", mean(fast)).withColumn("slow", mean(slow))
+    rows = unblocked(rows.withColumn("fast", mean(fast)).withColumn("slow", mean(slow)), reach)
     return rows.withColumn("side", F.when(F.col("slow").isNotNull() & F.col("fast").isNotNull(), F.when(F.col("fast") > F.col("slow"), 1).otherwise(-1)).cast("int"))
 
 
 def event_mapping(series: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th row of a series by position, with its position."""
-    n = F.row_number().over(Window.partitionBy("symbol").orderBy("us")) - 1
-    return series.withColumn("event_idx", n.cast("long")).where(F.col("event_idx") % stride == 0).select("symbol", "event_idx", "us", "price")
+    return numbered(series, "event_idx").where(F.col("event_idx") % stride == 0).select("symbol", "event_idx", "us", "price")

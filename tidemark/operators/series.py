@@ -6,15 +6,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.tapes import DAY
 
-def scan_series(frame: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: str) -> DataFrame:
+
+def scan_series(frame: DataFrame, keys: list[str], order: list[str], start: Callable[[pd.DataFrame], object], step: Callable[[object, pd.DataFrame], tuple[object, pd.DataFrame]], schema: str) -> DataFrame:
     """Runs ``step(state, rows)`` over every key's rows in order, a batch at a time.
 
     Rows are dealt by key and sorted (on disk where need be); a key's state
-    starts anew with ``start()``.
+    starts anew with ``start(rows)`` of its first rows.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,7 +31,7 @@ def scan_series(frame: DataFrame, keys: list[str], order: list[str], start: Call
                 part = batch.iloc[a:b]
                 own = tuple(part[keys].iloc[0])
                 if own != key:
-                    key, state = own, start()
+                    key, state = own, start(part)
                 state, out = step(state, part)
                 if len(out):
                     yield out
@@ -37,27 +39,60 @@ def scan_series(frame: DataFrame, keys: list[str], order: list[str], start: Call
     return frame.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def _decayed(state: tuple, x: np.ndarray, keep: float) -> tuple[tuple, np.ndarray]:
+    """Moves an EWM state ``(weight, weight of squares, mean, sum of squares)`` over values; also the deviation after each."""
+    out = []
+    step = max(1, min(len(x), int(60 / -np.log(keep))))  # powers of ``keep`` stay far from the ends of a double
+    for a in range(0, len(x), step):
+        w, w2, m, s = state
+        y = x[a : a + step] - m
+        p = keep ** np.arange(1, len(y) + 1)
+        ws, ws2 = p * w + (1 - p) / (1 - keep), p**2 * w2 + (1 - p**2) / (1 - keep**2)
+        first, second = p * np.cumsum(y / p), p * (s + np.cumsum(y**2 / p))
+        square = np.maximum(0, second - first**2 / ws)
+        bias = ws - ws2 / ws
+        out.append(np.where(bias > 1e-12, np.sqrt(square / np.where(bias > 1e-12, bias, 1)), np.nan))
+        state = (ws[-1], ws2[-1], m + first[-1] / ws[-1], square[-1])
+    return state, np.concatenate(out)
+
+
 def ewm_std(frame: DataFrame, value: str, span: int, out: str = "vol") -> DataFrame:
-    """Exponentially weighted standard deviation, bias-corrected, with weights that start at the first row (per symbol, by ``us``)."""
-    keep = 1 - 2 / (span + 1)
+    """Exponentially weighted standard deviation, bias-corrected, with weights that start at the first row (per symbol, by ``us``).
 
-    def step(state, rows):
-        w, w2, m, s = state
-        values = np.full(len(rows), np.nan)
-        for i, x in enumerate(rows[value].to_numpy(float)):
-            w, w2, s = keep * w + 1, keep * keep * w2 + 1, keep * s
-            delta = x - m
-            m += delta / w
-            s += delta * (x - m)
-            bias = w - w2 / w
-            if bias > 1e-12:
-                values[i] = np.sqrt(s / bias)
-        result = rows[["symbol", "us", "price", value]].copy()
-        result[out] = values
-        return (w, w2, m, s), result
-
-    rows = scan_series(frame.select("symbol", "us", "price", value), ["symbol"], ["us"], lambda: (0.0, 0.0, 0.0, 0.0), step, f"symbol string, us long, price long, {value} double, {out} double")
-    return rows.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+    Two levels: a day's own state is an aggregate, the states of days are
+    chained (one row a day), and every day's rows go on from the state before it.
+    """
+    keep = 1 - 2 / (span + 1)
+    rows = frame.select("symbol", "us", "price", value).withColumn("_day", F.floor(F.col("us") / DAY).cast("long"))
+    day = Window.partitionBy("symbol", "_day")
+    after = F.row_number().over(day.orderBy(F.desc("us"))) - 1
+    part = rows.select("symbol", "_day", value, F.avg(value).over(day).alias("_c"), F.pow(F.lit(keep), after).alias("_p")).withColumn("_y", F.col(value) - F.col("_c"))
+    own = part.groupBy("symbol", "_day").agg(F.count("*").cast("double").alias("n"), F.sum("_p").alias("w"), F.sum(F.col("_p") ** 2).alias("w2"), F.first("_c").alias("c"), F.sum(F.col("_p") * F.col("_y")).alias("s1"), F.sum(F.col("_p") * F.col("_y") ** 2).alias("s2"))
+
+    def chain(state, days):
+        before = []
+        for n, bw, bw2, c, s1, s2 in days[["n", "w", "w2", "c", "s1", "s2"]].itertuples(index=False):
+            before.append(state)
+            w, w2, m, s = state
+            aged, mean, square = w * keep**n, c + s1 / bw, max(0.0, s2 - s1 * s1 / bw)
+            gap, total = mean - m, aged + bw
+            state = (total, w2 * keep ** (2 * n) + bw2, m + gap * bw / total, s * keep**n + square + gap * gap * aged * bw / total)
+        done = days[["symbol", "_day"]].copy()
+        done[["_w", "_w2", "_m", "_s"]] = np.array(before).reshape(-1, 4)
+        return state, done
+
+    empty = (0.0, 0.0, 0.0, 0.0)
+    before = scan_series(own, ["symbol"], ["_day"], lambda _: empty, chain, "symbol string, _day long, _w double, _w2 double, _m double, _s double")
+
+    def step(state, part):
+        state, values = _decayed(state, part[value].to_numpy(float), keep)
+        done = part[["symbol", "us", "price", value]].copy()
+        done[out] = values
+        return state, done
+
+    begin = lambda part: tuple(part[c].iloc[0] for c in ("_w", "_w2", "_m", "_s"))
+    done = scan_series(rows.join(before, ["symbol", "_day"]), ["symbol", "_day"], ["us"], begin, step, f"symbol string, us long, price long, {value} double, {out} double")
+    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
 def cusum(frame: DataFrame, value: str, threshold: str, positive_first: bool = False, on_levels: bool = True) -> DataFrame:
@@ -71,8 +106,8 @@ def cusum(frame: DataFrame, value: str, threshold: str, positive_first: bool = F
     def step(state, rows):
         up, down, last = state
         hits = []
-        h = rows[threshold].to_numpy(float)
-        for i, x in enumerate(rows[value].to_numpy(float)):
+        h = rows[threshold].astype(float).tolist()
+        for i, x in enumerate(rows[value].astype(float).tolist()):
             d, last = (x - last if on_levels else x), x
             if d != d:
                 up = down = 0.0
@@ -89,4 +124,4 @@ def cusum(frame: DataFrame, value: str, threshold: str, positive_first: bool = F
         picked["direction"] = np.array([s for _, s in hits], dtype=np.int32)
         return (up, down, last), picked
 
-    return scan_series(frame.select("symbol", "us", "price", value, threshold), ["symbol"], ["us"], lambda: (0.0, 0.0, float("nan")), step, "symbol string, us long, price long, direction int")
+    return scan_series(frame.select("symbol", "us", "price", value, threshold), ["symbol"], ["us"], lambda _: (0.0, 0.0, float("nan")), step, "symbol string, us long, price long, direction int")

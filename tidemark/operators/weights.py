@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import running
+
 
 def concurrency(events: DataFrame, series: DataFrame) -> DataFrame:
     """How many events cover each row of the series, both ends included: a sweep over starts and ends, no range join.
@@ -18,8 +20,7 @@ def concurrency(events: DataFrame, series: DataFrame) -> DataFrame:
     rows = series.select("symbol", "us", F.lit(1).alias("kind"), F.lit(0).alias("d"))
     # ties count together: marks are summed by (time, kind) first, so the sweep's rows are few and its order is total
     marks = starts.union(ends).groupBy("symbol", "us", "kind").agg(F.sum("d").alias("d")).union(rows.select("symbol", "us", "kind", F.col("d").cast("long")))
-    w = Window.partitionBy("symbol").orderBy("us", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return marks.withColumn("c", F.sum("d").over(w)).where("kind = 1").select("symbol", "us", "c")
+    return running(marks, ["us", "kind"], {"c": ("sum", F.col("d"))}).where("kind = 1").select("symbol", "us", "c")
 
 
 def _between(events: DataFrame, marks: DataFrame, total: str, rank: str) -> DataFrame:
@@ -32,8 +33,7 @@ def _between(events: DataFrame, marks: DataFrame, total: str, rank: str) -> Data
 
 
 def _prefix(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_total", F.coalesce(F.sum("value").over(w), F.lit(0.0))).withColumn("_rank", F.row_number().over(Window.partitionBy("symbol").orderBy("us")))
+    return running(rows, ["us"], {"_total": ("sum", F.coalesce("value", F.lit(0.0))), "_rank": ("sum", F.lit(1))})
 
 
 def average_uniqueness(events: DataFrame, counts: DataFrame) -> DataFrame:
@@ -44,22 +44,20 @@ def average_uniqueness(events: DataFrame, counts: DataFrame) -> DataFrame:
 
 def return_weights(events: DataFrame, counts: DataFrame, series: DataFrame) -> DataFrame:
     """``w``: size of the concurrency-shared log returns over an event, scaled to a mean of one per symbol."""
-    before = F.lag("price").over(Window.partitionBy("symbol").orderBy("us"))
-    r = series.withColumn("_r", F.log(F.col("price") / before)).select("symbol", "us", "_r")
+    r = running(series.select("symbol", "us", "price"), ["us"], {"_before": ("last", F.col("price"))}, before=True)
+    r = r.select("symbol", "us", F.log(F.col("price") / F.col("_before")).alias("_r"))
     marks = _prefix(counts.join(r, ["symbol", "us"]).withColumn("value", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))))
     rows = _between(events, marks, "_total", "_rank").withColumn("raw", F.abs("sum"))
-    every = Window.partitionBy("symbol")
-    return rows.withColumn("w", F.try_divide(F.col("raw") * F.count("*").over(every), F.sum("raw").over(every))).select("symbol", "t0", "t1", "raw", "w")
+    every = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.sum("raw").alias("_sum"))
+    return rows.join(every, "symbol").select("symbol", "t0", "t1", "raw", F.try_divide(F.col("raw") * F.col("_n"), F.col("_sum")).alias("w"))
 
 
 def time_decay(weights: DataFrame, last: float) -> DataFrame:
     """``decay``: from 1 for the newest down to ``last`` for the oldest along cumulative uniqueness; below zero, the oldest share gets nothing."""
     if last <= -1 or last > 1:
         raise ValueError("last must be above -1 and at most 1")
-    w = Window.partitionBy("symbol").orderBy("t0").rowsBetween(Window.unboundedPreceding, 0)
-    cum, total = F.sum("tw").over(w), F.sum("tw").over(Window.partitionBy("symbol"))
-    slope = (1 - last) / total if last >= 0 else 1 / ((last + 1) * total)
-    rows = weights.withColumn("_c", cum).withColumn("_t", total).withColumn("_s", slope)
+    rows = running(weights, ["t0"], {"_c": ("sum", F.col("tw"))}).join(weights.groupBy("symbol").agg(F.sum("tw").alias("_t")), "symbol")
+    rows = rows.withColumn("_s", (1 - last) / F.col("_t") if last >= 0 else 1 / ((last + 1) * F.col("_t")))
     return rows.withColumn("decay", F.greatest(F.lit(0.0), 1 - F.col("_s") * F.col("_t") + F.col("_s") * F.col("_c"))).drop("_c", "_t", "_s")
 
 
