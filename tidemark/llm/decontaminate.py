@@ -7,6 +7,11 @@ benchmark; hits are counted in overlapping diagonal bands, within stretches of
 one window's length; and only regions that meet the bound are aligned, inside
 their band.  A document leaks an item if some window of the item aligns with
 it within the budget.
+
+Items too short for the bound to be positive at ``q`` are looked up by shorter
+grams.  Windows that repeat, in an item or in a text, are looked at once, and
+hits are counted in pieces of bounded number, so a ruler line takes no more
+memory than other text.
 """
 
 from __future__ import annotations
@@ -26,6 +31,8 @@ SHARD_CHARS = 2_000_000
 _FILTER_BITS = 22
 #: Alignments of one step.
 _AT_ONCE = 4096
+#: Hits and window starts that are held together.
+_HITS = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -65,6 +72,26 @@ def _grams(points: np.ndarray, q: int) -> np.ndarray:
     return textops.mix((sums[q:] - sums[:-q]) * textops.powers(n, inverse=True))
 
 
+def gram_width(width: np.ndarray, q: int, window: int, edits: int) -> np.ndarray:
+    """The grams by which items of these compared widths are found: ``q``, or a power of two at which the lemma's bound is positive."""
+    most = width // (edits * width // window + 1)
+    return np.where(most >= q, q, 1 << np.maximum(0, np.floor(np.log2(np.maximum(most, 1)))).astype(np.int64))
+
+
+def _first_windows(points: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Which points lie in a window (of its row's width) that is the first of its kind in its row."""
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    start = np.flatnonzero(np.arange(len(points)) + width[row] <= at[row + 1])
+    end = start + width[row[start]]
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_tables()[1][points] * textops.powers(len(points)), dtype=np.uint64)])
+    key = textops.span_hash(sums, start, end) ^ textops.mix(row[start].astype(np.uint64) + np.uint64(1))
+    once = np.unique(key, return_index=True)[1]
+    mark = np.zeros(len(points) + 1, np.int64)
+    np.add.at(mark, start[once], 1)
+    np.add.at(mark, end[once], -1)
+    return np.cumsum(mark)[:-1] > 0
+
+
 @dataclass
 class Benchmark:
     """Items' normalised characters, and where each distinct q-gram stands in them."""
@@ -80,15 +107,24 @@ class Benchmark:
     edits: int
 
     @classmethod
-    def build(cls, ids: list[int], texts: list[str], q: int, window: int, edits: int) -> Benchmark:
+    def build(cls, ids: list[int], texts: list[str], q: int, window: int, edits: int, least: int) -> list[Benchmark]:
+        """The items by the width of their grams; those of fewer than ``least`` characters are left out."""
         data, at = textops.text_bytes(pa.array(texts, pa.string()))
         points, at, _ = normalised(data, at)
+        size = np.diff(at)
+        own = np.where(size >= max(1, least), gram_width(np.minimum(size, window), q, window, edits), 0)
+        return [cls._of(np.asarray(ids, np.int64)[own == k], points[np.repeat(own == k, size)], np.append(0, np.cumsum(size[own == k])), int(k), window, edits) for k in np.unique(own[own > 0])]
+
+    @classmethod
+    def _of(cls, ids: np.ndarray, points: np.ndarray, at: np.ndarray, q: int, window: int, edits: int) -> Benchmark:
         hashed = _grams(points, q)
         end = np.repeat(at[1:], np.diff(at))[: len(hashed)]
-        inside = np.flatnonzero(np.arange(len(hashed)) + q <= end)
+        # a window that an item repeats says nothing new
+        fresh = _first_windows(points, at, np.minimum(window, np.diff(at)))[: len(hashed)]
+        inside = np.flatnonzero(fresh & (np.arange(len(hashed)) + q <= end))
         order = inside[np.argsort(hashed[inside], kind="stable")]
         grams, first = np.unique(hashed[order], return_index=True)
-        return cls(points, at, np.asarray(ids, np.int64), grams, np.append(first, len(order)), order, q, window, edits)
+        return cls(points, at, ids, grams, np.append(first, len(order)), order, q, window, edits)
 
     def filter(self) -> np.ndarray:
         mark = np.zeros(1 << _FILTER_BITS, bool)
@@ -115,10 +151,12 @@ def _aligned(bench: Benchmark, item_from: np.ndarray, width: np.ndarray, text: n
     return best
 
 
+_NONE = {k: np.zeros(0, np.int64) for k in ("row", "item", "text_from", "item_from", "width", "edits", "shared")}
+
+
 def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray) -> dict[str, np.ndarray]:
     """Leaks of one block: row, item and the best aligned window of each."""
-    q, e = bench.q, bench.edits
-    none = {k: np.zeros(0, np.int64) for k in ("row", "item", "text_from", "item_from", "width", "edits", "shared")}
+    q = bench.q
     hashed = _grams(points, q)
     near = np.flatnonzero(mark[(hashed >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
     slot = np.searchsorted(bench.grams, hashed[near])
@@ -127,8 +165,36 @@ def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray
     row = np.searchsorted(at, near, "right") - 1
     whole = near + q <= at[row + 1]
     near, slot, row = near[whole], slot[whole], row[whole]
-    if not len(near):
-        return none
+    count = bench.first[slot + 1] - bench.first[slot]
+    reach = bench.window + 2 * bench.edits + q  # what an alignment spans of a text, at most
+    if count.sum() > _HITS:  # stretches that a text repeats say nothing new
+        fresh = _first_windows(points, at, np.minimum(reach, np.diff(at)))[near]
+        near, slot, row, count = near[fresh], slot[fresh], row[fresh], count[fresh]
+    found, a = [], 0
+    total = np.concatenate([[0], np.cumsum(count)])
+    while a < len(near):
+        b = max(int(np.searchsorted(total, total[a] + _HITS, "right")) - 1, int(np.searchsorted(near, near[a] + 2 * reach)))
+        found.append(_leaks_of(near[a:b], slot[a:b], row[a:b], points, at, bench))
+        if b >= len(near):
+            break
+        a = int(np.searchsorted(near, near[b] - reach))
+    if not found:
+        return _NONE
+    return _best({k: np.concatenate([x[k] for x in found]) for k in _NONE}, len(bench.ids))
+
+
+def _best(out: dict[str, np.ndarray], items: int) -> dict[str, np.ndarray]:
+    """One window of each row and item: that with the fewest edits, the first of these."""
+    order = np.lexsort((out["item_from"], out["edits"], out["item"], out["row"]))
+    key = out["row"][order] * items + out["item"][order]
+    once = np.ones(len(order), bool)
+    once[1:] = key[1:] != key[:-1]
+    return {k: v[order[once]] for k, v in out.items()}
+
+
+def _leaks_of(near: np.ndarray, slot: np.ndarray, row: np.ndarray, points: np.ndarray, at: np.ndarray, bench: Benchmark) -> dict[str, np.ndarray]:
+    """Leaks among some hits of a block."""
+    q, e = bench.q, bench.edits
     count = bench.first[slot + 1] - bench.first[slot]
     ends = np.cumsum(count)
     j = bench.places[np.arange(ends[-1]) + np.repeat(bench.first[slot] - ends + count, count)]
@@ -137,7 +203,7 @@ def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray
     length = np.diff(bench.at)[item]
     width = np.minimum(bench.window, length)
     budget = e * width // bench.window
-    need = np.maximum(1, width - q + 1 - q * budget)
+    need = width - q + 1 - q * budget  # positive by the choice of q
 
     # every hit counts in the two bands that hold its diagonal
     step = max(1, e)
@@ -152,7 +218,7 @@ def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray
     enough = (np.arange(len(j)) + need <= len(j)) & (group[far] == group) & (j[far] - j <= width - q)
     n = np.flatnonzero(enough)
     if not len(n):
-        return none
+        return _NONE
     # possible window starts by candidate, the best supported tried first
     start_low = np.maximum(j[far[n]] + q - width[n], bench.at[item[n]])
     start_high = np.minimum(j[n], bench.at[item[n] + 1] - width[n])
@@ -161,7 +227,7 @@ def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray
     pair = np.flatnonzero(np.diff(row[n] * len(bench.ids) + item[n], prepend=-1))
     pair_of = np.repeat(np.arange(len(pair)), np.diff(np.append(pair, len(n))))
     best = np.lexsort((-support, pair_of))[np.searchsorted(pair_of, np.arange(len(pair)))]
-    found = {k: [] for k in none}
+    found = {k: [] for k in _NONE}
 
     def test(which: np.ndarray, start: np.ndarray) -> np.ndarray:
         passed = np.zeros(len(which), bool)
@@ -178,59 +244,72 @@ def leaks(points: np.ndarray, at: np.ndarray, bench: Benchmark, mark: np.ndarray
 
     settled = np.zeros(len(pair), bool)
     settled[pair_of[best[test(best, start_high[best])]]] = True
-    rest = np.flatnonzero(~settled[pair_of])
-    if len(rest):  # every other start that the bound allows
-        spread = start_high[rest] - start_low[rest] + 1
-        ends = np.cumsum(np.maximum(0, spread))
-        test(np.repeat(rest, np.maximum(0, spread)), np.arange(ends[-1]) + np.repeat(start_low[rest] - ends + np.maximum(0, spread), np.maximum(0, spread)))
-    out = {k: np.concatenate(v) for k, v in found.items()}
-    order = np.lexsort((out["item_from"], out["edits"], out["item"], out["row"]))
-    once = np.ones(len(order), bool)
-    key = out["row"][order] * len(bench.ids) + out["item"][order]
-    once[1:] = key[1:] != key[:-1]
-    return {k: v[order[once]] for k, v in out.items()}
+    # every other start that the bound allows, each place and band once
+    spread = np.maximum(0, start_high - start_low + 1)
+    rest, a = np.flatnonzero(~settled[pair_of]), 0
+    while a < len(rest):
+        b = max(a + 1, int(np.searchsorted(np.cumsum(spread[rest[a:]]), _HITS, "right")) + a)
+        some = rest[a:b]
+        some = some[~settled[pair_of[some]]]
+        a = b
+        if not len(some):
+            continue
+        ends = np.cumsum(spread[some])
+        which, start = np.repeat(some, spread[some]), np.arange(ends[-1]) + np.repeat(start_low[some] - ends + spread[some], spread[some])
+        order = np.lexsort((start, band[n[which]], pair_of[which]))
+        which, start = which[order], start[order]
+        once = np.ones(len(which), bool)
+        once[1:] = (start[1:] != start[:-1]) | (band[n[which[1:]]] != band[n[which[:-1]]]) | (pair_of[which[1:]] != pair_of[which[:-1]])
+        which, start = which[once], start[once]
+        settled[pair_of[which[test(which, start)]]] = True
+    return _best({k: np.concatenate(v) for k, v in found.items()}, len(bench.ids))
 
 
 _LEAKS = "doc_id long, item_id long, doc_start long, doc_end long, item_start long, item_end long, edits int, shared_grams int"
 
 
-def _report(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.RecordBatch]:
-    mark = bench.filter()
+def _report(batches: Iterator[pa.RecordBatch], shard: list[Benchmark]) -> Iterator[pa.RecordBatch]:
+    marks = [bench.filter() for bench in shard]
     for batch in batches:
         for part, data, at in textops.blocks(batch, "text"):
             points, ends, place = normalised(data, at)
-            got = leaks(points, ends, bench, mark)
-            if not len(got["row"]):
-                continue
-            a = np.minimum(got["text_from"], ends[got["row"] + 1] - 1)
-            b = np.minimum(got["text_from"] + got["width"], ends[got["row"] + 1]) - 1
-            item_start = got["item_from"] - bench.at[got["item"]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(pa.array(got["row"])),
-                    pa.array(bench.ids[got["item"]]),
-                    pa.array(place[a].astype(np.int64)),
-                    pa.array(place[np.maximum(a, b)].astype(np.int64) + 1),
-                    pa.array(item_start),
-                    pa.array(item_start + got["width"]),
-                    pa.array(got["edits"].astype(np.int32)),
-                    pa.array(got["shared"].astype(np.int32)),
-                ],
-                names=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits", "shared_grams"],
-            )
-
-
-def _without(batches: Iterator[pa.RecordBatch], bench: Benchmark) -> Iterator[pa.RecordBatch]:
-    mark = bench.filter()
+            for bench, mark in zip(shard, marks, strict=True):
+                got = leaks(points, ends, bench, mark)
+                if len(got["row"]):
+                    yield _reported(part, ends, place, bench, got)
+
+
+def _reported(part: pa.RecordBatch, ends: np.ndarray, place: np.ndarray, bench: Benchmark, got: dict[str, np.ndarray]) -> pa.RecordBatch:
+    a = np.minimum(got["text_from"], ends[got["row"] + 1] - 1)
+    b = np.minimum(got["text_from"] + got["width"], ends[got["row"] + 1]) - 1
+    item_start = got["item_from"] - bench.at[got["item"]]
+    return pa.RecordBatch.from_arrays(
+        [
+            part.column("doc_id").take(pa.array(got["row"])),
+            pa.array(bench.ids[got["item"]]),
+            pa.array(place[a].astype(np.int64)),
+            pa.array(place[np.maximum(a, b)].astype(np.int64) + 1),
+            pa.array(item_start),
+            pa.array(item_start + got["width"]),
+            pa.array(got["edits"].astype(np.int32)),
+            pa.array(got["shared"].astype(np.int32)),
+        ],
+        names=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "item_end", "edits", "shared_grams"],
+    )
+
+
+def _without(batches: Iterator[pa.RecordBatch], shard: list[Benchmark]) -> Iterator[pa.RecordBatch]:
+    marks = [bench.filter() for bench in shard]
     for batch in batches:
         for part, data, at in textops.blocks(batch, "text"):
             points, ends, _ = normalised(data, at)
             clean = np.ones(part.num_rows, bool)
-            clean[leaks(points, ends, bench, mark)["row"]] = False
+            for bench, mark in zip(shard, marks, strict=True):
+                clean[leaks(points, ends, bench, mark)["row"]] = False
             yield part.filter(pa.array(clean))
 
 
-def _shards(benchmark: DataFrame, q: int, window: int, edits: int) -> Iterator[Benchmark]:
+def _shards(benchmark: DataFrame, q: int, window: int, edits: int, least: int) -> Iterator[list[Benchmark]]:
     """The benchmark in pieces of bounded size, read one after another."""
     ids, texts, size = [], [], 0
     for item in benchmark.where("text IS NOT NULL").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
@@ -238,13 +317,13 @@ def _shards(benchmark: DataFrame, q: int, window: int, edits: int) -> Iterator[B
         texts.append(" ".join(item.text.split()))
         size += len(item.text)
         if size >= SHARD_CHARS:
-            yield Benchmark.build(ids, texts, q, window, edits)
+            yield Benchmark.build(ids, texts, q, window, edits, least)
             ids, texts, size = [], [], 0
     if ids:
-        yield Benchmark.build(ids, texts, q, window, edits)
+        yield Benchmark.build(ids, texts, q, window, edits, least)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 80, edits: int = 5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 80, edits: int = 5, least: int = 12) -> DataFrame:
     """One row per document and item that it leaks, with the best aligned window.
 
     Texts and items are compared by lower-cased characters with runs of white
@@ -254,21 +333,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int =
     ``doc_start, doc_end`` are approximate places in the original text,
     ``item_start, item_end`` places in the compared item.
 
-    Items shorter than ``q`` characters are too short to tell and never match;
-    null and empty texts or items match nothing; a null item_id shows as -1.
+    Items of fewer than ``least`` characters are too short to tell a leak from
+    common words and never match; a smaller ``least`` looks for them as well.  Null and empty texts or items match nothing; a null item_id shows as -1.
     Rows that repeat a document report alike, rows that repeat an item_id
     report each.  Empty tables give an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     out = None
-    for bench in _shards(benchmark, q, window, edits):
-        part = docs.select("doc_id", "text").mapInArrow(partial(_report, bench=bench), _LEAKS)
+    for shard in _shards(benchmark, q, window, edits, least):
+        part = docs.select("doc_id", "text").mapInArrow(partial(_report, shard=shard), _LEAKS)
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], _LEAKS) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 80, edits: int = 5) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = 12, window: int = 80, edits: int = 5, least: int = 12) -> DataFrame:
     """The documents that leak no item, with all their columns (see :func:`find_leaks`)."""
-    for bench in _shards(benchmark, q, window, edits):
-        docs = docs.mapInArrow(partial(_without, bench=bench), docs.schema)
+    for shard in _shards(benchmark, q, window, edits, least):
+        docs = docs.mapInArrow(partial(_without, shard=shard), docs.schema)
     return docs
