@@ -32,7 +32,8 @@ def op1_sharding_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back: ``page_id, payload_bytes, payload_digest, record_type, refers_to``."""
     back = read_archives(write_archives(_table(spark, sf_dir, "pages")))
-    return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    sound = F.when(F.col("kind") == "record", F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("damaged archive: "), "archive", F.lit(" "), "reason")).cast("long"))
+    return back.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import new_path, partitions, shared_folder, staged
+from tidemark.session import discard, new_path, partitions, shared_folder, staged
 
-__all__ = ["bounded_sample", "buckets", "id_order", "new_path", "partitions", "shared_folder", "staged"]
+__all__ = ["bounded_sample", "buckets", "discard", "id_order", "light", "new_path", "partitions", "shared_folder", "staged"]
 
 
 def buckets(rows: DataFrame, column: str, each: int = 4 << 20) -> int:
@@ -16,6 +16,15 @@ def buckets(rows: DataFrame, column: str, each: int = 4 << 20) -> int:
     return 1 << max(3, (-(-total // each) - 1).bit_length())
 
 
+#: Rows of a few numbers that may be sent to every executor.
+LIGHT = 1_000_000
+
+
+def light(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` of a few numbers each, marked for broadcast if there are at most ``LIGHT``; else Spark shuffles them."""
+    return F.broadcast(rows) if n <= LIGHT else rows
+
+
 def id_order(column: str | Column) -> Column:
     """Sort key that puts a null identifier before every other."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(1 << 63)).cast("long"))

@@ -3,13 +3,16 @@
 The reader checks every record (member check sum, version line, header block,
 block length, closing blank lines, payload digest).  After a failed check it
 searches for the next member or version line that starts a valid record,
-goes on from there, and logs the bytes between as quarantined.  It reads a
-file as a stream, so memory follows the largest record, not the archive.
+goes on from there, and logs the bytes between as quarantined.  Blocks are
+checked as they stream by, and a place that the reader returns to is read
+again, so memory follows header blocks, and payloads only where they are asked
+for; no length is too long.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -18,20 +21,20 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path, partitions, staged
+from tidemark.llm.shared import light, new_path, partitions, staged
 
 #: Payloads of fewer bytes are never written as revisits.
 LEAST_REVISIT = 100
 #: A writer starts a new archive beyond so many compressed bytes.
 ARCHIVE_BYTES = 64 << 20
-#: A length above this in a header counts as damage.
-LARGEST_RECORD = 1 << 30
 
+_INTEGER = re.compile(r"-?[0-9]{1,18}")
 _MEMBER, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 #: Header names and the revisit profile of the WARC 1.0 format.
+_MANDATORY = {"warc-type", "warc-record-id", "warc-date", "content-length"}
 _PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -39,8 +42,13 @@ def _urn(page_id: int | None) -> str:
     return f"<urn:x-page:{'' if page_id is None else page_id}>"
 
 
-def _page_of(urn: str) -> int | None:
+def _page_of(urn: str | None) -> int | None:
+    """The page that a record id of this writer names; None for any other id or for a page without one."""
+    if not urn or not urn.startswith("<urn:x-page:"):
+        return None
     number = urn.removeprefix("<urn:x-page:").removesuffix(">")
+    if number and not _INTEGER.fullmatch(number):
+        raise Damaged("record id of no page")
     return int(number) if number else None
 
 
@@ -73,136 +81,187 @@ def _fields(raw: bytes) -> dict[str, str]:
 
 
 def _length(fields: dict[str, str]) -> int:
-    if not (n := fields.get("content-length", "")).isdigit() or int(n) > LARGEST_RECORD:
+    if not _INTEGER.fullmatch(n := fields.get("content-length", "")) or n.startswith("-"):
         raise Damaged("no usable content length")
     return int(n)
 
 
-def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int]:
-    """Fields, payload and full payload length of one whole record, or Damaged."""
-    head, blank, rest = raw.partition(b"\r\n\r\n")
-    version, _, lines = head.partition(b"\r\n")
-    if not blank or not version.startswith(_VERSION):
-        raise Damaged("no version line")
-    fields = _fields(lines)
-    n = _length(fields)
-    if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
-        raise Damaged("block length differs")
-    block = rest[:n]
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    full = len(payload)
-    if fields.get("warc-type") == "revisit":
-        if not blank or payload:
-            raise Damaged("revisit with a payload")
-        full = _length(_fields(http.partition(b"\r\n")[2]))
-    elif fields.get("warc-payload-digest", "").startswith("sha256:"):
-        if hashlib.sha256(payload).hexdigest() != fields["warc-payload-digest"][7:]:
+class _Record:
+    """Checks one record as its bytes come by."""
+
+    def __init__(self, keep: bool):
+        self.keep = keep
+        self.head, self.fields = bytearray(), None
+        self.left = 0  # bytes of the block that are still to come
+        self.http, self.payload, self.size, self.digest = bytearray(), None, 0, hashlib.sha256()
+        self.tail = bytearray()
+
+    def feed(self, chunk: bytes) -> None:
+        if self.fields is None:
+            seen = max(0, len(self.head) - 3)
+            self.head += chunk
+            if not self.head.startswith(_VERSION[: len(self.head)]):
+                raise Damaged("no version line")
+            end = self.head.find(b"\r\n\r\n", seen)
+            if end < 0:
+                return
+            chunk = bytes(self.head[end + 4 :])
+            self.begin(bytes(self.head[:end]))
+        block, after = chunk[: self.left], chunk[self.left :]
+        self.left -= len(block)
+        if self.payload is None:
+            seen = max(0, len(self.http) - 3)
+            self.http += block
+            end = self.http.find(b"\r\n\r\n", seen)
+            if end < 0:
+                block = b""
+            else:
+                block, self.payload = bytes(self.http[end + 4 :]), bytearray()
+                del self.http[end:]
+        self.size += len(block)
+        self.digest.update(block)
+        if self.keep and block:
+            self.payload += block
+        self.tail += after
+        if len(self.tail) > 4:
+            raise Damaged("block length differs")
+
+    def begin(self, head: bytes) -> None:
+        self.head.clear()
+        self.fields = _fields(head.partition(b"\r\n")[2])
+        if missing := _MANDATORY - self.fields.keys():
+            raise Damaged(f"no {min(missing)}")
+        self.left = _length(self.fields)
+        _page_of(self.fields.get("warc-record-id"))
+        _page_of(self.fields.get("warc-refers-to"))
+
+    def end(self) -> tuple[dict[str, str], bytes, int, str]:
+        """Fields, payload (if kept), full payload length and digest of a whole record, or Damaged."""
+        if self.fields is None or self.left or self.tail != b"\r\n\r\n":
+            raise Damaged("record cut short" if self.fields is not None else "header block does not end")
+        full, told = self.size, self.fields.get("warc-payload-digest", "")
+        if self.fields.get("warc-type") == "revisit":
+            if self.payload is None or self.size:
+                raise Damaged("revisit with a payload")
+            full = _length(_fields(bytes(self.http).partition(b"\r\n")[2]))
+        elif told.startswith("sha256:") and self.digest.hexdigest() != told[7:]:
             raise Damaged("payload digest differs")
-    return fields, payload, full
+        return self.fields, bytes(self.payload or b""), full, told[7:] if told.startswith("sha256:") else self.digest.hexdigest()
+
+
+def parse_record(raw: bytes) -> tuple[dict[str, str], bytes, int, str]:
+    """Fields, payload, full payload length and digest of one whole record, or Damaged."""
+    record = _Record(True)
+    record.feed(raw)
+    return record.end()
 
 
 class _Stream:
-    """A file's bytes from ``base`` on, read ahead as needed."""
+    """A file's bytes at any place; only what is being looked at is held."""
 
     def __init__(self, file: BinaryIO, step: int = 1 << 18):
-        self.file, self.step, self.base, self.held, self.ended = file, step, 0, bytearray(), False
+        self.file, self.step, self.base, self.held = file, step, 0, b""
+        self.size = file.seek(0, 2)
+        self.blank = (0, -1)  # from the first on, the next blank line is at the second
 
     def take(self, at: int, n: int) -> bytes:
-        while not self.ended and at + n > self.base + len(self.held):
-            more = self.file.read(self.step)
-            self.ended = not more
-            self.held += more
-        return bytes(self.held[at - self.base : at - self.base + n])
-
-    def forget(self, before: int) -> None:
-        if before - self.base > self.step:
-            del self.held[: before - self.base]
-            self.base = before
-
-    def find(self, at: int) -> int | None:
-        """The next place from ``at`` where a member or a version line may start."""
-        while True:
+        n = min(n, self.size - at)
+        if n <= 0:
+            return b""
+        if not self.base <= at or at + n > self.base + len(self.held):
+            self.file.seek(at)
+            self.base, self.held = at, self.file.read(max(n, self.step))
+        return self.held[at - self.base : at - self.base + n]
+
+    def find(self, at: int, *what: bytes) -> int | None:
+        """The next place from ``at`` on where any of these bytes begin."""
+        reach = max(map(len, what)) - 1
+        while at < self.size:
             chunk = self.take(at, self.step)
-            hits = [h for h in (chunk.find(_MEMBER), chunk.find(_VERSION)) if h >= 0]
+            hits = [h for h in map(chunk.find, what) if h >= 0]
             if hits:
                 return at + min(hits)
-            if len(chunk) < self.step:
+            if at + len(chunk) >= self.size:
                 return None
-            at += len(chunk) - len(_VERSION) + 1
+            at += len(chunk) - reach
+        return None
 
+    def blank_line(self, at: int) -> int | None:
+        """The next end of a header block; known ones are not searched again."""
+        begin, place = self.blank
+        if not begin <= at <= place:
+            found = self.find(at, b"\r\n\r\n")
+            self.blank = (at, self.size if found is None else found)
+        return None if self.blank[1] == self.size else self.blank[1]
 
-def _member(stream: _Stream, at: int) -> tuple[bytes, int]:
+
+def _member(stream: _Stream, at: int, keep: bool) -> tuple[tuple, int]:
     """The record of the gzip member at ``at`` and where the member ends."""
-    inflate, out, place, size = zlib.decompressobj(31), [], at, 0
+    inflate, record, place = zlib.decompressobj(31), _Record(keep), at
     while not inflate.eof:
-        chunk = stream.take(place, 1 << 16)
+        chunk = inflate.unconsumed_tail
         if not chunk:
-            raise Damaged("member cut short")
+            chunk = stream.take(place, 1 << 16)
+            place += len(chunk)
         try:
-            out.append(inflate.decompress(chunk))
+            out = inflate.decompress(chunk, 1 << 20)
         except zlib.error as bad:
             raise Damaged(f"member: {bad}") from bad
-        size += len(out[-1])
-        if size > LARGEST_RECORD:
-            raise Damaged("member too long")
-        place += len(chunk)
-    return b"".join(out), place - len(inflate.unused_data)
+        if not chunk and not out and not inflate.eof:
+            raise Damaged("member cut short")
+        record.feed(out)
+    return record.end(), place - len(inflate.unused_data)
 
 
-def _plain(stream: _Stream, at: int) -> tuple[bytes, int]:
+def _plain(stream: _Stream, at: int, keep: bool) -> tuple[tuple, int]:
     """The uncompressed record at ``at`` and where it ends."""
-    head = b""
-    while b"\r\n\r\n" not in head:
-        more = stream.take(at, len(head) + 4096)
-        if len(more) == len(head) or len(more) > 1 << 20:
-            raise Damaged("header block does not end")
-        head = more
-    head = head[: head.index(b"\r\n\r\n")]
-    end = len(head) + 4 + _length(_fields(head.partition(b"\r\n")[2])) + 4
-    raw = stream.take(at, end)
-    if len(raw) < end:
+    head = stream.blank_line(at)
+    if head is None:
+        raise Damaged("header block does not end")
+    record = _Record(keep)
+    record.begin(stream.take(at, head - at))
+    end = head + 4 + record.left + 4
+    if end > stream.size:
         raise Damaged("record cut short")
-    return raw, at + end
+    for place in range(head + 4, end, 1 << 18):
+        record.feed(stream.take(place, min(1 << 18, end - place)))
+    return record.end(), end
+
 
+def salvage(file: BinaryIO, keep: bool = True) -> Iterator[tuple[str, int, int, object]]:
+    """``("record", offset, bytes, (fields, payload, full length, digest))`` for valid records, ``("gap", offset, bytes, reason)`` for what was skipped.
 
-def salvage(file: BinaryIO) -> Iterator[tuple[str, int, int, object]]:
-    """``("record", offset, bytes, (fields, payload, full length))`` for valid records, ``("gap", offset, bytes, reason)`` for what was skipped."""
+    Every byte of a file that can seek lies in exactly one of them; payloads
+    are empty unless ``keep``.
+    """
     stream, at = _Stream(file), 0
     gap: tuple[int, str] | None = None
-    while stream.take(at, 1):
+    while at < stream.size:
         start = stream.take(at, len(_VERSION))
         try:
             if start.startswith(_MEMBER):
-                raw, end = _member(stream, at)
+                parsed, end = _member(stream, at, keep)
             elif start == _VERSION:
-                raw, end = _plain(stream, at)
+                parsed, end = _plain(stream, at, keep)
             else:
                 raise Damaged("neither a member nor a version line")
-            parsed = parse_record(raw)
         except Damaged as bad:
             gap = gap or (at, str(bad))
-            following = stream.find(at + 1)
-            if following is None:
-                while more := len(stream.take(at, 1 << 18)):
-                    at += more
-                    stream.forget(at)
-                break
-            at = following
-            stream.forget(at)
+            following = stream.find(at + 1, _MEMBER, _VERSION)
+            at = stream.size if following is None else following
             continue
         if gap:
             yield "gap", gap[0], at - gap[0], gap[1]
             gap = None
         yield "record", at, end - at, parsed
         at = end
-        stream.forget(at)
     if gap:
         yield "gap", gap[0], at - gap[0], gap[1]
 
 
 def _open(folder: str) -> tuple[fs.FileSystem, str]:
     """The file system of a folder that executors share, by its URI."""
-    return fs.FileSystem.from_uri(folder)
+    return fs.FileSystem.from_uri("s3://" + folder[6:] if folder.startswith("s3a://") else folder)
 
 
 _ARCHIVES = "archive string, records long, bytes long"
@@ -213,15 +272,10 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str) -> Iterato
     system, root = _open(folder)
     file = name = None
     records = size = 0
-    first_of_repeated: set = set()
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "first", "rows", "original")]
-        for page_id, url, digest, first, rows, original, html in zip(*columns, batch.column("html").cast(pa.binary()), strict=True):
+        columns = [batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "first", "revisit")]
+        for page_id, url, digest, first, revisit, html in zip(*columns, batch.column("html").cast(pa.binary()), strict=True):
             payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-            revisit = original is not None and not original
-            if original and rows > 1:  # equal rows stand together in a partition; one of them is the response
-                revisit = (page_id, digest) in first_of_repeated
-                first_of_repeated.add((page_id, digest))
             raw = record_bytes(page_id, url, payload, digest, first if revisit else None, revisit, date)
             press = zlib.compressobj(4, zlib.DEFLATED, 31)
             member = press.compress(raw) + press.flush()
@@ -261,11 +315,27 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
     each = rows.where(F.col("n") >= LEAST_REVISIT).groupBy("page_id", "digest").agg(F.count("*").alias("rows"))
     firsts = each.groupBy("digest").agg(F.min("page_id").alias("first"), F.sum("rows").alias("all_rows")).where("all_rows > 1")
     known = each.join(firsts, "digest").select(F.col("page_id").alias("_page"), F.col("digest").alias("_digest"), "rows", "first", F.col("page_id").eqNullSafe(F.col("first")).alias("original"))
-    told = rows.join(known.hint("shuffle_hash"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest")), "left")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("digest") == F.col("_digest"))
+    told = rows.join(known.hint("shuffle_hash"), same, "left").select("page_id", "url", "html", "digest", "first", "original", (F.coalesce("original", F.lit(True)) == F.lit(False)).alias("revisit"), F.coalesce(F.col("original") & (F.col("rows") > 1), F.lit(False)).alias("_repeated"))
+    columns = ["page_id", "url", "html", "digest", "first", "revisit"]
+    # rows that repeat a first page: counted by url (a copy's html goes along once), so that one copy of one url is the response wherever they stand
+    again = known.where("original AND rows > 1")
+    n = again.count()
+    if n:
+        copies = rows.join(light(again.select("_page", "_digest", "first"), n), same)
+        copies = copies.groupBy("page_id", "url", "digest", "first").agg(F.first("html").alias("html"), F.count("*").alias("times"))
+        rank = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
+        copies = copies.withColumn("_rank", rank).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+        copies = copies.withColumn("revisit", (F.col("_rank") > 1) | (F.col("_copy") > 1))
+        told = told.where("NOT _repeated").select(*columns).unionByName(copies.select(*columns))
     folder = new_path(spark, "warc")
-    _, root = _open(folder)
-    _open(folder)[0].create_dir(root, recursive=True)
-    return staged(told.select("page_id", "url", "html", "digest", "first", "rows", "original").mapInArrow(partial(_write, folder=folder, date=date), _ARCHIVES), "archives")
+    system, root = _open(folder)
+    system.create_dir(root, recursive=True)
+    archives = staged(told.select(*columns).mapInArrow(partial(_write, folder=folder, date=date), _ARCHIVES), "archives")
+    for left in system.get_file_info(fs.FileSelector(root)):  # of attempts that were lost
+        if left.path.endswith(".part"):
+            system.delete_file(left.path)
+    return archives
 
 
 _READ = "kind string, archive string, offset long, bytes long, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -278,22 +348,20 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
         for archive in batch.column("archive").to_pylist():
             folder, _, name = archive.rpartition("/")
             system, root = _open(folder)
-            with system.open_input_stream(f"{root}/{name}", compression=None) as file:
-                for kind, offset, size, what in salvage(file):
+            with system.open_input_file(f"{root}/{name}") as file:
+                for kind, offset, size, what in salvage(file, with_payload):
                     row = {"kind": kind, "archive": archive, "offset": offset, "bytes": size}
                     if kind == "gap":
                         row["reason"] = what
                     else:
-                        fields, payload, full = what
-                        page = fields.get("warc-record-id", "")
-                        refers = fields.get("warc-refers-to")
+                        fields, payload, full, digest = what
                         row |= {
-                            "page_id": _page_of(page) if page.startswith("<urn:x-page:") else None,
+                            "page_id": _page_of(fields.get("warc-record-id")),
                             "url": fields.get("warc-target-uri"),
                             "payload_bytes": full,
-                            "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha256:") or hashlib.sha256(payload).hexdigest(),
+                            "payload_digest": digest,
                             "record_type": fields.get("warc-type"),
-                            "refers_to": _page_of(refers) if refers and refers.startswith("<urn:x-page:") else None,
+                            "refers_to": _page_of(fields.get("warc-refers-to")),
                             "payload": payload if with_payload else None,
                         }
                     rows.append(row)
