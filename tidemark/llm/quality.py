@@ -5,9 +5,12 @@ positives ``P`` and unlabelled rows ``U`` is
 ``p * loss(P, +) + max(0, loss(U, -) - p * loss(P, -))``.  The second part
 estimates the risk on the unseen negatives; where it turns negative the model
 has begun to fit noise, so the step goes back along it instead (non-negative
-correction).  The scorer is a small network on figures of a text's surface:
-kinds of characters, shapes of words, repetition of words and lines.  Its
-output is calibrated on labelled rows of the learning folds.
+correction).  The prior is estimated from positives and unlabelled rows too:
+above any score, the share of unlabelled rows is at least ``p`` times that of
+positives, and near to it where the score leaves no negatives.  Rows labelled
+negative are never used.  The scorer is a small network on figures of a text's
+surface (kinds of characters, shapes of words, repetition of words and lines)
+and on its words and pairs of words, hashed.
 
 The fit uses bounded samples, chosen by a hash of the row's id; scoring reads
 every whole text.
@@ -28,7 +31,7 @@ from pyspark.sql import types as T
 from tidemark.llm import textops
 from tidemark.llm.shared import bounded_sample
 
-#: Labelled positives, unlabelled rows and calibration rows that a fit may use at most.
+#: Labelled positives, and unlabelled rows, that a fit may use at most.
 SAMPLE = 20_000
 FOLDS = 5
 
@@ -50,7 +53,11 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _N_CLASSES = 10
 _QUARTERS = 4
-N_FEATURES = _N_CLASSES + 16
+#: Buckets of hashed words, and of hashed pairs of words.
+_BUCKETS = 64
+#: How much less a bucket counts at first than a figure of the surface: there are many, each with little to say.
+_DAMPED = 8
+N_FEATURES = _N_CLASSES + 16 + 2 * _BUCKETS
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -112,26 +119,47 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         1 - line_distinct / np.maximum(lines, 1),
         np.log1p(size / np.maximum(lines, 1)),
     ]
-    out[:, _N_CLASSES:] = np.stack(figures, axis=1)
+    out[:, _N_CLASSES : _N_CLASSES + 16] = np.stack(figures, axis=1)
+    together = owner[1:] == owner[:-1]
+    pair = textops.mix(hashed[:-1] * np.uint64(3) + hashed[1:])[together]
+    for k, (own, key) in enumerate(((owner, hashed), (owner[:-1][together], pair))):
+        bucket = (key % np.uint64(_BUCKETS)).astype(np.int64)
+        shares = np.bincount(own * _BUCKETS + bucket, minlength=n * _BUCKETS).reshape(n, _BUCKETS) / many[:, None]
+        out[:, N_FEATURES - (2 - k) * _BUCKETS : N_FEATURES - (1 - k) * _BUCKETS] = np.sqrt(shares)
     return out
 
 
 @dataclass
 class Scorer:
-    """Standardised figures through one hidden layer; ``slope`` and ``shift`` calibrate the margin."""
+    """Standardised figures through one hidden layer."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: list[np.ndarray]
-    slope: float = 1.0
-    shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.weights
         return np.tanh(np.clip((x - self.mean) / self.scale, -8, 8) @ w1 + b1) @ w2 + b2[0]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
+
+
+def risk(weights: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """Risk on positives, estimated risk on negatives, and the step's slope: of their sum, or away from the second where it is negative."""
+    x = np.concatenate([xp, xu])
+    inner = np.tanh(x @ weights[0] + weights[1])
+    g = inner @ weights[2] + weights[3][0]
+    yes = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+    n, m = len(xp), len(xu)
+    soft = np.logaddexp(0, g)  # loss of calling a row negative
+    positive = prior * np.logaddexp(0, -g[:n]).mean()
+    negative = soft[n:].mean() - prior * soft[:n].mean()
+    slope_n = np.concatenate([-prior * yes[:n] / n, yes[n:] / m])
+    slope_p = np.concatenate([prior * (yes[:n] - 1) / n, np.zeros(m)])
+    d = slope_p + slope_n if negative >= 0 else -slope_n
+    back = np.outer(d, weights[2]) * (1 - inner**2)
+    return positive, negative, [x.T @ back, back.sum(axis=0), inner.T @ d, np.array([d.sum()])]
 
 
 def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, rate: float = 3e-3, seed: int = 5) -> Scorer:
@@ -139,47 +167,42 @@ def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior:
     rng = np.random.default_rng(seed)
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
+    scale[_N_CLASSES + 16 :] *= _DAMPED
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     moment = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
     steps = max(1, min(80, min(len(p), len(u)) // 256))
-    t = 0
-    for _ in range(epochs):
-        for _ in range(steps):
-            xp, xu = p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 256)]
-            x = np.concatenate([xp, xu])
-            inner = np.tanh(x @ weights[0] + weights[1])
-            g = inner @ weights[2] + weights[3][0]
-            yes = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-            soft = np.logaddexp(0, g)  # loss of calling a row negative
-            negative = soft[256:].mean() - prior * soft[:256].mean()
-            slope_n = np.concatenate([-prior * yes[:256], yes[256:]]) / 256
-            slope_p = np.concatenate([prior * (yes[:256] - 1), np.zeros(256)]) / 256
-            d = slope_p + slope_n if negative >= 0 else -slope_n
-            back = np.outer(d, weights[2]) * (1 - inner**2)
-            grads = [x.T @ back + 1e-4 * weights[0], back.sum(axis=0), inner.T @ d + 1e-4 * weights[2], np.array([d.sum()])]
-            t += 1
-            for w, m, gr in zip(weights, moment, grads, strict=True):
-                m[0] += 0.1 * (gr - m[0])
-                m[1] += 0.001 * (gr**2 - m[1])
-                w -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
+    for t in range(1, epochs * steps + 1):
+        grads = risk(weights, p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 256)], prior)[2]
+        grads[0] += 1e-4 * weights[0]
+        grads[2] += 1e-4 * weights[2]
+        for w, m, gr in zip(weights, moment, grads, strict=True):
+            m[0] += 0.1 * (gr - m[0])
+            m[1] += 0.001 * (gr**2 - m[1])
+            w -= rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8)
     return Scorer(mean, scale, weights)
 
 
-def calibrate(scorer: Scorer, x: np.ndarray, label: np.ndarray) -> Scorer:
-    """Slope and shift of the margin by Newton steps on the log likelihood, with a weak pull to 1 and 0."""
-    if not 0 < label.sum() < len(label):
-        return scorer
-    z = np.stack([scorer.margin(x), np.ones(len(x))], axis=1)
-    theta, pull = np.array([1.0, 0.0]), np.diag([1.0, 0.01])
-    for _ in range(50):
-        q = 1 / (1 + np.exp(-np.clip(z @ theta, -30, 30)))
-        step = np.linalg.solve((z * (q * (1 - q))[:, None]).T @ z + pull, z.T @ (q - label) + pull @ (theta - [1, 0]))
-        theta = theta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    scorer.slope, scorer.shift = max(1e-3, float(theta[0])), float(theta[1])
-    return scorer
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The class prior from the scores of positives and unlabelled rows that the scorer was not fitted on.
+
+    The ratio of the two shares above a score, at the score where it is
+    smallest with its margin of error (so not where few rows are left).
+    """
+    cuts = np.unique(np.quantile(positive, np.linspace(0, 1, 400)))
+    above = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    p, u = above(positive), above(unlabelled)
+    error = np.sqrt(np.log(4 / doubt) / (2 * len(unlabelled))) + np.sqrt(np.log(4 / doubt) / (2 * len(positive)))
+    best = np.argmin((u + error) / p)
+    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Scorer:
+    """Estimates the prior on one half of both samples with a scorer fitted on the other, then fits on all."""
+    half = slice(None, None, 2), slice(1, None, 2)
+    first = fit_positive_unlabelled(positive[half[0]], unlabelled[half[0]], 0.5, epochs=20)
+    rest = positive[half[1]] if len(positive) > 1 else positive, unlabelled[half[1]] if len(unlabelled) > 1 else unlabelled
+    return fit_positive_unlabelled(positive, unlabelled, estimated_prior(*(first.margin(x) for x in rest)))
 
 
 def held_out(doc_id: str | Column) -> Column:
@@ -191,42 +214,34 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, at in textops.blocks(batch, "text"):
             x = features(data, at)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("role"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "role", "x"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.astype(np.float32).ravel()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("role"), lists], names=["doc_id", "role", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     """A scorer from ``labels(doc_id, quality)`` of the learning folds and the texts of ``docs``.
 
-    At most ``sample`` positives, ``sample`` unlabelled documents and ``sample``
-    calibration rows (labels of both kinds) are fitted, by smallest hash of the
-    id.  The class prior is the share of label 1 among all labels of the
-    learning folds.  A document whose repeated labels differ counts as
-    negative.  Without any label the scorer gives 0.5 to every text.
+    At most ``sample`` documents labelled 1 and ``sample`` unlabelled ones are
+    fitted, by smallest hash of the id; labels of 0 are not used, but for a
+    document whose repeated labels differ, which is no trusted positive.
+    Without a positive with a text the scorer gives 0.5 to every text.
     """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    prior = known.agg(F.avg("quality")).first()[0]
     blank = Scorer(np.zeros(N_FEATURES), np.ones(N_FEATURES), [np.zeros((N_FEATURES, 1)), np.zeros(1), np.zeros(1), np.zeros(1)])
-    if not prior:
-        return blank
     first = lambda frame, seed: bounded_sample(frame.select("doc_id").distinct(), ["doc_id"], sample, seed)
-    roles = (
-        first(known.where("quality = 1"), 1).withColumn("role", F.lit(1))
-        .union(first(docs.where("doc_id IS NOT NULL").where(~held_out("doc_id")), 2).withColumn("role", F.lit(2)))
-        .union(bounded_sample(known, ["doc_id"], sample, 3).select("doc_id", (F.col("quality") + 3).alias("role")))
-    )
-    # at most three samples of ids: bounded, so it may be sent to every executor
-    chosen = docs.select("doc_id", "text").join(F.broadcast(roles.groupBy("doc_id").agg(F.sum(F.pow(F.lit(2), F.col("role"))).cast("int").alias("role"))), "doc_id")
-    rows = chosen.mapInArrow(_figures, "doc_id long, role int, x array<double>").orderBy("doc_id", F.xxhash64("x")).toArrow()
+    roles = first(known.where("quality = 1"), 1).withColumn("role", F.lit(1)).union(first(docs.where("doc_id IS NOT NULL").where(~held_out("doc_id")), 2).withColumn("role", F.lit(2)))
+    # at most two samples of ids: bounded, so it may be sent to every executor
+    chosen = docs.select("doc_id", "text").join(F.broadcast(roles.groupBy("doc_id").agg(F.sum("role").cast("int").alias("role"))), "doc_id")
+    # rows that repeat an id and a text count once, and of an id's texts those with the smallest hashes, so what comes here is bounded too
+    chosen = chosen.withColumn("_h", F.xxhash64("text")).groupBy("doc_id", "role", "_h").agg(F.first("text").alias("text"))
+    chosen = bounded_sample(chosen, ["doc_id", "_h"], 2 * sample, 4, [F.col(c) for c in ("doc_id", "role", "text")])
+    rows = chosen.mapInArrow(_figures, "doc_id long, role int, x array<float>").orderBy("doc_id", F.xxhash64("x")).toArrow()
     if not rows.num_rows:
         return blank
-    x = np.array(rows.column("x").combine_chunks().flatten()).reshape(rows.num_rows, N_FEATURES)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, N_FEATURES).astype(np.float64)
     role = rows.column("role").to_numpy()
-    has = lambda k: (role >> k) & 1 == 1
-    if not has(1).any() or not has(2).any():
-        return blank
-    scorer = fit_positive_unlabelled(x[has(1)], x[has(2)], float(prior))
-    judged = has(3) | has(4)
-    return calibrate(scorer, x[judged], has(4)[judged].astype(float))
+    positive, unlabelled = x[role & 1 == 1], x[role & 2 == 2]
+    return fit(positive, unlabelled) if len(positive) and len(unlabelled) else blank
 
 
 def _scored(batches: Iterator[pa.RecordBatch], scorer: Scorer, name: str) -> Iterator[pa.RecordBatch]:
