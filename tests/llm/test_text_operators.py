@@ -414,7 +414,8 @@ def test_quality_odd(spark, odd_docs, no_docs):
 
 
 def test_licenses(spark, odd_docs, no_docs):
-    model = licenses.fit(["plain words of no licence at all " * 3, "the driver has a license and drives under the bridge", "Er thing on the and of"] * 50)
+    plain = ["plain words of no licence at all " * 3, "the driver has a license and drives under the bridge", "Er thing on the and of"] * 50
+    model = licenses.learn(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"))
     docs = spark.createDataFrame(
         [(1, "Some text here.\nReleased under the MIT License."), (2, "x\nLicensed under the Apache License, Version 2.0.\nReleased under the MIT License."), (3, "He showed his driving license."),
          (4, ("word " * 70) + "This work is licensed under the GNU General Public License, version 3. " + ("word " * 70)), (5, "Licensed under CC BY-NC 4.0."), (6, "")],
