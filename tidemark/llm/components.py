@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import staged
+from tidemark.llm.shared import discard, staged
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +57,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         larger = larger.where("u <> v").distinct()
         low = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        edges = staged(smaller.where("u <> v").distinct(), "links")
+        before, edges = edges, staged(smaller.where("u <> v").distinct(), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") < F.col("v"))).first()
         if now == seen:
             break
@@ -65,4 +66,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
+    out = staged(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    discard(edges)
+    return out

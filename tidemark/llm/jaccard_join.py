@@ -9,195 +9,215 @@ n-grams can have no partner; of the rest only the rarest few n-grams (prefix
 filter under the order rarest first) propose pairs.  For each proposed pair the
 fragments count partial overlaps separately, and the counts are summed.
 
-Equal sets are one set.  Proposals are made in rounds: each round links every
+Equal sets are one set once their n-grams are counted.  Proposals are made in rounds: each round links every
 set of an n-gram's group with the group's most common set and with its neighbour, verified
 links merge groups, and what has merged is not compared again.  A last round
-proposes every pair of one group that is still apart, so no link between
-different components is missed and yet no group emits all of its pairs.
+proposes the pairs of one group that are still apart and that sizes and places
+allow, so no link between different components is missed.  An n-gram with many
+rows is dealt into blocks, in every round.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
 from tidemark.llm.components import components
-from tidemark.llm.shared import buckets, partitions, staged
+from tidemark.llm.shared import buckets, discard, light, partitions, staged
 
-#: Shingles that a task gathers before it deals them out.
-_FLUSH = 1 << 20
-_DEALT = "bucket int, docs binary, sizes binary, digests binary, counts binary, keys binary, extra binary"
-_NAMES = ["bucket", "docs", "sizes", "digests", "counts", "keys", "extra"]
+#: Shingles, and sets, that a task gathers at most before it deals them out; a set's number takes 16 bits.
+_FLUSH, _SETS = 1 << 20, 1 << 15
+#: Rows of one n-gram that are never dealt into blocks.
+_LEAST_BLOCK = 1000
+#: Bits of a shared n-gram's number inside its fragment; the fragment's number stands above.
+_NUMBER = np.uint64(32)
+_DEALT = "bucket int, flush long, sizes binary, digests binary, keys binary, owners binary, extra binary"
+_NAMES = ["bucket", "flush", "sizes", "digests", "keys", "owners", "extra"]
 
 
-def _row(bucket: int, **parts: np.ndarray) -> list:
-    return [bucket, *(parts[k].tobytes() if k in parts else None for k in _NAMES[1:])]
+def _row(bucket: int, flush: int, **parts: np.ndarray) -> list:
+    return [bucket, flush, *(parts[k].tobytes() if k in parts else None for k in _NAMES[2:])]
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int32()] + [pa.binary()] * (len(_NAMES) - 1)
+    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * (len(_NAMES) - 2)
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
 
 
 def _six(keys: np.ndarray) -> np.ndarray:
-    """The low six bytes of each key; the fragment holds the high bits."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    """The low six bytes of sorted keys, byte by byte (the first ones compress well); the fragment holds the high bits."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 5::-1].T)
 
 
 def _eight(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out[:, 5::-1] = np.frombuffer(raw, np.uint8).reshape(6, -1).T
     return out.view("<u8").ravel()
 
 
+def _home_of(flush: int) -> int:
+    return -1 - int(textops.mix(np.array([flush], np.uint64))[0] >> np.uint64(34))
+
+
+def _digests(keys: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of each set, whatever the order of its n-grams."""
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(textops.mix(keys), dtype=np.uint64)])
+    end = np.cumsum(size)
+    return textops.mix((sums[end] - sums[end - size]) ^ (size.astype(np.uint64) << np.uint64(40)))
+
+
+_DOCUMENTS = "doc_id long, check long, digest long, n_shingles long"
+
+
+def _documents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Every document's set, by digest and size."""
+    for batch in batches:
+        for part, data, at in textops.blocks(batch, "text"):
+            keys, offsets = textops.shingle_sets(data, at, width)
+            size = np.diff(offsets)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("check"), pa.array(_digests(keys, size).view(np.int64)), pa.array(size.astype(np.int64))], names=["doc_id", "check", "digest", "n_shingles"])
+
+
 def _deal(batches: Iterator[pa.RecordBatch], n: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Documents to segments: one row per fragment and flush, and rows that carry the documents' identifiers to their set's home."""
+    """Sets to segments: a row per fragment and flush, and one that tells the flush's home whose sets these are.
+
+    A flush is some sets of one task in a row; a segment names its owners by
+    their number in it, so a shingle takes eight bytes however many fragments
+    there are.  Its number is the task's and its own count, the same whenever
+    the task runs again.
+    """
     shift = np.uint64(64 - n.bit_length() + 1)
+    task = TaskContext.get().partitionId() << 32
     held: list[tuple] = []
-    gathered = 0
+    gathered = done = 0
 
     def flush() -> pa.RecordBatch:
-        ids = np.concatenate([x[0] for x in held])
-        null = np.concatenate([x[1] for x in held])
-        keys = np.concatenate([x[2] for x in held])
-        size = np.concatenate([x[3] for x in held])
-        check = np.concatenate([x[4] for x in held])
+        keys = np.concatenate([x[0] for x in held])
+        size = np.concatenate([x[1] for x in held])
+        digest = _digests(keys, size)
         row = np.repeat(np.arange(len(size)), size)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(textops.mix(keys), dtype=np.uint64)])
-        end = np.cumsum(size)
-        digest = textops.mix((sums[end] - sums[end - size]) ^ (size.astype(np.uint64) << np.uint64(40)))
-        rows = []
-        home = (digest % np.uint64(n)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-            if len(part):
-                rows.append(_row(-1 - int(home[part[0]]), docs=ids[part], sizes=size[part].astype(np.uint32), digests=digest[part], counts=null[part], keys=check[part]))
-        once = np.zeros(len(digest), bool)
-        once[np.unique(digest, return_index=True)[1]] = True
-        keep = once[row]
-        keys, row = keys[keep], row[keep]
+        sets, once = np.unique(digest, return_index=True)
+        number = np.full(len(digest), -1)
+        number[once] = np.arange(len(once))
+        rows = [_row(_home_of(task + done), task + done, sizes=size[once].astype(np.uint32), digests=sets)]
+        keep = number[row] >= 0
+        keys, owner = keys[keep], number[row[keep]].astype(np.uint16)
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
         fragment = (keys >> shift).astype(np.int64)
-        order = np.argsort(fragment, kind="stable")
-        keys, row, fragment = keys[order], row[order], fragment[order]
         cut = np.flatnonzero(np.diff(fragment)) + 1
         for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(keys)), strict=True):
             if a < b:
-                first = np.flatnonzero(np.diff(row[a:b], prepend=-1))
-                rows.append(_row(int(fragment[a]), digests=digest[row[a:b][first]], counts=np.diff(np.append(first, b - a)).astype(np.uint32), keys=_six(keys[a:b])))
+                rows.append(_row(int(fragment[a]), task + done, keys=_six(keys[a:b]), owners=owner[a:b]))
         return _batch(rows)
 
     for batch in batches:
-        for part, data, at in textops.blocks(batch, "text"):
+        for _, data, at in textops.blocks(batch, "text"):
             keys, offsets = textops.shingle_sets(data, at, width)
-            column = part.column("doc_id")
-            held.append((column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), keys, np.diff(offsets), part.column("check").to_numpy()))
-            gathered += len(keys) + part.num_rows
-            if gathered >= _FLUSH:
-                yield flush()
-                held.clear()
-                gathered = 0
+            size = np.diff(offsets)
+            for a in range(0, len(size), _SETS):
+                part = size[a : a + _SETS]
+                if held and (gathered >= _FLUSH or sum(len(x[1]) for x in held) + len(part) > _SETS):
+                    yield flush()
+                    held.clear()
+                    gathered, done = 0, done + 1
+                held.append((keys[offsets[a] : offsets[a + len(part)]], part))
+                gathered += int(part.sum())
     if held:
         yield flush()
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of one bucket together; the rows come sorted by bucket."""
+    """Rows of one fragment, or of one flush at its home, together; the rows come sorted."""
     current, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if rows and row["bucket"] != current:
-                yield current, rows
+            key = row["bucket"] if row["bucket"] >= 0 else (row["bucket"], row["flush"])
+            if rows and key != current:
+                yield rows[0]["bucket"], rows
                 rows = []
-            current = row["bucket"]
+            current = key
             rows.append(row)
     if rows:
-        yield current, rows
+        yield rows[0]["bucket"], rows
 
 
-def _count(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Per fragment: how many sets hold each n-gram; tells each set's home which of its n-grams are shared."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per fragment: how many sets hold each n-gram; tells the flushes' homes which n-grams of their sets are shared."""
     for bucket, rows in _groups(batches):
         if bucket < 0:
             yield _batch([[r[k] for k in _NAMES] for r in rows])
             continue
-        digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in rows])
-        count = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows]).astype(np.int64)
         key = np.concatenate([_eight(r["keys"]) for r in rows])
+        owner = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in rows])
+        flushes = [r["flush"] for r in rows]
+        source = np.repeat(np.arange(len(rows)), [len(r["owners"]) // 2 for r in rows])
         rows.clear()
-        once = np.zeros(len(digest), bool)
-        once[np.unique(digest, return_index=True)[1]] = True
-        owner = np.repeat(np.arange(len(digest)), count)
-        keep = once[owner]
-        key, owner = key[keep], owner[keep]
         order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
+        key, owner, source = key[order], owner[order], source[order]
         head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
         many = np.diff(np.append(head, len(key)))
         shared = many >= 2
         number = np.repeat(np.cumsum(shared) - 1, many)
         held = np.repeat(many, many)
         keep = held >= 2
-        owner, number, held = owner[keep], number[keep], held[keep]
-        home = (digest[owner] % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((owner, home))
-        owner, number, held, home = owner[order], number[order], held[order], home[order]
-        cut = np.flatnonzero(np.diff(home)) + 1
+        owner, number, held, source = owner[keep], number[keep], held[keep], source[keep]
+        order = np.argsort(source, kind="stable")
+        owner, number, held, source = owner[order], number[order], held[order], source[order]
+        cut = np.flatnonzero(np.diff(source)) + 1
         out = []
-        for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(home)), strict=True):
+        for a, b in zip(np.concatenate([[0], cut]), np.append(cut, len(source)), strict=True):
             if a < b:
-                first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
-                ids = (number[a:b].astype(np.uint64)) | (np.uint64(bucket) << np.uint64(40))
-                out.append(_row(-1 - int(home[a]), digests=digest[owner[a:b][first]], counts=np.diff(np.append(first, b - a)).astype(np.uint32), keys=ids, extra=held[a:b].astype(np.uint32)))
+                flush = flushes[source[a]]
+                fragment = np.array([bucket], np.uint32)
+                out.append(_row(_home_of(flush), flush, sizes=fragment, owners=owner[a:b], keys=number[a:b].astype(np.uint32), extra=held[a:b].astype(np.uint32)))
         if out:
             yield _batch(out)
 
 
-_HOME = "doc_id long, check long, digest long, size int, common double, grams array<long>"
+_HOME = "digest long, size int, common double, grams array<long>"
 
 
 def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Per home: every document's set, and every set that has enough shared n-grams with these, rarest first."""
-    schema = pa.schema([("doc_id", pa.int64()), ("check", pa.int64()), ("digest", pa.int64()), ("size", pa.int32()), ("common", pa.float64()), ("grams", pa.list_(pa.int64()))])
+    """Per flush: every set that has enough shared n-grams, with these, rarest first."""
+    schema = pa.schema([("digest", pa.int64()), ("size", pa.int32()), ("common", pa.float64()), ("grams", pa.list_(pa.int64()))])
     for _, rows in _groups(batches):
-        own = [r for r in rows if r["docs"] is not None]
-        ids = np.concatenate([np.frombuffer(r["docs"], np.int64) for r in own])
-        null = np.concatenate([np.frombuffer(r["counts"], np.uint8) for r in own]) > 0
-        size = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in own])
-        digest = np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in own])
-        check = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in own])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), pa.array(check), pa.array(digest.view(np.int64)), pa.array(size.astype(np.int32)), pa.nulls(len(ids), pa.float64()), pa.nulls(len(ids), pa.list_(pa.int64()))], schema=schema)
-        told = [r for r in rows if r["docs"] is None]
-        rows = []
+        own = next(r for r in rows if r["digests"] is not None)
+        told = [r for r in rows if r["digests"] is None]
         if not told:
             continue
-        sets, at = np.unique(digest, return_index=True)
-        size = size[at].astype(np.int64)
-        owner = np.searchsorted(sets, np.repeat(np.concatenate([np.frombuffer(r["digests"], np.uint64) for r in told]), np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in told])))
-        gram = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in told])
+        sets, size = np.frombuffer(own["digests"], np.int64), np.frombuffer(own["sizes"], np.uint32).astype(np.int64)
+        owner = np.concatenate([np.frombuffer(r["owners"], np.uint16) for r in told]).astype(np.int64)
+        gram = np.concatenate([np.frombuffer(r["keys"], np.uint32).astype(np.uint64) | (np.frombuffer(r["sizes"], np.uint32).astype(np.uint64) << _NUMBER) for r in told])
         held = np.concatenate([np.frombuffer(r["extra"], np.uint32) for r in told])
-        told.clear()
         enough = 100 * np.bincount(owner, minlength=len(sets)) >= percent * size
         keep = enough[owner]
         owner, gram, held = owner[keep], gram[keep], held[keep]
+        if not len(owner):
+            continue
         order = np.lexsort((gram, held, owner))
         owner, gram, held = owner[order], gram[order], held[order]
         first = np.flatnonzero(np.diff(owner, prepend=-1))
         lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(owner)).astype(np.int32)), pa.array(gram.view(np.int64)))
         who = owner[first]
-        common = np.add.reduceat(held.astype(np.float64), first) / size[who] if len(first) else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(who), pa.int64()), pa.nulls(len(who), pa.int64()), pa.array(sets[who].view(np.int64)), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
+        common = np.add.reduceat(held.astype(np.float64), first) / size[who]
+        yield pa.RecordBatch.from_arrays([pa.array(sets[who]), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links among ``pairs(a, b)``: partial overlaps by fragment, summed per pair."""
-    first = segments.select(F.col("digest").alias("a"), "fragment", F.col("grams").alias("grams_a"), F.col("size").alias("size_a"))
-    second = segments.select(F.col("digest").alias("b"), "fragment", F.col("grams").alias("grams_b"), F.col("size").alias("size_b"))
+    """Links among a table of ``pairs(a, b)``: partial overlaps by fragment, summed per pair; only segments of proposed sets move."""
+    n = pairs.count()
+    of = lambda side: segments.join(light(pairs.select(F.col(side).alias("digest")).distinct(), n), "digest", "left_semi")
+    first = of("a").select(F.col("digest").alias("a"), "fragment", F.col("grams").alias("grams_a"), F.col("size").alias("size_a"))
+    second = of("b").select(F.col("digest").alias("b"), "fragment", F.col("grams").alias("grams_b"), F.col("size").alias("size_b"))
     part = (
         pairs.join(second, "b")
         .join(first, ["a", "fragment"])
@@ -226,61 +246,106 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 75, round
     return jaccard_groups(docs, width, percent, rounds, fragments).select("doc_id", "n_shingles", "component_id")
 
 
+def _segment(f: int, fragments: int, n: int) -> Column:
+    """Part ``f`` of a set's ``grams`` under their global order."""
+    return F.struct(F.lit(f).alias("fragment"), F.filter("grams", lambda g: F.floor(F.shiftright(g, 32) * fragments / n) == f).alias("grams"))
+
+
+def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of one n-gram in one block, of a hot one in ``blocks`` of them, by set."""
+    salt = F.pmod(F.xxhash64("digest"), F.coalesce("blocks", F.lit(1)))
+    return rows.join(F.broadcast(hot.select("gram", "blocks")), "gram", "left").withColumn("block", salt.cast("int"))
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: int = 2, fragments: int = 4) -> DataFrame:
     """The rows of :func:`jaccard_components` with two columns more: ``check``, the xxhash64 of the text (null: empty), and ``root``, the component whatever ids it has (null for an empty set)."""
     n = buckets(docs, "text")
     spread = partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check")).mapInArrow(partial(_deal, n=n, width=width), _DEALT)
-    dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket")
-    told = dealt.mapInArrow(partial(_count, n=n), _DEALT)
-    told = told.repartition(spread, "bucket").sortWithinPartitions("bucket")
-    homes = staged(told.mapInArrow(partial(_home, percent=percent), _HOME), "sets")
-    documents = homes.where("grams IS NULL").select("doc_id", "check", "digest", F.col("size").cast("long").alias("n_shingles"))
-    sets = homes.where("grams IS NOT NULL").select("digest", "size", "common", "grams")
+    texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"))
+    documents = staged(texts.mapInArrow(partial(_documents, width=width), _DOCUMENTS), "documents")
+    dealt = docs.select("text").mapInArrow(partial(_deal, n=n, width=width), _DEALT)
+    dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush")
+    told = dealt.mapInArrow(_count, _DEALT)
+    told = told.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush")
+    # equal sets of several flushes are one from here on
+    sets = told.mapInArrow(partial(_home, percent=percent), _HOME).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "common", "grams")))
+    sets = staged(sets, "sets")
 
     # The rarest grams propose: what a partner must share at least once, less the grams that nobody shares.
     # left: how many shared grams a set has from this one on; no overlap that begins here can be larger.
     proposing = F.greatest(F.lit(0), F.size("grams") - F.ceil(F.col("size") * percent / F.lit(100.0)).cast("int") + 1)
     prefix = sets.select("digest", "size", "common", F.size("grams").alias("shared"), F.posexplode(F.slice("grams", F.lit(1), proposing)).alias("rank", "gram"))
     prefix = staged(prefix.select("digest", "size", "common", "gram", (F.col("shared") - F.col("rank")).alias("left")), "prefixes")
-    fragment = F.floor(F.shiftright("gram", 40) * fragments / n).cast("int")
-    segments = staged(
-        sets.select("digest", "size", F.explode("grams").alias("gram")).groupBy("digest", "size", fragment.alias("fragment")).agg(F.collect_list("gram").alias("grams")),
-        "segments",
-    )
-    links = None
+    # segments: a set's n-grams cut by the global order, without moving any
+    cut = F.explode(F.array(*(_segment(f, fragments, n) for f in range(fragments)))).alias("s")
+    segments = staged(sets.select("digest", "size", cut).select("digest", "size", "s.*").where(F.size("grams") > 0), "segments")
+    discard(sets)
+    # n-grams with more rows than a block should hold: as many as there are blocks at most, so they may be sent everywhere
+    most = max(_LEAST_BLOCK, prefix.count() // (4 * spread))
+    hot = staged(prefix.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > most).select("gram", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "hot")
+
+    links = []
     roots = None
     for k in range(rounds + 1):
-        rows = prefix if roots is None else prefix.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        if roots is None:
-            rows = rows.withColumn("root", F.col("digest"))
-        apart = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram", "lo")
-        rows = rows.join(apart, "gram")
-        me = F.struct("digest", "size", "left", "root")
+        rows = prefix.withColumn("root", F.col("digest"))
+        if roots is not None:
+            # what has merged under an n-gram stays merged, so its rows are done
+            known = light(roots.select(F.col("node").alias("digest"), "root"), roots.count())
+            rows = prefix.select("digest", "size", "common", "gram", "left").join(known, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+            apart = staged(rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "apart")
+            rows = staged(rows.join(light(apart, apart.count()), "gram", "left_semi"), "rows")
+            discard(prefix, apart)
+            prefix = rows
+        # the set with the most common grams is the likely hub of its group; later rounds try others
+        hub = F.col("common") if k == 0 else F.xxhash64("digest", F.lit(k)).cast("double")
+        rows = rows.select("gram", "digest", F.struct(hub.alias("order"), "digest", "size", "left", "root").alias("me"))
         if k < rounds:
-            # the set with the most common grams is the likely hub of its group; later rounds try others
-            hub = F.desc("common") if k == 0 else F.xxhash64("digest", F.lit(k))
-            order = Window.partitionBy("gram").orderBy(hub, "digest")
-            near = rows.withColumn("me", me).select("me", F.first("me").over(order).alias("head"), F.lag("me").over(order).alias("before"))
-            pairs = near.select("me", F.explode(F.array("head", "before")).alias("other")).where("other IS NOT NULL")
+            order = Window.partitionBy("gram", "block").orderBy(F.desc("me"))
+            near = _dealt(rows, hot).select("gram", "me", F.first("me").over(order).alias("head"), F.lag("me").over(order).alias("before"))
+            heads = rows.join(F.broadcast(hot), "gram", "left_semi").groupBy("gram").agg(F.max("me").alias("hub"))
+            near = near.join(F.broadcast(heads), "gram", "left")
+            pairs = near.select("me", F.explode(F.array_distinct(F.array("head", "before", "hub"))).alias("other")).where("other IS NOT NULL")
         else:
-            most = rows.groupBy("gram", "root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("most"))
-            few = rows.join(most, "gram").where("root <> most").select("gram", me.alias("me"))
-            pairs = few.join(rows.select("gram", me.alias("other")), "gram")
-        pairs = (
-            pairs.where("me.root <> other.root")
-            .where(f"{100 + percent} * least(me.left, other.left) >= {percent} * (me.size + other.size)")
-            .where(f"100 * least(me.size, other.size) >= {percent} * greatest(me.size, other.size)")
+            pairs = _all_pairs(rows, hot, percent)
+        pairs = staged(
+            pairs.where("me.root <> other.root").where(_may_link("me", "other", percent))
             .select(F.least("me.digest", "other.digest").alias("a"), F.greatest("me.digest", "other.digest").alias("b"))
-            .distinct()
+            .distinct(),
+            "pairs",
         )
         found = staged(_verified(pairs, segments, percent), "links")
-        links = found if links is None else links.union(found)
-        if found.isEmpty() and (k < rounds or roots is not None):
+        discard(pairs)
+        links.append(found)
+        if roots is not None and found.isEmpty():
             continue
-        roots = components(links)
-    low = documents.where("n_shingles > 0").join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    low = low.groupBy(F.coalesce("root", "digest").alias("root")).agg(F.min("doc_id").alias("component_id"))
-    rooted = documents.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left")
-    rooted = rooted.withColumn("root", F.when(F.col("n_shingles") > 0, F.coalesce("root", "digest")))
-    return rooted.join(low, "root", "left").select("doc_id", "check", "n_shingles", "root", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        before, roots = roots, components(reduce(DataFrame.union, links))
+        discard(before)
+    discard(prefix, segments, hot, *links)
+
+    # a component's smallest id: by set first, then by component, then back; each step's input is a table, so that a skewed key's rows may be split
+    own = documents.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    own = staged(own.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left"), "own")
+    low = staged(own.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least")), "least")
+    named = staged(own.join(low, "root", "left").select("digest", F.coalesce("root", "digest").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "components")
+    discard(roots, own, low)
+    return documents.join(named, "digest", "left").select("doc_id", "check", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """Whether sizes and the n-grams left from the shared one on allow a link."""
+    return f"{100 + percent} * least({a}.left, {b}.left) >= {percent} * ({a}.size + {b}.size) AND 100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size)"
+
+
+def _all_pairs(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components of one n-gram that sizes and places allow, but for those inside its most common component.
+
+    Partners differ in size by less than a band, so only sets of the same band
+    or the next meet; a hot n-gram's rows meet in blocks.
+    """
+    band = F.floor(F.log("me.size") / math.log(100 / percent) + 1e-9).cast("int")
+    most = rows.groupBy("gram", "me.root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    apart = staged(most.where("roots > 1").select("gram", "most"), "apart")
+    rows = rows.join(apart, "gram").withColumn("band", band)
+    few = _dealt(rows.where("me.root <> most"), hot).select("gram", "block", "me", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
+    wide = rows.join(F.broadcast(hot), "gram", "left").select("gram", "band", F.col("me").alias("other"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
+    return few.join(wide, ["gram", "band", "block"]).where("me.root <> other.root")
