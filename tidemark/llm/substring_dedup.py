@@ -47,7 +47,6 @@ _SORT_BYTES, _GATHER_BYTES = 1 << 20, 12 << 20
 _PARTS = ((64, 2), (2048, 8))
 
 _U64 = np.uint64
-_LOW = _U64((1 << 24) - 1)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -65,15 +64,11 @@ def _windows(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
     hashed = textops.gram_hash(data, GRAM)
     row_end = np.repeat(at[1:], np.diff(at))
     hashed |= np.where(np.arange(GRAM, n + GRAM) > row_end[:n], ~_U64(0), _U64(0))
-    hashed |= _LOW
-    hashed -= np.arange(n, dtype=np.uint64) & _LOW  # of equal hashes, the rightmost
-    least = textops.sliding_min(hashed, length - GRAM + 1)
+    least = textops.rightmost_least(hashed, length - GRAM + 1)
     window = np.flatnonzero(np.arange(length, len(least) + length) <= row_end[: len(least)])
     if not len(window):
         return (np.zeros(0, np.int64),) * 3
-    back = (_LOW - (least[window] & _LOW)).astype(np.int64)
-    anchor = (window & ~int(_LOW)) | back
-    anchor[anchor < window] += int(_LOW) + 1
+    anchor = least[window]
     fresh = np.ones(len(window), bool)
     fresh[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
     start = np.flatnonzero(fresh)

@@ -111,6 +111,18 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - step)], x[width - step :]) if step < width else x
 
 
+def rightmost_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each window's values stands (compared by their upper 40 bits; of equal ones, the last), by window start."""
+    low = _U64((1 << 24) - 1)
+    out = np.empty(max(0, len(x) - width + 1), np.int64)
+    step = 1 << 23  # places of a step fit the lower bits, however long the text
+    for a in range(0, len(out), step):
+        part = x[a : a + step + width - 1]
+        least = sliding_min((part | low) - np.arange(len(part), dtype=np.uint64), width)
+        out[a : a + len(least)] = a + (low - (least & low)).astype(np.int64)
+    return out
+
+
 def ascii_lower(data: np.ndarray) -> np.ndarray:
     """A-Z lower-cased, every other byte as it is."""
     return _LOWER[data]

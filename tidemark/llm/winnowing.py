@@ -24,8 +24,7 @@ from tidemark.llm import textops
 from tidemark.llm.shared import id_order, partitions
 
 GRAM, WINDOW = 16, 32
-_LOW = np.uint64((1 << 24) - 1)
-#: Rows of a batch that are looked at together may not pass this many bytes: positions in a block have 24 bits.
+#: Bytes of text that are looked at together.
 _BLOCK = 2 << 20
 
 
@@ -39,17 +38,14 @@ def chosen(data: np.ndarray, at: np.ndarray, k: int = GRAM, window: int = WINDOW
     # windows at a text's start may hold fewer grams only if the text has no more: pad by comparing inside the text
     row_of = np.repeat(rows, size)[:n]
     inside = np.arange(n) + k <= at[row_of + 1]
-    key = (hashed | _LOW) - (np.arange(n, dtype=np.uint64) & _LOW)
-    key[~inside] = ~np.uint64(0)
-    least = textops.sliding_min(key, window)
+    key = np.where(inside, hashed, ~np.uint64(0))
+    least = textops.rightmost_least(key, window)
     full = np.flatnonzero(np.arange(len(least)) + window + k - 1 <= at[np.repeat(rows, size)[: len(least)] + 1])
-    base = full & ~int(_LOW)
-    place = base | (_LOW - (least[full] & _LOW)).astype(np.int64)
-    place[place < full] += int(_LOW) + 1
+    place = least[full]
     short = np.flatnonzero((grams > 0) & (grams < window))
     extra = []
     for r in short.tolist():
-        own = key[at[r] : at[r] + grams[r]]
+        own = key[at[r] : at[r] + grams[r]] >> np.uint64(24)
         extra.append(at[r] + int(len(own) - 1 - np.argmin(own[::-1])))
     tiny = np.flatnonzero((grams == 0) & (size > 0))
     fresh = np.ones(len(place), bool)
