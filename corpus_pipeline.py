@@ -22,9 +22,17 @@ LEAST_SCORE = 0.3
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the positive-unlabelled classifier rejects."""
+    """Drops documents that the positive-unlabelled classifier rejects.
+
+    Null and empty texts are judged like any other, repeated rows alike, and
+    null ids are no hindrance; columns pass through whatever their names.  An
+    empty table stays empty.
+    """
     scorer = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_documents(docs, scorer, "_score").where(F.col("_score") >= LEAST_SCORE).drop("_score")
+    name = "_score"
+    while name in docs.columns:
+        name += "_"
+    return score_documents(docs, scorer, name).where(F.col(name) >= LEAST_SCORE).drop(name)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,32 +41,49 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document is a doc_id and a text: rows that repeat both are one, and one
     of them stays; rows without an id, or that repeat one with another text,
     are documents like any other.  Of equal ids in a group the text with the
-    smallest hash stays.  Texts without words are near copies of nothing.
+    smallest hash stays.  Texts without words are near copies of nothing.  An
+    empty table stays empty; other columns pass through whatever their names.
     """
     groups = jaccard_groups(docs).select(F.col("doc_id").isNull().alias("_null"), id_order("doc_id").alias("_id"), F.col("check").alias("_text"), "root")
     own = F.struct("_null", "_id", "_text")
     best = groups.where("root IS NOT NULL").groupBy("root").agg(F.min(own).alias("own")).select("own.*")
     kept = best.union(groups.where("root IS NULL").select("_null", "_id", "_text").distinct())
-    rows = docs.withColumns({"_null": F.col("doc_id").isNull(), "_id": id_order("doc_id"), "_text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # the row goes as one column, so that its own names clash with nothing
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("_null"), id_order("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
     # the rows stand by these keys already, so dropping repeats moves nothing
     keys = ["_null", "_id", "_text"]
-    return rows.join(kept.hint("shuffle_hash"), keys).dropDuplicates(keys).select(*docs.columns)
+    return row.join(kept.hint("shuffle_hash"), keys).dropDuplicates(keys).select("row.*")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out every 100-byte string that also starts earlier; a document with nothing left goes."""
+    """Cuts out every 100-byte string that also starts earlier; a document with nothing left goes.
+
+    A null or empty text stays as it is, and so do rows that repeat an id and a
+    text, as neither is earlier; null ids stand before all others.  An empty
+    table stays empty; other columns pass through, ``n_chars`` is counted anew.
+    """
     cut = remove_repeats(docs, with_text=True).where("n_removed = 0 OR kept <> ''")
     columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return cut.select(*(columns[c].alias(c) if c in columns else F.col(f"row.{c}") for c in docs.columns))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that leak a benchmark item."""
+    """Drops documents that leak a benchmark item.
+
+    Null and empty texts leak nothing; repeated rows go or stay alike; null ids
+    are no hindrance.  An empty table or benchmark drops nothing; other columns
+    pass through whatever their names.
+    """
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of 4096 ids."""
+    """Packs what is left into sequences of 4096 ids.
+
+    A null text is an empty one (its end mark alone); repeated rows are packed
+    each; a null id stays null.  An empty table gives no pieces; other columns
+    are left out.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
