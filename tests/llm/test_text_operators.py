@@ -61,8 +61,30 @@ def test_shards_round_trip_and_versions(spark, some_docs, tmp_path):
     assert sorted(texts(store.read(first))) == [r for r in whole if r[0] % 2 == 0]
     with pytest.raises(shards.Conflict):
         store.commit(store.manifest(), store.versions()[-1])
-    assert store.vacuum() > 0
-    assert sorted(texts(store.read())) == whole
+    assert store.vacuum() == 0 and store.vacuum(lease=0) == 0  # young, then named by the version before the last
+    store.append(some_docs.limit(1), 10)
+    late = shards.ShardStore(spark, store.root)
+    late._written(some_docs.limit(2), 99)
+    assert store.vacuum(lease=0) > 0
+    assert len(list(store._context.util().listStatus(store._path("intents")))) == 1
+    assert late.vacuum(lease=0, abandoned=0) == 1  # the writer that never came back
+    assert sorted(texts(store.read())) == sorted([*whole, *texts(some_docs.limit(1))])
+
+
+def test_stored_documents_by_brute_force(spark):
+    """Every row once, every shard in the tier of its size, and no tier below half the target left full."""
+    import os
+
+    rows = queries.op1_sharding_size_tiered(spark, SMALL).collect()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    want = Counter((d.doc_id, len(d.text.encode()), hashlib.sha256(d.text.encode()).hexdigest(), d.lang, d.source, d.n_chars) for d in docs)
+    assert Counter(tuple(r)[:6] for r in rows) == want
+    kept = {r.shard: (r.shard_bytes, r.tier) for r in rows}
+    tier = lambda n: 0 if n < 1 << 20 else int(np.log(n / (1 << 20)) / np.log(4) + 1e-12) + 1
+    assert all(t == tier(n) for n, t in kept.values())
+    assert max(Counter(t for n, t in kept.values() if n < 64 << 20).values()) < 4
+    assert len({r.version for r in rows}) == 1 and rows[0].version > 5  # five arrivals, and merges
+    assert len({r.shard for r in rows}) < 5 and os.path.basename(rows[0].shard) == rows[0].shard
 
 
 def test_shards_odd(odd_docs, no_docs):

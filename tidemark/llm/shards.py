@@ -6,18 +6,20 @@ shards they are merged into files of the target size.  A version is a manifest
 (the shards that make up the store); it comes into being by one atomic rename
 that fails if the version exists, so writers that race see a conflict and
 readers see a whole version or none.  Files are never changed, and go only
-once no kept version names them.
+once no kept version names them, no writer has announced them, and their lease
+is over.
 """
 
 from __future__ import annotations
 
 import math
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import new_path
+from tidemark.llm.shared import light, new_path
 
 _MANIFEST = "path string, rows long, bytes long, tier int, since long"
 
@@ -27,11 +29,12 @@ class Conflict(Exception):
 
 
 class ShardStore:
-    """A store under ``root``: ``shards/``, ``manifests/`` and one small file per version in ``versions/``."""
+    """A store under ``root``: ``shards/``, ``manifests/``, one small file per version in ``versions/``, and one in ``intents/`` per folder of shards that is not committed yet."""
 
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, least_bytes: int = 1 << 20, fanout: int = 4):
         self.spark, self.root, self.target, self.least, self.fanout = spark, root, target_bytes, least_bytes, fanout
         self._files = spark._jvm.org.apache.hadoop.fs
+        self._announced: list[str] = []
         self._context = self._files.FileContext.getFileContext(self._files.Path(root).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, *parts: str):
@@ -63,12 +66,7 @@ class ShardStore:
         path = f"{self.root}/manifests/{uuid.uuid4().hex}"
         shards.write.parquet(path)
         draft = self._path("versions", f".{uuid.uuid4().hex}")
-        flags = self.spark._jvm.java.util.EnumSet.of(self._files.CreateFlag.CREATE)
-        options = self.spark.sparkContext._gateway.new_array(self._files.Options.CreateOpts, 1)
-        options[0] = self._files.Options.CreateOpts.createParent()
-        stream = self._context.create(draft, flags, options)
-        stream.write(path.encode())
-        stream.close()
+        self._put(draft, path)
         rename = self.spark.sparkContext._gateway.new_array(getattr(self._files.Options, "Rename"), 1)
         rename[0] = getattr(self._files.Options, "Rename").NONE
         try:
@@ -78,16 +76,33 @@ class ShardStore:
                 self._context.delete(draft, False)
                 raise Conflict(f"version {version} exists") from failed
             raise
+        while self._announced:
+            self._context.delete(self._path("intents", self._announced.pop()), False)
+
+    def _put(self, path, text: str) -> None:
+        """Creates a small file."""
+        flags = self.spark._jvm.java.util.EnumSet.of(self._files.CreateFlag.CREATE)
+        options = self.spark.sparkContext._gateway.new_array(self._files.Options.CreateOpts, 1)
+        options[0] = self._files.Options.CreateOpts.createParent()
+        stream = self._context.create(path, flags, options)
+        stream.write(text.encode())
+        stream.close()
 
     def _written(self, rows: DataFrame, version: int, most_rows: int = 0) -> DataFrame:
         """Writes rows as new shards, a file per partition (or per ``most_rows`` rows), and describes them."""
-        path = f"{self.root}/shards/{uuid.uuid4().hex}"
+        folder = uuid.uuid4().hex
+        path = f"{self.root}/shards/{folder}"
+        self._put(self._path("intents", folder), "")
+        self._announced.append(folder)
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", most_rows).parquet(path)
         files = self.spark.read.parquet(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
-        tier = F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / self.least) / math.log(self.fanout)) + 1).cast("int")
-        return files.groupBy("path", "bytes").agg(F.count("*").alias("rows")).select("path", "rows", "bytes", tier.alias("tier"), F.lit(version).cast("long").alias("since"))
+        return files.groupBy("path", "bytes").agg(F.count("*").alias("rows")).select("path", "rows", "bytes", self._tier().alias("tier"), F.lit(version).cast("long").alias("since"))
 
-    def append(self, rows: DataFrame, most_rows: int = 2000) -> int:
+    def _tier(self) -> Column:
+        """0 below the least size, then one more for each ``fanout`` times of it."""
+        return F.greatest(F.lit(0), F.floor(F.log(F.col("bytes") / self.least) / math.log(self.fanout)) + 1).cast("int")
+
+    def append(self, rows: DataFrame, most_rows: int = 50_000) -> int:
         """Adds an arrival as small shards of at most ``most_rows`` rows and returns the new version."""
         version = (self.versions() or [0])[-1] + 1
         self.commit(self.manifest().unionByName(self._written(rows, version, most_rows)), version)
@@ -133,39 +148,51 @@ class ShardStore:
             raise ValueError("the version has no rows")
         return self.spark.read.parquet(*paths)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes folders of shards that none of the last ``keep`` versions names; returns how many."""
+    def vacuum(self, keep: int = 2, lease: float = 3600, abandoned: float = 7 * 86400) -> int:
+        """Deletes folders of shards that none of the last ``keep`` versions (two at least) names; returns how many.
+
+        A folder younger than ``lease`` seconds stays, and so does one that a
+        writer has announced, unless that was ``abandoned`` seconds ago.  A
+        reader must be done, or read again, within the lease of the version
+        after the next.
+        """
         named = None
-        for v in self.versions()[-keep:]:
+        for v in self.versions()[-max(2, keep) :]:
             own = self.manifest(v).select(F.element_at(F.split("path", "/"), -2).alias("folder"))
             named = own if named is None else named.union(own)
         live = {r.folder for r in named.distinct().toLocalIterator()} if named is not None else set()
+        now = time.time() * 1000
+        announced = self._context.util().listStatus(self._path("intents")) if self._context.util().exists(self._path("intents")) else []
+        live |= {i.getPath().getName() for i in announced if i.getModificationTime() > now - abandoned * 1000}
         gone = 0
         for status in self._context.util().listStatus(self._path("shards")):
-            if status.getPath().getName() not in live:
+            if status.getPath().getName() not in live and status.getModificationTime() <= now - lease * 1000:
                 gone += bool(self._context.delete(status.getPath(), True))
         return gone
 
 
-def arrive_and_compact(docs: DataFrame, arrivals: int = 3, most_rows: int = 2000, target_bytes: int = 128 << 20) -> DataFrame:
+def arrive_and_compact(docs: DataFrame, arrivals: int = 5, most_rows: int = 50_000, target_bytes: int = 128 << 20) -> DataFrame:
     """Rows of ``docs`` stored in several arrivals with compaction after each, and read back.
 
-    One row per document: its columns, and ``shard, shard_bytes`` (the file it
-    came from) and ``version`` (the manifest read); a column of those names in
-    ``docs`` gives way.  Arrivals are dealt by a hash of the id and the text,
-    so no id or copy makes one of them large beyond its rows.  Nulls, empty and
-    long texts and repeated rows are stored as they are.  An empty table gives
-    an empty result.
+    One row per document: its columns, and ``shard, shard_bytes, tier`` (the
+    file it came from and that file's place in the manifest) and ``version``
+    (the manifest read); a column of those names in ``docs`` gives way.
+    Arrivals are dealt by a hash of the row, so no id or copy makes one of them
+    large beyond its rows.  Nulls, empty and long texts and repeated rows are
+    stored as they are.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    docs = docs.drop("shard", "shard_bytes", "version")
+    docs = docs.drop("shard", "shard_bytes", "tier", "version")
     store = ShardStore(spark, new_path(spark, "store"), target_bytes)
     deal = F.pmod(F.xxhash64(*docs.columns), F.lit(arrivals))
     for k in range(arrivals):
         store.append(docs.where(deal == k), most_rows)
         if store.compact() is not None:
-            store.vacuum()
+            store.vacuum(lease=0)  # nobody else knows this store
     version = store.versions()[-1]
     if store.manifest(version).isEmpty():
-        return docs.limit(0).select("*", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
-    return store.read(version).select("*", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"), F.lit(version).cast("long").alias("version"))
+        return docs.limit(0).select("*", F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).alias("tier"), F.lit(version).cast("long").alias("version"))
+    # what is not in the manifest with its size and tier gets no shard
+    known = store.manifest(version).select(F.element_at(F.split("path", "/"), -1).alias("shard"), F.col("bytes").alias("shard_bytes"), "tier")
+    rows = store.read(version).select("*", F.col("_metadata.file_name").alias("shard"), F.lit(version).cast("long").alias("version"))
+    return rows.join(light(known, known.count()), "shard", "left").select(*docs.columns, "shard", "shard_bytes", "tier", "version")

@@ -41,7 +41,3 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
   CASE WHEN n >= 100 AND k > 1 THEN f END AS refers_to
 FROM r
 """
-
-STORED_DOCUMENTS = """
-SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, lang, source, n_chars, true AS in_shard FROM documents
-"""
