@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tests.conftest import SMALL
-from tidemark.operators import bars, crossval, fracdiff, labels, series, weights
+from tidemark.operators import bars, crossval, fracdiff, importance, labels, series, weights
 from tidemark.sources import trades
 from tidemark.sources.tapes import DAY, tape_events
 
@@ -152,9 +152,102 @@ def test_ffd_identity_and_difference(spark):
     assert step == [float(2 * i - 1) for i in range(1, 30)]
 
 
-def test_adf_tables():
-    assert abs(fracdiff.adf_critical_5(10_000) + 2.862) < 1e-3
-    assert abs(fracdiff.adf_p_value(-2.86) - 0.05) < 2e-3
+def test_adf_tables(spark):
+    from pyspark.sql import functions as F
+
+    rows = frame(spark, [(-2.86, 10_000.0), (-3.0, 50.0), (-1.0, 50.0), (0.5, 50.0), (3.0, 50.0), (-20.0, 50.0)], "stat double, n double")
+    got = rows.select(fracdiff.p_value(F.col("stat")).alias("p"), fracdiff.critical_5(F.col("n")).alias("c")).collect()
+    assert abs(got[0].c + 2.862) < 1e-3 and abs(got[1].c + 2.9217) < 1e-3  # published finite-sample values
+    assert abs(got[0].p - 0.05) < 2e-3
+    # published p-values of the same surface: -3.0 gives 0.0349, -1.0 gives 0.7532, 0.5 gives 0.9849
+    assert [round(r.p, 3) for r in got[1:4]] == [0.035, 0.753, 0.985] and [r.p for r in got[4:]] == [1.0, 0.0]
+
+
+def test_expanding_by_brute_force(spark):
+    rng = np.random.default_rng(0)
+    x = {"a": rng.normal(size=230), "b": rng.normal(size=90)}
+    rows = [(s, i, None if i in (5, 80) else float(v)) for s, xs in x.items() for i, v in enumerate(xs)]
+    got = {(r.symbol, r.us): r.fd for r in fracdiff.fracdiff_expanding(frame(spark, rows, "symbol string, us long, x double"), "x", 0.4, 0.1).collect()}
+    want = {}
+    for s, xs in x.items():
+        xs = pd.Series([v for k, i, v in rows if k == s]).ffill().to_numpy(float)
+        w = np.array(fracdiff.weights(0.4, len(xs)))
+        skip = fracdiff.skipped(0.4, len(xs), 0.1)
+        lost = np.cumsum(np.abs(w[::-1])) / np.abs(w).sum()
+        assert skip == (lost > 0.1).sum()
+        want |= {(s, i): float(np.dot(w[: i + 1], xs[i::-1])) for i in range(skip, len(xs)) if i not in (5, 80)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_blocks_of_an_expanding_difference_add_up():
+    rng = np.random.default_rng(1)
+    n, size = 2 * fracdiff._EXPANDING_BLOCK + 900, fracdiff._EXPANDING_BLOCK
+    x = rng.normal(size=n)
+    w = np.array(fracdiff.weights(0.3, n))
+    blocks = [x[i : i + size] for i in range(0, n, size)]
+    pairs = pd.DataFrame([("a", i, j, n, blocks[i]) for i in range(3) for j in range(i, 3)], columns=["symbol", "block", "target", "n", "xs"])
+    total = np.zeros(n)
+    for r in pd.concat(fracdiff._block_sums(iter([pairs]), 0.3, 0.01)).itertuples():
+        total[r.target * size : r.target * size + len(r.sums)] += r.sums
+    for p in [0, 1, size - 1, size, size + 1, 2 * size, n - 1]:
+        assert abs(total[p] - np.dot(w[: p + 1], x[p::-1])) < 1e-8
+
+
+@pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}, {"spark.sql.adaptive.enabled": "false"}])
+def test_positions_are_a_permutation(spark, settings):
+    before = {k: spark.conf.get(k, None) for k in [*settings, "spark.sql.shuffle.partitions"]}
+    try:
+        for k, v in {**settings, "spark.sql.shuffle.partitions": "64"}.items():
+            spark.conf.set(k, v)
+        rows = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet")
+        got = crossval.positions(rows, ["l_shipdate", "l_orderkey", "l_linenumber"])
+        n = rows.count()
+        low, high, count, kinds, pairs = got.selectExpr("min(pos)", "max(pos)", "count(*)", "count(DISTINCT pos)", "count(DISTINCT l_orderkey, l_linenumber)").first()
+        assert (low, high, count, kinds) == (0, n - 1, n, n) and pairs == rows.select("l_orderkey", "l_linenumber").distinct().count()
+        # numbers follow the order
+        assert got.selectExpr("l_shipdate", "lag(l_shipdate) OVER (PARTITION BY pos div 5000 ORDER BY pos) AS before").where("before > l_shipdate").count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_permuted_keeps_every_row(spark):
+    rows = spark.range(50_000).selectExpr("id AS sample", "id * 2 AS f", "id * 3 AS g")
+    got = importance.permuted(rows, "f", 1)
+    assert got.count() == 50_000 and got.select("f").distinct().count() == 50_000
+    assert 0 < got.where("f = sample * 2").count() < 100 and got.where("g <> sample * 3").count() == 0
+
+
+def test_running_figures_in_two_levels(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators.running import blocked, running, unblocked
+    import tidemark.operators.running as module
+
+    rng = np.random.default_rng(3)
+    rows = [(s, int(t), None if rng.random() < 0.4 else int(rng.integers(0, 50))) for s in "ab" for t in sorted(rng.choice(40 * DAY, 200, replace=False).tolist())]
+    data = pd.DataFrame(rows, columns=["symbol", "us", "v"]).sort_values(["symbol", "us"])
+    got = running(frame(spark, rows, "symbol string, us long, v long"), ["us"], {"s": ("sum", F.col("v")), "m": ("max", F.col("v")), "l": ("last", F.col("v"))}).toPandas().sort_values(["symbol", "us"])
+    by = data.groupby("symbol").v
+    for name, want in (("s", by.transform(lambda x: x.fillna(0).cumsum())), ("m", by.transform(lambda x: x.cummax().ffill())), ("l", by.transform(lambda x: x.ffill()))):
+        assert np.allclose(got[name].fillna(0).to_numpy(float), want.fillna(0).to_numpy(float)), name
+    before = running(frame(spark, rows, "symbol string, us long, v long"), ["us"], {"l": ("last", F.col("v"))}, before=True).toPandas().sort_values(["symbol", "us"])
+    assert np.allclose(before.l.fillna(-1).to_numpy(float), data.groupby("symbol").v.transform(lambda x: x.ffill().shift()).fillna(-1).to_numpy(float))
+    size, module.BLOCK_ROWS = module.BLOCK_ROWS, 16
+    try:
+        rows_, w = blocked(frame(spark, rows, "symbol string, us long, v long"), 3)
+        lagged = unblocked(rows_.withColumn("x", F.lag("us", 3).over(w)), 3).toPandas().sort_values(["symbol", "us"])
+        assert len(lagged) == len(data) and np.allclose(lagged.x.fillna(0).to_numpy(float), data.groupby("symbol").us.shift(3).fillna(0).to_numpy(float))
+    finally:
+        module.BLOCK_ROWS = size
+
+
+def test_purge_by_running_maximum(spark):
+    rng = np.random.default_rng(5)
+    spans = lambda n: [(i, int(a), int(a + rng.integers(0, 3 * DAY))) for i, a in enumerate(rng.integers(0, 60 * DAY, n))]
+    train, tests = spans(300), spans(12)
+    got = {r.sample for r in crossval.purge_train(frame(spark, train, "sample long, t0 long, t1 long"), frame(spark, tests, "sample long, t0 long, t1 long")).collect()}
+    assert got == {i for i, a, b in train if not any(a <= y and b >= x for _, x, y in tests)} and 0 < len(got) < 300
 
 
 def test_no_training_row_meets_its_test_span(spark):
@@ -208,14 +301,108 @@ def test_stream_equals_batch_over_batches(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(t.iloc[k * 333 : (k + 1) * 333 if k < 2 else None]).selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     # micro-batches follow modification time, so each file is one step forward
-    stream = streams.trade_stream(spark, str(tmp_path / "in"), 1)
-    got = streams._drained(spark, streams.value_bars(stream, 300_000), "append", ["symbol", "bar_index"]).toPandas()
+    stream = lambda: streams.trade_stream(spark, str(tmp_path / "in"), 1)
+    got = streams._drained(spark, streams.value_bars(stream(), {"dollar": ("dollar", 300_000)}), "append", ["kind", "symbol", "bar_index"]).where("value * 2 >= threshold").toPandas()
     whole = bars.value_bars_whole(tape_events(spark, SMALL), "dollar", 300_000).toPandas()
-    last = {s: p.dollar.sum() // 300_000 for s, p in tape_events(spark, SMALL).toPandas().groupby("symbol")}
-    whole = whole[[r.bar_index < last[r.symbol] for r in whole.itertuples()]]
     key = ["symbol", "bar_index"]
     assert got.sort_values(key)[[*key, "open", "close", "dollar"]].values.tolist() == whole.sort_values(key)[[*key, "open", "close", "dollar"]].values.tolist()
 
+    hits = streams._drained(spark, streams.cusum_events(stream(), 2.5), "append", ["symbol", "us"]).toPandas()
+    rows = tape_events(spark, SMALL).selectExpr("symbol", "us", "price", "ln(price) AS x", "2.5D AS h")
+    want = series.cusum(rows, "x", "h").toPandas()
+    assert hits.sort_values(["symbol", "us"])[["symbol", "us", "direction"]].values.tolist() == want.sort_values(["symbol", "us"])[["symbol", "us", "direction"]].values.tolist()
+
+    with pytest.raises(Exception, match="comes in parts or late"):  # files that cut days
+        streams._drained(spark, streams.adaptive_bars(stream(), "dollar", 12), "append", ["symbol", "bar_id"])
+
+
+def test_adaptive_stream_by_days(spark, tmp_path):
+    from tidemark.streaming import bars as streams
+
+    t = spark.read.parquet(f"{SMALL}/events.parquet").toPandas().sort_values("ts")
+    for _, part in t.groupby(t.ts.dt.date.astype(str).str[:9]):  # ten days or fewer to a file
+        spark.createDataFrame(part).selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.trade_stream(spark, str(tmp_path / "in"), 1)
+    got = streams._drained(spark, streams.adaptive_bars(stream, "dollar", 12), "append", ["symbol", "bar_id"]).where("value * 2 >= target").toPandas()
+    want = bars.adaptive_bars(tape_events(spark, SMALL), "dollar", 12).toPandas()
+    key = ["symbol", "bar_id"]
+    assert got.sort_values(key)[[*key, "us", "open", "close", "target", "value"]].values.tolist() == want.sort_values(key)[[*key, "us", "open", "close", "target", "value"]].values.tolist()
+
+
+def test_out_of_order_batches_raise(spark, tmp_path):
+    from tidemark.streaming import bars as streams
+
+    t = spark.read.parquet(f"{SMALL}/events.parquet").toPandas().sort_values("ts")
+    for part in (t.iloc[500:], t.iloc[:500]):
+        spark.createDataFrame(part).selectExpr("event_id", "CAST(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.trade_stream(spark, str(tmp_path / "in"), 1)
+    with pytest.raises(Exception, match="come after"):
+        streams._drained(spark, streams.value_bars(stream, {"dollar": ("dollar", 300_000)}), "append", ["kind", "symbol", "bar_index"])
+
+
+def test_raw_round_trip_and_coverage(spark, tmp_path):
+    folder = f"file://{tmp_path}/raw"
+    tape = frame(spark, [("x", 1, 5_000_000, 10, 2, 20), ("x", 2, DAY + 7_000_000, 11, 1, 11), ("y", 1, 9_000_000, 3, 1, 3)], "symbol string, trade_id long, us long, price long, qty long, dollar long")
+    assert trades.write_raw(tape, folder).count() == 3
+    from pyspark.sql import functions as F
+
+    raw = trades.read_raw(spark, folder)
+    back = trades.clean_trades(raw, trades.symbol_of(F.col("path"))).collect()
+    assert sorted((r.symbol, r.trade_id, r.us, r.price, r.dollar) for r in back) == [("x", 1, 5_000_000, 10.0, 20.0), ("x", 2, DAY + 7_000_000, 11.0, 11.0), ("y", 1, 9_000_000, 3.0, 3.0)]
+    assert sorted((r.symbol, str(r.day), r.dollar, r.qty) for r in trades.day_totals(raw).collect()) == [("x", "1970-01-01", 20.0, 2.0), ("x", "1970-01-02", 11.0, 1.0), ("y", "1970-01-01", 3.0, 1.0)]
+    (tmp_path / "raw" / "x-trades-1970-01-03.zip.tmp").write_text("half")
+    files = trades.list_files(spark, folder)
+    days = trades.calendar(spark, "1970-01-01", "1970-01-04")
+    covered = trades.coverage(days, files, -10)
+    assert [r.status for r in covered.orderBy("day").collect()] == ["complete", "complete", "stale", "missing"]
+    assert [str(r.day) for r in trades.missing_days(covered).collect()] == ["1970-01-03", "1970-01-04"]
+    assert trades.remove_stale(spark, folder, 3600) == 0 and trades.remove_stale(spark, folder, -10) == 1
+    (tmp_path / "bad").mkdir()
+    for k, line in enumerate(["1,2,3\n", "1,2,3,4,5,true,true,extra\n"]):
+        (tmp_path / "bad" / f"T-2024-01-0{k + 1}.csv").write_text(line)
+        with pytest.raises(Exception, match="columns"):
+            trades.read_raw(spark, str(tmp_path / "bad" / f"T-2024-01-0{k + 1}.csv")).collect()
+    where = spark.range(1).select(trades.url_of(F.lit("https://host/data"), F.lit("spot"), F.lit("X"), F.lit("2024-01-01")).alias("u")).first().u
+    assert where == "https://host/data/spot/daily/trades/X/X-trades-2024-01-01.zip"
+
+
+def test_events_of_columns(spark):
+    from tidemark.sources import tables
+
+    rows = frame(spark, [("1970-01-01 00:00:00.000007", 7)], "s string, n long").selectExpr("CAST(s AS timestamp) AS ts", "n")
+    assert tables.events_of(rows, "ts", "timestamp").first().us == 7
+    assert tables.events_of(rows, "n", "index").first().event_idx == 7 and tables.events_of(rows, "n", "pseudo_datetimeindex").first().event_idx == 7
+    assert tables.events_of(rows, "ts", "pseudo_datetimeindex").first().event_idx == 7000
+    outs = frame(spark, [("a", DAY)], "symbol string, us long")
+    assert tables.start_of_run(None, outs).first().start_us == 2 * DAY and tables.start_of_run(5, outs).first().start_us == 5
+
+
+def test_folds_of_an_event_list_by_brute_force(spark):
+    rng = np.random.default_rng(6)
+    t0 = np.sort(rng.integers(0, 500, 90))
+    t1 = t0 + rng.integers(1, 40, 90)
+    rows = frame(spark, [(i, i, int(a), int(b)) for i, (a, b) in enumerate(zip(t0, t1, strict=True))], "sample long, pos long, t0 long, t1 long")
+    got = {(r.fold, r.sample): r.role for r in crossval.purged_folds_of_events(rows, 4, 0.05).collect()}
+    want = {}
+    for fold, test in enumerate(np.array_split(np.arange(90), 4)):
+        after = np.searchsorted(t0, t1[test].max()) + int(90 * 0.05)
+        for i in range(90):
+            if i in test:
+                want[fold, i] = "test"
+            elif (i < test[0] and t1[i] <= t0[test[0]]) or (i > test[-1] and i >= after):
+                want[fold, i] = "train"
+    assert got == want
+
+
+def test_outer_alignment_and_thresholds(spark):
+    a, b = frame(spark, [("a", 1, 5.0)], "symbol string, t0 long, x double"), frame(spark, [("a", 1, 7), ("a", 2, 8)], "symbol string, t0 long, y long")
+    assert sorted(tuple(r) for r in labels.side_by_side(a, b).collect()) == [("a", 1, 5.0, 7), ("a", 2, None, 8)]
+    vol = frame(spark, [("a", 1, 0.1), ("a", 2, 0.3), ("a", 3, None)], "symbol string, us long, vol double")
+    assert abs(labels.cusum_threshold(vol, "vol", "last", 2.0).first().h - 0.6) < 1e-12 and abs(labels.cusum_threshold(vol, "vol").first().h - 0.2) < 1e-12
+    with pytest.raises(Exception, match="no usable threshold"):
+        labels.cusum_threshold(vol, "vol", "mean", 0.0).collect()
+    assert labels.usable(frame(spark, [(0.1,), (0.2,), (None,)], "target double"), 0.1).count() == 1
+
 
 def test_tables_by_extension(spark, tmp_path):
     import pyarrow as pa

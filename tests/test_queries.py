@@ -30,11 +30,11 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
 def test_against_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, SMALL).toPandas(), duck.sql(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert len(got) > 0
+    assert len(got) > 0 or name == "back_to_back"  # few times are both at this scale
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["seq_bootstrap", "mc_uniqueness", "cv_score", "mdi", "pca_features"])
+@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in catalog.ORACLES])
 def test_rows_only(spark, name):
     assert entry.queries()[name](spark, SMALL).count() > 0
 

@@ -79,8 +79,34 @@ def histogram(returns: DataFrame, by: list[str], bins: int = 100) -> DataFrame:
     s = returns.groupBy(*by).agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"), F.count("*").alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_ = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("r") - F.col("lo"), width))).cast("int")
-    rows = returns.select(*by, "r").join(s, by).withColumn("bin", F.coalesce(bin_, F.lit(0)))
-    out = rows.groupBy(*by, "bin").agg(F.count("*").alias("c"), *(F.first(x).alias(x) for x in ("lo", "hi", "mean", "std", "n")))
+    rows = returns.select(*by, "r").join(s.select(*by, "lo", "hi"), by).select(*by, F.coalesce(bin_, F.lit(0)).alias("bin"))
+    counts = rows.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    out = s.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(counts, [*by, "bin"], "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("long"))
     centre = F.col("lo") + (F.col("bin") + 0.5) * width
     normal = F.exp(-(((centre - F.col("mean")) / F.col("std")) ** 2) / 2) / (F.col("std") * (2 * 3.141592653589793) ** 0.5)
     return out.select(*by, "bin", F.col("c").alias("rows"), F.try_divide(F.col("c"), F.col("n") * width).alias("density"), normal.alias("normal"))
+
+
+def compare(bars: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """All diagnostics of several kinds of bars side by side: bars in a mean week, serial correlation, mean monthly variance, normality of the returns."""
+    weeks = weekly_counts(bars, by).groupBy(*by).agg(F.avg("bars").alias("weekly_bars"))
+    returns = log_returns(bars, by, order)
+    months = monthly_variance(returns, by).groupBy(*by).agg(F.avg("variance").alias("monthly_variance"))
+    out = weeks.join(serial_correlation(returns, by, order).select(*by, "corr"), by, "left").join(months, by, "left")
+    return out.join(jarque_bera(returns, by).select(*by, "n", "jb", "p"), by, "left")
+
+
+def suggested_thresholds(totals: DataFrame, bars_per_day: float, least_dollar: float, least_qty: float, kind: str = "median") -> DataFrame:
+    """A day's usual value and quantity over the bars wanted, but no less than a floor."""
+    stats = totals.groupBy("symbol").agg(statistic(kind, "dollar").alias("dollar"), statistic(kind, "qty").alias("qty"))
+    return stats.select("symbol", F.greatest(F.col("dollar") / bars_per_day, F.lit(float(least_dollar))).alias("dollar_per_bar"), F.greatest(F.col("qty") / bars_per_day, F.lit(float(least_qty))).alias("qty_per_bar"))
+
+
+def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
+    """The first ``most`` rows in order."""
+    return rows.orderBy(*order).limit(most)
+
+
+def largest(rows: DataFrame, column: str, most: int, ties: list[str]) -> DataFrame:
+    """The rows with the largest values (ties by other columns): a bounded report, kept on the way by each task."""
+    return rows.orderBy(F.desc(column), *ties).limit(most)

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import blocked, running, unblocked
+from tidemark.operators.running import blocked, numbered, running, unblocked
 
 
 def weights(d: float, size: int) -> list[float]:
@@ -50,25 +55,51 @@ def ffd(series: DataFrame, value: str, d: float, threshold: float, out: str = "f
     return unblocked(rows, len(w) - 1).where(F.col(out).isNotNull() & finite(value)).drop("_x")
 
 
-def fracdiff_expanding(series: DataFrame, value: str, d: float, threshold: float, most: int, out: str = "fd") -> DataFrame:
-    """Expanding fractional difference over all history, for series of at most ``most`` rows.
+#: Rows of a block of an expanding difference.
+_EXPANDING_BLOCK = 1 << 14
+
+
+def skipped(d: float, n: int, threshold: float) -> int:
+    """How many first rows of a series of ``n`` lose more than ``threshold`` of the weights' total size."""
+    size = np.abs(np.cumprod(np.concatenate([[1.0], -(d - np.arange(1, n) + 1) / np.arange(1, n)])))[::-1] if n else np.zeros(0)
+    return int((np.cumsum(size) / max(size.sum(), 1e-300) > threshold).sum())
+
+
+def _block_sums(batches: Iterator[pd.DataFrame], d: float, threshold: float) -> Iterator[pd.DataFrame]:
+    """What one block of a series gives to itself or a later block: a convolution with the weights between them."""
+    for batch in batches:
+        out = []
+        for symbol, block, target, n, xs in batch[["symbol", "block", "target", "n", "xs"]].itertuples(index=False):
+            x = np.asarray(xs)
+            far = (target - block) * _EXPANDING_BLOCK
+            here = min(_EXPANDING_BLOCK, n - target * _EXPANDING_BLOCK)
+            w = np.cumprod(np.concatenate([[1.0], -(d - np.arange(1, far + here) + 1) / np.arange(1, far + here)]))
+            reach = w[max(0, far - len(x) + 1) :]
+            size = len(x) + len(reach) - 1
+            total = np.convolve(reach, x) if min(len(x), len(reach)) < 64 else np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(reach, size), size)
+            first = far - max(0, far - len(x) + 1)
+            out.append((symbol, target, skipped(d, n, threshold), total[first : first + here].tolist()))
+        yield pd.DataFrame(out, columns=["symbol", "target", "skip", "sums"])
+
+
+def fracdiff_expanding(series: DataFrame, value: str, d: float, threshold: float, out: str = "fd") -> DataFrame:
+    """Expanding fractional difference over all history of each symbol.
 
-    Rows before the share of dropped weight falls to ``threshold`` are skipped.
+    The weights are as many as the series has rows; rows before the share of
+    dropped weight falls to ``threshold`` are skipped, and so are rows whose own
+    value is not finite.  A row needs all rows before it, so the work grows
+    with the square of a series' blocks; every pair of blocks is a row of its
+    own, and their sums meet in an aggregate.
     """
-    w = weights(d, most)
-    total, dropped, skip = sum(map(abs, w)), 0.0, 0
-    for c in reversed(w):
-        dropped += abs(c)
-        if dropped / total <= threshold:
-            skip += 0
-        else:
-            skip += 1
-    filled = forward_fill(series, value, "_x").where("_x IS NOT NULL")
-    order = Window.partitionBy("symbol").orderBy("us")
-    history = F.reverse(F.collect_list("_x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    used = F.slice(F.array(*(F.lit(c) for c in w)), F.lit(1), F.size(history))
-    rows = filled.withColumn("_n", F.row_number().over(order)).withColumn(out, F.aggregate(F.zip_with(history, used, lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x))
-    return rows.where((F.col("_n") > F.least(F.lit(skip), F.lit(most))) & finite(value)).drop("_x", "_n")
+    filled = numbered(forward_fill(series, value, "_x").where("_x IS NOT NULL"))
+    rows = filled.withColumn("_block", F.floor(F.col("_pos") / _EXPANDING_BLOCK).cast("int"))
+    lists = rows.groupBy("symbol", "_block").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("_x").cast("double").alias("x")))).alias("xs"), F.count("*").alias("_n"))
+    n = lists.groupBy("symbol").agg(F.sum("_n").alias("n"), F.max("_block").alias("last"))
+    pairs = lists.join(n, "symbol").select("symbol", F.col("_block").alias("block"), F.explode(F.sequence("_block", "last")).alias("target"), "n", F.col("xs.x").alias("xs"))
+    parts = pairs.repartition("symbol", "block", "target").mapInPandas(partial(_block_sums, d=d, threshold=threshold), "symbol string, target int, skip long, sums array<double>")
+    sums = parts.select("symbol", F.col("target").alias("_block"), "skip", F.posexplode("sums").alias("_in", "_s")).groupBy("symbol", "_block", "_in").agg(F.sum("_s").alias(out), F.first("skip").alias("_skip"))
+    rows = rows.withColumn("_in", (F.col("_pos") % _EXPANDING_BLOCK).cast("int")).join(sums, ["symbol", "_block", "_in"])
+    return rows.where((F.col("_pos") >= F.col("_skip")) & finite(value)).drop("_x", "_pos", "_block", "_in", "_skip")
 
 
 def resample_last(series: DataFrame, value: str, span: int) -> DataFrame:
@@ -80,12 +111,16 @@ def resample_last(series: DataFrame, value: str, span: int) -> DataFrame:
 def adf_moments(series: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Regression of the change on a constant, the level before and the change before: one aggregate and a closed-form solve.
 
-    ``stat`` is the t value of the level, ``nobs`` the rows used.
+    ``stat`` is the t value of the level, ``nobs`` the rows used, ``lags`` the
+    changes before that are in it (one), ``crit5`` the 5 % value for ``nobs``.
     """
     order = Window.partitionBy(*by).orderBy("us")
     rows = series.withColumn("l", F.lag(value).over(order)).withColumn("y", F.col(value) - F.col("l"))
-    rows = rows.withColumn("z", F.lag("y").over(order)).where("z IS NOT NULL")
-    m = rows.groupBy(*by).agg(
+    return _adf(rows.withColumn("z", F.lag("y").over(order)), by)
+
+
+def _adf(rows: DataFrame, by: list[str]) -> DataFrame:
+    m = rows.where("z IS NOT NULL").groupBy(*by).agg(
         F.count("*").cast("double").alias("n"), *(F.avg(c).alias(f"m{c}") for c in "lzy"),
         *(F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in ("ll", "zz", "yy", "lz", "ly", "zy")),
     )
@@ -94,50 +129,85 @@ def adf_moments(series: DataFrame, value: str, by: list[str]) -> DataFrame:
     delta = (F.col("czy") * F.col("cll") - F.col("cly") * F.col("clz")) / det
     residual = F.greatest(F.lit(0.0), F.col("cyy") - gamma * F.col("cly") - delta * F.col("czy"))
     error = F.sqrt(residual * F.col("n") / (F.col("n") - 3) * F.col("czz") / det / F.col("n"))
-    return m.where("n > 3").select(*by, F.col("n").cast("long").alias("nobs"), gamma.alias("gamma"), F.try_divide(gamma, error).alias("stat"))
-
-
-def adf_p_value(stat: float) -> float:
-    """Approximate p-value of the constant-only test, from MacKinnon's published response surface (1994)."""
-    from math import erf, sqrt
-
-    # The published polynomials for one variable with a constant.
-    lowest, highest, split = -18.83, 2.74, -1.61
-    small, large = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
-    if stat >= highest:
-        return 1.0
-    if stat <= lowest:
-        return 0.0
-    z = sum(c * stat**k for k, c in enumerate(small if stat <= split else large))
-    return 0.5 * (1 + erf(z / sqrt(2)))
-
-
-def adf_critical_5(nobs: int) -> float:
-    """5 % critical value with a constant, from MacKinnon's published finite-sample surface (2010)."""
-    # The published coefficients in 1/n.
-    return -2.86154 - 2.8903 / nobs - 4.234 / nobs**2 - 40.04 / nobs**3
-
-
-def min_d_table(series: DataFrame, value: str, grid: list[float], threshold: float) -> DataFrame:
-    """Every ``d`` of the grid with the test statistic and the correlation with the original, for series of 20 rows or more."""
-    out = None
-    for d in grid:
-        rows = ffd(series, value, d, threshold).withColumn("d", F.lit(d))
-        corr = rows.groupBy("symbol", "d").agg(F.corr(value, "fd").alias("corr"), F.count("*").alias("rows"))
-        part = adf_moments(rows, "fd", ["symbol", "d"]).join(corr, ["symbol", "d"]).where("rows >= 20")
-        out = part if out is None else out.unionByName(part)
-    return out
+    stat = F.try_divide(gamma, error)
+    return m.where("n > 3").select(*by, F.col("n").cast("long").alias("nobs"), gamma.alias("gamma"), stat.alias("stat"), F.lit(1).alias("lags"), critical_5(F.col("n")).alias("crit5"), p_value(stat).alias("p"))
+
+
+# MacKinnon's published response surface (1994) for one variable with a constant, and its finite-sample 5 % coefficients in 1/n (2010).
+_LOWEST, _HIGHEST, _SPLIT = -18.83, 2.74, -1.61
+_SMALL, _LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+_CRITICAL = (-2.86154, -2.8903, -4.234, -40.04)
+# Abramowitz and Stegun's formula 7.1.26 for the error function (within 1.5e-7).
+_ERF_SCALE, _ERF = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
 
+def critical_5(n: Column) -> Column:
+    return sum((F.lit(c) / n**k for k, c in enumerate(_CRITICAL) if k), F.lit(_CRITICAL[0]))
 
-def pick_d(table: DataFrame, level: float) -> DataFrame:
-    """The smallest ``d`` whose statistic is below ``level``, else the largest."""
-    return table.groupBy("symbol").agg(F.coalesce(F.min(F.when(F.col("stat") < level, F.col("d"))), F.max("d")).alias("d"))
+
+def p_value(stat: Column) -> Column:
+    """Approximate p-value of the constant-only test."""
+    side = lambda cs: sum((F.lit(c) * stat**k for k, c in enumerate(cs) if k), F.lit(cs[0]))
+    z = F.when(stat <= _SPLIT, side(_SMALL)).otherwise(side(_LARGE)) / 2**0.5
+    t = 1 / (1 + _ERF_SCALE * F.abs(z))
+    tail = sum((F.lit(c) * t ** (k + 1) for k, c in enumerate(_ERF)), F.lit(0.0)) * F.exp(-z * z) / 2
+    return F.when(stat >= _HIGHEST, 1.0).when(stat <= _LOWEST, 0.0).otherwise(F.when(z < 0, tail).otherwise(1 - tail))
+
+
+def min_d_table(series: DataFrame, value: str, grid: list[float], threshold: float, least_rows: int = 20) -> DataFrame:
+    """Every ``d`` of the grid with the test's figures and the correlation with the original, for differences of ``least_rows`` rows or more.
+
+    All differences come from one window over blocks; only their moments leave it.
+    """
+    ws = {d: ffd_weights(d, threshold) for d in grid}
+    reach = max(map(len, ws.values())) - 1
+    filled, order = blocked(forward_fill(series, value, "_x").where("_x IS NOT NULL"), reach)
+    lags = filled.select("*", *(F.lag("_x", k).over(order).alias(f"_x{k}") for k in range(1, reach + 1)), F.col("_x").alias("_x0"))
+    wide = lags.select("symbol", "us", value, "_pos", "_block", *(F.when(F.col("_pos") >= len(w) - 1, sum((F.lit(c) * F.col(f"_x{k}") for k, c in enumerate(w)), F.lit(0.0))).alias(f"_d{i}") for i, w in enumerate(ws.values())))
+    # again in blocks, as rows without a value of their own are none of the test's
+    rows, order = blocked(unblocked(wide, reach).where(finite(value)), 2)
+    before = rows.select("*", *(F.lag(f"_d{i}", k).over(order).alias(f"_d{i}_{k}") for i in range(len(grid)) for k in (1, 2)))
+    each = F.explode(F.array(*(F.struct(F.lit(float(d)).alias("d"), F.col(f"_d{i}").alias("fd"), F.col(f"_d{i}_1").alias("l"), F.col(f"_d{i}_2").alias("ll")) for i, d in enumerate(grid))))
+    long = unblocked(before, 2).select("symbol", value, each.alias("e")).select("symbol", value, "e.*").where("fd IS NOT NULL")
+    long = long.withColumn("y", F.col("fd") - F.col("l")).withColumn("z", F.col("l") - F.col("ll"))
+    corr = long.groupBy("symbol", "d").agg(F.corr(value, "fd").alias("corr"), F.count("*").alias("rows"))
+    return _adf(long, ["symbol", "d"]).join(corr, ["symbol", "d"]).where(F.col("rows") >= least_rows)
+
+
+def pick_d(table: DataFrame, level: float = 0.05) -> DataFrame:
+    """The smallest ``d`` whose p-value is below ``level``, else the largest."""
+    return table.groupBy("symbol").agg(F.coalesce(F.min(F.when(F.col("p") < level, F.col("d"))), F.max("d")).alias("d"))
 
 
 def lag_features(series: DataFrame, value: str, lags: int) -> DataFrame:
     """``fd_lag0..`` of the value and ``fd_ret_lag0..`` of its change (one lag less, at least one)."""
-    order = Window.partitionBy("symbol").orderBy("us")
-    rows = series.withColumn("_d", F.col(value) - F.lag(value).over(order))
+    rows, order = blocked(series, lags)
+    rows = rows.withColumn("_d", F.col(value) - F.lag(value).over(order))
     own = [F.lag(value, k).over(order).alias(f"fd_lag{k}") for k in range(lags)]
     moves = [F.lag("_d", k).over(order).alias(f"fd_ret_lag{k}") for k in range(max(1, lags - 1))]
-    return rows.select("symbol", "us", *own, *moves)
+    return unblocked(rows.select("symbol", "us", "_pos", "_block", *own, *moves), lags)
+
+
+def event_features(features: DataFrame, events: DataFrame) -> DataFrame:
+    """The features at the events' starts, for events with all of them: ``symbol, t0`` and the features."""
+    names = [c for c in features.columns if c not in ("symbol", "us")]
+    rows = events.select("symbol", "t0").join(features.withColumnRenamed("us", "t0"), ["symbol", "t0"], "left")
+    return complete(rows, names)
+
+
+def complete(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows in which none of these is missing."""
+    return rows.dropna("any", subset=names)
+
+
+def aligned(events: DataFrame, labels: DataFrame, uniqueness: DataFrame, weights: DataFrame) -> DataFrame:
+    """Events that have a label, with ``y`` (1 for a positive one), their uniqueness ``tw`` and weight ``w``: ``symbol, t0, t1, y, tw, w``."""
+    labelled = labels.where("bin IS NOT NULL").select("symbol", "t0", (F.col("bin") > 0).cast("double").alias("y"))
+    rows = events.select("symbol", "t0", "t1").join(labelled, ["symbol", "t0"])
+    return rows.join(uniqueness.select("symbol", "t0", "tw"), ["symbol", "t0"]).join(weights.select("symbol", "t0", "w"), ["symbol", "t0"])
+
+
+def sample_share(aligned_rows: DataFrame) -> float:
+    """Mean uniqueness within (1e-6, 1]: what share of the samples a bag should draw."""
+    mean = aligned_rows.agg(F.avg("tw")).first()[0]
+    return max(1e-6, min(1.0, mean)) if mean is not None else 1.0

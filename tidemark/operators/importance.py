@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+from math import exp
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,15 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.crossval import positions
+from tidemark.session import staged
 
 
-def forest(rows: DataFrame, features: list[str], trees: int = 20, share: float = 1.0, subset: str = "sqrt", depth: int = 5, seed: int = 1) -> RandomForestClassificationModel:
+def forest(rows: DataFrame, features: list[str], trees: int = 20, share: float = 1.0, subset: str = "sqrt", depth: int = 5, seed: int = 1, bootstrap: bool = True) -> RandomForestClassificationModel:
     """Entropy forest on ``y`` with weights ``w`` times the balance of classes; ``subset="all"`` makes it bagged trees."""
     total = rows.agg(F.sum("w").alias("w"), F.countDistinct("y").alias("k")).first()
     each = rows.groupBy("y").agg((F.lit(total.w) / (F.lit(total.k) * F.sum("w"))).alias("_balance"))
     balanced = rows.join(F.broadcast(each), "y").withColumn("_w", F.col("w") * F.col("_balance"))
     vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(balanced)
-    return RandomForestClassifier(featuresCol="_x", labelCol="y", weightCol="_w", impurity="entropy", numTrees=trees, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=subset, bootstrap=True, seed=seed).fit(vectors)
+    return RandomForestClassifier(featuresCol="_x", labelCol="y", weightCol="_w", impurity="entropy", numTrees=trees, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=subset, bootstrap=bootstrap, seed=seed).fit(vectors)
 
 
 def score(model: RandomForestClassificationModel, rows: DataFrame, features: list[str]) -> DataFrame:
@@ -59,33 +65,125 @@ def permuted(rows: DataFrame, feature: str, seed: int) -> DataFrame:
     return left.join(right, "pos")
 
 
-def mean_decrease_accuracy(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], seed: int = 3, **options) -> DataFrame:
-    """Loss of score when a feature is shuffled in the test fold, relative to what was left to lose."""
+def mean_decrease_accuracy(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], scoring: str = "neg_log_loss", seed: int = 3, **options) -> DataFrame:
+    """Loss of score when a feature is shuffled in the test fold, relative to what was left to lose; by log loss or by accuracy."""
+    best = {"neg_log_loss": 0.0, "accuracy": 1.0}[scoring]
     out = None
     for k in range(folds):
         train, test = split(samples, roles, k)
+        test = staged(test, "fold")  # shuffled and scored once for every feature
         model = forest(train, features, **options)
-        base = score(model, test, features).select(F.col("neg_log_loss").alias("base"))
+        base = score(model, test, features).select(F.col(scoring).alias("base"))
         for f in features:
-            worse = score(model, permuted(test, f, seed + k), features).select(F.col("neg_log_loss").alias("worse"))
-            part = base.crossJoin(worse).select(F.lit(f).alias("feature"), F.try_divide(F.col("base") - F.col("worse"), -F.col("worse")).alias("v"))
+            worse = score(model, permuted(test, f, seed + k), features).select(F.col(scoring).alias("worse"))
+            part = base.crossJoin(worse).select(F.lit(f).alias("feature"), F.try_divide(F.col("base") - F.col("worse"), F.lit(best) - F.col("worse")).alias("v"))
             out = part if out is None else out.unionByName(part)
     return out.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / folds**0.5).alias("std"))
 
 
-def single_feature(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], **options) -> DataFrame:
-    """Scores of models of one feature each."""
+def single_feature(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], scoring: str = "neg_log_loss", **options) -> DataFrame:
+    """Mean score of models of one feature each, scaled to a sum of sizes of one, with its standard error and the score itself."""
     out = None
     for f in features:
         part = cv_scores(samples, roles, folds, [f], **options).withColumn("feature", F.lit(f))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("feature").agg(F.avg("neg_log_loss").alias("mean"), F.stddev_pop("neg_log_loss").alias("std"))
+    each = out.groupBy("feature").agg(F.avg(scoring).alias("score"), (F.stddev_samp(scoring) / folds**0.5).alias("std"))
+    total = each.agg(F.sum(F.abs("score")).alias("_t"))
+    return each.crossJoin(total).select("feature", F.try_divide(F.col("score"), F.col("_t")).alias("mean"), "std", "score")  # a row a feature
+
+
+def bagged_trees(rows: DataFrame, features: list[str], bags: int, share: float, subset: str = "all", depth: int = 5, seed: int = 1) -> tuple[list, DataFrame]:
+    """Trees on bags of a share of the rows, and their out-of-bag accuracy as one row ``oob, judged``.
+
+    A bag's rows are chosen by a hash of the sample, with replacement: the
+    number of times that a row is in follows a Poisson law by its hash.
+    ``subset="sqrt"`` makes each tree a forest of one (double bagging).
+    """
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    steps, p, total = [], exp(-share), 0.0
+    for k in range(1, 12):  # beyond, a chance of less than one in a hundred million
+        total += p
+        steps.append(total)
+        p *= share / k
+    rows = staged(rows, "bagged")
+    votes, models = None, []
+    for k in range(bags):
+        u = (F.xxhash64("sample", F.lit(seed), F.lit(k)) / F.lit(2.0**64)) + 0.5
+        times = sum((F.when(u >= x, 1).otherwise(0) for x in steps), F.lit(0))
+        bag = rows.withColumn("_times", times)
+        model = forest(bag.where("_times > 0").withColumn("w", F.col("w") * F.col("_times")), features, trees=1, subset=subset, depth=depth, seed=seed + k, bootstrap=False)
+        models.append(model)
+        out = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(bag.where("_times = 0"))).select("sample", "y", "w", "prediction")
+        votes = out if votes is None else votes.unionByName(out)
+    each = votes.groupBy("sample", "y", "w").agg(F.avg("prediction").alias("vote"))
+    right = F.when((F.col("vote") > 0.5).cast("double") == F.col("y"), 1.0).otherwise(0.0)
+    return models, each.agg(F.avg(right).alias("oob"), F.count("*").alias("judged"))
+
+
+def feature_importance(spark, samples: DataFrame, roles: DataFrame, folds: int, features: list[str], method: str, scoring: str = "accuracy", bags: int = 10, share: float = 1.0, **options) -> DataFrame:
+    """One entry for the three measures: ``method, feature, mean, std`` with the out-of-bag accuracy and the mean score over purged folds beside them."""
+    if method not in ("MDI", "MDA", "SFI"):
+        raise ValueError(method)
+    _, oob = bagged_trees(samples, features, bags, share)
+    oos = cv_scores(samples, roles, folds, features, **options).agg(F.avg(scoring).alias("oos"))
+    if method == "MDI":
+        out = mean_decrease_impurity(spark, forest(samples, features, **options), features)
+    elif method == "MDA":
+        out = mean_decrease_accuracy(samples, roles, folds, features, scoring, **options)
+    else:
+        out = single_feature(samples, roles, folds, features, scoring, **options)
+    return out.select(F.lit(method).alias("method"), "feature", "mean", "std").crossJoin(oob.select("oob")).crossJoin(oos)  # one row each
+
+
+def synthetic_samples(spark, n: int, informative: int, redundant: int, noise: int, seed: int = 0, last_day: int = 19_722) -> DataFrame:
+    """Labelled rows for trying out the measures: features ``I_*`` that make the label, ``R_*`` that are mixtures of these, ``N_*`` that say nothing.
+
+    Columns are ``sample, t0, t1, w, y`` and the features; times are consecutive
+    business days that end on ``last_day`` (days since 1970).
+    """
+    i = [F.randn(seed * 1000 + k).alias(f"I_{k}") for k in range(informative)]
+    rows = spark.range(n).select(F.col("id").alias("sample"), *i, *(F.randn(seed * 1000 + 500 + k).alias(f"N_{k}") for k in range(noise)), F.randn(seed * 1000 + 999).alias("_e"))
+    weight = np.random.default_rng(seed).uniform(-1, 1, (redundant, informative))
+    rows = rows.select("*", *(sum((F.col(f"I_{j}") * float(weight[k, j]) for j in range(informative)), F.lit(0.0)).alias(f"R_{k}") for k in range(redundant)))
+    signal = sum((F.col(f"I_{k}") for k in range(informative)), F.lit(0.0))
+    back = n - 1 - F.col("sample")  # business days before the last one, which is taken to be a Friday or earlier in its week
+    weekday = (last_day + 3) % 7  # 0: Monday
+    day = last_day - back - 2 * F.floor((back + (4 - min(weekday, 4))) / 5)
+    return rows.withColumn("y", (signal + F.col("_e") * 0.3 > 0).cast("double")).withColumn("w", F.lit(1.0 / n)).withColumn("t0", day.cast("long")).withColumn("t1", F.col("t0")).drop("_e")
+
+
+def importance_by_kind(importances: DataFrame) -> DataFrame:
+    """Importances of a table ``method, feature, mean`` summed by what stands before the feature's underscore."""
+    return importances.groupBy("method", F.split("feature", "_")[0].alias("kind")).agg(F.sum("mean").alias("mean"))
+
+
+def _products(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's rows: number, entries and products of entries."""
+    n, first, second = 0, np.zeros(dims), np.zeros((dims, dims))
+    for batch in batches:
+        column = batch.column(0).drop_null()
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)[:, :dims]
+        n, first, second = n + len(x), first + x.sum(axis=0), second + x.T @ x
+    i, j = np.triu_indices(dims)
+    columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), first[i], first[j], second[i, i], second[j, j], second[i, j]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
 
 
 def correlations(vectors: DataFrame, column: str, dims: int) -> DataFrame:
-    """Correlation of every two of the first ``dims`` entries of an array: ``i, j, corr`` in one aggregate."""
-    cells = vectors.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(column)[i].cast("double").alias("a"), F.col(column)[j].cast("double").alias("b")) for i in range(dims) for j in range(i, dims)))).alias("c"))
-    return cells.groupBy("c.i", "c.j").agg(F.corr("c.a", "c.b").alias("corr"))
+    """Correlation of every two of the ``dims`` entries of an array: ``i, j, corr``, from each task's sums of products."""
+    parts = vectors.select(column).mapInArrow(partial(_products, dims=dims), "i int, j int, n long, a double, b double, aa double, bb double, ab double")
+    m = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")))
+    spread = lambda xx, x: F.col(xx) - F.col(x) * F.col(x) / F.col("n")
+    corr = F.try_divide(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.sqrt(spread("aa", "a") * spread("bb", "b")))
+    return m.select("i", "j", F.when(F.col("i") == F.col("j"), F.when(spread("aa", "a") > 0, 1.0)).otherwise(corr).alias("corr"))
+
+
+def _project(batches: Iterator[pa.RecordBatch], column: str, centre: np.ndarray, axes: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = batch.column(column).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)[:, : len(centre)]
+        z = (x - centre) @ axes
+        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(z[:, k]) for k in range(z.shape[1]))], names=["vec_id", *names])
 
 
 def principal_components(vectors: DataFrame, column: str, dims: int, share: float = 0.95) -> DataFrame:
@@ -101,6 +199,8 @@ def principal_components(vectors: DataFrame, column: str, dims: int, share: floa
     values, axes = np.linalg.eigh(m)
     values, axes = values[::-1], axes[:, ::-1]
     keep = int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-12) + 1)
-    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(dims)])
-    z = [(F.col(column)[i].cast("double") - float(stats[f"m{i}"])) / float(stats[f"s{i}"]) for i in range(dims)]
-    return vectors.select("vec_id", *(sum((z[i] * float(axes[i, k]) for i in range(dims)), F.lit(0.0)).alias(f"pc{k}") for k in range(keep)))
+    axes = (axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(dims)]))[:, :keep]
+    centre, scale = (np.array([stats[f"{n}{i}"] for i in range(dims)], float) for n in "ms")
+    names = [f"pc{k}" for k in range(keep)]
+    rows = vectors.select("vec_id", column).where(F.col(column).isNotNull())
+    return rows.mapInArrow(partial(_project, column=column, centre=centre, axes=axes / scale[:, None], names=names), "vec_id long, " + ", ".join(f"{n} double" for n in names))

@@ -103,3 +103,23 @@ def moving_side(series: DataFrame, fast: int, slow: int) -> DataFrame:
 def event_mapping(series: DataFrame, stride: int) -> DataFrame:
     """Every ``stride``-th row of a series by position, with its position."""
     return numbered(series, "event_idx").where(F.col("event_idx") % stride == 0).select("symbol", "event_idx", "us", "price")
+
+
+def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two tables of event times put side by side: every time of either, nulls where one has no row."""
+    return left.join(right, ["symbol", "t0"], "full_outer")
+
+
+def usable(events: DataFrame, least_target: float = 0.0) -> DataFrame:
+    """Events with a target above the least."""
+    return events.where(F.col("target").isNotNull() & (F.col("target") > least_target))
+
+
+def cusum_threshold(volatility: DataFrame, value: str, mode: str = "mean", multiplier: float = 1.0) -> DataFrame:
+    """One threshold per symbol: the mean or the last known of its volatility times a factor; one that is not above zero raises."""
+    if mode not in ("mean", "last"):
+        raise ValueError(mode)
+    h = F.avg(value) if mode == "mean" else F.max_by(value, F.when(F.col(value).isNotNull() & ~F.isnan(value), F.col("us")))
+    rows = volatility.groupBy("symbol").agg((h * multiplier).alias("h"))
+    sound = F.when(F.col("h") > 0, F.col("h")).otherwise(F.raise_error(F.concat(F.lit("no usable threshold for "), "symbol")).cast("double"))
+    return rows.select("symbol", sound.alias("h"))

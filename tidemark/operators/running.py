@@ -17,7 +17,8 @@ def running(rows: DataFrame, order: list[str], figures: dict[str, tuple[str, Col
     Two levels: a total for each day gives the days after it their offset (one
     row a day), and the figure runs over rows inside a day only.  The first
     column of ``order`` is a time in microseconds; rows that tie in all of it
-    may count in any order.
+    may count in any order.  ``rows`` is read twice, so what is dear to compute
+    should be a table.
     """
     keys = [*by, "_day"]
     rows = rows.withColumn("_day", F.floor(F.col(order[0]) / width).cast("long"))

@@ -95,33 +95,40 @@ def ewm_std(frame: DataFrame, value: str, span: int, out: str = "vol") -> DataFr
     return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
+def walk(state: tuple[float, float, float], values: list[float], thresholds: list[float], positive_first: bool = False, on_levels: bool = True) -> tuple[tuple[float, float, float], list[tuple[int, int]]]:
+    """Moves the sums ``(up, down, last value)`` over values; the places that pass their thresholds, with the side."""
+    up, down, last = state
+    hits = []
+    for i, (x, h) in enumerate(zip(values, thresholds, strict=True)):
+        d, last = (x - last if on_levels else x), x
+        if d != d:
+            up = down = 0.0
+            continue
+        up, down = max(0.0, up + d), min(0.0, down + d)
+        low, high = down < -h, up > h
+        if low and not (positive_first and high):
+            down = 0.0
+            hits.append((i, -1))
+        elif high:
+            up = 0.0
+            hits.append((i, 1))
+    return (up, down, last), hits
+
+
 def cusum(frame: DataFrame, value: str, threshold: str, positive_first: bool = False, on_levels: bool = True) -> DataFrame:
     """Symmetric CUSUM events (per symbol, by ``us``): rows where the sum of moves passes the threshold of the row.
 
     A missing move sets both sums to zero.  The side that fires starts again
     from zero, the other goes on; the negative side is looked at first unless
     ``positive_first``.  ``on_levels`` takes moves as differences of ``value``.
+    A series is one task's stream, as no row can be judged before the rows
+    before it.
     """
 
     def step(state, rows):
-        up, down, last = state
-        hits = []
-        h = rows[threshold].astype(float).tolist()
-        for i, x in enumerate(rows[value].astype(float).tolist()):
-            d, last = (x - last if on_levels else x), x
-            if d != d:
-                up = down = 0.0
-                continue
-            up, down = max(0.0, up + d), min(0.0, down + d)
-            low, high = down < -h[i], up > h[i]
-            if low and not (positive_first and high):
-                down = 0.0
-                hits.append((i, -1))
-            elif high:
-                up = 0.0
-                hits.append((i, 1))
+        state, hits = walk(state, rows[value].astype(float).tolist(), rows[threshold].astype(float).tolist(), positive_first, on_levels)
         picked = rows.iloc[[i for i, _ in hits]][["symbol", "us", "price"]].copy()
         picked["direction"] = np.array([s for _, s in hits], dtype=np.int32)
-        return (up, down, last), picked
+        return state, picked
 
     return scan_series(frame.select("symbol", "us", "price", value, threshold), ["symbol"], ["us"], lambda _: (0.0, 0.0, float("nan")), step, "symbol string, us long, price long, direction int")

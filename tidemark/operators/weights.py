@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.running import running
+from tidemark.operators.running import numbered, running
+from tidemark.session import staged
 
 
 def concurrency(events: DataFrame, series: DataFrame) -> DataFrame:
@@ -33,7 +34,9 @@ def _between(events: DataFrame, marks: DataFrame, total: str, rank: str) -> Data
 
 
 def _prefix(rows: DataFrame) -> DataFrame:
-    return running(rows, ["us"], {"_total": ("sum", F.coalesce("value", F.lit(0.0))), "_rank": ("sum", F.lit(1))})
+    """Prefix sums and ranks, looked up at both ends of every event: written once."""
+    rows = running(staged(rows.select("symbol", "us", "value"), "values"), ["us"], {"_total": ("sum", F.coalesce("value", F.lit(0.0))), "_rank": ("sum", F.lit(1))})
+    return staged(rows, "marks")
 
 
 def average_uniqueness(events: DataFrame, counts: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def return_weights(events: DataFrame, counts: DataFrame, series: DataFrame) -> D
     r = running(series.select("symbol", "us", "price"), ["us"], {"_before": ("last", F.col("price"))}, before=True)
     r = r.select("symbol", "us", F.log(F.col("price") / F.col("_before")).alias("_r"))
     marks = _prefix(counts.join(r, ["symbol", "us"]).withColumn("value", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))))
-    rows = _between(events, marks, "_total", "_rank").withColumn("raw", F.abs("sum"))
+    rows = staged(_between(events, marks, "_total", "_rank").select("symbol", "t0", "t1", F.abs("sum").alias("raw")), "raw")
     every = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.sum("raw").alias("_sum"))
     return rows.join(every, "symbol").select("symbol", "t0", "t1", "raw", F.try_divide(F.col("raw") * F.col("_n"), F.col("_sum")).alias("w"))
 
@@ -56,6 +59,7 @@ def time_decay(weights: DataFrame, last: float) -> DataFrame:
     """``decay``: from 1 for the newest down to ``last`` for the oldest along cumulative uniqueness; below zero, the oldest share gets nothing."""
     if last <= -1 or last > 1:
         raise ValueError("last must be above -1 and at most 1")
+    weights = staged(weights, "weights")
     rows = running(weights, ["t0"], {"_c": ("sum", F.col("tw"))}).join(weights.groupBy("symbol").agg(F.sum("tw").alias("_t")), "symbol")
     rows = rows.withColumn("_s", (1 - last) / F.col("_t") if last >= 0 else 1 / ((last + 1) * F.col("_t")))
     return rows.withColumn("decay", F.greatest(F.lit(0.0), 1 - F.col("_s") * F.col("_t") + F.col("_s") * F.col("_c"))).drop("_c", "_t", "_s")
@@ -97,21 +101,53 @@ def uniqueness_of(starts: np.ndarray, ends: np.ndarray, rows: int, drawn: np.nda
     return float(np.mean((prefix[ends[drawn] + 1] - prefix[starts[drawn]]) / (ends[drawn] - starts[drawn] + 1)))
 
 
-def bootstrap_by_group(events: DataFrame, group: list[str], seed: int = 7) -> DataFrame:
-    """Sequential and uniform draws, as many as events, for each group; groups are days of a symbol, so their size is bounded.
+def bootstrap(events: DataFrame, series: DataFrame, group: list[str], seed: int = 7) -> DataFrame:
+    """Sequential and uniform draws, as many as events, over the rows of the series: mean uniqueness of both, by group.
 
-    Rows are the distinct event times of the group.
+    Every draw depends on all draws before it, so a group is one task with the
+    ends of its events (two numbers each) and the work is quadratic in it;
+    ``group`` must hold ``symbol`` and may cut finer.  Open events are left out.
     """
+    place = numbered(series.select("symbol", "us"), "pos")
+    rows = events.where("t1 IS NOT NULL").join(place.select("symbol", F.col("us").alias("t0"), F.col("pos").alias("a")), ["symbol", "t0"])
+    rows = rows.join(place.select("symbol", F.col("us").alias("t1"), F.col("pos").alias("b")), ["symbol", "t1"])
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t0", "t1"])
-        times = np.unique(np.concatenate([rows["t0"], rows["t1"]]))
-        a, b = np.searchsorted(times, rows["t0"]), np.searchsorted(times, rows["t1"])
+        rows = rows.sort_values(["a", "b"])
+        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
+        low = a.min()
+        a, b = a - low, b - low
+        n = int(b.max()) + 1
         rng = np.random.default_rng([seed, *(int.from_bytes(str(k).encode()[-6:], "big") for k in key)])
-        sequential = draw_sequential(a, b, len(times), len(a), rng)
+        sequential = draw_sequential(a, b, n, len(a), rng)
         uniform = rng.integers(0, len(a), len(a))
-        return pd.DataFrame([[*key, len(a), uniqueness_of(a, b, len(times), uniform), uniqueness_of(a, b, len(times), sequential), len(np.unique(sequential))]])
+        return pd.DataFrame([[*key, len(a), uniqueness_of(a, b, n, uniform), uniqueness_of(a, b, n, sequential), len(np.unique(sequential))]])
 
-    kinds = dict(events.dtypes)
+    kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), "events long, u_standard double, u_sequential double, distinct_drawn long"])
-    return events.groupBy(*group).applyInPandas(run, schema)
+    return rows.groupBy(*group).applyInPandas(run, schema)
+
+
+def random_spans(rng: np.random.Generator, events: int, rows: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of random events among ``rows`` rows, lengths from 1 to below ``longest``; of equal starts the last drawn stays."""
+    start = rng.integers(0, rows, events)
+    end = start + rng.integers(1, longest, events)
+    keep = {int(a): int(b) for a, b in zip(start, end, strict=True)}
+    a = np.array(sorted(keep))
+    return a, np.array([keep[int(x)] for x in a])
+
+
+def uniqueness_trials(trials: DataFrame, events: int, longest: int, seed: int = 7) -> DataFrame:
+    """For every row ``(trial, rows)`` random events among so many rows, drawn uniformly and in sequence: ``trial, u_standard, u_sequential``."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for trial, rows in batch[["trial", "rows"]].itertuples(index=False):
+                rng = np.random.default_rng([seed, trial & ((1 << 63) - 1)])
+                a, b = random_spans(rng, events, max(1, rows), longest)
+                n = int(b.max()) + 1
+                out.append((trial, uniqueness_of(a, b, n, rng.integers(0, len(a), len(a))), uniqueness_of(a, b, n, draw_sequential(a, b, n, len(a), rng))))
+            yield pd.DataFrame(out, columns=["trial", "u_standard", "u_sequential"])
+
+    return trials.select("trial", "rows").mapInPandas(run, "trial long, u_standard double, u_sequential double")

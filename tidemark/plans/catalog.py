@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.stats import ensemble_accuracy, weighted_tau
 from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, labels, series, weights
 from tidemark.plans import oracles
-from tidemark.session import staged
+from tidemark.session import new_path, staged
 from tidemark.sources import tables, trades
 from tidemark.sources.tapes import DAY, micros, tape_events, tape_orders
 from tidemark.streaming import bars as streams
@@ -23,6 +23,8 @@ HOUR = DAY // 24
 VOLUME_BAR, DOLLAR_BAR = 200, 2_000_000
 ORDER_BAR = 500_000_000
 FFD_D, FFD_THRESHOLD = 0.4, 0.01
+GRID = [i / 10 for i in range(11)]
+LAGS, FOLDS, EMBARGO = 5, 3, 0.01
 
 QUERIES: dict = {}
 
@@ -170,16 +172,52 @@ def series_describe(spark, d):
 
 @_query
 def return_histogram(spark, d):
-    return _rounded(diagnostics.histogram(_order_returns(spark, d), ["symbol"], 20), 5)
+    return _rounded(diagnostics.histogram(_order_returns(spark, d), ["symbol"], 100), 5)
+
+
+def _kinds(spark, d):
+    t = tape_events(spark, d)
+    kinds = {"time": bars.time_bars(t, "1h").withColumnRenamed("bar_us", "us"), "volume": bars.value_bars_whole(t, "qty", VOLUME_BAR), "dollar": bars.value_bars_whole(t, "dollar", DOLLAR_BAR)}
+    parts = [b.select(F.lit(k).alias("kind"), "symbol", "us", "close") for k, b in kinds.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @_query
 def bar_kind_counts(spark, d):
     """Three kinds of bars side by side by week: one union, one aggregate."""
-    t = tape_events(spark, d)
-    kinds = {"time": bars.time_bars(t, "1h").withColumnRenamed("bar_us", "us"), "volume": bars.value_bars_whole(t, "qty", VOLUME_BAR), "dollar": bars.value_bars_whole(t, "dollar", DOLLAR_BAR)}
-    parts = [b.select(F.lit(k).alias("kind"), "symbol", "us") for k, b in kinds.items()]
-    return diagnostics.weekly_counts(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["kind", "symbol"])
+    return diagnostics.weekly_counts(_kinds(spark, d), ["kind", "symbol"])
+
+
+@_query
+def bar_diagnostics(spark, d):
+    """Three kinds of bars under all four diagnostics."""
+    return _rounded(diagnostics.compare(_kinds(spark, d), ["kind", "symbol"], ["us"]), 5)
+
+
+@_query
+def suggested_thresholds(spark, d):
+    """Thresholds for 12 bars a day, with floors."""
+    return _rounded(diagnostics.suggested_thresholds(bars.daily_totals(tape_events(spark, d)), 12, 1_000_000, 30))
+
+
+@_query
+def first_bars(spark, d):
+    """The first hundred bars of the tape."""
+    return diagnostics.first_rows(bars.time_bars(tape_events(spark, d), "1h"), ["bar_us", "symbol"], 100)
+
+
+@_query
+def largest_bars(spark, d):
+    """The ten bars of most traded value."""
+    return diagnostics.largest(bars.time_bars(tape_events(spark, d), "1h"), "dollar", 10, ["symbol", "bar_us"])
+
+
+@_query
+def raw_file_bars(spark, d):
+    """The tape written as zipped daily files, read back from them, cleaned, and put into hourly bars."""
+    folder = new_path(spark, "raw")
+    trades.write_raw(tape_events(spark, d), folder).write.format("noop").mode("overwrite").save()
+    return bars.time_bars(trades.clean_trades(trades.read_raw(spark, folder), trades.symbol_of(F.col("path"))), "1h")
 
 
 @_query
@@ -207,8 +245,8 @@ def run_metadata(spark, d):
 def day_range_totals(spark, d):
     """Day totals of the last 14 days of the tape."""
     t = bars.daily_totals(tape_events(spark, d))
-    last = t.agg(F.max("day")).first()[0]
-    return tables.in_days(t, last - 13, last)
+    last = t.agg(F.max("day").alias("_last"))  # one row, joined, not collected
+    return t.crossJoin(F.broadcast(last)).where(F.col("day").between(F.col("_last") - 13, F.col("_last"))).drop("_last")
 
 
 # events and labels ---------------------------------------------------------------------------------------------------
@@ -223,6 +261,11 @@ def _volatility(spark, d):
     return series.ewm_std(labels.returns_over(_series(spark, d)), "ret", 100)
 
 
+def _written_volatility(spark, d):
+    """Read several times by what builds on it, so it is written once."""
+    return staged(_volatility(spark, d), "volatility")
+
+
 @_query
 def daily_vol(spark, d):
     return _rounded(_volatility(spark, d))
@@ -249,9 +292,9 @@ def rolling_side(spark, d):
     return labels.moving_side(_series(spark, d), 5, 20).select("symbol", "us", "side")
 
 
-def _cusum(spark, d):
-    vol = _volatility(spark, d).withColumn("x", F.log("price"))
-    h = vol.groupBy("symbol").agg((F.avg("vol") * 0.25).alias("h"))
+def _cusum(spark, d, vol=None):
+    vol = (_written_volatility(spark, d) if vol is None else vol).withColumn("x", F.log("price"))
+    h = labels.cusum_threshold(vol, "vol", "mean", 0.25)
     return series.cusum(vol.join(F.broadcast(h), "symbol"), "x", "h")
 
 
@@ -260,6 +303,13 @@ def cusum_events(spark, d):
     return _cusum(spark, d)
 
 
+@_query
+def cusum_last_vol(spark, d):
+    """CUSUM with the last known deviation as threshold."""
+    vol = _written_volatility(spark, d).withColumn("x", F.log("price"))
+    return series.cusum(vol.join(F.broadcast(labels.cusum_threshold(vol, "vol", "last", 0.5)), "symbol"), "x", "h")
+
+
 @_query
 def cusum_positional(spark, d):
     """CUSUM on changes themselves, positive side first, with a fixed threshold."""
@@ -276,10 +326,12 @@ def vertical_barrier(spark, d):
 
 
 def _events(spark, d, side: Column | None = None):
-    vol = _volatility(spark, d).select("symbol", "us", "vol")
+    written = _written_volatility(spark, d)
+    vol = written.select("symbol", "us", "vol")
     at = labels.as_of_after(labels.moving_side(_series(spark, d), 5, 20), 3 * HOUR, "vertical")
-    rows = _cusum(spark, d).select("symbol", "us").join(vol, ["symbol", "us"]).join(at, ["symbol", "us"]).where("vol > 0")
-    return rows.select("symbol", F.col("us").alias("t0"), F.col("price").alias("p0"), "vertical", (F.col("vol") * 0.1).alias("target"), (F.lit(1) if side is None else side).alias("side"))
+    rows = _cusum(spark, d, written).select("symbol", "us").join(vol, ["symbol", "us"]).join(at, ["symbol", "us"])
+    rows = rows.select("symbol", F.col("us").alias("t0"), F.col("price").alias("p0"), "vertical", (F.col("vol") * 0.1).alias("target"), (F.lit(1) if side is None else side).alias("side"))
+    return staged(labels.usable(rows), "events")
 
 
 def _touched(spark, d, meta: bool = False):
@@ -337,6 +389,28 @@ def event_membership(spark, d):
     return tables.map_events(_series(spark, d), _cusum(spark, d).select("us").distinct(), "timestamp")
 
 
+@_query
+def series_alignment(spark, d):
+    """Deviations and vertical barriers side by side, every time of either; rows without a deviation go last."""
+    vol = _volatility(spark, d).select("symbol", F.col("us").alias("t0"), "vol")
+    at = labels.as_of_after(_series(spark, d), 3 * HOUR, "t1").select("symbol", F.col("us").alias("t0"), "t1")
+    return _rounded(labels.side_by_side(vol, at))
+
+
+@_query
+def touch_times(spark, d):
+    """Every time at which an event begins or ends, once."""
+    e = _spans_all(spark, d)
+    return e.select("symbol", F.col("t0").alias("us")).union(e.where("t1 IS NOT NULL").select("symbol", F.col("t1").alias("us"))).distinct()
+
+
+@_query
+def back_to_back(spark, d):
+    """Times at which one event ends and another begins."""
+    e = _spans_all(spark, d)
+    return e.select("symbol", F.col("t0").alias("us")).intersect(e.select("symbol", F.col("t1").alias("us")))
+
+
 @_query
 def standard_bootstrap(spark, d):
     """As many uniform draws as events, by day of a symbol: a seeded choice of position for every event."""
@@ -353,9 +427,8 @@ def standard_bootstrap(spark, d):
 
 
 def _spans_all(spark, d):
-    """Events at every fifth row of a series, three hours long; the last ones stay open."""
-    rows = labels.as_of_after(_series(spark, d), 3 * HOUR)
-    return labels.event_mapping(_series(spark, d), 5).select("symbol", "us").join(rows, ["symbol", "us"]).select("symbol", F.col("us").alias("t0"), "t1")
+    """The labelled events with their ends, written once; those that nothing has closed stay open."""
+    return staged(_touched(spark, d), "touched").select("symbol", "t0", "t1")
 
 
 @_query
@@ -366,26 +439,26 @@ def concurrency(spark, d):
 @_query
 def avg_uniqueness(spark, d):
     e = _spans_all(spark, d)
-    return _rounded(weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d))))
+    return _rounded(weights.average_uniqueness(e, staged(weights.concurrency(e, _series(spark, d)), "counts")))
 
 
 @_query
 def return_weights(spark, d):
     e, s = _spans_all(spark, d), _series(spark, d)
-    return _rounded(weights.return_weights(e, weights.concurrency(e, s), s).select("symbol", "t0", "w"))
+    return _rounded(weights.return_weights(e, staged(weights.concurrency(e, s), "counts"), s).select("symbol", "t0", "w"))
 
 
 @_query
 def time_decay(spark, d):
     e = _spans_all(spark, d)
-    u = weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d)))
+    u = weights.average_uniqueness(e, staged(weights.concurrency(e, _series(spark, d)), "counts"))
     return _rounded(weights.time_decay(u, 0.5).select("symbol", "t0", "decay"))
 
 
 @_query
 def time_decay_cut(spark, d):
     e = _spans_all(spark, d)
-    u = weights.average_uniqueness(e, weights.concurrency(e, _series(spark, d)))
+    u = weights.average_uniqueness(e, staged(weights.concurrency(e, _series(spark, d)), "counts"))
     return _rounded(weights.time_decay(u, -0.25).select("symbol", "t0", "decay"))
 
 
@@ -396,14 +469,16 @@ def matrix_uniqueness(spark, d):
 
 @_query
 def seq_bootstrap(spark, d):
-    e = _spans_all(spark, d).where("t1 IS NOT NULL").withColumn("day", F.floor(F.col("t0") / DAY).cast("long"))
-    return weights.bootstrap_by_group(e, ["symbol", "day"])
+    """Sequential against uniform draws of all events of a symbol, over the rows of its series."""
+    return weights.bootstrap(_spans_all(spark, d), _series(spark, d), ["symbol"])
 
 
 @_query
 def mc_uniqueness(spark, d):
-    """Sequential against uniform draws over all days: the distribution of mean uniqueness."""
-    rows = seq_bootstrap(spark, d)
+    """Random events over as many rows as each hour of the tape has: the distribution of mean uniqueness under both ways to draw."""
+    hours = _series(spark, d).groupBy("symbol", F.floor(F.col("us") / HOUR).alias("hour")).agg(F.count("*").cast("int").alias("n"))
+    trials = hours.select(F.xxhash64("symbol", "hour").alias("trial"), (F.col("n") + 20).alias("rows"))
+    rows = weights.uniqueness_trials(trials, 10, 5)
     both = rows.select(F.explode(F.array(F.struct(F.lit("standard").alias("kind"), F.col("u_standard").alias("u")), F.struct(F.lit("sequential").alias("kind"), F.col("u_sequential").alias("u")))).alias("x")).select("x.*")
     return diagnostics.describe(both, ["kind"], "u")
 
@@ -422,9 +497,8 @@ def ffd(spark, d):
 
 @_query
 def fracdiff_expanding(spark, d):
-    """Expanding window over hourly closes."""
-    hourly = bars.time_bars(tape_events(spark, d), "4h").select("symbol", F.col("bar_us").alias("us"), F.log("close").alias("x"))
-    return _rounded(fracdiff.fracdiff_expanding(hourly, "x", FFD_D, 0.2, 200).select("symbol", "us", "fd"))
+    """Expanding window over the whole of each series."""
+    return _rounded(fracdiff.fracdiff_expanding(_log_series(spark, d), "x", FFD_D, FFD_THRESHOLD).select("symbol", "us", "fd"))
 
 
 @_query
@@ -438,30 +512,52 @@ def resample_last(spark, d):
     return fracdiff.resample_last(_series(spark, d), "price", DAY)
 
 
-def _daily(spark, d):
-    """Four-hourly log closes: the series of the stationarity figures."""
-    return bars.time_bars(tape_events(spark, d), "4h").select("symbol", F.col("bar_us").alias("us"), F.log("close").alias("x"))
-
-
 @_query
 def adf_moments(spark, d):
-    return _rounded(fracdiff.adf_moments(_daily(spark, d), "x", ["symbol"]), 5)
+    return _rounded(fracdiff.adf_moments(_log_series(spark, d), "x", ["symbol"]), 5)
+
+
+def _table(spark, d):
+    return fracdiff.min_d_table(_log_series(spark, d), "x", GRID, FFD_THRESHOLD)
 
 
 @_query
 def min_d_corr(spark, d):
-    return _rounded(fracdiff.min_d_table(_daily(spark, d), "x", [0.0, 0.3, 0.6, 1.0], 0.05).select("symbol", "d", "nobs", "stat", "corr", "rows"), 5)
+    """Eleven orders of differentiation: the test's figures, and how much of the series is left in each."""
+    return _rounded(_table(spark, d).select("symbol", "d", "nobs", "stat", "p", "lags", "crit5", "corr", "rows"), 5)
 
 
 @_query
 def pick_d(spark, d):
-    return fracdiff.pick_d(fracdiff.min_d_table(_daily(spark, d), "x", [0.0, 0.3, 0.6, 1.0], 0.05), fracdiff.adf_critical_5(10_000))
+    return fracdiff.pick_d(_table(spark, d))
+
+
+def _features(spark, d):
+    return fracdiff.lag_features(fracdiff.ffd(_log_series(spark, d), "x", FFD_D, FFD_THRESHOLD), "fd", LAGS)
 
 
 @_query
 def lag_features(spark, d):
-    fd = fracdiff.ffd(_log_series(spark, d), "x", FFD_D, FFD_THRESHOLD)
-    return _rounded(fracdiff.lag_features(fd, "fd", 3))
+    return _rounded(_features(spark, d))
+
+
+@_query
+def event_features(spark, d):
+    """Features at the starts of events, where all are known."""
+    return _rounded(fracdiff.event_features(_features(spark, d), _touched(spark, d)))
+
+
+def _aligned(spark, d, touched=None):
+    touched, s = staged(_touched(spark, d), "touched") if touched is None else touched, _series(spark, d)
+    e = touched.select("symbol", "t0", "t1")
+    counts = staged(weights.concurrency(e, s), "counts")
+    return fracdiff.aligned(e.where("t1 IS NOT NULL"), labels.drop_rare(labels.label(touched, s)), weights.average_uniqueness(e, counts), weights.return_weights(e, counts, s))
+
+
+@_query
+def aligned_samples(spark, d):
+    """Events with label, end, uniqueness and weight."""
+    return _rounded(_aligned(spark, d))
 
 
 # cross-validation ------------------------------------------------------------------------------------------------------
@@ -487,58 +583,84 @@ def embargo_times(spark, d):
     return crossval.embargo_times(_samples(spark, d), 0.01)
 
 
+@_query
+def purged_kfold_class(spark, d):
+    """Folds by position in the event list, purged by the place of the folds' ends."""
+    return crossval.purged_folds_of_events(_samples(spark, d), FOLDS, EMBARGO)
+
+
 @_query
 def purge_train_times(spark, d):
+    """Samples that meet no event of the last fold."""
     rows = _samples(spark, d)
-    return crossval.purge_train(rows, rows.where("pos % 1000 = 500")).select("sample", "t0", "t1")
+    bounds = F.broadcast(crossval.fold_bounds(rows, FOLDS).where(f"fold = {FOLDS - 1}").select("lo"))  # one row
+    return crossval.purge_train(rows, rows.crossJoin(bounds).where("pos >= lo").select("t0", "t1")).select("sample", "t0", "t1")
 
 
 # models -----------------------------------------------------------------------------------------------------------------
 
-_FEATURES = ["f0", "f1", "f2", "f3"]
+_FEATURES = [*(f"fd_lag{k}" for k in range(LAGS)), *(f"fd_ret_lag{k}" for k in range(LAGS - 1))]
 
 
 def _learning(spark, d):
-    """Numbered rows with features, a label and spans: vectors of the embedding table in order of their id."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
-    rows = e.select(F.col("vec_id").alias("sample"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)), (F.col("label") % 2).cast("double").alias("y"), F.lit(1.0).alias("w"), F.col("vec_id").alias("t0"), (F.col("vec_id") + 3).alias("t1"))
-    # read again for every fit: written once
-    rows = staged(crossval.positions(rows, ["t0", "sample"]), "samples")
-    return rows, staged(crossval.purged_kfold(rows, 3, 0.01), "folds")
+    """The samples of the models: events with features, label, weight and span, in order of time, and their folds.
+
+    Both are read for every fit, so they are written once.
+    """
+    touched = staged(_touched(spark, d), "touched")
+    rows = fracdiff.event_features(_features(spark, d), touched).join(_aligned(spark, d, touched), ["symbol", "t0"])
+    rows = rows.withColumn("sample", F.xxhash64("symbol", "t0"))
+    rows = staged(crossval.positions(rows, ["t0", "symbol"]), "samples")
+    return rows, staged(crossval.purged_kfold(rows, FOLDS, EMBARGO), "folds")
 
 
 @_query
 def cv_score(spark, d):
     rows, roles = _learning(spark, d)
-    return importance.cv_scores(rows, roles, 3, _FEATURES, trees=10)
+    return importance.cv_scores(rows, roles, FOLDS, _FEATURES)
+
+
+@_query
+def bagged_oob(spark, d):
+    """Out-of-bag accuracy of bagged trees, and of bagged forests of one tree on bags of the size that the mean uniqueness allows."""
+    rows, _ = _learning(spark, d)
+    plain = importance.bagged_trees(rows, _FEATURES, 10, 1.0)[1].select(F.lit("bagged").alias("kind"), "oob", "judged")
+    double = importance.bagged_trees(rows, _FEATURES, 10, fracdiff.sample_share(rows), subset="sqrt")[1].select(F.lit("double").alias("kind"), "oob", "judged")
+    return plain.unionByName(double)
 
 
 @_query
 def mdi(spark, d):
     rows, _ = _learning(spark, d)
-    return importance.mean_decrease_impurity(spark, importance.forest(rows, _FEATURES, trees=20), _FEATURES)
+    return importance.mean_decrease_impurity(spark, importance.forest(rows, _FEATURES), _FEATURES)
 
 
 @_query
 def mda(spark, d):
     rows, roles = _learning(spark, d)
-    return importance.mean_decrease_accuracy(rows, roles, 3, _FEATURES[:2], trees=10)
+    return importance.mean_decrease_accuracy(rows, roles, FOLDS, _FEATURES)
+
+
+@_query
+def mda_accuracy(spark, d):
+    rows, roles = _learning(spark, d)
+    return importance.mean_decrease_accuracy(rows, roles, FOLDS, _FEATURES, "accuracy")
 
 
 @_query
 def sfi(spark, d):
     rows, roles = _learning(spark, d)
-    return importance.single_feature(rows, roles, 3, _FEATURES[:2], trees=10)
+    return importance.single_feature(rows, roles, FOLDS, _FEATURES)
 
 
 @_query
 def pca_moments(spark, d):
-    return _rounded(importance.correlations(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 8), 5)
+    return _rounded(importance.correlations(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 64), 5)
 
 
 @_query
 def pca_features(spark, d):
-    return importance.principal_components(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 8)
+    return importance.principal_components(spark.read.parquet(f"{d}/embeddings.parquet"), "embedding", 64)
 
 
 @_query
@@ -565,7 +687,26 @@ def stream_time_bars_1h(spark, d):
 
 @_query
 def stream_value_bars_dollar(spark, d):
-    return streams.value_bars_once(spark, d, DOLLAR_BAR)
+    """With the bar that the end of the stream left open, if it is at least half full."""
+    return streams.value_bars_once(spark, d, {"dollar": ("dollar", DOLLAR_BAR)}).drop("kind")
+
+
+@_query
+def stream_bar_kinds(spark, d):
+    """Volume and dollar bars from one pass over the stream."""
+    return streams.value_bars_once(spark, d, {"volume": ("qty", VOLUME_BAR), "dollar": ("dollar", DOLLAR_BAR)})
+
+
+@_query
+def stream_cusum_events(spark, d):
+    """CUSUM events of log prices with a fixed threshold, its sums in the state store."""
+    return streams.cusum_once(spark, d, 2.5)
+
+
+@_query
+def stream_adaptive_bars(spark, d):
+    """Day-adaptive bars with the policy's state in the state store."""
+    return streams.adaptive_bars_once(spark, d, "dollar", 12)
 
 
-ORACLES = oracles.build(dict(hour=HOUR, day=DAY, volume=VOLUME_BAR, dollar=DOLLAR_BAR, order=ORDER_BAR, ffd=fracdiff.ffd_weights(FFD_D, FFD_THRESHOLD), grid={g: fracdiff.ffd_weights(g, 0.05) for g in (0.0, 0.3, 0.6, 1.0)}, expanding=fracdiff.weights(FFD_D, 200), critical=fracdiff.adf_critical_5(10_000), comb=[math.comb(11, i) for i in range(12)]))
+ORACLES = oracles.build(dict(hour=HOUR, day=DAY, volume=VOLUME_BAR, dollar=DOLLAR_BAR, order=ORDER_BAR, ffd=fracdiff.ffd_weights(FFD_D, FFD_THRESHOLD), grid={g: fracdiff.ffd_weights(g, FFD_THRESHOLD) for g in GRID}, d=FFD_D, threshold=FFD_THRESHOLD, lags=LAGS, comb=[math.comb(11, i) for i in range(12)]))

@@ -28,6 +28,10 @@ p AS (SELECT *, least(c1, (bar_id + 1) * {size}) - greatest(c1 - size, bar_id *
 b AS (SELECT {_PIECES} FROM p GROUP BY symbol, bar_id HAVING sum(take) * 2 >= {size})"""
 
 
+RAW_BARS = f"""WITH {_T}, r AS (SELECT symbol, trade_id, us // 1000 * 1000 AS us, price::DOUBLE AS price, qty::DOUBLE AS qty, dollar::DOUBLE AS dollar FROM t)
+SELECT symbol, us // {{hour}} * {{hour}} AS bar_us, {_OHLC}, sum(qty) AS volume, sum(dollar) AS dollar FROM r GROUP BY symbol, us // {{hour}} * {{hour}}"""
+
+
 def build(k: dict) -> dict[str, str]:
     """All oracles; ``k`` has the queries' parameters."""
     hour, day, volume, dollar, order = (k[x] for x in ("hour", "day", "volume", "dollar", "order"))
@@ -86,9 +90,9 @@ tb AS MATERIALIZED (SELECT ev.*, sl, pt, least(vertical, sl, pt) AS t1 FROM ev J
     labelled = "lb AS MATERIALIZED (SELECT tb.*, (s.price / p0 - 1) * side AS ret, {} AS bin FROM tb JOIN s ON s.symbol = tb.symbol AND s.us = tb.t1)"
     lab = f"{plain}, {labelled.format('CAST(sign((s.price / p0 - 1) * side) AS INTEGER)')}"
     mlab = f"{meta}, {labelled.format('CASE WHEN (s.price / p0 - 1) * side > 0 THEN 1 ELSE 0 END')}"
-    spans = f"{_S}, {after}, rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us) AS n FROM s), ev AS (SELECT rn.symbol, rn.us AS t0, af.t1 FROM rn JOIN af ON af.symbol = rn.symbol AND af.us = rn.us WHERE (n - 1) % 5 = 0), ls AS (SELECT symbol, max(us) AS last FROM s GROUP BY symbol)"
-    counts = f"{spans}, cc AS MATERIALIZED (SELECT rn.symbol, rn.us, rn.n, rn.price, count(t0) AS c FROM rn JOIN ls ON ls.symbol = rn.symbol LEFT JOIN ev ON ev.symbol = rn.symbol AND rn.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL)"
-    unique = f"{counts}, un AS MATERIALIZED (SELECT ev.symbol, t0, ev.t1, sum(CASE WHEN c > 0 THEN 1 / c END) / count(*) AS tw FROM ev JOIN ls ON ls.symbol = ev.symbol JOIN cc ON cc.symbol = ev.symbol AND cc.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL)"
+    spans = f"{plain}, rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY us) AS n FROM s), sp AS MATERIALIZED (SELECT symbol, t0, t1 FROM tb)"
+    counts = f"{spans}, cc AS MATERIALIZED (SELECT rn.symbol, rn.us, rn.n, rn.price, count(t0) AS c FROM rn JOIN ls ON ls.symbol = rn.symbol LEFT JOIN sp ON sp.symbol = rn.symbol AND rn.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL)"
+    unique = f"{counts}, un AS MATERIALIZED (SELECT sp.symbol, t0, sp.t1, sum(CASE WHEN c > 0 THEN 1 / c END) / count(*) AS tw FROM sp JOIN ls ON ls.symbol = sp.symbol JOIN cc ON cc.symbol = sp.symbol AND cc.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL)"
     logs = f"{_S}, lx AS (SELECT symbol, us, ln(price) AS x FROM s)"
 
     def dot(ws: list[float], rows: str, out: str = "fd") -> str:
@@ -96,24 +100,32 @@ tb AS MATERIALIZED (SELECT ev.*, sl, pt, least(vertical, sl, pt) AS t1 FROM ev J
         return f"SELECT * FROM (SELECT symbol, us, x, {terms} AS {out} FROM {rows} WINDOW w AS (PARTITION BY symbol ORDER BY us)) WHERE {out} IS NOT NULL"
 
     fd = f"{logs}, fd AS ({dot(k['ffd'], 'lx')})"
-    four = f"{_T}, fb AS (SELECT symbol, us // {4 * hour} * {4 * hour} AS us, ln(last(price ORDER BY us, trade_id)) AS x FROM t GROUP BY symbol, us // {4 * hour} * {4 * hour})"
 
     def adf(rows: str, value: str, by: str) -> str:
         return f"""a1 AS (SELECT {by}, us, {value} AS x, lag({value}) OVER (PARTITION BY {by} ORDER BY us) AS l FROM {rows}), a2 AS (SELECT *, x - l AS y FROM a1), a3 AS (SELECT *, lag(y) OVER (PARTITION BY {by} ORDER BY us) AS z FROM a2),
 a4 AS (SELECT {by}, count(*)::DOUBLE AS n, var_pop(l) AS ll, var_pop(z) AS zz, var_pop(y) AS yy, covar_pop(l, z) AS lz, covar_pop(l, y) AS ly, covar_pop(z, y) AS zy FROM a3 WHERE z IS NOT NULL GROUP BY {by}),
 a5 AS (SELECT *, ll * zz - lz * lz AS det FROM a4), a6 AS (SELECT *, (ly * zz - zy * lz) / det AS gamma, (zy * ll - ly * lz) / det AS delta FROM a5),
-ad AS (SELECT {by}, n::BIGINT AS nobs, gamma, gamma / sqrt(greatest(0, yy - gamma * ly - delta * zy) * n / (n - 3) * zz / det / n) AS stat FROM a6 WHERE n > 3)"""
+ad AS (SELECT {by}, n::BIGINT AS nobs, gamma, gamma / sqrt(greatest(0, yy - gamma * ly - delta * zy) * n / (n - 3) * zz / det / n) AS stat, 1 AS lags, -2.86154::DOUBLE - 2.8903::DOUBLE / n - 4.234::DOUBLE / n ** 2 - 40.04::DOUBLE / n ** 3 AS crit5 FROM a6 WHERE n > 3),
+ap AS (SELECT *, (CASE WHEN stat <= -1.61 THEN 2.1659::DOUBLE + 1.4412::DOUBLE * stat + 0.038269::DOUBLE * stat ** 2 ELSE 1.7339::DOUBLE + 0.93202::DOUBLE * stat - 0.12745::DOUBLE * stat ** 2 - 0.010368::DOUBLE * stat ** 3 END) / sqrt(2) AS zed FROM ad),
+aq AS (SELECT *, 1 / (1 + 0.3275911::DOUBLE * abs(zed)) AS tt FROM ap),
+ar AS (SELECT *, (0.254829592::DOUBLE * tt - 0.284496736::DOUBLE * tt ** 2 + 1.421413741::DOUBLE * tt ** 3 - 1.453152027::DOUBLE * tt ** 4 + 1.061405429::DOUBLE * tt ** 5) * exp(-zed * zed) / 2 AS tail FROM aq),
+az AS (SELECT * EXCLUDE (zed, tt, tail), CASE WHEN stat >= 2.74 THEN 1.0::DOUBLE WHEN stat <= -18.83 THEN 0.0::DOUBLE WHEN zed < 0 THEN tail ELSE 1 - tail END AS p FROM ar)"""
 
-    grid = ", ".join(f"g{i} AS ({dot(ws, 'fb')})" for i, ws in enumerate(k["grid"].values()))
+    grid = ", ".join(f"g{i} AS ({dot(ws, 'lx')})" for i, ws in enumerate(k["grid"].values()))
     stacked = "gd AS (" + " UNION ALL ".join(f"SELECT {d!r}::DOUBLE AS d, * FROM g{i}" for i, d in enumerate(k["grid"])) + ")"
-    table = f"{four}, {grid}, {stacked}, {adf('gd', 'fd', 'symbol, d')}, md AS (SELECT ad.*, c.corr, c.n AS rows FROM ad JOIN (SELECT symbol, d, corr(x, fd) AS corr, count(*) AS n FROM gd GROUP BY symbol, d) c ON c.symbol = ad.symbol AND c.d = ad.d WHERE c.n >= 20)"
-    w, total, dropped, skip = k["expanding"], sum(map(abs, k["expanding"])), 0.0, 0
-    for c in reversed(w):
-        dropped += abs(c)
-        skip += dropped / total > 0.2
-    listed = "[" + ", ".join(f"{c!r}::DOUBLE" for c in w) + "]"
+    table = f"{logs}, {grid}, {stacked}, {adf('gd', 'fd', 'symbol, d')}, md AS (SELECT az.*, c.corr, c.n AS rows FROM az JOIN (SELECT symbol, d, corr(x, fd) AS corr, count(*) AS n FROM gd GROUP BY symbol, d) c ON c.symbol = az.symbol AND c.d = az.d WHERE c.n >= 20)"
+    # weights of the expanding difference by their number, as long as the longest series; a series drops what its own oldest weights leave out
+    expanding = f"""{logs}, h AS MATERIALIZED (SELECT symbol, us, x, row_number() OVER (PARTITION BY symbol ORDER BY us) - 1 AS n FROM lx), hn AS (SELECT symbol, count(*) AS m FROM h GROUP BY symbol),
+wr AS (SELECT i, CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE -({k['d']!r}::DOUBLE - i + 1) / i END AS r FROM range((SELECT max(m) FROM hn)) u(i)), wt AS MATERIALIZED (SELECT i, product(r) OVER (ORDER BY i ROWS UNBOUNDED PRECEDING) AS w FROM wr),
+wc AS (SELECT symbol, i, sum(abs(w)) OVER (PARTITION BY symbol ORDER BY i DESC ROWS UNBOUNDED PRECEDING) / sum(abs(w)) OVER (PARTITION BY symbol) AS lost FROM wt JOIN hn ON i < m), ws AS (SELECT symbol, count(*) AS skip FROM wc WHERE lost > {k['threshold']!r}::DOUBLE GROUP BY symbol)"""
     samples = f"sm AS (SELECT event_id AS sample, epoch_us(ts) AS t0, epoch_us(ts) + {hour} * (1 + event_id % 5) AS t1, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)"
 
+    n_lags = k["lags"]
+    lag = lambda c, i: f"lag({c}, {i}) OVER w" if i else c
+    columns = [*((f"fd_lag{i}", lag("fd", i)) for i in range(n_lags)), *((f"fd_ret_lag{i}", lag("dd", i)) for i in range(n_lags - 1))]
+    lagged = f"fm AS (SELECT *, fd - lag(fd) OVER (PARTITION BY symbol ORDER BY us) AS dd FROM fd), lf AS (SELECT symbol, us, {', '.join(f'round({e}, 6) AS {n}' for n, e in columns)} FROM fm WINDOW w AS (PARTITION BY symbol ORDER BY us))"
+    known = " AND ".join(f"{n} IS NOT NULL" for n, _ in columns)
+
     def kfold(end: str) -> str:
         return f"""WITH {samples}, fo AS (SELECT *, CAST(CASE WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1) ELSE n % 3 + (pos - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INTEGER) AS fold FROM sm),
 bo AS (SELECT fold, min(pos) AS lo, max(pos) AS hi, min(t0) AS a, {end} AS b FROM fo GROUP BY fold)
@@ -124,10 +136,10 @@ SELECT fold, sample, role FROM (SELECT bo.fold, sample, CASE WHEN pos BETWEEN lo
     for r in ("rx", "ry"):
         ww = f"(1 / (1 + a.{r}) + 1 / (1 + b.{r}))"
         taus.append(f"sum({ww} * sign(a.x - b.x) * sign(a.y - b.y)) / sqrt(sum({ww} * abs(sign(a.x - b.x))) * sum({ww} * abs(sign(a.y - b.y))))")
-    pairs = "pr AS (SELECT i, j, embedding[i + 1]::DOUBLE AS a, embedding[j + 1]::DOUBLE AS b FROM embeddings, range(8) u(i), range(8) w(j) WHERE i <= j)"
-    normal = "exp(-pow((lo + (bin + 0.5::DOUBLE) * (hi - lo) / 20 - mean) / std, 2) / 2) / (std * sqrt(2 * pi()))"
+    pairs = "pr AS (SELECT i, j, embedding[i + 1]::DOUBLE AS a, embedding[j + 1]::DOUBLE AS b FROM embeddings, range(64) u(i), range(64) w(j) WHERE i <= j)"
+    normal = "exp(-pow((lo + (bin + 0.5::DOUBLE) * (hi - lo) / 100 - mean) / std, 2) / 2) / (std * sqrt(2 * pi()))"
 
-    return {
+    out = {
         "time_bars_1h": time_bars(f"us // {hour} * {hour}"),
         "time_bars_7d_start_day": time_bars(f"us - (us - min(us // {day} * {day}) OVER (PARTITION BY symbol)) % {7 * day}"),
         "time_bars_7d_per_day": time_bars(f"us // {day} * {day}"),
@@ -155,7 +167,7 @@ b AS (SELECT {_PIECES} FROM p GROUP BY symbol, bar_id) SELECT * FROM b WHERE val
         "serial_corr": f"WITH {returns}, p AS (SELECT *, lag(r) OVER (PARTITION BY symbol ORDER BY bar_index) AS b FROM r) SELECT symbol, count(*) AS n, round(corr(r, b), 6) AS corr FROM p WHERE b IS NOT NULL GROUP BY symbol",
         "jarque_bera": f"WITH {returns}, m AS (SELECT symbol, avg(r) AS mu FROM r GROUP BY symbol), z AS (SELECT r.symbol, count(*) AS n, avg(pow(r - mu, 2)) AS m2, avg(pow(r - mu, 3)) AS m3, avg(pow(r - mu, 4)) AS m4 FROM r JOIN m ON m.symbol = r.symbol GROUP BY r.symbol), y AS (SELECT symbol, n, m3 / pow(m2, 1.5) AS skew, m4 / (m2 * m2) - 3 AS kurt FROM z), j AS (SELECT *, n / 6 * (skew * skew + kurt * kurt / 4) AS jb FROM y) SELECT symbol, n, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(jb, 6) AS jb, round(exp(-jb / 2), 6) AS p FROM j",
         "series_describe": f"WITH {returns} SELECT symbol, count(*) AS n, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS std, round(min(r), 6) AS least, round(quantile_cont(r, 0.25), 6) AS q25, round(quantile_cont(r, 0.5), 6) AS q50, round(quantile_cont(r, 0.75), 6) AS q75, round(max(r), 6) AS most FROM r GROUP BY symbol",
-        "return_histogram": f"WITH {returns}, q AS (SELECT symbol, min(r) AS lo, max(r) AS hi, avg(r) AS mean, stddev_samp(r) AS std, count(*) AS n FROM r GROUP BY symbol), h AS (SELECT q.*, CAST(least(19, floor((r - lo) / ((hi - lo) / 20))) AS INTEGER) AS bin FROM r JOIN q ON q.symbol = r.symbol) SELECT symbol, bin, count(*) AS rows, round(count(*) / (n * ((hi - lo) / 20)), 5) AS density, round({normal}, 5) AS normal FROM h GROUP BY symbol, bin, lo, hi, mean, std, n",
+        "return_histogram": f"WITH {returns}, q AS (SELECT symbol, min(r) AS lo, max(r) AS hi, avg(r) AS mean, stddev_samp(r) AS std, count(*) AS n FROM r GROUP BY symbol), h AS (SELECT q.symbol, CAST(least(99, floor((r - lo) / ((hi - lo) / 100))) AS INTEGER) AS bin, count(*) AS c FROM r JOIN q ON q.symbol = r.symbol GROUP BY ALL), g AS (SELECT q.*, CAST(u.bin AS INTEGER) AS bin FROM q, range(100) u(bin)) SELECT g.symbol, g.bin, coalesce(c, 0) AS rows, round(coalesce(c, 0) / (n * ((hi - lo) / 100)), 5) AS density, round({normal.replace('bin', 'g.bin')}, 5) AS normal FROM g LEFT JOIN h ON h.symbol = g.symbol AND h.bin = g.bin",
         "bar_kind_counts": f"WITH {_T}, k AS (SELECT 'time' AS kind, symbol, us // {hour} * {hour} AS us FROM t GROUP BY ALL UNION ALL SELECT 'volume', symbol, us FROM (WITH {_whole(_T, 'qty', volume)} SELECT * FROM b) UNION ALL SELECT 'dollar', symbol, us FROM (WITH {_whole(_T, 'dollar', dollar)} SELECT * FROM b)) SELECT kind, symbol, {week} AS week, count(*) AS bars FROM k GROUP BY kind, symbol, {week}",
         "coverage_scan": f"WITH {_O}, h AS (SELECT us // {day} AS day, count(*) AS rows FROM t GROUP BY 1), c AS (SELECT unnest(range(min(day), max(day) + 1)) AS day FROM h) SELECT c.day, h.rows, CASE WHEN h.rows IS NULL THEN 'missing' ELSE 'complete' END AS status FROM c LEFT JOIN h ON h.day = c.day",
         "incremental_start": f"WITH {_T} SELECT symbol, (max(us // {hour} * {hour}) // {day} + 1) * {day} AS start_us FROM t GROUP BY symbol",
@@ -177,27 +189,49 @@ b AS (SELECT {_PIECES} FROM p GROUP BY symbol, bar_id) SELECT * FROM b WHERE val
         "drop_rare_labels": f"WITH RECURSIVE {lab}, c AS (SELECT bin, count(*) AS c FROM lb GROUP BY bin), ra AS (SELECT bin FROM c WHERE (SELECT count(*) FROM c) > 2 AND c <= 0.05 * (SELECT sum(c) FROM c) ORDER BY c, bin LIMIT 1) SELECT symbol, t0, bin FROM lb WHERE bin NOT IN (SELECT bin FROM ra)",
         "label_counts": f"WITH RECURSIVE {lab} SELECT bin, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lb GROUP BY bin",
         "event_mapping": f"WITH {_S}, rn AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY us) - 1 AS event_idx, us, price FROM s) SELECT * FROM rn WHERE event_idx % 50 = 0",
-        "concurrency": f"WITH {counts} SELECT symbol, us, c FROM cc",
-        "avg_uniqueness": f"WITH {unique} SELECT symbol, t0, t1, round(tw, 6) AS tw FROM un",
-        "return_weights": f"WITH {counts}, lr AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY us)) AS r FROM cc), rw AS (SELECT ev.symbol, t0, abs(coalesce(sum(CASE WHEN c > 0 THEN r / c END), 0)) AS raw FROM ev JOIN ls ON ls.symbol = ev.symbol JOIN lr ON lr.symbol = ev.symbol AND lr.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL) SELECT symbol, t0, round(raw * count(*) OVER w / sum(raw) OVER w, 6) AS w FROM rw WINDOW w AS (PARTITION BY symbol)",
-        "time_decay": f"WITH {unique} SELECT symbol, t0, round(greatest(0, 1 - 0.5 / tt * tt + 0.5 / tt * cu), 6) AS decay FROM (SELECT *, sum(tw) OVER (PARTITION BY symbol ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS cu, sum(tw) OVER (PARTITION BY symbol) AS tt FROM un)",
-        "time_decay_cut": f"WITH {unique} SELECT symbol, t0, round(greatest(0, 1 - 1 / (0.75 * tt) * tt + 1 / (0.75 * tt) * cu), 6) AS decay FROM (SELECT *, sum(tw) OVER (PARTITION BY symbol ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS cu, sum(tw) OVER (PARTITION BY symbol) AS tt FROM un)",
-        "matrix_uniqueness": f"WITH {spans}, ce AS MATERIALIZED (SELECT ev.symbol, t0, s.us FROM ev JOIN s ON s.symbol = ev.symbol AND s.us BETWEEN t0 AND t1 WHERE t1 IS NOT NULL), h AS (SELECT symbol, us, count(*) AS c FROM ce GROUP BY ALL) SELECT ce.symbol, t0, count(*) AS rows, round(avg(1 / c), 6) AS u FROM ce JOIN h ON h.symbol = ce.symbol AND h.us = ce.us GROUP BY ALL",
+        "concurrency": f"WITH RECURSIVE {counts} SELECT symbol, us, c FROM cc",
+        "avg_uniqueness": f"WITH RECURSIVE {unique} SELECT symbol, t0, t1, round(tw, 6) AS tw FROM un",
+        "return_weights": f"WITH RECURSIVE {unique}, lr AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY us)) AS r FROM cc), rw AS (SELECT sp.symbol, t0, abs(coalesce(sum(CASE WHEN c > 0 THEN r / c END), 0)) AS raw FROM sp JOIN ls ON ls.symbol = sp.symbol JOIN lr ON lr.symbol = sp.symbol AND lr.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL), ww AS (SELECT symbol, t0, raw * count(*) OVER w / sum(raw) OVER w AS w FROM rw WINDOW w AS (PARTITION BY symbol)) SELECT un.symbol, un.t0, round(ww.w, 6) AS w FROM un JOIN ww ON ww.symbol = un.symbol AND ww.t0 = un.t0",
+        "time_decay": f"WITH RECURSIVE {unique} SELECT symbol, t0, round(greatest(0, 1 - 0.5 / tt * tt + 0.5 / tt * cu), 6) AS decay FROM (SELECT *, sum(tw) OVER (PARTITION BY symbol ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS cu, sum(tw) OVER (PARTITION BY symbol) AS tt FROM un)",
+        "time_decay_cut": f"WITH RECURSIVE {unique} SELECT symbol, t0, round(greatest(0, 1 - 1 / (0.75 * tt) * tt + 1 / (0.75 * tt) * cu), 6) AS decay FROM (SELECT *, sum(tw) OVER (PARTITION BY symbol ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS cu, sum(tw) OVER (PARTITION BY symbol) AS tt FROM un)",
+        "matrix_uniqueness": f"WITH RECURSIVE {spans}, ce AS MATERIALIZED (SELECT sp.symbol, t0, s.us FROM sp JOIN s ON s.symbol = sp.symbol AND s.us BETWEEN t0 AND t1 WHERE t1 IS NOT NULL), h AS (SELECT symbol, us, count(*) AS c FROM ce GROUP BY ALL) SELECT ce.symbol, t0, count(*) AS rows, round(avg(1 / c), 6) AS u FROM ce JOIN h ON h.symbol = ce.symbol AND h.us = ce.us GROUP BY ALL",
         "ffd": f"WITH {fd} SELECT symbol, us, round(fd, 6) AS fd FROM fd",
-        "fracdiff_expanding": f"WITH {four}, h AS (SELECT symbol, us, row_number() OVER w AS n, list_reverse(list(x) OVER (w ROWS UNBOUNDED PRECEDING)) AS p FROM fb WINDOW w AS (PARTITION BY symbol ORDER BY us)) SELECT symbol, us, round(list_dot_product(p, ({listed})[1:len(p)]), 6) AS fd FROM h WHERE n > {min(skip, 200)}",
+        "fracdiff_expanding": f"WITH {expanding} SELECT a.symbol, a.us, round(sum(b.x * w), 6) AS fd FROM h a JOIN ws ON ws.symbol = a.symbol JOIN h b ON b.symbol = a.symbol AND b.n <= a.n JOIN wt ON i = a.n - b.n WHERE a.n >= skip GROUP BY a.symbol, a.us",
         "ffill": f"WITH {_S} SELECT symbol, us, last_value(CASE WHEN price % 3 = 0 THEN price END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY us ROWS UNBOUNDED PRECEDING) AS filled FROM s",
         "resample_last": f"WITH {_S} SELECT symbol, us // {day} * {day} AS bucket, last(price ORDER BY us) AS price, count(*) AS rows FROM s GROUP BY symbol, us // {day} * {day}",
-        "adf_moments": f"WITH {four}, {adf('fb', 'x', 'symbol')} SELECT symbol, nobs, round(gamma, 5) AS gamma, round(stat, 5) AS stat FROM ad",
-        "min_d_corr": f"WITH {table} SELECT symbol, d, nobs, round(stat, 5) AS stat, round(corr, 5) AS corr, rows FROM md",
-        "pick_d": f"WITH {table} SELECT symbol, coalesce(min(CASE WHEN stat < {k['critical']!r} THEN d END), max(d)) AS d FROM md GROUP BY symbol",
-        "lag_features": f"WITH {fd}, m AS (SELECT *, fd - lag(fd) OVER (PARTITION BY symbol ORDER BY us) AS dd FROM fd) SELECT symbol, us, round(fd, 6) AS fd_lag0, round(lag(fd, 1) OVER w, 6) AS fd_lag1, round(lag(fd, 2) OVER w, 6) AS fd_lag2, round(dd, 6) AS fd_ret_lag0, round(lag(dd) OVER w, 6) AS fd_ret_lag1 FROM m WINDOW w AS (PARTITION BY symbol ORDER BY us)",
+        "adf_moments": f"WITH {logs}, {adf('lx', 'x', 'symbol')} SELECT symbol, nobs, round(gamma, 5) AS gamma, round(stat, 5) AS stat, lags, round(crit5, 5) AS crit5, round(p, 5) AS p FROM az",
+        "min_d_corr": f"WITH {table} SELECT symbol, d, nobs, round(stat, 5) AS stat, round(p, 5) AS p, lags, round(crit5, 5) AS crit5, round(corr, 5) AS corr, rows FROM md",
+        "pick_d": f"WITH {table} SELECT symbol, coalesce(min(CASE WHEN p < 0.05 THEN d END), max(d)) AS d FROM md GROUP BY symbol",
+        "lag_features": f"WITH {fd}, {lagged} SELECT * FROM lf",
+        "event_features": f"WITH RECURSIVE {plain}, lx AS (SELECT symbol, us, ln(price) AS x FROM s), fd AS ({dot(k['ffd'], 'lx')}), {lagged} SELECT lf.* RENAME (us AS t0) FROM lf JOIN tb ON tb.symbol = lf.symbol AND tb.t0 = lf.us WHERE {known}",
+        "aligned_samples": f"WITH RECURSIVE {unique}, lr AS (SELECT *, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY us)) AS r FROM cc), rw AS (SELECT sp.symbol, t0, abs(coalesce(sum(CASE WHEN c > 0 THEN r / c END), 0)) AS raw FROM sp JOIN ls ON ls.symbol = sp.symbol JOIN lr ON lr.symbol = sp.symbol AND lr.us BETWEEN t0 AND coalesce(t1, last) GROUP BY ALL), ww AS (SELECT symbol, t0, raw * count(*) OVER w / sum(raw) OVER w AS w FROM rw WINDOW w AS (PARTITION BY symbol)), {labelled.format('CAST(sign((s.price / p0 - 1) * side) AS INTEGER)')}, c AS (SELECT bin, count(*) AS c FROM lb GROUP BY bin), ra AS (SELECT bin FROM c WHERE (SELECT count(*) FROM c) > 2 AND c <= 0.05 * (SELECT sum(c) FROM c) ORDER BY c, bin LIMIT 1) SELECT lb.symbol, lb.t0, lb.t1, (bin > 0)::DOUBLE AS y, round(un.tw, 6) AS tw, round(ww.w, 6) AS w FROM lb JOIN un ON un.symbol = lb.symbol AND un.t0 = lb.t0 JOIN ww ON ww.symbol = lb.symbol AND ww.t0 = lb.t0 WHERE bin NOT IN (SELECT bin FROM ra)",
+        "series_alignment": f"WITH RECURSIVE {vol}, {after} SELECT coalesce(v.symbol, af.symbol) AS symbol, coalesce(v.us, af.us) AS t0, round(vol, 6) AS vol, t1 FROM v FULL OUTER JOIN af ON v.symbol = af.symbol AND v.us = af.us",
+        "touch_times": f"WITH RECURSIVE {plain} SELECT symbol, t0 AS us FROM tb UNION SELECT symbol, t1 FROM tb WHERE t1 IS NOT NULL",
+        "back_to_back": f"WITH RECURSIVE {plain} SELECT symbol, t0 AS us FROM tb INTERSECT SELECT symbol, t1 FROM tb",
+        "suggested_thresholds": f"WITH {_T}, {totals} SELECT symbol, round(greatest(median(dollar) / 12, 1000000), 6) AS dollar_per_bar, round(greatest(median(qty) / 12, 30), 6) AS qty_per_bar FROM d GROUP BY symbol",
+        "first_bars": f"{time_bars(f'us // {hour} * {hour}')} ORDER BY bar_us, symbol LIMIT 100",
+        "largest_bars": f"{time_bars(f'us // {hour} * {hour}')} ORDER BY dollar DESC, symbol, bar_us LIMIT 10",
+        "cusum_last_vol": f"WITH RECURSIVE {vol}, g AS MATERIALIZED (SELECT v.symbol, i, us, price, ln(price) AS x, 0.5 * last_value(vol IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS h FROM v), " + walk.format(up="(NOT d < -h) AND u > h", dn="d < -h", move="(g.x - k.x)") + " SELECT symbol, us, price, direction FROM k WHERE direction <> 0",
+        "bar_diagnostics": f"""WITH {_T}, k AS (SELECT 'time' AS kind, symbol, us // {hour} * {hour} AS us, last(price ORDER BY t.us, trade_id) AS close FROM t GROUP BY symbol, t.us // {hour} * {hour} UNION ALL SELECT 'volume', symbol, us, close FROM (WITH {_whole(_T, 'qty', volume)} SELECT * FROM b) UNION ALL SELECT 'dollar', symbol, us, close FROM (WITH {_whole(_T, 'dollar', dollar)} SELECT * FROM b)),
+wk AS (SELECT kind, symbol, avg(n) AS weekly_bars FROM (SELECT kind, symbol, {week} AS week, count(*) AS n FROM k GROUP BY ALL) GROUP BY kind, symbol),
+r0 AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY kind, symbol ORDER BY us)) AS r FROM k), rr AS (SELECT *, lag(r) OVER (PARTITION BY kind, symbol ORDER BY us) AS b FROM r0 WHERE r IS NOT NULL),
+mv AS (SELECT kind, symbol, avg(v) AS monthly_variance FROM (SELECT kind, symbol, strftime(make_timestamp(us), '%Y-%m') AS month, var_samp(r) AS v FROM rr GROUP BY ALL) GROUP BY kind, symbol),
+mu AS (SELECT *, avg(r) OVER (PARTITION BY kind, symbol) AS mu FROM rr), mo AS (SELECT kind, symbol, count(*) AS n, corr(r, b) AS corr, avg(pow(r - mu, 2)) AS m2, avg(pow(r - mu, 3)) AS m3, avg(pow(r - mu, 4)) AS m4 FROM mu GROUP BY kind, symbol),
+jb AS (SELECT kind, symbol, n, corr, n / 6 * (pow(m3 / pow(m2, 1.5), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM mo)
+SELECT wk.kind, wk.symbol, round(weekly_bars, 5) AS weekly_bars, round(corr, 5) AS corr, round(monthly_variance, 5) AS monthly_variance, n, round(jb, 5) AS jb, round(exp(-jb / 2), 5) AS p FROM wk LEFT JOIN jb ON jb.kind = wk.kind AND jb.symbol = wk.symbol LEFT JOIN mv ON mv.kind = wk.kind AND mv.symbol = wk.symbol""",
+        "purged_kfold_class": f"""WITH {samples}, fo AS (SELECT *, CAST(CASE WHEN pos < (n % 3) * (n // 3 + 1) THEN pos // (n // 3 + 1) ELSE n % 3 + (pos - (n % 3) * (n // 3 + 1)) // (n // 3) END AS INTEGER) AS fold FROM sm),
+bo AS (SELECT fold, min(pos) AS lo, max(pos) AS hi, min(t0) AS a, max(t1) AS b FROM fo GROUP BY fold), re AS (SELECT bo.*, (SELECT count(*) FROM sm WHERE t0 < b) AS after FROM bo)
+SELECT fold, sample, role FROM (SELECT re.fold, sample, CASE WHEN pos BETWEEN lo AND hi THEN 'test' WHEN pos < lo AND t1 <= a OR pos > hi AND pos >= after + CAST(floor(n * 0.01::DOUBLE) AS BIGINT) THEN 'train' END AS role FROM sm, re) WHERE role IS NOT NULL""",
         "purged_kfold": kfold("greatest(max(t0), max(t1))"),
         "purged_kfold_by_start": kfold("max(t0)"),
         "embargo_times": f"WITH {samples} SELECT a.sample, a.t0, coalesce(b.t0, (SELECT max(t0) FROM sm)) AS embargo FROM sm a LEFT JOIN sm b ON b.pos = a.pos + CAST(floor(a.n * 0.01::DOUBLE) AS BIGINT)",
-        "purge_train_times": f"WITH {samples} SELECT sample, t0, t1 FROM sm a WHERE NOT EXISTS (SELECT 1 FROM sm b WHERE b.pos % 1000 = 500 AND a.t0 <= b.t1 AND a.t1 >= b.t0)",
+        "purge_train_times": f"WITH {samples}, la AS (SELECT t0, t1 FROM sm WHERE pos >= 2 * (n // 3) + n % 3), ru AS (SELECT t0, max(t1) OVER (ORDER BY t0 ROWS UNBOUNDED PRECEDING) AS latest FROM la) SELECT sample, t0, t1 FROM (SELECT sm.*, (SELECT max(t1) FROM la WHERE la.t0 <= sm.t1) AS latest FROM sm) WHERE latest IS NULL OR latest < t0",
         "pca_moments": f"WITH {pairs} SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(corr(a, b), 5) AS corr FROM pr GROUP BY i, j",
         "weighted_rank_tau": f"WITH c AS (SELECT round(avg(c_acctbal), 4) AS x, count(*)::DOUBLE AS y FROM customer GROUP BY c_nationkey), r AS (SELECT *, row_number() OVER (ORDER BY x DESC, y DESC) - 1 AS rx, row_number() OVER (ORDER BY y DESC, x DESC) - 1 AS ry FROM c) SELECT round(({taus[0]} + {taus[1]}) / 2, 6) AS tau FROM r a JOIN r b ON a.rx < b.rx",
         "vote_accuracy": f"WITH q AS (SELECT o_orderpriority, avg((o_orderstatus = 'F')::DOUBLE) AS p FROM orders GROUP BY 1) SELECT o_orderpriority, round(p, 6) AS p, round(1 - ({binomial}), 6) AS accuracy FROM q",
         "stream_time_bars_1h": time_bars(f"us // {hour} * {hour}"),
-        "stream_value_bars_dollar": f"WITH {_whole(_T, 'dollar', dollar)}, c2 AS (SELECT symbol, max(bar_index) AS m FROM c GROUP BY symbol) SELECT {', '.join('b.' + x for x in _BAR.split(', '))} FROM b JOIN c2 ON c2.symbol = b.symbol WHERE b.bar_index < c2.m",
+        "stream_value_bars_dollar": f"WITH {_whole(_T, 'dollar', dollar)} SELECT {_BAR} FROM b",
+        "stream_bar_kinds": f"SELECT 'volume' AS kind, {_BAR} FROM (WITH {_whole(_T, 'qty', volume)} SELECT * FROM b) UNION ALL SELECT 'dollar', {_BAR} FROM (WITH {_whole(_T, 'dollar', dollar)} SELECT * FROM b)",
+        "stream_cusum_events": f"WITH RECURSIVE {_S}, g AS MATERIALIZED (SELECT symbol, us, price, row_number() OVER (PARTITION BY symbol ORDER BY us) AS i, ln(price) AS x, 2.5::DOUBLE AS h FROM s), " + walk.format(up="(NOT d < -h) AND u > h", dn="d < -h", move="(g.x - k.x)") + " SELECT symbol, us, price, direction FROM k WHERE direction <> 0",
     }
+    return {**out, "stream_adaptive_bars": out["adaptive_bars"], "raw_file_bars": RAW_BARS.format(hour=hour)}

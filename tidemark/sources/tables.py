@@ -56,6 +56,25 @@ def parse_events(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(int(p),) for p in parts], "event_idx long")
 
 
+def events_of(rows: DataFrame, column: str, kind: str) -> DataFrame:
+    """Events of a file's column: row numbers (``index``), times (``timestamp``), or times that are row numbers in nanoseconds since 1970 (``pseudo_datetimeindex``)."""
+    if kind == "timestamp":
+        return rows.select(F.unix_micros(F.col(column).cast("timestamp")).alias("us")).where("us IS NOT NULL")
+    if kind == "index":
+        return rows.select(F.col(column).cast("long").alias("event_idx")).where("event_idx IS NOT NULL")
+    if kind == "pseudo_datetimeindex":
+        # a time column has microseconds, so row numbers below a thousand are lost there; plain numbers keep all
+        number = F.col(column).cast("long") if dict(rows.dtypes)[column] in ("bigint", "int") else F.unix_micros(F.col(column).cast("timestamp")) * 1000
+        return rows.select(number.alias("event_idx")).where("event_idx IS NOT NULL")
+    raise ValueError(kind)
+
+
+def start_of_run(explicit_us: int | None, rows: DataFrame, mode: str = "last_output_day_end") -> DataFrame:
+    """Where each symbol's run begins: the time that was given, else what :func:`next_start` finds."""
+    inferred = next_start(rows, mode)
+    return inferred if explicit_us is None else inferred.withColumn("start_us", F.lit(explicit_us).cast("long"))
+
+
 def map_events(series: DataFrame, events: DataFrame, mode: str = "index") -> DataFrame:
     """Rows of a series that events name, by row number (``index``) or by time (``timestamp``: those that are in the series)."""
     rows = series.withColumn("event_idx", (F.row_number().over(Window.partitionBy("symbol").orderBy("us")) - 1).cast("long"))
