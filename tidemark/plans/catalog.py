@@ -624,8 +624,8 @@ def cv_score(spark, d):
 def bagged_oob(spark, d):
     """Out-of-bag accuracy of bagged trees, and of bagged forests of one tree on bags of the size that the mean uniqueness allows."""
     rows, _ = _learning(spark, d)
-    plain = importance.bagged_trees(rows, _FEATURES, 10, 1.0)[1].select(F.lit("bagged").alias("kind"), "oob", "judged")
-    double = importance.bagged_trees(rows, _FEATURES, 10, fracdiff.sample_share(rows), subset="sqrt")[1].select(F.lit("double").alias("kind"), "oob", "judged")
+    plain = importance.bagged_trees(rows, _FEATURES, 5, 1.0)[1].select(F.lit("bagged").alias("kind"), "oob", "judged")
+    double = importance.bagged_trees(rows, _FEATURES, 5, fracdiff.sample_share(rows), subset="sqrt")[1].select(F.lit("double").alias("kind"), "oob", "judged")
     return plain.unionByName(double)
 
 
