@@ -136,7 +136,7 @@ def feature_importance(spark, samples: DataFrame, roles: DataFrame, folds: int,
     return out.select(F.lit(method).alias("method"), "feature", "mean", "std").crossJoin(oob.select("oob")).crossJoin(oos)  # one row each
 
 
-def synthetic_samples(spark, n: int, informative: int, redundant: int, noise: int, seed: int = 0, last_day: int = 19_722) -> DataFrame:
+def synthetic_samples(spark, n: int, informative: int, redundant: int, noise: int, seed: int = 0, last_day: int = 19_720) -> DataFrame:
     """Labelled rows for trying out the measures: features ``I_*`` that make the label, ``R_*`` that are mixtures of these, ``N_*`` that say nothing.
 
     Columns are ``sample, t0, t1, w, y`` and the features; times are consecutive
@@ -147,9 +147,11 @@ def synthetic_samples(spark, n: int, informative: int, redundant: int, noise: in
     weight = np.random.default_rng(seed).uniform(-1, 1, (redundant, informative))
     rows = rows.select("*", *(sum((F.col(f"I_{j}") * float(weight[k, j]) for j in range(informative)), F.lit(0.0)).alias(f"R_{k}") for k in range(redundant)))
     signal = sum((F.col(f"I_{k}") for k in range(informative)), F.lit(0.0))
-    back = n - 1 - F.col("sample")  # business days before the last one, which is taken to be a Friday or earlier in its week
     weekday = (last_day + 3) % 7  # 0: Monday
-    day = last_day - back - 2 * F.floor((back + (4 - min(weekday, 4))) / 5)
+    if weekday > 4:
+        raise ValueError("last_day must be a business day")
+    back = n - 1 - F.col("sample")  # business days before the last one
+    day = last_day - back - 2 * F.floor((back + (4 - weekday)) / 5)
     return rows.withColumn("y", (signal + F.col("_e") * 0.3 > 0).cast("double")).withColumn("w", F.lit(1.0 / n)).withColumn("t0", day.cast("long")).withColumn("t1", F.col("t0")).drop("_e")
 
 
