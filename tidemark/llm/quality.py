@@ -165,10 +165,11 @@ def risk(weights: list[np.ndarray], xp: np.ndarray, xu: np.ndarray, prior: float
 def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, epochs: int = 60, rate: float = 3e-3, seed: int = 5) -> Scorer:
     """Minimises the non-negative unbiased risk with logistic loss, by mini-batches of both samples and Adam."""
     rng = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-6
+    n = len(positive) + len(unlabelled)
+    mean = sum(x.sum(axis=0, dtype=np.float64) for x in (positive, unlabelled)) / n
+    scale = np.sqrt(np.maximum(0, sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for x in (positive, unlabelled)) / n - mean**2)) + 1e-6
     scale[_N_CLASSES + 16 :] *= _DAMPED
-    p, u = (np.clip((x - mean) / scale, -8, 8) for x in (positive, unlabelled))
+    p, u = (np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8) for x in (positive, unlabelled))
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     moment = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
     steps = max(1, min(80, min(len(p), len(u)) // 256))
@@ -215,7 +216,7 @@ def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in textops.blocks(batch, "text"):
             x = features(data, at)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_FEATURES, pa.int32()), pa.array(x.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("role"), lists], names=["doc_id", "role", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("role"), part.column("h"), lists], names=["doc_id", "role", "h", "x"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
@@ -232,13 +233,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer:
     roles = first(known.where("quality = 1"), 1).withColumn("role", F.lit(1)).union(first(docs.where("doc_id IS NOT NULL").where(~held_out("doc_id")), 2).withColumn("role", F.lit(2)))
     # at most two samples of ids: bounded, so it may be sent to every executor
     chosen = docs.select("doc_id", "text").join(F.broadcast(roles.groupBy("doc_id").agg(F.sum("role").cast("int").alias("role"))), "doc_id")
-    # rows that repeat an id and a text count once, and of an id's texts those with the smallest hashes, so what comes here is bounded too
-    chosen = chosen.withColumn("_h", F.xxhash64("text")).groupBy("doc_id", "role", "_h").agg(F.first("text").alias("text"))
-    chosen = bounded_sample(chosen, ["doc_id", "_h"], 2 * sample, 4, [F.col(c) for c in ("doc_id", "role", "text")])
-    rows = chosen.mapInArrow(_figures, "doc_id long, role int, x array<float>").orderBy("doc_id", F.xxhash64("x")).toArrow()
+    # figures, not texts, move from here on: rows that repeat an id and a text count once, and what comes here is bounded even if ids repeat
+    figures = chosen.select("doc_id", "role", "text", F.xxhash64("text").alias("h")).mapInArrow(_figures, "doc_id long, role int, h long, x array<float>")
+    figures = figures.groupBy("doc_id", "h").agg(F.first("role").alias("role"), F.first("x").alias("x"))
+    rows = figures.orderBy(F.xxhash64("doc_id", "h"), "doc_id", "h").limit(2 * sample).select("role", "x").toArrow()
     if not rows.num_rows:
         return blank
-    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, N_FEATURES).astype(np.float64)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, N_FEATURES)
     role = rows.column("role").to_numpy()
     positive, unlabelled = x[role & 1 == 1], x[role & 2 == 2]
     return fit(positive, unlabelled) if len(positive) and len(unlabelled) else blank
