@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.collocations import collocations
 from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.html_layout import extract_text
 from tidemark.llm.jaccard_join import jaccard_components
 from tidemark.llm.licenses import scan_licenses
+from tidemark.llm.line_dedup import dedup_lines, kept_text
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import held_out, learn, score_documents
+from tidemark.llm.resampling import resample
 from tidemark.llm.shards import arrive_and_compact
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.warc import read_archives, write_archives
@@ -79,5 +82,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding_size_tiered, op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan)}
-ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that a smaller document holds go, by bitmaps: ``doc_id, n_lines, n_dropped, kept_sha256``."""
+    rows = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("row.doc_id", "n_lines", "n_dropped", F.sha2(kept_text("row.text", "keep"), 256).alias("kept_sha256"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2000 phrases of 2 to 3 words: ``lang, rank, phrase, a, l, r, n, score``."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents drawn towards the benchmark: ``doc_id, n_features, weight, score, rank``."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding_size_tiered, op2_warc_salvage, op3_suffix_array_dedup, op4_ffd_packing, op5_qgram_decontamination, op6_ngram_jaccard_join, op7_winnowing_fingerprints, op8_html_layout_text, op9_pu_quality_classifier, op10_license_scan, op11_line_dedup, op12_phrase_collocations, op13_importance_resampling)}
+ORACLES = {"op2_warc_salvage": sql.WARC_RECORDS, "op3_suffix_array_dedup": sql.REMOVED_REPEATS, "op6_ngram_jaccard_join": sql.JACCARD_COMPONENTS, "op11_line_dedup": sql.LINES_KEPT, "op12_phrase_collocations": sql.COLLOCATIONS, "op13_importance_resampling": sql.RESAMPLED}
