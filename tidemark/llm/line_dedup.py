@@ -28,7 +28,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Keys of fewer code points are never dropped.
 LEAST_CHARS = 10
 #: A key with more than one in ``SHARE`` of all lines is dealt into ``SLICES`` slices; the sketch that finds them tracks ``_TRACKED`` keys.
-SHARE, SLICES, _TRACKED = 4096, 64, 1 << 16
+SHARE, SLICES, _TRACKED = 1024, 64, 1 << 13
 
 
 def line_key(line: Column) -> Column:
