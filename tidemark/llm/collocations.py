@@ -9,10 +9,11 @@ way in and one way out, and no piece that starts or ends in them, are compacted
 into one row of words with one weight, and everything about their inner nodes
 is read off that row.
 
-A word that occurs fewer than ``least`` times in its language is in no phrase
-that counts, so pieces are cut there too.  Such words are told by a table of
-2**26 bits over the hashes of the others (8 MB, whatever the input); a word that
-shares a bit with a frequent one stays, and falls with its counts.
+A gram that occurs fewer than ``least`` times is in no phrase that counts, so
+grams are cut short before they hold one, and the flow stays what it is for all
+others.  Level by level up to the nodes, a table of 2**26 bits over the hashes
+of frequent grams (8 MB, whatever the input) tells them; a gram that shares a bit
+with a frequent one stays, and falls with its counts.
 
 A null text has no words, a null language is ``und``; documents are judged
 whole, and repeated rows and ids count each.  Null ids are no hindrance; other
@@ -36,7 +37,7 @@ LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase goes when a longer one that holds it has at least this many hundredths of its count.
 COVERED = 50
 #: Bytes of text that a task counts together before anything leaves it.
-_BLOCK = 8 << 20
+_BLOCK = 2 << 20
 _BITS = 26
 #: Parts of a language whose best phrases are found apart before they meet.
 _SALTS = 64
@@ -119,13 +120,56 @@ def _mixed(words: _Words, names: list[str]) -> np.ndarray:
     return textops.mix(words.hash + own[words.lang]) if words.n else words.hash
 
 
-def frequent_bits(docs: DataFrame, least: int) -> np.ndarray:
-    """The table of bits in which every word that occurs ``least`` times or more in its language has its bit set."""
+def _grown(words: _Words, names: list[str], tables: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many words (up to ``most``) a gram from each place may have, and where one of ``most`` begins, with its hash.
+
+    A gram of k words may be frequent only if its two parts of k - 1 are, and
+    if its own bit is set in the k-th table, where there is one.
+    """
+    own = _mixed(words, names)
+    h, ok, ahead = own, np.ones(words.n, dtype=bool), np.zeros(words.n, np.int64)
+    for k in range(1, most + 1):
+        if k > 1:
+            ok = ok & np.append(ok[1:], False)
+            if k == 2:
+                ok &= np.append(words.joined, False)
+            h = textops.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([own[k - 1 :], np.zeros(min(k - 1, words.n), np.uint64)]))
+        if k <= len(tables):
+            bit = h & np.uint64((1 << _BITS) - 1)
+            ok = ok & ((tables[k - 1][(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
+        ahead[ok] = k
+    return ahead, ok, h
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by value of several lists of values and counts."""
+    value, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+    return value, np.bincount(at, np.concatenate([c for _, c in parts]), len(value)).astype(np.int64)
+
+
+#: Hashes with counts that a task gathers before they leave it.
+_GATHERED = 1 << 20
+
+
+def frequent_bits(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.ndarray:
+    """One table more: of bits in which every gram of ``len(tables) + 1`` words that occurs ``least`` times or more in its language has its own set."""
+    k = len(tables) + 1
+    known = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for words, names in _blocks(batches):
-            value, count = np.unique(_mixed(words, names), return_counts=True)
-            yield pa.record_batch({"h": pa.array(value.view(np.int64), pa.int64()), "c": pa.array(count, pa.int64())})
+            _, ok, h = _grown(words, names, known.value, k)
+            parts.append(np.unique(h[ok], return_counts=True))
+            size += len(parts[-1][0])
+            if size > _GATHERED:
+                parts = [_summed(parts)]
+                size = len(parts[0][0])
+                if size > _GATHERED // 2:
+                    yield _hashes(*parts[0])
+                    parts, size = [], 0
+        if parts:
+            yield _hashes(*_summed(parts))
 
     counts = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
     bit = F.col("h").bitwiseAND((1 << _BITS) - 1)
@@ -136,6 +180,10 @@ def frequent_bits(docs: DataFrame, least: int) -> np.ndarray:
     return table.view(np.uint64)
 
 
+def _hashes(value: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"h": pa.array(value.view(np.int64), pa.int64()), "c": pa.array(count, pa.int64())})
+
+
 def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     """The byte spans [start, stop) as strings."""
     size = stop - start
@@ -144,40 +192,29 @@ def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[where])).cast(pa.string())
 
 
-def longest_grams(docs: DataFrame, longest: int, bits: np.ndarray) -> DataFrame:
+def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> DataFrame:
     """``lang, gram, k, c``: grams of ``longest`` words, shorter ones where a piece ends, with their counts; and with ``k = 0`` all words of a language."""
-    table = docs.sparkSession.sparkContext.broadcast(bits)
+    known = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
         for words, names in _blocks(batches):
             total = np.bincount(words.lang, minlength=len(names))
             yield _rows(np.arange(len(names)), names, pa.array([""] * len(names), pa.string()), np.zeros(len(names), np.int64), total)
-            if not words.n:
+            ahead, _, _ = _grown(words, names, known.value, longest)
+            pick = np.flatnonzero(ahead)
+            if not len(pick):
                 continue
-            bit = _mixed(words, names) & np.uint64((1 << _BITS) - 1)
-            often = (known[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
             number = words.numbers()
-            joined = words.joined & often[1:] & often[:-1]
-            ahead = np.ones(words.n, np.int64)  # words that a gram from here may have
-            key = words.lang * (int(number.max()) + 1) + number
-            here = often.copy()
-            reach = np.append(joined, False)
+            base = int(number.max()) + 1
+            key = (words.lang * base + number)[pick]
             for k in range(1, longest):
-                # a gram grows by the k-th word after, or by nothing; keys stay exact: pairs are numbered anew where they might not fit
-                grows = here & np.concatenate([reach[k - 1 :], np.zeros(k - 1, bool)])[: words.n]
-                step = np.where(grows, np.concatenate([number[k:], np.zeros(k, np.int64)]), 0)
-                base = int(number.max()) + 1
+                # keys stay exact: they are numbered anew where the next might not fit
                 if int(key.max()) >= (1 << 62) // base:
                     key = np.unique(key, return_inverse=True)[1].astype(np.int64)
-                key = key * base + step
-                ahead += grows
-                here = grows
-            pick = np.flatnonzero(often)
-            _, example, count = np.unique(key[pick], return_index=True, return_counts=True)
+                key = key * base + np.where(ahead[pick] > k, number[np.minimum(pick + k, words.n - 1)], 0)
+            _, example, count = np.unique(key, return_index=True, return_counts=True)
             at = pick[example]
-            k = ahead[at]
-            yield _rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + k - 1]), k, count)
+            yield _rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + ahead[at] - 1]), ahead[at], count)
 
     return docs.mapInArrow(run, "lang string, gram string, k int, c long")
 
@@ -277,7 +314,10 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     if longest < 2:
         raise ValueError("a phrase has two words at least")
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    grams = longest_grams(docs, longest, frequent_bits(docs, least))
+    tables: list[np.ndarray] = []
+    for _ in range(1, longest):
+        tables.append(frequent_bits(docs, least, tables))
+    grams = longest_grams(docs, longest, tables)
     edges = staged(grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")), "edges")
     level = node_flow(edges, longest)
     often = {k: rows.where(F.col("f") >= least) for k, rows in level.items()}
