@@ -433,3 +433,134 @@ def test_event_lists_and_ranges(spark):
     days = frame(spark, [(None,), (1,), (2,), (3,)], "day long")
     assert [r.day for r in tables.in_days(days, 2, None).orderBy("day").collect()] == [2, 3]
     assert tables.next_start(frame(spark, [("a", DAY + 5)], "symbol string, us long"), "last_input_day_end").first().start_us == 2 * DAY - 1_000_000
+
+
+def _as_of_by_hand(left, right, by, lt, rt, forward, strict, tolerance):
+    out = []
+    for a in left:
+        best = None
+        for b in right:
+            if a[by] is None or a[lt] is None or b[rt] is None or a[by] != b[by]:
+                continue
+            gap = b[rt] - a[lt] if forward else a[lt] - b[rt]
+            if gap < 0 or (strict and gap == 0) or (tolerance is not None and gap > tolerance):
+                continue
+            rank = (-gap, tuple(-x for x in b["v"]) if forward else b["v"])
+            best = max(best, (rank, b), key=lambda x: x[0]) if best else (rank, b)
+        out.append((a["id"], best[1][rt] if best else None, best[1]["v"] if best else None))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize("tolerance", [None, DAY])
+def test_as_of_join_by_brute_force(spark, forward, strict, tolerance):
+    """Several keys, ties on both sides, repeated rows, nulls in times and keys, names that clash."""
+    from tidemark.operators.asof import as_of_join
+
+    rng = np.random.default_rng(4)
+    when = lambda: int(rng.integers(-3, 12)) * (DAY // 2)
+    left = [{"id": i, "k": "ab"[i % 2], "t": when()} for i in range(60)] + [{"id": 100, "k": None, "t": 5}, {"id": 101, "k": "a", "t": None}, {"id": 102, "k": "lonely", "t": 5}, {"id": 0, "k": "a", "t": 0}]
+    right = [{"k": "ab"[i % 2], "u": when(), "v": (int(rng.integers(0, 3)), i)} for i in range(40)] + [{"k": "a", "u": None, "v": (9, 900)}, {"k": None, "u": 5, "v": (9, 901)}]
+    a = frame(spark, [(r["id"], r["k"], r["t"]) for r in left], "_at long, k string, t long")
+    b = frame(spark, [(r["k"], r["u"], *r["v"]) for r in right], "k string, u long, tie long, x long")
+    got = as_of_join(a, b, "t", "u", ["k"], ["tie", "x"], forward, strict, tolerance, tie="tie", time_out="found")
+    assert got.columns == ["_at", "k", "t", "found", "tie", "x"]
+    rows = sorted(((r["_at"], r.found, None if r.x is None else (r.tie, r.x)) for r in got.collect()), key=repr)
+    assert rows == _as_of_by_hand(left, right, "k", "t", "u", forward, strict, tolerance)
+    inner = as_of_join(a, b, "t", "u", ["k"], ["x"], forward, strict, tolerance, inner=True)
+    assert inner.count() == sum(r[1] is not None for r in rows)
+    assert as_of_join(a.limit(0), b, "t", "u", ["k"], ["x"]).count() == 0
+    assert as_of_join(a, b.limit(0), "t", "u", ["k"], ["x"]).where("x IS NULL").count() == len(left)
+
+
+def test_events_between_bars(spark):
+    """Bars at 0, 10, ..., 90 and events whose ends are no bar times: the next price labels them, and the bars between count."""
+    s = frame(spark, [("a", 10 * i, 100 + i) for i in range(10)], "symbol string, us long, price long")
+    e = frame(spark, [("a", 10, 25, 101, 1), ("a", 10, 25, 101, 1), ("a", 12, 18, 101, -1), ("a", 85, 95, 108, 1), ("a", 40, None, 104, 1)], "symbol string, t0 long, t1 long, p0 long, side int")
+    got = sorted((r.t0, r.t1, None if r.ret is None else round(r.ret, 6), r.bin) for r in labels.label(e, s).collect())
+    assert got == sorted([(10, 25, round(103 / 101 - 1, 6), 1), (10, 25, round(103 / 101 - 1, 6), 1), (12, 18, round(-(102 / 101 - 1), 6), -1), (85, 95, None, None)], key=lambda x: x[0])
+    c = weights.concurrency(e, s)
+    assert [r.c for r in c.orderBy("us").collect()] == [0, 2, 2, 0, 1, 1, 1, 1, 1, 2]
+    u = {(r.t0, r.t1): r.tw for r in weights.average_uniqueness(e, c).collect()}
+    assert u[10, 25] == 0.5 and u[12, 18] is None and u[85, 95] == 0.5 and abs(u[40, None] - 5.5 / 6) < 1e-12
+    w = weights.return_weights(e, c, s).collect()
+    assert len(w) == 5 and abs(sum(r.w for r in w) - 5) < 1e-9
+    raw = {(r.t0, r.t1): r.raw for r in w}
+    assert abs(raw[10, 25] - np.log(102 / 100) / 2) < 1e-12 and raw[12, 18] == 0
+
+
+@pytest.mark.parametrize("kind", ["some", "days", "lead"])
+def test_ewm_over_missing_values(spark, kind):
+    """Rows without a value age the weights, in a day and over days, as the usual definition has it."""
+    rng = np.random.default_rng(8)
+    n = 400
+    x = rng.normal(size=n) + 50
+    us = np.sort(rng.choice(12 * DAY, n, replace=False))
+    gone = rng.random(n) < 0.3 if kind == "some" else np.isin(us // DAY, [2, 3, 7]) if kind == "days" else us < 3 * DAY
+    x[gone] = np.nan
+    rows = frame(spark, [("a", int(t), 1, None if np.isnan(v) else float(v)) for t, v in zip(us, x, strict=True)], "symbol string, us long, price long, ret double")
+    got = series.ewm_std(rows, "ret", 15).orderBy("us").toPandas()["vol"].to_numpy(float)
+    want = pd.Series(x).ewm(span=15).std().to_numpy()
+    assert np.allclose(got, want, equal_nan=True, atol=1e-9) and np.isfinite(got).sum() > 100
+
+
+def test_scans_of_a_chain_do_not_multiply(spark):
+    """Figures on figures read their source once: the plan that is left has few scans and exchanges."""
+    from tidemark.plans import catalog
+
+    for name, scans, exchanges in (("daily_vol", 2, 10), ("lag_features", 2, 10), ("min_d_corr", 4, 20), ("ffd", 2, 10), ("concurrency", 2, 10)):
+        plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") <= scans and plan.count("Exchange ") <= exchanges, (name, plan.count("FileScan"), plan.count("Exchange "))
+
+
+def test_scratch_deletes_what_was_staged(spark):
+    from tidemark import session
+
+    with session.scratch(spark):
+        one = session.staged(spark.range(5), "one")
+        assert one.count() == 5
+    with pytest.raises(Exception):
+        spark.read.parquet(one._staged).count()
+
+
+@pytest.mark.parametrize("kind", [{"bars_per_day": 7}, {"threshold": 90_000}, {"threshold": 4_000_000}])
+def test_incremental_bars_in_any_cuts(spark, tmp_path, kind):
+    """Runs over uneven ranges, a symbol that comes late and one that pauses, reruns of one day and of several: always the bars of one run."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import incremental
+    from tidemark.sources import days as store
+
+    tape = tape_events(spark, SMALL).where("NOT (symbol = 'view' AND us < 1704800000000000) AND NOT (symbol = 'click' AND us BETWEEN 1705000000000000 AND 1705600000000000)").withColumn("_d", F.floor(F.col("us") / DAY))
+    whole = bars.adaptive_bars(tape.drop("_d"), "dollar", 7) if "bars_per_day" in kind else bars.value_bars_split(tape.drop("_d"), "dollar", kind["threshold"])
+    key = lambda rows: sorted(tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in rows.select("symbol", "bar_id", "us", "open", "high", "low", "close", "volume", "dollar", "target", "value").collect())
+    first, last = tape.agg(F.min("_d"), F.max("_d")).first()
+    root = f"file://{tmp_path}/bars"
+    run = lambda a, b: incremental.build_days(spark, root, tape.where(F.col("_d").between(a, b)).drop("_d"), "dollar", **kind)
+    for a, b in ((first, first), (first + 1, first + 9), (first + 10, last), (last - 3, last)):
+        version = run(a, b)
+    assert version == 4 and incremental.next_day(spark, root) == last + 1
+    assert key(incremental.read_bars(spark, root)) == key(whole)
+    assert run(last + 5, last + 6) == 4  # no trades, no version
+    run(first + 5, first + 6)  # days after these are no longer there
+    assert incremental.next_day(spark, root) == first + 7
+    part = tape.where(F.col("_d") <= first + 6).drop("_d")
+    assert key(incremental.read_bars(spark, root)) == key(bars.adaptive_bars(part, "dollar", 7) if "bars_per_day" in kind else bars.value_bars_split(part, "dollar", kind["threshold"]))
+    with pytest.raises(store.Conflict):
+        store.commit(spark, root, 5, {})
+
+
+def test_incremental_runs_are_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A run that fails before its commit shows nothing, whatever it has written."""
+    from tidemark.operators import incremental
+    from tidemark.sources import days as store
+
+    root, tape = f"file://{tmp_path}/bars", tape_events(spark, SMALL)
+    assert incremental.next_day(spark, root) is None and incremental.read_bars(spark, root).count() == 0
+    monkeypatch.setattr(store, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        incremental.build_days(spark, root, tape, "dollar", threshold=90_000)
+    assert incremental.read_bars(spark, root).count() == 0 and store.committed(spark, root) == (0, {})
+    with pytest.raises(ValueError):
+        incremental.build_days(spark, root, tape, "dollar")

@@ -126,39 +126,61 @@ def dynamic_thresholds(tape: DataFrame, value: str, bars_per_day: int, rolling_d
     Only day totals are folded, in one array per symbol: thousands of values,
     however many trades.
     """
-    totals = tape.where(F.col(value) > 0).groupBy("symbol", F.floor(F.col("us") / DAY).cast("long").alias("day")).agg(F.sum(value).alias("total"))
-    days = totals.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "total"))).alias("days"))
-    # k counts days from 0; the days before it are 1..k of the array
-    window = f"slice(days, greatest(1, k - {rolling_days} + 1), least(k, {rolling_days}))"
-    mean = f"aggregate({window}, CAST(0 AS BIGINT), (a, x) -> a + x.total) / least(k, {rolling_days})"
-    raw = f"(CASE WHEN k = 0 THEN CAST(d.total AS DOUBLE) ELSE {mean} END) / {bars_per_day}"
-    plan = days.select("symbol", F.expr(f"transform(days, (d, k) -> named_struct('day', d.day, 'total', d.total, 'raw', {raw}))").alias("days"))
+    rows = tape.where(F.col(value) > 0).withColumn("day", F.floor(F.col("us") / DAY).cast("long"))
+    return day_plan(rows, value, bars_per_day, rolling_days=rolling_days, smoothing=smoothing, change=change, least=least, most=most).select("symbol", *_PLAN)
+
+
+_PLAN = ("day", "total", "target", "head_target", "head_need", "first_bar")
+
+
+def day_plan(rows: DataFrame, value: str, bars_per_day: int | None, fixed: int | None = None, state: DataFrame | None = None, rolling_days: int = 3, smoothing: float = 0.3, change: float = 0.25, least: int | None = None, most: int | None = None) -> DataFrame:
+    """Thresholds of the days of ``rows`` (``day`` among their columns), see :func:`dynamic_thresholds`, and what each day leaves: ``open_target, filled, next_bar, totals``.
+
+    ``fixed`` is one threshold for all days.  ``state`` has a row
+    ``symbol, totals, target, open_target, filled, next_bar`` for symbols that
+    go on from days before.
+    """
+    sums = rows.groupBy("symbol", "day").agg(F.sum(value).alias("total"))
+    days = sums.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("day", "total"))).alias("days"))
+    zero = "CAST(0 AS BIGINT)"
+    if state is None:
+        days = days.withColumns({"old": F.expr("CAST(array() AS ARRAY<BIGINT>)"), **{f"s_{c}": F.expr(zero) for c in ("target", "open_target", "filled", "next_bar")}})
+    else:
+        days = days.join(state.select("symbol", F.col("totals").alias("old"), *(F.col(c).alias(f"s_{c}") for c in ("target", "open_target", "filled", "next_bar"))), "symbol", "left")
+        days = days.withColumns({"old": F.expr("coalesce(old, CAST(array() AS ARRAY<BIGINT>))"), **{f"s_{c}": F.coalesce(f"s_{c}", F.expr(zero)) for c in ("target", "open_target", "filled", "next_bar")}})
+    days = days.withColumn("every", F.expr("concat(old, transform(days, d -> d.total))"))
+    # the day at k of these days has the size(old) + k totals before it in ``every``
+    before = "(size(old) + k)"
+    window = f"slice(every, greatest(1, {before} - {rolling_days} + 1), least({before}, {rolling_days}))"
+    mean = f"aggregate({window}, {zero}, (a, x) -> a + x) / least({before}, {rolling_days})"
+    raw = "CAST(0 AS DOUBLE)" if fixed else f"(CASE WHEN {before} = 0 THEN CAST(d.total AS DOUBLE) ELSE {mean} END) / {bars_per_day}"
+    recent = f"slice(every, greatest(1, {before} + 1 - {rolling_days} + 1), least({before} + 1, {rolling_days}))"
+    plan = days.select("symbol", *(f"s_{c}" for c in ("target", "open_target", "filled", "next_bar")), F.expr(f"transform(days, (d, k) -> named_struct('day', d.day, 'total', d.total, 'raw', {raw}, 'totals', {recent}))").alias("days"))
     smoothed = f"({1 - smoothing!r}D * p.target + {smoothing!r}D * d.raw)"
     moved = f"(CASE WHEN p.target = 0 THEN d.raw ELSE least(p.target * {1 + change!r}D, greatest(p.target * {1 - change!r}D, {smoothed})) END)"
     target = f"greatest({1 if least is None else max(1, int(least))}, floor({moved} + 0.5D))"
-    target = f"CAST({target if most is None else f'least({int(most)}, {target})'} AS BIGINT)"
+    target = f"CAST({int(fixed) if fixed else target if most is None else f'least({int(most)}, {target})'} AS BIGINT)"
     # p is the state after the day before, t the day's target; need is what the open bar still takes
-    need = "(CASE WHEN p.filled > 0 THEN p.open_target - p.filled ELSE CAST(0 AS BIGINT) END)"
+    need = f"(CASE WHEN p.filled > 0 THEN p.open_target - p.filled ELSE {zero} END)"
     short = f"d.total < {need}"
-    state = f"""named_struct('day', d.day, 'total', d.total, 'target', t,
-      'head_target', CASE WHEN p.filled > 0 THEN p.open_target ELSE CAST(0 AS BIGINT) END, 'head_need', {need}, 'first_bar', p.next_bar,
+    state_ = f"""named_struct('day', d.day, 'total', d.total, 'target', t,
+      'head_target', CASE WHEN p.filled > 0 THEN p.open_target ELSE {zero} END, 'head_need', {need}, 'first_bar', p.next_bar,
       'open_target', CASE WHEN {short} THEN p.open_target ELSE t END,
       'filled', CASE WHEN {short} THEN p.filled + d.total ELSE (d.total - {need}) % t END,
-      'next_bar', p.next_bar + CASE WHEN {short} THEN CAST(0 AS BIGINT) ELSE CAST(p.filled > 0 AS BIGINT) + (d.total - {need}) div t END)"""
-    names = ("day", "total", "target", "head_target", "head_need", "first_bar", "open_target", "filled", "next_bar")
-    start = "named_struct(" + ", ".join(f"'{n}', CAST(0 AS BIGINT)" for n in names) + ")"
-    step = f"transform(array(element_at(acc, -1)), p -> transform(array({target}), t -> {state})[0])"
+      'next_bar', p.next_bar + CASE WHEN {short} THEN {zero} ELSE CAST(p.filled > 0 AS BIGINT) + (d.total - {need}) div t END, 'totals', d.totals)"""
+    given = {"target": "s_target", "open_target": "s_open_target", "filled": "s_filled", "next_bar": "s_next_bar"}
+    names = (*_PLAN, "open_target", "filled", "next_bar")
+    start = "named_struct(" + ", ".join(f"'{n}', {given.get(n, zero)}" for n in names) + ", 'totals', CAST(array() AS ARRAY<BIGINT>))"
+    step = f"transform(array(element_at(acc, -1)), p -> transform(array({target}), t -> {state_})[0])"
     folded = plan.select("symbol", F.expr(f"aggregate(days, array({start}), (acc, d) -> concat(acc, {step}))").alias("days"))
-    return folded.select("symbol", F.explode(F.slice("days", F.lit(2), F.size("days"))).alias("d")).select("symbol", *(f"d.{n}" for n in names[:6]))
+    return folded.select("symbol", F.explode(F.slice("days", F.lit(2), F.size("days"))).alias("d")).select("symbol", *(f"d.{n}" for n in (*names, "totals")))
 
 
-def adaptive_bars(tape: DataFrame, value: str, bars_per_day: int, **policy) -> DataFrame:
-    """Split bars under day thresholds; a bar that is open at midnight keeps its threshold until it is full."""
-    rows = tape.where(F.col(value) > 0)
-    plan = dynamic_thresholds(rows, value, bars_per_day, **policy)
+def day_slots(rows: DataFrame, plan: DataFrame, value: str) -> DataFrame:
+    """Trades (with ``day``) cut into pieces ``bar_id, take, size, bar_target`` by the plan of their days."""
     inside = Window.partitionBy("symbol", "day").orderBy("us", "trade_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("day", F.floor(F.col("us") / DAY).cast("long")).withColumn("c1", F.sum(value).over(inside))
-    rows = rows.join(plan, ["symbol", "day"]).withColumn("c0", F.col("c1") - F.col(value)).withColumn("size", F.col(value))
+    rows = rows.withColumn("c1", F.sum(value).over(inside))
+    rows = rows.join(plan.select("symbol", *_PLAN), ["symbol", "day"]).withColumn("c0", F.col("c1") - F.col(value)).withColumn("size", F.col(value))
     # slots of a day: -1 is the bar that was open, 0, 1, ... are its own
     slot = lambda c: F.when(c < F.col("head_need"), F.lit(-1)).otherwise(F.floor((c - F.col("head_need")) / F.col("target"))).cast("long")
     rows = rows.withColumn("slot", F.explode(F.sequence(slot(F.col("c0")), slot(F.col("c1") - 1))))
@@ -166,5 +188,10 @@ def adaptive_bars(tape: DataFrame, value: str, bars_per_day: int, **policy) -> D
     lo = F.when(head, F.lit(0)).otherwise(F.col("head_need") + F.col("slot") * F.col("target"))
     hi = F.when(head, F.col("head_need")).otherwise(F.col("head_need") + (F.col("slot") + 1) * F.col("target"))
     bar_id = F.col("first_bar") + F.col("slot") + F.when(F.col("head_need") > 0, 1).otherwise(0)
-    pieces = rows.withColumn("take", F.least("c1", hi) - F.greatest("c0", lo)).withColumn("bar_target", F.when(head, F.col("head_target")).otherwise(F.col("target"))).withColumn("bar_id", bar_id.cast("long"))
-    return _from_pieces(pieces)
+    return rows.withColumn("take", F.least("c1", hi) - F.greatest("c0", lo)).withColumn("bar_target", F.when(head, F.col("head_target")).otherwise(F.col("target"))).withColumn("bar_id", bar_id.cast("long"))
+
+
+def adaptive_bars(tape: DataFrame, value: str, bars_per_day: int, **policy) -> DataFrame:
+    """Split bars under day thresholds; a bar that is open at midnight keeps its threshold until it is full."""
+    rows = tape.where(F.col(value) > 0).withColumn("day", F.floor(F.col("us") / DAY).cast("long"))
+    return _from_pieces(day_slots(rows, day_plan(rows, value, bars_per_day, **policy), value))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import parse_frequency
+from tidemark.operators.running import blocked, unblocked
 from tidemark.sources.tapes import DAY
 
 
@@ -34,9 +35,15 @@ def thresholds_by_count(tape: DataFrame, frequency: str) -> DataFrame:
 
 def log_returns(bars: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``r``: log of close over the close before; rows without one, and infinite ones, are left out."""
-    before = F.lag("close").over(Window.partitionBy(*by).orderBy(*order))
+    rows, w = blocked(bars, 1, tuple(by), tuple(order), _width(order))
+    before = F.lag("close").over(w)
     r = F.when((F.col("close") > 0) & (before > 0), F.log(F.col("close") / before))
-    return bars.withColumn("r", r).where("r IS NOT NULL")
+    return unblocked(rows.withColumn("r", r), 1).where("r IS NOT NULL")
+
+
+def _width(order: list[str]) -> int:
+    """How much of an order a task numbers at once: a day of times, or so many numbers of bars."""
+    return DAY if order[0] == "us" else 1 << 20
 
 
 def week_of(us: str = "us") -> Column:
@@ -51,8 +58,8 @@ def weekly_counts(bars: DataFrame, by: list[str]) -> DataFrame:
 
 def serial_correlation(returns: DataFrame, by: list[str], order: list[str], lag: int = 1) -> DataFrame:
     """Pearson correlation of a return with the one ``lag`` before."""
-    before = F.lag("r", lag).over(Window.partitionBy(*by).orderBy(*order))
-    return returns.withColumn("b", before).where("b IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.corr("r", "b").alias("corr"))
+    rows, w = blocked(returns, lag, tuple(by), tuple(order), _width(order))
+    return unblocked(rows.withColumn("b", F.lag("r", lag).over(w)), lag).where("b IS NOT NULL").groupBy(*by).agg(F.count("*").alias("n"), F.corr("r", "b").alias("corr"))
 
 
 def monthly_variance(returns: DataFrame, by: list[str]) -> DataFrame:
@@ -102,6 +109,14 @@ def suggested_thresholds(totals: DataFrame, bars_per_day: float, least_dollar: f
     return stats.select("symbol", F.greatest(F.col("dollar") / bars_per_day, F.lit(float(least_dollar))).alias("dollar_per_bar"), F.greatest(F.col("qty") / bars_per_day, F.lit(float(least_qty))).alias("qty_per_bar"))
 
 
+def rolling_deviation(series: DataFrame, value: str, rows: int, out: str = "std") -> DataFrame:
+    """Deviation of the last ``rows`` relative changes, null until the window is full of them."""
+    part, w = blocked(series, rows)
+    part = part.withColumn("_c", F.col(value) / F.lag(value).over(w) - 1)
+    full = w.rowsBetween(1 - rows, 0)
+    return unblocked(part.withColumn(out, F.when(F.count("_c").over(full) == rows, F.stddev_samp("_c").over(full))), rows).drop("_c")
+
+
 def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows in order."""
     return rows.orderBy(*order).limit(most)

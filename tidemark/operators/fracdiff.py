@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import blocked, numbered, running, unblocked
@@ -37,6 +37,15 @@ def forward_fill(series: DataFrame, value: str, out: str) -> DataFrame:
     return running(series, ["us"], {out: ("last", F.col(value))})
 
 
+def _filled(series: DataFrame, value: str, **more: tuple[str, Column]) -> DataFrame:
+    """Adds the filled value ``_x``, the row number ``_pos`` from 0 and further figures, all in one running pass.
+
+    Rows before the first value stay, with a null ``_x`` that is in no full window.
+    """
+    rows = running(series, ["us"], {"_x": ("last", F.col(value)), "_pos": ("sum", F.lit(1)), **more})
+    return rows.withColumn("_pos", (F.col("_pos") - 1).cast("long"))
+
+
 def finite(value: str) -> Column:
     return F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
@@ -44,14 +53,13 @@ def finite(value: str) -> Column:
 def ffd(series: DataFrame, value: str, d: float, threshold: float, out: str = "fd") -> DataFrame:
     """Fixed-width fractional difference; the first rows, as many as the width, are absent, and so are rows whose own value is not finite."""
     w = ffd_weights(d, threshold)
-    filled = forward_fill(series, value, "_x").where("_x IS NOT NULL")
-    filled, order = blocked(filled, len(w) - 1)
+    filled, order = blocked(_filled(series, value), len(w) - 1)
     frame = F.collect_list("_x").over(order.rowsBetween(1 - len(w), 0))
     if len(w) <= 64:
         total = sum((F.lit(c) * F.lag("_x", k).over(order) for k, c in enumerate(w) if k), F.lit(w[0]) * F.col("_x"))
     else:
-        total = F.aggregate(F.zip_with(frame, F.array(*(F.lit(c) for c in reversed(w))), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x)
-    rows = filled.withColumn(out, F.when(F.col("_pos") >= len(w) - 1, total))
+        total = F.when(F.size(frame) == len(w), F.aggregate(F.zip_with(frame, F.array(*(F.lit(c) for c in reversed(w))), lambda x, c: x * c), F.lit(0.0), lambda a, x: a + x))
+    rows = filled.withColumn(out, total)
     return unblocked(rows, len(w) - 1).where(F.col(out).isNotNull() & finite(value)).drop("_x")
 
 
@@ -114,9 +122,10 @@ def adf_moments(series: DataFrame, value: str, by: list[str]) -> DataFrame:
     ``stat`` is the t value of the level, ``nobs`` the rows used, ``lags`` the
     changes before that are in it (one), ``crit5`` the 5 % value for ``nobs``.
     """
-    order = Window.partitionBy(*by).orderBy("us")
-    rows = series.withColumn("l", F.lag(value).over(order)).withColumn("y", F.col(value) - F.col("l"))
-    return _adf(rows.withColumn("z", F.lag("y").over(order)), by)
+    rows, order = blocked(series, 2)
+    rows = rows.withColumn("l", F.lag(value).over(order)).withColumn("_ll", F.lag(value, 2).over(order))
+    rows = unblocked(rows.withColumn("y", F.col(value) - F.col("l")).withColumn("z", F.col("l") - F.col("_ll")), 2)
+    return _adf(rows.where("y IS NOT NULL"), by)
 
 
 def _adf(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -161,11 +170,12 @@ def min_d_table(series: DataFrame, value: str, grid: list[float], threshold: flo
     """
     ws = {d: ffd_weights(d, threshold) for d in grid}
     reach = max(map(len, ws.values())) - 1
-    filled, order = blocked(forward_fill(series, value, "_x").where("_x IS NOT NULL"), reach)
+    filled, order = blocked(_filled(series, value, _own=("sum", F.when(finite(value), 1).otherwise(0))), reach)
     lags = filled.select("*", *(F.lag("_x", k).over(order).alias(f"_x{k}") for k in range(1, reach + 1)), F.col("_x").alias("_x0"))
-    wide = lags.select("symbol", "us", value, "_pos", "_block", *(F.when(F.col("_pos") >= len(w) - 1, sum((F.lit(c) * F.col(f"_x{k}") for k, c in enumerate(w)), F.lit(0.0))).alias(f"_d{i}") for i, w in enumerate(ws.values())))
-    # again in blocks, as rows without a value of their own are none of the test's
-    rows, order = blocked(unblocked(wide, reach).where(finite(value)), 2)
+    wide = lags.select("symbol", "us", value, "_pos", "_block", "_own", *(sum((F.lit(c) * F.col(f"_x{k}") for k, c in enumerate(w)), F.lit(0.0)).alias(f"_d{i}") for i, w in enumerate(ws.values())))
+    # again in blocks, as rows without a value of their own are none of the test's; the numbers of those with one came along
+    own = unblocked(wide, reach).where(finite(value)).withColumn("_pos", (F.col("_own") - 1).cast("long")).drop("_own")
+    rows, order = blocked(own, 2)
     before = rows.select("*", *(F.lag(f"_d{i}", k).over(order).alias(f"_d{i}_{k}") for i in range(len(grid)) for k in (1, 2)))
     each = F.explode(F.array(*(F.struct(F.lit(float(d)).alias("d"), F.col(f"_d{i}").alias("fd"), F.col(f"_d{i}_1").alias("l"), F.col(f"_d{i}_2").alias("ll")) for i, d in enumerate(grid))))
     long = unblocked(before, 2).select("symbol", value, each.alias("e")).select("symbol", value, "e.*").where("fd IS NOT NULL")

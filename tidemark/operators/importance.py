@@ -87,7 +87,7 @@ def single_feature(samples: DataFrame, roles: DataFrame, folds: int, features: l
     for f in features:
         part = cv_scores(samples, roles, folds, [f], **options).withColumn("feature", F.lit(f))
         out = part if out is None else out.unionByName(part)
-    each = out.groupBy("feature").agg(F.avg(scoring).alias("score"), (F.stddev_samp(scoring) / folds**0.5).alias("std"))
+    each = out.groupBy("feature").agg(F.avg(scoring).alias("score"), (F.stddev_pop(scoring) / folds**0.5).alias("std"))
     total = each.agg(F.sum(F.abs("score")).alias("_t"))
     return each.crossJoin(total).select("feature", F.try_divide(F.col("score"), F.col("_t")).alias("mean"), "std", "score")  # a row a feature
 

@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.asof import as_of_join
 from tidemark.operators.running import blocked, numbered, running, unblocked
 from tidemark.sources.tapes import DAY
 
 
 def _as_of(series: DataFrame, at: Column, value: str, out: str, back: bool) -> DataFrame:
-    """Adds the last ``value`` strictly before ``at``, or with ``back`` the first at or after it: questions and rows in one running pass."""
-    sign = -1 if back else 1
-    asked = series.select((at * sign).alias("_at"), F.lit(1 if back else 0).alias("_kind"), F.lit(None).cast(dict(series.dtypes)[value]).alias(f"_{out}"), *series.columns)
-    known = series.select((F.col("us") * sign).alias("_at"), F.lit(0 if back else 1).alias("_kind"), F.col(value).alias(f"_{out}"), *(F.col(c) if c == "symbol" else F.lit(None).cast(t).alias(c) for c, t in series.dtypes))
-    rows = running(asked.unionByName(known), ["_at", "_kind"], {out: ("last", F.col(f"_{out}"))})
-    return rows.where(F.col("_kind") == (1 if back else 0)).select(*series.columns, out)
+    """Adds the last ``value`` strictly before ``at``, or with ``back`` the first at or after it: every row is a question and an answer, in one running pass."""
+    sign, question = (-1, 1) if back else (1, 0)
+    kind = dict(series.dtypes)[value]
+    asked = F.struct((at * sign).alias("_at"), F.lit(question).alias("_kind"), F.lit(None).cast(kind).alias(f"_{out}"))
+    known = F.struct((F.col("us") * sign).alias("_at"), F.lit(1 - question).alias("_kind"), F.col(value).alias(f"_{out}"))
+    rows = series.select(*series.columns, F.explode(F.array(asked, known)).alias("_q")).select(*series.columns, "_q.*")
+    rows = running(rows, ["_at", "_kind"], {out: ("last", F.col(f"_{out}"))})
+    return rows.where(F.col("_kind") == question).select(*series.columns, out)
 
 
 def as_of_before(series: DataFrame, span: int = DAY, value: str = "price", out: str = "previous") -> DataFrame:
@@ -68,11 +71,15 @@ def triple_barrier(events: DataFrame, series: DataFrame, stop: float, profit: fl
 
 
 def label(touched: DataFrame, series: DataFrame, meta: bool = False) -> DataFrame:
-    """``ret`` and ``bin`` of closed events: signed return to the first touch, its sign (with ``meta``: 1 for a gain, else 0)."""
-    end = series.select("symbol", F.col("us").alias("t1"), F.col("price").alias("p1"))
-    rows = touched.where("t1 IS NOT NULL").join(end, ["symbol", "t1"])
+    """``ret`` and ``bin`` of closed events: signed return to the first touch, its sign (with ``meta``: 1 for a gain, else 0).
+
+    An event may end at any time: its last price is that of the first row at
+    or after ``t1``.  One that ends after the last row has neither.
+    """
+    end = series.where("price IS NOT NULL").select("symbol", "us", F.col("price").alias("p1"))
+    rows = as_of_join(touched.where("t1 IS NOT NULL"), end, "t1", "us", ["symbol"], ["p1"], forward=True)
     ret = (F.col("p1") / F.col("p0") - 1) * F.col("side")
-    sign = F.when(F.col("ret") > 0, 1).otherwise(0) if meta else F.signum("ret").cast("int")
+    sign = F.when(F.col("ret") > 0, 1).when(F.col("ret").isNotNull(), 0) if meta else F.signum("ret").cast("int")
     return rows.withColumn("ret", ret).withColumn("bin", sign.cast("int")).drop("p1")
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import staged
 from tidemark.sources.tapes import DAY
 
 
@@ -40,43 +41,61 @@ def scan_series(frame: DataFrame, keys: list[str], order: list[str], start: Call
 
 
 def _decayed(state: tuple, x: np.ndarray, keep: float) -> tuple[tuple, np.ndarray]:
-    """Moves an EWM state ``(weight, weight of squares, mean, sum of squares)`` over values; also the deviation after each."""
+    """Moves an EWM state ``(weight, weight of squares, mean, sum of squares)`` over values; also the deviation after each.
+
+    A missing value (NaN) ages the weights and adds nothing.
+    """
     out = []
     step = max(1, min(len(x), int(60 / -np.log(keep))))  # powers of ``keep`` stay far from the ends of a double
     for a in range(0, len(x), step):
         w, w2, m, s = state
-        y = x[a : a + step] - m
+        part = x[a : a + step]
+        seen = ~np.isnan(part)
+        if w == 0 and seen.any():
+            m = part[seen][0]
+        y = np.where(seen, part - m, 0.0)
         p = keep ** np.arange(1, len(y) + 1)
-        ws, ws2 = p * w + (1 - p) / (1 - keep), p**2 * w2 + (1 - p**2) / (1 - keep**2)
+        ws, ws2 = p * (w + np.cumsum(seen / p)), p**2 * (w2 + np.cumsum(seen / p**2))
         first, second = p * np.cumsum(y / p), p * (s + np.cumsum(y**2 / p))
-        square = np.maximum(0, second - first**2 / ws)
-        bias = ws - ws2 / ws
-        out.append(np.where(bias > 1e-12, np.sqrt(square / np.where(bias > 1e-12, bias, 1)), np.nan))
-        state = (ws[-1], ws2[-1], m + first[-1] / ws[-1], square[-1])
+        some = np.where(ws > 0, ws, 1)
+        square = np.maximum(0, second - first**2 / some)
+        bias = ws - ws2 / some
+        out.append(np.where(bias > 1e-12 * ws, np.sqrt(square / np.where(bias > 0, bias, 1)), np.nan))
+        state = (ws[-1], ws2[-1], m + first[-1] / some[-1], square[-1])
     return state, np.concatenate(out)
 
 
 def ewm_std(frame: DataFrame, value: str, span: int, out: str = "vol") -> DataFrame:
     """Exponentially weighted standard deviation, bias-corrected, with weights that start at the first row (per symbol, by ``us``).
 
+    A row without a value ages the weights of those before it, adds nothing,
+    and shows the deviation that stands; null until there are two values.
+
     Two levels: a day's own state is an aggregate, the states of days are
     chained (one row a day), and every day's rows go on from the state before it.
     """
     keep = 1 - 2 / (span + 1)
-    rows = frame.select("symbol", "us", "price", value).withColumn("_day", F.floor(F.col("us") / DAY).cast("long"))
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = staged(frame.select("symbol", "us", "price", known.alias(value), F.floor(F.col("us") / DAY).cast("long").alias("_day")), "returns")
     day = Window.partitionBy("symbol", "_day")
     after = F.row_number().over(day.orderBy(F.desc("us"))) - 1
     part = rows.select("symbol", "_day", value, F.avg(value).over(day).alias("_c"), F.pow(F.lit(keep), after).alias("_p")).withColumn("_y", F.col(value) - F.col("_c"))
-    own = part.groupBy("symbol", "_day").agg(F.count("*").cast("double").alias("n"), F.sum("_p").alias("w"), F.sum(F.col("_p") ** 2).alias("w2"), F.first("_c").alias("c"), F.sum(F.col("_p") * F.col("_y")).alias("s1"), F.sum(F.col("_p") * F.col("_y") ** 2).alias("s2"))
+    weight = F.when(F.col(value).isNotNull(), F.col("_p")).otherwise(0.0)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    own = part.groupBy("symbol", "_day").agg(F.count("*").cast("double").alias("n"), F.sum(weight).alias("w"), F.sum(weight**2).alias("w2"), F.coalesce(F.first("_c"), F.lit(0.0)).alias("c"), total(F.col("_p") * F.col("_y")).alias("s1"), total(F.col("_p") * F.col("_y") ** 2).alias("s2"))
 
     def chain(state, days):
         before = []
         for n, bw, bw2, c, s1, s2 in days[["n", "w", "w2", "c", "s1", "s2"]].itertuples(index=False):
             before.append(state)
             w, w2, m, s = state
-            aged, mean, square = w * keep**n, c + s1 / bw, max(0.0, s2 - s1 * s1 / bw)
+            aged, aged2, faded = w * keep**n, w2 * keep ** (2 * n), s * keep**n
+            if bw == 0:  # a day without a value
+                state = (aged, aged2, m, faded)
+                continue
+            mean, square = c + s1 / bw, max(0.0, s2 - s1 * s1 / bw)
             gap, total = mean - m, aged + bw
-            state = (total, w2 * keep ** (2 * n) + bw2, m + gap * bw / total, s * keep**n + square + gap * gap * aged * bw / total)
+            state = (total, aged2 + bw2, m + gap * bw / total, faded + square + gap * gap * aged * bw / total)
         done = days[["symbol", "_day"]].copy()
         done[["_w", "_w2", "_m", "_s"]] = np.array(before).reshape(-1, 4)
         return state, done
@@ -92,7 +111,7 @@ def ewm_std(frame: DataFrame, value: str, span: int, out: str = "vol") -> DataFr
 
     begin = lambda part: tuple(part[c].iloc[0] for c in ("_w", "_w2", "_m", "_s"))
     done = scan_series(rows.join(before, ["symbol", "_day"]), ["symbol", "_day"], ["us"], begin, step, f"symbol string, us long, price long, {value} double, {out} double")
-    return done.withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
+    return done.withColumn(value, F.nanvl(value, F.lit(None).cast("double"))).withColumn(out, F.nanvl(out, F.lit(None).cast("double")))
 
 
 def walk(state: tuple[float, float, float], values: list[float], thresholds: list[float], positive_first: bool = False, on_levels: bool = True) -> tuple[tuple[float, float, float], list[tuple[int, int]]]:

@@ -24,33 +24,39 @@ def concurrency(events: DataFrame, series: DataFrame) -> DataFrame:
     return running(marks, ["us", "kind"], {"c": ("sum", F.col("d"))}).where("kind = 1").select("symbol", "us", "c")
 
 
-def _between(events: DataFrame, marks: DataFrame, total: str, rank: str) -> DataFrame:
-    """Adds ``sum`` and ``n`` of a series' value over [t0, t1], by prefix sums at both ends."""
-    last = marks.groupBy("symbol").agg(F.max("us").alias("_last"))
-    rows = events.join(last, "symbol").withColumn("_end", F.coalesce("t1", "_last"))
-    a = marks.select("symbol", F.col("us").alias("t0"), F.col("value").alias("_v0"), F.col(total).alias("_s0"), F.col(rank).alias("_n0"))
-    b = marks.select("symbol", F.col("us").alias("_end"), F.col(total).alias("_s1"), F.col(rank).alias("_n1"))
-    return rows.join(a, ["symbol", "t0"]).join(b, ["symbol", "_end"]).withColumn("sum", F.col("_s1") - F.col("_s0") + F.coalesce("_v0", F.lit(0.0))).withColumn("n", F.col("_n1") - F.col("_n0") + 1)
+#: Later than any row: where an event without an end is taken to end.
+_OPEN_END = 1 << 62
 
 
-def _prefix(rows: DataFrame) -> DataFrame:
-    """Prefix sums and ranks, looked up at both ends of every event: written once."""
-    rows = running(staged(rows.select("symbol", "us", "value"), "values"), ["us"], {"_total": ("sum", F.coalesce("value", F.lit(0.0))), "_rank": ("sum", F.lit(1))})
-    return staged(rows, "marks")
+def _between(events: DataFrame, rows: DataFrame, sums: list[str]) -> DataFrame:
+    """Events with ``n`` rows of a series in [t0, t1] and the sums of its columns over them.
+
+    Both ends of an event are marks in one sweep with the rows, so an event may
+    begin and end at any time; prefix sums are taken where the marks stand.
+    Events that repeat are swept once.
+    """
+    spans = events.groupBy("symbol", "t0", "t1").agg(F.count("*").cast("int").alias("_many"))
+    ends = F.array(F.struct(F.col("t0").alias("us"), F.lit(0).alias("kind")), F.struct(F.coalesce("t1", F.lit(_OPEN_END)).alias("us"), F.lit(2).alias("kind")))
+    marks = spans.select("symbol", "t0", "t1", "_many", F.explode(ends).alias("e")).select("symbol", "t0", "t1", "_many", "e.*")
+    marks = marks.unionByName(rows.select("symbol", "us", F.lit(1).alias("kind"), *sums), allowMissingColumns=True)
+    totals = {f"_{c}": ("sum", F.coalesce(c, F.lit(0.0))) for c in sums} | {"_n": ("sum", F.when(F.col("kind") == 1, 1).otherwise(0))}
+    swept = running(marks, ["us", "kind"], totals).where("kind <> 1")
+    over = lambda c: F.sum(F.when(F.col("kind") == 2, F.col(c)).otherwise(-F.col(c)))
+    both = swept.groupBy("symbol", "t0", "t1").agg(F.first("_many").alias("_many"), over("_n").alias("n"), *(over(f"_{c}").alias(c) for c in sums))
+    return both.withColumn("_each", F.explode(F.array_repeat(F.lit(1), F.col("_many")))).drop("_each", "_many")
 
 
 def average_uniqueness(events: DataFrame, counts: DataFrame) -> DataFrame:
-    """``tw``: the mean over an event's rows of one over their concurrency."""
-    marks = _prefix(counts.withColumn("value", F.when(F.col("c") > 0, 1 / F.col("c"))))
-    return _between(events, marks, "_total", "_rank").select("symbol", "t0", "t1", (F.col("sum") / F.col("n")).alias("tw"))
+    """``tw``: the mean over an event's rows of one over their concurrency; null for an event that no row falls into."""
+    shares = counts.select("symbol", "us", F.when(F.col("c") > 0, 1 / F.col("c")).alias("share"))
+    return _between(events, shares, ["share"]).select("symbol", "t0", "t1", F.try_divide(F.col("share"), F.col("n")).alias("tw"))
 
 
 def return_weights(events: DataFrame, counts: DataFrame, series: DataFrame) -> DataFrame:
     """``w``: size of the concurrency-shared log returns over an event, scaled to a mean of one per symbol."""
-    r = running(series.select("symbol", "us", "price"), ["us"], {"_before": ("last", F.col("price"))}, before=True)
-    r = r.select("symbol", "us", F.log(F.col("price") / F.col("_before")).alias("_r"))
-    marks = _prefix(counts.join(r, ["symbol", "us"]).withColumn("value", F.when(F.col("c") > 0, F.col("_r") / F.col("c"))))
-    rows = staged(_between(events, marks, "_total", "_rank").select("symbol", "t0", "t1", F.abs("sum").alias("raw")), "raw")
+    r = running(series.join(counts, ["symbol", "us"]).select("symbol", "us", "price", "c"), ["us"], {"_before": ("last", F.col("price"))}, before=True)
+    shares = r.select("symbol", "us", F.when(F.col("c") > 0, F.log(F.col("price") / F.col("_before")) / F.col("c")).alias("share"))
+    rows = staged(_between(events, shares, ["share"]).select("symbol", "t0", "t1", F.abs("share").alias("raw")), "raw")
     every = rows.groupBy("symbol").agg(F.count("*").alias("_n"), F.sum("raw").alias("_sum"))
     return rows.join(every, "symbol").select("symbol", "t0", "t1", "raw", F.try_divide(F.col("raw") * F.col("_n"), F.col("_sum")).alias("w"))
 

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.stats import ensemble_accuracy, weighted_tau
-from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, labels, series, weights
+from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, incremental, labels, series, weights
+from tidemark.operators.asof import as_of_join
+from tidemark.operators.running import blocked, unblocked
 from tidemark.plans import oracles
 from tidemark.session import new_path, staged
 from tidemark.sources import tables, trades
@@ -109,6 +111,28 @@ def adaptive_bars(spark, d):
     return bars.adaptive_bars(tape_events(spark, d), "dollar", 12)
 
 
+def _in_runs(spark, d, **kind) -> DataFrame:
+    """The tape built in three runs over thirds of its days, and its last day run once more."""
+    tape, root = tape_events(spark, d).withColumn("_d", F.floor(F.col("us") / DAY)), new_path(spark, "bars")
+    first, last = tape.agg(F.min("_d"), F.max("_d")).first()
+    third = (last - first) // 3 + 1
+    for a, b in ((first, first + third - 1), (first + third, first + 2 * third - 1), (first + 2 * third, last), (last, last)):
+        incremental.build_days(spark, root, tape.where(F.col("_d").between(a, b)).drop("_d"), "dollar", **kind)
+    return incremental.read_bars(spark, root)
+
+
+@_query
+def incremental_adaptive_bars(spark, d):
+    """Day-adaptive bars in three runs and a repeat, each from the state of the one before."""
+    return _in_runs(spark, d, bars_per_day=12)
+
+
+@_query
+def incremental_split_bars(spark, d):
+    """Split bars of one threshold in three runs and a repeat."""
+    return _in_runs(spark, d, threshold=DOLLAR_BAR)
+
+
 # thresholds and diagnostics ------------------------------------------------------------------------------------------
 
 
@@ -257,6 +281,23 @@ def asof_prev_day(spark, d):
     return labels.as_of_before(_series(spark, d)).where("previous IS NOT NULL")
 
 
+def _acts(spark, d, kind: str, at: str):
+    rows = spark.read.parquet(f"{d}/events.parquet").where(F.col("event_type") == kind)
+    return rows.select("user_id", F.col("event_id").alias(kind), micros("ts").alias(at))
+
+
+@_query
+def asof_join_backward(spark, d):
+    """Every purchase with its user's last view strictly before it, if that is a week old at most."""
+    return as_of_join(_acts(spark, d, "purchase", "us"), _acts(spark, d, "view", "at"), "us", "at", ["user_id"], ["view"], strict=True, tolerance=7 * DAY, time_out="viewed")
+
+
+@_query
+def asof_join_forward(spark, d):
+    """Every view with its user's first purchase at or after it."""
+    return as_of_join(_acts(spark, d, "view", "us"), _acts(spark, d, "purchase", "at"), "us", "at", ["user_id"], ["purchase"], forward=True, time_out="purchased")
+
+
 def _volatility(spark, d):
     return series.ewm_std(labels.returns_over(_series(spark, d)), "ret", 100)
 
@@ -279,12 +320,7 @@ def daily_vol_log(spark, d):
 @_query
 def rolling_std(spark, d):
     """Deviation of the last 100 changes, null until the window is full."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("symbol").orderBy("us")
-    rows = _series(spark, d).withColumn("c", F.col("price") / F.lag("price").over(w) - 1)
-    full = w.rowsBetween(-99, 0)
-    return _rounded(rows.withColumn("std", F.when(F.count("c").over(full) == 100, F.stddev_samp("c").over(full))).select("symbol", "us", "std"))
+    return _rounded(diagnostics.rolling_deviation(_series(spark, d), "price", 100).select("symbol", "us", "std"))
 
 
 @_query
@@ -313,10 +349,8 @@ def cusum_last_vol(spark, d):
 @_query
 def cusum_positional(spark, d):
     """CUSUM on changes themselves, positive side first, with a fixed threshold."""
-    from pyspark.sql import Window
-
-    x = F.log(F.col("price") / F.lag("price").over(Window.partitionBy("symbol").orderBy("us")))
-    rows = _series(spark, d).withColumn("x", F.coalesce(x, F.lit(0.0))).withColumn("h", F.lit(2.5))
+    rows, w = blocked(_series(spark, d), 1)
+    rows = unblocked(rows.withColumn("x", F.coalesce(F.log(F.col("price") / F.lag("price").over(w)), F.lit(0.0))), 1).withColumn("h", F.lit(2.5))
     return series.cusum(rows, "x", "h", positive_first=True, on_levels=False)
 
 
@@ -354,6 +388,18 @@ def event_labels(spark, d):
     return _rounded(_labels(spark, d).select("symbol", "t0", "t1", "ret", "bin"), 9)
 
 
+def _loose(spark, d):
+    """Events whose ends are times of the clock, not of rows: all run for three hours and 17 seconds, unless touched before."""
+    rows = _touched(spark, d).withColumn("t1", F.least(F.col("t0") + 3 * HOUR + 17_000_000, "sl", "pt"))
+    return staged(rows.select("symbol", "t0", "t1", "p0", "side"), "loose")
+
+
+@_query
+def labels_between_bars(spark, d):
+    """Labels of events that end between rows, at the next price; those that end after the last row have none."""
+    return _rounded(labels.label(_loose(spark, d), _series(spark, d)).select("symbol", "t0", "t1", "ret", "bin"), 9)
+
+
 @_query
 def meta_labels(spark, d):
     return _rounded(_labels(spark, d, True).select("symbol", "t0", "t1", "side", "ret", "bin"), 9)
@@ -442,6 +488,16 @@ def avg_uniqueness(spark, d):
     return _rounded(weights.average_uniqueness(e, staged(weights.concurrency(e, _series(spark, d)), "counts")))
 
 
+@_query
+def uniqueness_between_bars(spark, d):
+    """Uniqueness and weight of events that begin and end between rows."""
+    e = _loose(spark, d).select("symbol", (F.col("t0") + 1_000_000).alias("t0"), "t1").where("t1 >= t0")
+    s = _series(spark, d)
+    counts = staged(weights.concurrency(e, s), "counts")
+    raw = weights.return_weights(e, counts, s).select("symbol", "t0", "t1", "raw")
+    return _rounded(weights.average_uniqueness(e, counts).join(raw, ["symbol", "t0", "t1"]))
+
+
 @_query
 def return_weights(spark, d):
     e, s = _spans_all(spark, d), _series(spark, d)

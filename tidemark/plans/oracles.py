@@ -234,4 +234,14 @@ SELECT fold, sample, role FROM (SELECT re.fold, sample, CASE WHEN pos BETWEEN lo
         "stream_bar_kinds": f"SELECT 'volume' AS kind, {_BAR} FROM (WITH {_whole(_T, 'qty', volume)} SELECT * FROM b) UNION ALL SELECT 'dollar', {_BAR} FROM (WITH {_whole(_T, 'dollar', dollar)} SELECT * FROM b)",
         "stream_cusum_events": f"WITH RECURSIVE {_S}, g AS MATERIALIZED (SELECT symbol, us, price, row_number() OVER (PARTITION BY symbol ORDER BY us) AS i, ln(price) AS x, 2.5::DOUBLE AS h FROM s), " + walk.format(up="(NOT d < -h) AND u > h", dn="d < -h", move="(g.x - k.x)") + " SELECT symbol, us, price, direction FROM k WHERE direction <> 0",
     }
-    return {**out, "stream_adaptive_bars": out["adaptive_bars"], "raw_file_bars": RAW_BARS.format(hour=hour)}
+    acts = lambda kind, at: f"(SELECT user_id, event_id AS {kind}, epoch_us(ts) AS {at}_us FROM events WHERE event_type = '{kind}')"
+    out["asof_join_backward"] = f"SELECT a.user_id, purchase, a_us AS us, CASE WHEN a_us - b_us <= {7 * day} THEN b_us END AS viewed, CASE WHEN a_us - b_us <= {7 * day} THEN view END AS view FROM {acts('purchase', 'a')} a ASOF LEFT JOIN {acts('view', 'b')} b ON a.user_id = b.user_id AND a.a_us > b.b_us"
+    out["asof_join_forward"] = f"SELECT a.user_id, view, a_us AS us, b_us AS purchased, purchase FROM {acts('view', 'a')} a ASOF LEFT JOIN {acts('purchase', 'b')} b ON a.user_id = b.user_id AND a.a_us <= b.b_us"
+    loose = f"{plain}, lo AS MATERIALIZED (SELECT symbol, t0, p0, side, least(t0 + {span + 17_000_000}, sl, pt) AS t1 FROM tb)"
+    out["labels_between_bars"] = f"WITH RECURSIVE {loose} SELECT lo.symbol, t0, t1, round((s.price / p0 - 1) * side, 9) AS ret, CAST(sign((s.price / p0 - 1) * side) AS INTEGER) AS bin FROM lo ASOF LEFT JOIN s ON s.symbol = lo.symbol AND lo.t1 <= s.us"
+    out["uniqueness_between_bars"] = f"""WITH RECURSIVE {loose}, sp AS MATERIALIZED (SELECT symbol, t0 + 1000000 AS t0, t1 FROM lo WHERE t1 >= t0 + 1000000),
+lr AS MATERIALIZED (SELECT symbol, us, ln(price / lag(price) OVER (PARTITION BY symbol ORDER BY us)) AS r FROM s),
+cc AS MATERIALIZED (SELECT lr.symbol, lr.us, lr.r, count(*) AS c FROM lr JOIN sp ON sp.symbol = lr.symbol AND lr.us BETWEEN sp.t0 AND sp.t1 GROUP BY lr.symbol, lr.us, lr.r),
+ag AS (SELECT sp.symbol, sp.t0, sp.t1, avg(1 / c) AS tw, abs(coalesce(sum(r / c), 0)) AS raw FROM sp JOIN cc ON cc.symbol = sp.symbol AND cc.us BETWEEN sp.t0 AND sp.t1 GROUP BY sp.symbol, sp.t0, sp.t1)
+SELECT sp.symbol, sp.t0, sp.t1, round(tw, 6) AS tw, round(coalesce(raw, 0), 6) AS raw FROM sp LEFT JOIN ag ON ag.symbol = sp.symbol AND ag.t0 = sp.t0 AND ag.t1 = sp.t1"""
+    return {**out, "stream_adaptive_bars": out["adaptive_bars"], "incremental_adaptive_bars": out["adaptive_bars"], "incremental_split_bars": out["value_bars_split_dollar"], "raw_file_bars": RAW_BARS.format(hour=hour)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +52,23 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     frame.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(frame.schema).parquet(path)
     out._staged = path
+    for held in getattr(spark, "_tidemark_scratch", ()):
+        held.append(out)
     return out
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, every table that was staged inside it: results have to be written or collected by then."""
+    own: list[DataFrame] = []
+    spark._tidemark_scratch = [*getattr(spark, "_tidemark_scratch", ()), own]
+    try:
+        yield
+    finally:
+        spark._tidemark_scratch = [x for x in spark._tidemark_scratch if x is not own]
+        discard(*own)
+
+
 def discard(*frames: DataFrame | None) -> None:
     """Deletes staged tables; nothing that is still to be computed may read them."""
     for frame in frames:

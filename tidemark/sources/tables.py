@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import numbered
 from tidemark.sources.tapes import DAY
 
 
@@ -77,7 +78,7 @@ def start_of_run(explicit_us: int | None, rows: DataFrame, mode: str = "last_out
 
 def map_events(series: DataFrame, events: DataFrame, mode: str = "index") -> DataFrame:
     """Rows of a series that events name, by row number (``index``) or by time (``timestamp``: those that are in the series)."""
-    rows = series.withColumn("event_idx", (F.row_number().over(Window.partitionBy("symbol").orderBy("us")) - 1).cast("long"))
+    rows = numbered(series, "event_idx")
     if mode == "index":
         return rows.join(events, "event_idx", "left_semi").select("symbol", "event_idx", "us", "price")
     if mode == "timestamp":
