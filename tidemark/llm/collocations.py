@@ -10,10 +10,11 @@ into one row of words with one weight, and everything about their inner nodes
 is read off that row.
 
 A gram that occurs fewer than ``least`` times is in no phrase that counts, so
-grams are cut short before they hold one, and the flow stays what it is for all
-others.  Level by level up to the nodes, a table of 2**26 bits over the hashes
-of frequent grams (8 MB, whatever the input) tells them; a gram that shares a bit
-with a frequent one stays, and falls with its counts.
+grams are cut short before they hold one: an infrequent edge counts as a piece
+that ends in its node, and the flow through frequent nodes stays what it is.
+Level by level, a table of 2**26 bits over the hashes of frequent grams (8 MB,
+whatever the input) tells them; a gram that shares a bit with a frequent one
+stays, and falls with its counts.
 
 A null text has no words, a null language is ``und``; documents are judged
 whole, and repeated rows and ids count each.  Null ids are no hindrance; other
@@ -141,49 +142,71 @@ def _grown(words: _Words, names: list[str], tables: list[np.ndarray], most: int)
     return ahead, ok, h
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by value of several lists of values and counts."""
-    value, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
-    return value, np.bincount(at, np.concatenate([c for _, c in parts]), len(value)).astype(np.int64)
-
-
-#: Hashes with counts that a task gathers before they leave it.
-_GATHERED = 1 << 20
+#: Hashed grams are counted in 2**32 buckets, dealt by their upper half; a row carries the lower halves of one block's buckets under one upper half.
+_UPPER, _LOWER = 16, 16
 
 
 def frequent_bits(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.ndarray:
-    """One table more: of bits in which every gram of ``len(tables) + 1`` words that occurs ``least`` times or more in its language has its own set."""
+    """One table more: of bits in which every gram of ``len(tables) + 1`` words that occurs ``least`` times or more in its language has its own set.
+
+    Buckets of hashes are counted, not grams: two bytes and a count for each
+    that a block has.  A bucket that several grams share may let infrequent
+    ones through, never keep a frequent one out.
+    """
     k = len(tables) + 1
     known = docs.sparkSession.sparkContext.broadcast(tables)
+    enough = min(least, 255)  # a block's count beyond what is asked for need not be told
+    if least > 255:
+        raise ValueError("least is at most 255")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, names in _blocks(batches):
             _, ok, h = _grown(words, names, known.value, k)
-            parts.append(np.unique(h[ok], return_counts=True))
-            size += len(parts[-1][0])
-            if size > _GATHERED:
-                parts = [_summed(parts)]
-                size = len(parts[0][0])
-                if size > _GATHERED // 2:
-                    yield _hashes(*parts[0])
-                    parts, size = [], 0
-        if parts:
-            yield _hashes(*_summed(parts))
-
-    counts = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-    bit = F.col("h").bitwiseAND((1 << _BITS) - 1)
-    words = counts.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST((h & 63L) AS INT))")).alias("bits"))
+            bucket, n = np.unique((h[ok] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
+            upper = (bucket >> np.uint32(_LOWER)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, upper[1:] != upper[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            at = np.append(cuts, len(bucket)).astype(np.int32)
+            lower, small = (bucket & np.uint32((1 << _LOWER) - 1)).astype("<u2"), np.minimum(n, enough).astype(np.uint8)
+            places = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at * np.int32(2)), pa.py_buffer(lower)])
+            counts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at), pa.py_buffer(small)])
+            yield pa.RecordBatch.from_arrays([pa.array(upper[cuts], pa.int32()), places, counts], ["upper", "places", "counts"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums a sorted partition, one upper half after the other, in an array of 2**16 counts."""
+        now, held, found, size = -1, np.zeros(1 << _LOWER, np.int64), [], 0
+
+        def flush() -> pa.RecordBatch:
+            bit = np.concatenate(found) & np.uint64((1 << _BITS) - 1)
+            word, at = np.unique(bit >> np.uint64(6), return_inverse=True)
+            bits = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(bits, at, np.uint64(1) << (bit & np.uint64(63)))
+            return pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+        for batch in batches:
+            for upper, places, counts in zip(batch.column("upper").to_pylist(), batch.column("places"), batch.column("counts"), strict=True):
+                if upper != now:
+                    if now >= 0:
+                        found.append((np.uint64(now) << np.uint64(_LOWER)) | np.flatnonzero(held >= least).astype(np.uint64))
+                        size += len(found[-1])
+                        held[:] = 0
+                    now = upper
+                # a row's places are distinct
+                held[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), np.uint8)
+            if size > 1 << 18:
+                yield flush()
+                found, size = [], 0
+        if now >= 0:
+            found.append((np.uint64(now) << np.uint64(_LOWER)) | np.flatnonzero(held >= least).astype(np.uint64))
+            yield flush()
+
+    parts = docs.mapInArrow(count, "upper int, places binary, counts binary").repartition("upper").sortWithinPartitions("upper")
+    words = parts.mapInArrow(total, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table = np.zeros(1 << (_BITS - 6), np.int64)
     rows = words.toPandas()  # at most 2**20 rows of two numbers
     table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
     return table.view(np.uint64)
 
 
-def _hashes(value: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"h": pa.array(value.view(np.int64), pa.int64()), "c": pa.array(count, pa.int64())})
-
-
 def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     """The byte spans [start, stop) as strings."""
     size = stop - start
@@ -315,7 +338,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
         raise ValueError("a phrase has two words at least")
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     tables: list[np.ndarray] = []
-    for _ in range(1, longest):
+    for _ in range(longest):
         tables.append(frequent_bits(docs, least, tables))
     grams = longest_grams(docs, longest, tables)
     edges = staged(grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")), "edges")
