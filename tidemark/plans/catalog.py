@@ -239,9 +239,20 @@ def largest_bars(spark, d):
 @_query
 def raw_file_bars(spark, d):
     """The tape written as zipped daily files, read back from them, cleaned, and put into hourly bars."""
+    return bars.time_bars(trades.clean_trades(trades.read_raw(spark, _raw_folder(spark, d))), "1h")
+
+
+def _raw_folder(spark, d) -> str:
     folder = new_path(spark, "raw")
     trades.write_raw(tape_events(spark, d), folder).write.format("noop").mode("overwrite").save()
-    return bars.time_bars(trades.clean_trades(trades.read_raw(spark, folder), trades.symbol_of(F.col("path"))), "1h")
+    return folder
+
+
+@_query
+def raw_day_totals(spark, d):
+    """Day totals of the files of ten days, told by their names; the other files stay closed."""
+    raw = trades.read_raw(spark, _raw_folder(spark, d)).where("day BETWEEN DATE'2024-01-06' AND DATE'2024-01-15'")
+    return trades.day_totals(raw).select("symbol", F.unix_date("day").cast("long").alias("day"), "dollar", "qty")
 
 
 @_query
@@ -765,4 +776,10 @@ def stream_adaptive_bars(spark, d):
     return streams.adaptive_bars_once(spark, d, "dollar", 12)
 
 
+@_query
+def stream_zip_adaptive_bars(spark, d):
+    """Day-adaptive bars streamed from zipped daily files, five days to a batch in the order of their names."""
+    return streams.zip_adaptive_bars_once(spark, _raw_folder(spark, d), "dollar", 12, 5)
+
+
 ORACLES = oracles.build(dict(hour=HOUR, day=DAY, volume=VOLUME_BAR, dollar=DOLLAR_BAR, order=ORDER_BAR, ffd=fracdiff.ffd_weights(FFD_D, FFD_THRESHOLD), grid={g: fracdiff.ffd_weights(g, FFD_THRESHOLD) for g in GRID}, d=FFD_D, threshold=FFD_THRESHOLD, lags=LAGS, comb=[math.comb(11, i) for i in range(12)]))

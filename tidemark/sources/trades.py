@@ -4,61 +4,39 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidemark.sources.daily import DailyTrades
 from tidemark.sources.tapes import DAY
 
-#: Fixed value: the columns of a headerless daily trade file, by position.
-RAW_COLUMNS = ["trade_id", "price", "qty", "quote_qty", "time", "is_buyer_maker", "is_best_match"]
-_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in RAW_COLUMNS])
-
 
 def day_of(path: Column) -> Column:
     """The first ``yyyy-mm-dd`` in a file's name as a date, or null."""
     return F.try_to_timestamp(F.regexp_extract(F.element_at(F.split(path, "/"), -1), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd")).cast("date")
 
 
-def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                for name in archive.namelist():
-                    if not name.endswith("/"):
-                        with archive.open(name) as file:
-                            for part in pd.read_csv(file, header=None, dtype=str, chunksize=200_000):
-                                if part.shape[1] != len(RAW_COLUMNS):
-                                    raise ValueError(f"{path}: {part.shape[1]} columns, not {len(RAW_COLUMNS)}")
-                                part.columns = RAW_COLUMNS
-                                yield part.assign(path=path)
+def read_raw(spark: SparkSession, folder: str, limit_files: int | None = None) -> DataFrame:
+    """Rows of all csv and zip files under a folder as text, with their path, symbol and day; raises if there are none.
 
+    A file is a partition; conditions on ``day`` or ``symbol`` right on this
+    frame leave other files closed: the session is told to hand filters to
+    Python sources.
+    """
+    spark.dataSource.register(DailyTrades)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    reader = spark.read.format("daily_trades")
+    return (reader.option("limitFiles", limit_files) if limit_files else reader).load(folder)
 
-def read_raw(spark: SparkSession, folder: str, limit_files: int | None = None) -> DataFrame:
-    """Rows of all csv and zip files under a folder as text, with their path; raises if there are none."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    names = listing.load(folder).select("path", "length").where("path RLIKE '\\\\.(csv|zip)$' AND length > 0").orderBy("path")
-    names = names.limit(limit_files) if limit_files else names
-    paths = [r.path for r in names.select("path").toLocalIterator()]
-    if not paths:
-        raise FileNotFoundError(f"no csv or zip files under {folder}")
-    csv, zips = [p for p in paths if p.endswith(".csv")], [p for p in paths if p.endswith(".zip")]
-    out = None
-    if csv:
-        # one column more shows rows that are too long; a null in the last shows those that are too short
-        wide = T.StructType([*_TEXT.fields, T.StructField("_more", T.StringType())])
-        rows = spark.read.schema(wide).csv(csv).withColumn("path", F.col("_metadata.file_path"))
-        odd = F.col("_more").isNotNull() | F.col(RAW_COLUMNS[-1]).isNull()
-        first = F.when(odd, F.raise_error(F.concat("path", F.lit(f": not {len(RAW_COLUMNS)} columns"))).cast("string")).otherwise(F.col(RAW_COLUMNS[0]))
-        out = rows.withColumn(RAW_COLUMNS[0], first).drop("_more")
-    if zips:
-        rows = spark.read.format("binaryFile").load(zips).select("path", "content").mapInPandas(_unzipped, T.StructType([*_TEXT.fields, T.StructField("path", T.StringType())]))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+
+def raw_stream(spark: SparkSession, folder: str, days_per_batch: int | None = None) -> DataFrame:
+    """The same files as a stream, in the order of their days, ``days_per_batch`` to a micro-batch."""
+    spark.dataSource.register(DailyTrades)
+    reader = spark.readStream.format("daily_trades")
+    return (reader.option("daysPerBatch", days_per_batch) if days_per_batch else reader).load(folder)
 
 
 def symbol_of(path: Column) -> Column:
@@ -102,14 +80,21 @@ def day_totals(raw: DataFrame) -> DataFrame:
     return raw.groupBy(symbol_of(F.col("path")).alias("symbol"), day_of(F.col("path")).alias("day")).agg(F.sum(number("quote_qty")).alias("dollar"), F.sum(number("qty")).alias("qty"))
 
 
-def clean_trades(raw: DataFrame, symbol: str | Column, dedupe: bool = True) -> DataFrame:
-    """Raw text as a tape: bad numbers and times become null and their rows go; of a repeated trade the last stays."""
+def tape_of(raw: DataFrame, symbol: str | Column | None = None) -> DataFrame:
+    """Raw text as a tape with its day: bad numbers and times become null and their rows go."""
     number = {c: F.expr(f"try_cast({c} AS {t})") for c, t in (("trade_id", "bigint"), ("price", "double"), ("qty", "double"), ("quote_qty", "double"), ("time", "bigint"))}
-    rows = raw.select(*(e.alias(c) for c, e in number.items()), day_of(F.col("path")).alias("day"), (F.lit(symbol) if isinstance(symbol, str) else symbol).alias("symbol"))
+    named = F.col("symbol") if symbol is None else F.lit(symbol) if isinstance(symbol, str) else symbol
+    rows = raw.select(*(e.alias(c) for c, e in number.items()), "day", named.alias("symbol"))
     rows = rows.withColumn("dollar", F.coalesce("quote_qty", F.col("price") * F.col("qty"))).dropna(subset=["trade_id", "price", "qty", "time"])
+    return rows.select("symbol", "day", "trade_id", (F.col("time") * 1000).alias("us"), "price", "qty", "dollar")
+
+
+def clean_trades(raw: DataFrame, symbol: str | Column | None = None, dedupe: bool = True) -> DataFrame:
+    """Raw text as a tape; of a trade that repeats in its file's day the last stays."""
+    rows = tape_of(raw, symbol)
     if dedupe:
-        rows = keep_last(rows, ["symbol", "day", "trade_id"], ["time"])
-    return rows.select("symbol", "trade_id", (F.col("time") * 1000).alias("us"), "price", "qty", "dollar")
+        rows = keep_last(rows, ["symbol", "day", "trade_id"], ["us"])
+    return rows.drop("day")
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -14,9 +14,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.series import walk
 from tidemark.session import is_folder, new_path
+from tidemark.sources import trades
 from tidemark.sources.tapes import DAY, micros
 
 _BARS = "kind string, symbol string, bar_index long, us long, open long, high long, low long, close long, volume long, dollar long, value long, threshold long, closed boolean"
@@ -141,7 +143,7 @@ def adaptive_bars(stream: DataFrame, value: str, bars_per_day: int, rolling_days
         done: list[dict] = []
         for day, part in rows.groupby(rows["us"] // DAY, sort=True):
             if s["day"] is not None and day <= s["day"]:
-                raise ValueError(f"day {day} of {key} comes in parts or late")
+                raise ValueError(f"day {day} of {key} comes in parts or late: day {s['day']} is done")
             s["day"] = int(day)
             done += [{**b, "closed": True} for b in _day_of_bars(part, s, bars_per_day, rolling_days, smoothing, change)]
         if s["open"]:
@@ -171,16 +173,26 @@ def cusum_events(stream: DataFrame, threshold: float) -> DataFrame:
     return stream.select("symbol", "trade_id", "us", "price").groupBy("symbol").applyInPandasWithState(step, "symbol string, us long, price long, direction int", "up double, down double, last double, last_us long", "append", "NoTimeout")
 
 
-def _drained(spark: SparkSession, frame: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """Runs a stream over what there is and returns the newest row of each key."""
+def _drained(spark: SparkSession, frame: DataFrame, mode: str, keys: list[str], at_once: bool = True) -> DataFrame:
+    """Runs a stream over what there is and returns the newest row of each key.
+
+    Not ``at_once``, the source gives as many batches as it likes before it has no more.
+    """
     out, at = new_path(spark, "stream-out"), new_path(spark, "stream-state")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    query = frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", at).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.option("recursiveFileLookup", True).parquet(out)
+    writer = frame.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", at)
+    if at_once:
+        writer.trigger(availableNow=True).start().awaitTermination()
+    else:
+        query = writer.start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+    rows = spark.read.option("recursiveFileLookup", True).schema(StructType([*frame.schema.fields, StructField("_batch", LongType())])).parquet(out)
     rest = [c for c in rows.columns if c not in (*keys, "_batch")]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
     return newest.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
@@ -203,3 +215,10 @@ def adaptive_bars_once(spark: SparkSession, folder: str, value: str, bars_per_da
 
 def cusum_once(spark: SparkSession, folder: str, threshold: float) -> DataFrame:
     return _drained(spark, cusum_events(trade_stream(spark, f"{folder}/events.parquet"), threshold), "append", ["symbol", "us"])
+
+
+def zip_adaptive_bars_once(spark: SparkSession, folder: str, value: str, bars_per_day: int, days_per_batch: int) -> DataFrame:
+    """Day-adaptive bars from a folder of raw daily files, a few days to a micro-batch in the order of their names."""
+    tape = trades.tape_of(trades.raw_stream(spark, folder, days_per_batch)).select("symbol", "trade_id", "us", *(F.col(c).cast("long").alias(c) for c in ("price", "qty", "dollar")))
+    rows = _drained(spark, adaptive_bars(tape, value, bars_per_day), "append", ["symbol", "bar_id"], at_once=False)
+    return rows.where("value * 2 >= target").drop("closed").withColumn("volume", F.round("volume", 6)).withColumn("dollar", F.round("dollar", 4))
