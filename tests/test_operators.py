@@ -617,3 +617,47 @@ def test_days_as_a_stream(spark, tmp_path):
     run(daysPerBatch=2, progress=f"{tmp_path}/progress")
     # the last batch before the stop may not have been noted, so the first one after it may be short
     assert [x for d in seen for x in d] == ["1970-01-06", "1970-01-07", "1970-01-08"] and max(map(len, seen)) <= 2
+
+
+def _wild(kind, n, rng):
+    """Series on which chunks of a CUSUM do and do not settle."""
+    if kind == "noise":
+        return rng.normal(size=n).cumsum()
+    if kind == "trend":  # far below the threshold for long: the sum never comes back to zero
+        return np.arange(n) * 0.01
+    if kind == "saw":
+        return np.abs((np.arange(n) % 37) - 18) * 0.31
+    x = rng.normal(size=n).cumsum() * 3
+    x[rng.random(n) < 0.02] = np.nan
+    return x
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 6])
+@pytest.mark.parametrize("first", [False, True])
+def test_cusum_in_chunks_equals_the_kernel(spark, monkeypatch, rounds, first):
+    """Many chunks to a symbol, thresholds that change by row, sums that never settle: the same events as one run in order."""
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(series, "CHUNK_ROWS", 16)
+    monkeypatch.setattr(series, "ROUNDS", rounds)
+    rows, want = [], []
+    for kind in ("noise", "trend", "saw", "gaps"):
+        x, h = _wild(kind, 230, rng), rng.choice([0.8, 1.5, 4.0], 230)
+        rows += [(kind, i * 7, i, None if np.isnan(v) else float(v), float(t)) for i, (v, t) in enumerate(zip(x, h, strict=True))]
+        _, hits = series.walk((0.0, 0.0, float("nan")), x.tolist(), h.tolist(), first)
+        want += [(kind, i * 7, side) for i, side in hits]
+    got = series.cusum(frame(spark, rows, "symbol string, us long, price long, x double, h double"), "x", "h", positive_first=first)
+    assert sorted((r.symbol, r.us, r.direction) for r in got.collect()) == sorted(want) and len(want) > 100
+
+
+def test_one_symbol_is_many_tasks(spark, monkeypatch):
+    """The chunks of one symbol run in more than one task."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(series, "CHUNK_ROWS", 50)
+    moves = spark.range(1000).select(F.lit("a").alias("symbol"), F.floor(F.col("id") / 50).cast("long").alias("chunk"), F.col("id").alias("us"), F.lit(1).cast("long").alias("price"), F.lit(1.0).alias("d"), F.lit(5.0).alias("h"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        runs = series._first_runs(moves, False).withColumn("task", F.spark_partition_id())
+        assert runs.select("task").distinct().count() > 1 and runs.where("direction = 0").count() == 20
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

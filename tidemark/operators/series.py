@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import blocked, unblocked
 from tidemark.session import staged
 from tidemark.sources.tapes import DAY
 
@@ -134,20 +135,107 @@ def walk(state: tuple[float, float, float], values: list[float], thresholds: lis
     return (up, down, last), hits
 
 
+#: Rows of a chunk of a CUSUM series, and rounds after which what is left of a series runs in order.
+CHUNK_ROWS, ROUNDS = 1 << 16, 6
+
+_EVENT = "symbol string, chunk long, us long, price long, direction int"
+
+
+def _first_runs(moves: DataFrame, positive_first: bool) -> DataFrame:
+    """Every chunk from zero sums: its events, and rows of direction 0 with the sums where a batch ends."""
+
+    def step(state, rows):
+        sums, hits = walk((*state, float("nan")), rows["d"].tolist(), rows["h"].tolist(), positive_first, False)
+        picked = rows.iloc[[*(i for i, _ in hits), len(rows) - 1]][["symbol", "chunk", "us", "price"]].copy()
+        picked["direction"] = np.array([*(s for _, s in hits), 0], np.int32)
+        picked["up"], picked["down"] = sums[0], sums[1]
+        return sums[:2], picked
+
+    return scan_series(moves, ["symbol", "chunk"], ["us"], lambda _: (0.0, 0.0), step, f"{_EVENT}, up double, down double")
+
+
+def _runs_again(moves: DataFrame, positive_first: bool) -> DataFrame:
+    """Chunks from the sums ``n_up, n_down`` until they agree with the run from ``o_up, o_down``: events up to there, then rows of direction 0 whose ``met`` tells whether they do."""
+
+    def start(rows):
+        return tuple(rows[c].iloc[0] for c in ("n_up", "n_down", "o_up", "o_down"))
+
+    def step(state, rows):
+        picks, sides = [], []
+        if state is not None:
+            new, old = (*state[:2], float("nan")), (*state[2:], float("nan"))
+            for i, (d, h) in enumerate(zip(rows["d"].tolist(), rows["h"].tolist(), strict=True)):
+                new, hit = walk(new, [d], [h], positive_first, False)
+                old, _ = walk(old, [d], [h], positive_first, False)
+                if hit:
+                    picks.append(i)
+                    sides.append(hit[0][1])
+                if new[:2] == old[:2]:
+                    break
+            state = None if new[:2] == old[:2] else (*new[:2], *old[:2])
+            done = rows.iloc[[*picks, i]][["symbol", "chunk", "us", "price"]].copy()
+            done["direction"] = np.array([*sides, 0], np.int32)
+            done["up"], done["down"], done["met"] = new[0], new[1], state is None
+            return state, done
+        return None, rows.iloc[:0]
+
+    return scan_series(moves, ["symbol", "chunk"], ["us"], start, step, f"{_EVENT}, up double, down double, met boolean")
+
+
 def cusum(frame: DataFrame, value: str, threshold: str, positive_first: bool = False, on_levels: bool = True) -> DataFrame:
     """Symmetric CUSUM events (per symbol, by ``us``): rows where the sum of moves passes the threshold of the row.
 
     A missing move sets both sums to zero.  The side that fires starts again
     from zero, the other goes on; the negative side is looked at first unless
     ``positive_first``.  ``on_levels`` takes moves as differences of ``value``.
-    A series is one task's stream, as no row can be judged before the rows
-    before it.
-    """
-
-    def step(state, rows):
-        state, hits = walk(state, rows[value].astype(float).tolist(), rows[threshold].astype(float).tolist(), positive_first, on_levels)
-        picked = rows.iloc[[i for i, _ in hits]][["symbol", "us", "price"]].copy()
-        picked["direction"] = np.array([s for _, s in hits], dtype=np.int32)
-        return state, picked
 
-    return scan_series(frame.select("symbol", "us", "price", value, threshold), ["symbol"], ["us"], lambda _: (0.0, 0.0, float("nan")), step, "symbol string, us long, price long, direction int")
+    A series is cut into chunks that all run at once from zero sums.  A chunk
+    whose true sums at its start are others runs again from those, only until
+    both runs have the same sums (a sum that is cut off at zero, or a reset):
+    from there on they agree to the last bit.  Sums at the ends of chunks are
+    handed on until none changes.  What is not settled after ``ROUNDS`` rounds
+    (sums that never come back to zero) goes on in order from the last chunk
+    that is.
+    """
+    rows, w = blocked(frame.select("symbol", "us", "price", F.col(value).cast("double").alias("_v"), F.col(threshold).cast("double").alias("h")), 1)
+    move = F.col("_v") - F.lag("_v").over(w) if on_levels else F.col("_v")
+    chunk = F.floor(F.col("_pos") / CHUNK_ROWS).cast("long")
+    moves = rows.withColumn("d", F.coalesce(move, F.lit(float("nan")))).withColumn("chunk", chunk)
+    moves = staged(unblocked(moves, 1).select("symbol", "chunk", "us", "price", "d", "h"), "moves")
+    runs = staged(_first_runs(moves, positive_first), "runs")
+    events = runs.where("direction <> 0").select(*(c.split()[0] for c in _EVENT.split(", ")))
+    ends = runs.where("direction = 0").groupBy("symbol", "chunk").agg(F.max_by(F.struct("up", "down"), "us").alias("e"))
+    ends = ends.select("symbol", "chunk", F.lit(0.0).alias("o_up"), F.lit(0.0).alias("o_down"), "e.up", "e.down")
+    before = Window.partitionBy("symbol").orderBy("chunk")
+
+    def unsettled(ends: DataFrame) -> DataFrame:
+        """Chunks that did not run from the sums that the chunk before them ends with: a few numbers a chunk."""
+        due = ends.withColumn("n_up", F.coalesce(F.lag("up").over(before), F.lit(0.0))).withColumn("n_down", F.coalesce(F.lag("down").over(before), F.lit(0.0)))
+        return due.where("n_up <> o_up OR n_down <> o_down")
+
+    for _ in range(ROUNDS):
+        due = staged(unsettled(ends).select("symbol", "chunk", "n_up", "n_down", "o_up", "o_down"), "due")
+        if not due.limit(1).count():
+            break
+        again = staged(_runs_again(moves.join(due, ["symbol", "chunk"]), positive_first), "again")
+        last = again.where("direction = 0").groupBy("symbol", "chunk").agg(F.max_by(F.struct("up", "down", "met", "us"), "us").alias("e"))
+        cut = last.select("symbol", "chunk", F.when(F.col("e.met"), F.col("e.us")).otherwise(F.lit((1 << 63) - 1)).alias("_cut"))
+        kept = events.join(cut, ["symbol", "chunk"], "left").where("_cut IS NULL OR us > _cut").drop("_cut")
+        events = staged(kept.unionByName(again.where("direction <> 0").drop("up", "down", "met")), "events")
+        fresh = due.select("symbol", "chunk", "n_up", "n_down").join(last, ["symbol", "chunk"], "left")
+        fresh = fresh.select("symbol", "chunk", "n_up", "n_down", F.when(~F.col("e.met"), F.col("e.up")).alias("_up"), F.when(~F.col("e.met"), F.col("e.down")).alias("_down"))
+        ends = ends.join(fresh, ["symbol", "chunk"], "left")
+        ends = staged(ends.select("symbol", "chunk", F.coalesce("n_up", "o_up").alias("o_up"), F.coalesce("n_down", "o_down").alias("o_down"), F.coalesce("_up", "up").alias("up"), F.coalesce("_down", "down").alias("down")), "ends")
+    else:
+        left = staged(unsettled(ends).groupBy("symbol").agg(F.min_by(F.struct("chunk", "n_up", "n_down"), "chunk").alias("s")).select("symbol", F.col("s.chunk").alias("_from"), "s.n_up", "s.n_down"), "left")
+        if left.limit(1).count():
+
+            def on(state, rows):
+                sums, hits = walk((*state, float("nan")), rows["d"].tolist(), rows["h"].tolist(), positive_first, False)
+                picked = rows.iloc[[i for i, _ in hits]][["symbol", "chunk", "us", "price"]].copy()
+                picked["direction"] = np.array([s for _, s in hits], np.int32)
+                return sums[:2], picked
+
+            rest = scan_series(moves.join(left, "symbol").where("chunk >= _from"), ["symbol"], ["us"], lambda rows: (rows["n_up"].iloc[0], rows["n_down"].iloc[0]), on, _EVENT)
+            events = events.join(left.select("symbol", "_from"), "symbol", "left").where("_from IS NULL OR chunk < _from").drop("_from").unionByName(rest)
+    return events.select("symbol", "us", "price", "direction")
