@@ -65,3 +65,48 @@ def test_trials_and_random_spans(spark):
     assert (np.diff(a) > 0).all() and ((b - a >= 1) & (b - a < 5)).all() and a.max() < 20
     got = weights.uniqueness_trials(spark.range(400).selectExpr("id AS trial", "100 AS rows"), 10, 5).toPandas()
     assert len(got) == 400 and got.u_sequential.mean() > got.u_standard.mean()
+
+
+def _slow_draws(starts, ends, rows, draws, rng):
+    """The definition: all chances anew for every draw."""
+    held, out = np.zeros(rows), []
+    for _ in range(draws):
+        chance = np.array([np.mean(1 / (1 + held[a : b + 1])) for a, b in zip(starts, ends, strict=True)])
+        out.append(int(np.searchsorted(np.cumsum(chance) / chance.sum(), rng.random(), "right").clip(0, len(starts) - 1)))
+        held[starts[out[-1]] : ends[out[-1]] + 1] += 1
+    return out
+
+
+@pytest.mark.parametrize("events, rows, longest", [(1, 1, 1), (40, 60, 9), (300, 90, 60), (200, 2000, 3)])
+def test_sequential_draws_follow_the_definition(events, rows, longest):
+    rng = np.random.default_rng(events)
+    a = rng.integers(0, rows, events)
+    b = np.minimum(a + rng.integers(0, longest, events), rows - 1)
+    b[0] = rows - 1 if events > 1 else b[0]  # one that overlaps very many
+    got = weights.draw_sequential(a, b, rows, 400, np.random.default_rng(9))
+    assert got.tolist() == _slow_draws(a, b, rows, 400, np.random.default_rng(9))
+
+
+def test_a_hundred_thousand_events_in_one_group():
+    import time
+
+    rng = np.random.default_rng(1)
+    a = rng.integers(0, 300_000, 100_000)
+    b = np.minimum(a + rng.integers(0, 12, len(a)), 299_999)
+    began = time.process_time()
+    got = weights.draw_sequential(a, b, 300_000, len(a), rng)
+    assert time.process_time() - began < 120 and got.min() >= 0 and got.max() < len(a)
+    assert weights.uniqueness_of(a, b, 300_000, got) > weights.uniqueness_of(a, b, 300_000, rng.integers(0, len(a), len(a)))
+
+
+def test_standard_draws_range_over_all_events(spark):
+    """Positions 0 to n - 1 of a symbol's events, on whatever day: draws reach both ends, and none is lost."""
+    from tidemark.sources.tapes import DAY
+
+    rows = spark.createDataFrame([(s, i * DAY // 3, i) for s, n in (("a", 900), ("b", 7)) for i in range(n)], "symbol string, t0 long, t1 long")
+    got = weights.standard_draws(rows).toPandas()
+    for s, n in (("a", 900), ("b", 7)):
+        own = got[got.symbol == s]
+        assert own.times.sum() == n and own.t1.between(0, n - 1).all() and own.t1.is_unique
+    own = got[got.symbol == "a"]
+    assert 0.57 < len(own) / 900 < 0.69 and own.t1.max() > 880 and own.t1.min() < 20

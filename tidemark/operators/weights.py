@@ -84,16 +84,85 @@ def matrix_uniqueness(cells: DataFrame) -> DataFrame:
     return cells.join(held, ["symbol", "us"]).groupBy("symbol", "t0").agg(F.count("*").alias("rows"), F.avg(1 / F.col("c")).alias("u"))
 
 
+#: Children of a node in the trees over events.
+_FAN = 64
+
+
+class _Chances:
+    """Chances of events in a tree of sums: changed at leaves, drawn from the root down."""
+
+    def __init__(self, chance: np.ndarray):
+        self.n, self.levels = len(chance), []
+        level = chance.astype(float)
+        while True:
+            padded = np.zeros(-(-len(level) // _FAN) * _FAN)
+            padded[: len(level)] = level
+            self.levels.append(padded)
+            if len(padded) == _FAN:
+                break
+            level = padded.reshape(-1, _FAN).sum(1)
+
+    def add(self, at: np.ndarray, delta: np.ndarray) -> None:
+        for level in self.levels:
+            np.add.at(level, at, delta)
+            at = at // _FAN
+
+    def find(self, u: float) -> int:
+        """The event at the share ``u`` of all chances, in their order."""
+        node, left = 0, u * self.levels[-1].sum()
+        for level in reversed(self.levels):
+            sums = np.cumsum(level[node * _FAN : (node + 1) * _FAN])
+            child = min(int(np.searchsorted(sums, left, "right")), _FAN - 1)
+            left -= sums[child - 1] if child else 0.0
+            node = node * _FAN + child
+        return min(node, self.n - 1)
+
+
+class _Spans:
+    """Events in order of their starts, in a tree of latest ends: finds those that meet a span without looking at the others."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.order = np.argsort(starts, kind="stable")
+        self.starts, self.levels = starts[self.order], []
+        level = ends[self.order]
+        while True:
+            padded = np.full(-(-len(level) // _FAN) * _FAN, -1, np.int64)
+            padded[: len(level)] = level
+            self.levels.append(padded)
+            if len(padded) == _FAN:
+                break
+            level = padded.reshape(-1, _FAN).max(1)
+
+    def meeting(self, a: int, b: int) -> np.ndarray:
+        most = int(np.searchsorted(self.starts, b, "right"))  # events from here on start later
+        nodes = np.arange(_FAN)
+        for depth in range(len(self.levels) - 1, -1, -1):
+            nodes = nodes[(nodes * _FAN**depth < most) & (self.levels[depth][nodes] >= a)]
+            if depth:
+                nodes = (nodes[:, None] * _FAN + np.arange(_FAN)).ravel()
+        return self.order[nodes]
+
+
 def draw_sequential(starts: np.ndarray, ends: np.ndarray, rows: int, draws: int, rng: np.random.Generator) -> np.ndarray:
-    """Sequential bootstrap: each draw is likelier for events that overlap less with those drawn (repeats count)."""
-    held = np.zeros(rows + 1)
+    """Sequential bootstrap: each draw is likelier for events that overlap less with those drawn (repeats count).
+
+    A draw changes the chances of the events that it overlaps, and no others:
+    it costs the length of the event, the number of overlaps, and a path
+    through two flat trees.
+    """
+    held = np.zeros(rows)
+    size = (ends - starts + 1).astype(float)
+    chances, spans = _Chances(np.ones(len(starts))), _Spans(starts, ends)
     out = np.empty(draws, np.int64)
-    size = ends - starts + 1
     for k in range(draws):
-        prefix = np.concatenate([[0.0], np.cumsum(1 / (1 + held[:rows]))])
-        chance = (prefix[ends + 1] - prefix[starts]) / size
-        out[k] = np.searchsorted(np.cumsum(chance) / chance.sum(), rng.random(), "right").clip(0, len(starts) - 1)
-        held[starts[out[k]] : ends[out[k]] + 1] += 1
+        i = out[k] = chances.find(rng.random())
+        a, b = int(starts[i]), int(ends[i])
+        here = held[a : b + 1]
+        lost = np.concatenate([[0.0], np.cumsum(1 / (2 + here) - 1 / (1 + here))])
+        here += 1
+        near = spans.meeting(a, b)
+        lo, hi = np.maximum(starts[near], a) - a, np.minimum(ends[near], b) - a + 1
+        chances.add(near, (lost[hi] - lost[lo]) / size[near])
     return out
 
 
@@ -110,9 +179,10 @@ def uniqueness_of(starts: np.ndarray, ends: np.ndarray, rows: int, drawn: np.nda
 def bootstrap(events: DataFrame, series: DataFrame, group: list[str], seed: int = 7) -> DataFrame:
     """Sequential and uniform draws, as many as events, over the rows of the series: mean uniqueness of both, by group.
 
-    Every draw depends on all draws before it, so a group is one task with the
-    ends of its events (two numbers each) and the work is quadratic in it;
-    ``group`` must hold ``symbol`` and may cut finer.  Open events are left out.
+    Every draw depends on all draws before it, so a group is one task, with the
+    ends of its events (two numbers each) and a count for each row between the
+    first and the last; a draw costs what it overlaps, not the group.  ``group``
+    must hold ``symbol`` and may cut finer.  Open events are left out.
     """
     place = numbered(series.select("symbol", "us"), "pos")
     rows = events.where("t1 IS NOT NULL").join(place.select("symbol", F.col("us").alias("t0"), F.col("pos").alias("a")), ["symbol", "t0"])
@@ -134,6 +204,19 @@ def bootstrap(events: DataFrame, series: DataFrame, group: list[str], seed: int
     return rows.groupBy(*group).applyInPandas(run, schema)
 
 
+def standard_draws(events: DataFrame, seed: int = 7) -> DataFrame:
+    """Events ``symbol, t0, t1`` that uniform draws with replacement take, as many as a symbol has events, with the ``times`` that each is drawn.
+
+    Events are numbered from 0, each draws a number by its hash, and numbers
+    are counted before they meet the events.  Rows without ``t0`` are left out.
+    """
+    rows = staged(running(events.select("symbol", "t0", "t1"), ["t0", "t1"], {"k": ("sum", F.lit(1))}), "numbered").withColumn("k", F.col("k") - 1)
+    n = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+    draw = F.pmod(F.xxhash64("symbol", "t0", "k", F.lit(seed)), F.col("n"))
+    drawn = rows.join(n, "symbol").select("symbol", draw.alias("k")).groupBy("symbol", "k").agg(F.count("*").alias("times"))
+    return rows.join(drawn, ["symbol", "k"]).select("symbol", "t0", "t1", "times")
+
+
 def random_spans(rng: np.random.Generator, events: int, rows: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of random events among ``rows`` rows, lengths from 1 to below ``longest``; of equal starts the last drawn stays."""
     start = rng.integers(0, rows, events)

@@ -470,14 +470,8 @@ def back_to_back(spark, d):
 
 @_query
 def standard_bootstrap(spark, d):
-    """As many uniform draws as events, by day of a symbol: a seeded choice of position for every event."""
-    from pyspark.sql import Window
-
-    e = _spans_all(spark, d).withColumn("day", F.floor(F.col("t0") / DAY).cast("long"))
-    w = Window.partitionBy("symbol", "day")
-    rows = e.withColumn("n", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy("t0")) - 1)
-    drawn = rows.select("symbol", "day", F.pmod(F.xxhash64("symbol", "t0", F.lit(7)), F.col("n")).alias("k")).groupBy("symbol", "day", "k").agg(F.count("*").alias("times"))
-    return rows.join(drawn, ["symbol", "day", "k"]).select("symbol", "t0", "t1", "times")
+    """As many uniform draws as a symbol has events, over all of them: a seeded choice of position for every event."""
+    return weights.standard_draws(_spans_all(spark, d))
 
 
 # overlap and weights -------------------------------------------------------------------------------------------------
