@@ -80,3 +80,44 @@ def test_pages_without_tags():
     for _ in range(100):
         text = "".join(rng.choice("ab >é\n\t &;") for _ in range(rng.randint(0, 200)))
         assert render(text)[0] == re.sub("[ \t\n]+", " ", unescape(text)).strip(" ")
+
+
+def _grid(rows):
+    """Where cells stand, by the definition: each takes the first free places of its row, and those below that it spans."""
+    taken, placed = set(), []
+    for y, row in enumerate(rows):
+        x = 0
+        for text, down in row:
+            while (x, y) in taken:
+                x += 1
+            taken |= {(x, y + k) for k in range(down)}
+            placed.append((y, x, text))
+            x += 1
+    return placed
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_spans_against_a_grid(seed):
+    """Cells that span rows, at rows' ends too: every cell begins where its column does."""
+    rng = random.Random(seed)
+    rows = [[("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))), rng.choice([1, 1, 1, 2, 3])) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 7))]
+    html = "<table>" + "".join("<tr>" + "".join(f"<td rowspan={d}>{t}" if d > 1 else f"<td>{t}" for t, d in row) for row in rows) + "</table>"
+    placed = _grid(rows)
+    width = {}
+    for _, x, t in placed:
+        width[x] = max(width.get(x, 0), len(t))
+    start = [0]
+    for x in range(max(width) + 1):
+        start.append(start[-1] + width.get(x, 0) + 2)
+    want = []
+    for y in range(len(rows)):
+        line = ""
+        for _, x, t in sorted(p for p in placed if p[0] == y):
+            line = line.ljust(start[x]) + t
+        want.append(line)
+    assert render(html)[0].split("\n") == want
+
+
+def test_a_span_at_a_rows_end_counts_down():
+    assert render("<table><tr><td>a<td rowspan=2>b<tr><td>c<tr><td>d<td>e</table>")[0].split("\n") == ["a  b", "c", "d  e"]
+    assert render("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</tbody></table>")[0].split("\n") == ["a  b", "c  d"]

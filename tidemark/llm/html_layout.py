@@ -556,10 +556,16 @@ class Renderer:
                 if not laid:
                     continue
                 if child.name in ("thead", "tbody", "tfoot"):
+                    held.clear()  # a cell spans rows of its own group only
                     yield walk(child, own)
+                    held.clear()
                 elif child.name == "tr":
                     row: list[tuple[list[str], int]] = []
                     column = 0
+                    above = dict(held)
+                    # each column counts down once a row, whether or not a cell of this row comes to it
+                    held.clear()
+                    held.update({c: n - 1 for c, n in above.items() if n > 1})
                     for cell in child.children:
                         if isinstance(cell, str):
                             loose(cell, own)
@@ -567,8 +573,7 @@ class Renderer:
                         there, mine = self.seen(cell, own)
                         if not there:
                             continue
-                        while held.get(column, 0) > 0:
-                            held[column] -= 1
+                        while above.get(column, 0) > 0:
                             row.append(([], 1))
                             column += 1
                         span, down = span_of(cell, "colspan", 1000), span_of(cell, "rowspan", 65534)

@@ -172,7 +172,7 @@ def fit_positive_unlabelled(positive: np.ndarray, unlabelled: np.ndarray, prior:
     p, u = (np.clip((x - mean.astype(np.float32)) / scale.astype(np.float32), -8, 8) for x in (positive, unlabelled))
     weights = [rng.normal(0, 1 / np.sqrt(p.shape[1]), (p.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
     moment = [[np.zeros_like(w), np.zeros_like(w)] for w in weights]
-    steps = max(1, min(80, min(len(p), len(u)) // 256))
+    steps = max(1, min(len(p), len(u)) // 256)
     for t in range(1, epochs * steps + 1):
         grads = risk(weights, p[rng.integers(0, len(p), 256)], u[rng.integers(0, len(u), 256)], prior)[2]
         grads[0] += 1e-4 * weights[0]
