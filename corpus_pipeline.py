@@ -14,7 +14,7 @@ from tidemark.llm.decontaminate import without_leaks
 from tidemark.llm.jaccard_join import jaccard_groups
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.quality import learn, score_documents
-from tidemark.llm.shared import id_order, staged
+from tidemark.llm.shared import discard, id_order, staged
 from tidemark.llm.substring_dedup import remove_repeats
 
 #: A document whose score of quality is below this goes.
@@ -50,9 +50,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = best.union(groups.where("root IS NULL").select("_null", "_id", "_text").distinct())
     # the row goes as one column, so that its own names clash with nothing
     row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").isNull().alias("_null"), id_order("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
-    # the rows stand by these keys already, so dropping repeats moves nothing
     keys = ["_null", "_id", "_text"]
-    return row.join(kept.hint("shuffle_hash"), keys).dropDuplicates(keys).select("row.*")
+    many = row.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1")
+    kept = staged(kept.join(many, keys, "left"), "kept")
+    once = row.join(kept.where("_n IS NULL").select(*keys).hint("shuffle_hash"), keys)
+    # rows that repeat a document: one of them stays, chosen in every task before it moves, however many there are
+    again = row.join(kept.where("_n IS NOT NULL").select(*keys), keys).select("row", F.struct(*keys).alias("_k")).dropDuplicates(["_k"])
+    return once.select("row.*").unionByName(again.select("row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -97,5 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``; each stage reads what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        discard(before)  # what is written now holds all that the next stage reads
     return STAGES[-1][1](spark, docs, sf_dir)
