@@ -59,7 +59,7 @@ def test_lines_without_slices(spark, lined, monkeypatch):
     docs = spark.createDataFrame(lined, "doc_id long, text string")
     hashed = lines.hashed_lines(docs)
     want = sorted(map(tuple, lines.later_lines(hashed).collect()))
-    for share in (1, 1 << 14):
+    for share in (1, 1 << 13):
         monkeypatch.setattr(lines, "SHARE", share)
         assert sorted(map(tuple, lines.later_lines(hashed).collect())) == want
 

@@ -37,8 +37,10 @@ from tidemark.llm.shared import discard, staged
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase goes when a longer one that holds it has at least this many hundredths of its count.
 COVERED = 50
-#: Bytes of text that a task counts together before anything leaves it.
-_BLOCK = 2 << 20
+#: Bytes of text that a task looks at together.
+_BLOCK = 1 << 20
+#: Buckets, and grams, with counts that a task gathers over its blocks before they leave it.
+_GATHERED, _GRAMS = 2 << 20, 1 << 19
 _BITS = 26
 #: Parts of a language whose best phrases are found apart before they meet.
 _SALTS = 64
@@ -84,10 +86,12 @@ class _Words:
         like = example[number]
         size = self.stop - self.start
         alike = size == size[like]
-        flat = np.repeat(np.arange(self.n), size)
-        inner = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-        twin = np.minimum(self.start[like][flat] + inner, len(self.data) - 1)
-        alike &= np.bincount(flat, self.data[self.start[flat] + inner] != self.data[twin], self.n) == 0
+        # bytes of all words against those of their examples; the shift from one to the other is the same along a word
+        held = np.arange(len(self.data), dtype=np.int32 if len(self.data) < 1 << 31 else np.int64)
+        shift = np.repeat((self.start[like] - self.start).astype(held.dtype), size + 1)
+        odd = self.data != self.data[np.clip(held + shift, 0, len(self.data) - 1)]
+        odd[self.stop] = False  # the blank after a word
+        alike &= np.add.reduceat(odd, self.start, dtype=np.int64) == 0 if self.n else alike
         number = number.astype(np.int64) + 1
         for i in np.flatnonzero(~alike).tolist():  # two words under one hash
             number[i] = int(number.max()) + 1
@@ -159,17 +163,29 @@ def frequent_bits(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.n
     if least > 255:
         raise ValueError("least is at most 255")
 
+    def told(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        bucket, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([c for _, c in parts]), len(bucket))
+        upper = (bucket >> np.uint32(_LOWER)).astype(np.int64)
+        cuts = np.flatnonzero(np.append(True, upper[1:] != upper[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        at = np.append(cuts, len(bucket)).astype(np.int32)
+        lower, small = (bucket & np.uint32((1 << _LOWER) - 1)).astype("<u2"), np.minimum(n, enough).astype(np.uint8)
+        places = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at * np.int32(2)), pa.py_buffer(lower)])
+        counts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at), pa.py_buffer(small)])
+        return pa.RecordBatch.from_arrays([pa.array(upper[cuts], pa.int32()), places, counts], ["upper", "places", "counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for words, names in _blocks(batches):
             _, ok, h = _grown(words, names, known.value, k)
             bucket, n = np.unique((h[ok] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
-            upper = (bucket >> np.uint32(_LOWER)).astype(np.int64)
-            cuts = np.flatnonzero(np.append(True, upper[1:] != upper[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            at = np.append(cuts, len(bucket)).astype(np.int32)
-            lower, small = (bucket & np.uint32((1 << _LOWER) - 1)).astype("<u2"), np.minimum(n, enough).astype(np.uint8)
-            places = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at * np.int32(2)), pa.py_buffer(lower)])
-            counts = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(at), pa.py_buffer(small)])
-            yield pa.RecordBatch.from_arrays([pa.array(upper[cuts], pa.int32()), places, counts], ["upper", "places", "counts"])
+            parts.append((bucket, np.minimum(n, enough).astype(np.uint8)))
+            size += len(bucket)
+            if size > _GATHERED:
+                yield told(parts)
+                parts, size = [], 0
+        if parts:
+            yield told(parts)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums a sorted partition, one upper half after the other, in an array of 2**16 counts."""
@@ -219,10 +235,15 @@ def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> Da
     """``lang, gram, k, c``: grams of ``longest`` words, shorter ones where a piece ends, with their counts; and with ``k = 0`` all words of a language."""
     known = docs.sparkSession.sparkContext.broadcast(tables)
 
+    def merged(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        summed = pa.Table.from_batches(parts).group_by(["lang", "gram", "k"], use_threads=False).aggregate([("c", "sum")])
+        return summed.select(["lang", "gram", "k", "c_sum"]).rename_columns(["lang", "gram", "k", "c"]).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for words, names in _blocks(batches):
             total = np.bincount(words.lang, minlength=len(names))
-            yield _rows(np.arange(len(names)), names, pa.array([""] * len(names), pa.string()), np.zeros(len(names), np.int64), total)
+            parts.append(_rows(np.arange(len(names)), names, pa.array([""] * len(names), pa.string()), np.zeros(len(names), np.int64), total))
             ahead, _, _ = _grown(words, names, known.value, longest)
             pick = np.flatnonzero(ahead)
             if not len(pick):
@@ -237,7 +258,15 @@ def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> Da
                 key = key * base + np.where(ahead[pick] > k, number[np.minimum(pick + k, words.n - 1)], 0)
             _, example, count = np.unique(key, return_index=True, return_counts=True)
             at = pick[example]
-            yield _rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + ahead[at] - 1]), ahead[at], count)
+            parts.append(_rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + ahead[at] - 1]), ahead[at], count))
+            size += parts[-1].num_rows
+            if size > 2 * _GRAMS:
+                parts = merged(parts)
+                size = parts[0].num_rows
+                if size > _GRAMS:
+                    yield parts.pop()
+                    size = 0
+        yield from merged(parts) if parts else ()
 
     return docs.mapInArrow(run, "lang string, gram string, k int, c long")
 
@@ -274,20 +303,20 @@ def compacted(edges: DataFrame, nodes: DataFrame, longest: int) -> DataFrame:
     Paths are found by pointer doubling over such edges alone; they are never
     longer than a piece, and never circles, as an occurrence has to begin somewhere.
     """
-    at = lambda gram, name: nodes.select("lang", F.col("gram").alias(gram), F.col("f").alias(name))
+    at = lambda gram, name: nodes.select("lang", F.col("gram").alias(gram), F.col("f").alias(name)).hint("merge")
     rows = edges.select("lang", "gram", "f", _head(longest - 1).alias("head"), _tail(longest - 1).alias("tail"))
     rows = staged(rows.join(at("head", "f_head"), ["lang", "head"]).join(at("tail", "f_tail"), ["lang", "tail"]), "core")
     before = rows.where("f = f_tail").select("lang", F.col("tail").alias("node"), F.col("gram").alias("first"))
     after = rows.where("f = f_head").select("lang", F.col("head").alias("node"), "gram")
-    links = staged(before.join(after, ["lang", "node"]).select("lang", "gram", "first"), "links")  # every edge has one before it at most
+    links = staged(before.join(after.hint("merge"), ["lang", "node"]).select("lang", "gram", "first"), "links")  # every edge has one before it at most
     heads = links.select("lang", F.col("first").alias("gram")).join(links.select("lang", "gram"), ["lang", "gram"], "left_anti")
     place = staged(links.select("lang", "gram", "first", F.lit(1).alias("steps"), F.lit(False).alias("done")).unionByName(heads.select("lang", "gram", F.col("gram").alias("first"), F.lit(0).alias("steps"), F.lit(True).alias("done"))), "place")
     while place.where("NOT done").limit(1).count():
         jump = place.select("lang", F.col("gram").alias("first"), F.col("first").alias("_first"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
-        moved = place.join(jump, ["lang", "first"]).select("lang", "gram", F.col("_first").alias("first"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
+        moved = place.join(jump.hint("merge"), ["lang", "first"]).select("lang", "gram", F.col("_first").alias("first"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
         last, place = place, staged(moved, "place")
         discard(last)
-    linked = place.join(rows, ["lang", "gram"]).groupBy("lang", F.col("first").alias("gram")).agg(
+    linked = place.join(rows.hint("merge"), ["lang", "gram"]).groupBy("lang", F.col("first").alias("gram")).agg(
         F.array_sort(F.collect_list(F.struct("steps", _tail(1).alias("word")))).alias("path"), F.max("f").alias("f"), F.min_by("f_head", "steps").alias("f_head"), F.max_by("f_tail", "steps").alias("f_tail")
     )
     linked = linked.select("lang", F.concat(F.split(_head(longest - 1), " "), F.col("path.word")).alias("words"), "f", "f_head", "f_tail")
@@ -310,7 +339,7 @@ def _scored(rows: DataFrame, k: int, level: dict[int, DataFrame], known: dict[tu
             if (side, j) in have:
                 continue
             name = f"_{side}{j}"
-            counts = level[n].select("lang", F.col("gram").alias("_part"), F.col("f").alias(name))
+            counts = level[n].select("lang", F.col("gram").alias("_part"), F.col("f").alias(name)).hint("merge")
             rows = rows.withColumn("_part", part).join(counts, ["lang", "_part"]).drop("_part")
             have[side, j] = name
     cuts = []
@@ -325,7 +354,7 @@ def _scored(rows: DataFrame, k: int, level: dict[int, DataFrame], known: dict[tu
 def _uncovered(rows: DataFrame, longer: DataFrame, covered: int) -> DataFrame:
     """Phrases of which no longer one ``lang, gram, f`` that holds them has ``covered`` hundredths of their count."""
     most = longer.groupBy("lang", "gram").agg(F.max("f").alias("_most"))
-    return rows.join(most, ["lang", "gram"], "left").where(F.col("_most").isNull() | (100 * F.col("_most") < covered * F.col("f"))).drop("_most")
+    return rows.join(most.hint("merge"), ["lang", "gram"], "left").where(F.col("_most").isNull() | (100 * F.col("_most") < covered * F.col("f"))).drop("_most")
 
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP) -> DataFrame:
