@@ -110,3 +110,52 @@ def test_standard_draws_range_over_all_events(spark):
         assert own.times.sum() == n and own.t1.between(0, n - 1).all() and own.t1.is_unique
     own = got[got.symbol == "a"]
     assert 0.57 < len(own) / 900 < 0.69 and own.t1.max() > 880 and own.t1.min() < 20
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1000, 4097])
+def test_permuted_positions_are_a_bijection(spark, n):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.stats import permuted_position
+
+    rows = spark.range(n).select("id", permuted_position(F.col("id"), n, 5, "f").alias("a"), permuted_position(F.col("id"), n, 6, "f").alias("b")).toPandas()
+    for c in "ab":
+        assert sorted(rows[c]) == list(range(n))
+    if n >= 50:
+        assert (rows.a != rows.b).mean() > 0.9 and (rows.a == rows.id).mean() < 0.1 and abs(np.corrcoef(rows.id, rows.a)[0, 1]) < 0.35
+
+
+def test_every_feature_is_shuffled_alone(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(500).select("id", F.col("id").alias("pos"), (F.col("id") * 2.0).alias("f"), (F.col("id") * 3.0).alias("g"))
+    got = importance.every_permuted(rows, ["f", "g"], 500, 1).toPandas()
+    assert len(got) == 1500
+    plain, f, g = got[got.feature.isna()], got[got.feature == "f"], got[got.feature == "g"]
+    assert (plain.f == plain.id * 2).all() and (plain.g == plain.id * 3).all()
+    assert (f.g == f.id * 3).all() and sorted(f.f) == sorted(plain.f) and (f.f == f.id * 2).mean() < 0.05
+    assert (g.f == g.id * 2).all() and sorted(g.g) == sorted(plain.g) and (g.g == g.id * 3).mean() < 0.05
+
+
+def test_any_classifier_in_cross_validation(spark, made):
+    got = importance.cv_scores(*made, 2, NAMES, fit=importance.logistic, penalty=0.001).collect()
+    assert len(got) == 2 and min(r.accuracy for r in got) > 0.8
+    lost = {r.feature: r["mean"] for r in importance.mean_decrease_accuracy(*made, 2, NAMES, fit=importance.logistic).collect()}
+    assert lost["I_0"] > 5 * abs(lost["N_0"])
+
+
+def test_correlations_far_from_zero_and_components(spark):
+    """Entries with a large common offset, over several tasks, against NumPy; then the components themselves."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 5)) @ rng.normal(size=(5, 5)) + 1e7
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").repartition(5)
+    want = np.corrcoef(x.T)
+    for r in importance.correlations(rows, "v", 5).collect():
+        assert abs(r["corr"] - want[r.i, r.j]) < 1e-6
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    values, axes = np.linalg.eigh(want)
+    axes = axes[:, ::-1] * np.sign(axes[:, ::-1][np.abs(axes[:, ::-1]).argmax(0), np.arange(5)])
+    got = importance.principal_components(rows, "v", 5, 0.9).toPandas().sort_values("vec_id")
+    keep = got.shape[1] - 1
+    assert keep == int(np.searchsorted(np.cumsum(values[::-1]) / values.sum(), 0.9) + 1)
+    assert np.allclose(got[[f"pc{k}" for k in range(keep)]].to_numpy(), (z @ axes)[:, :keep], atol=1e-5)

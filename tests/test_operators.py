@@ -179,18 +179,31 @@ def test_expanding_by_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
-def test_blocks_of_an_expanding_difference_add_up():
+@pytest.mark.parametrize("cells", [64, 1 << 20])
+@pytest.mark.parametrize("d", [0.3, 1.0])
+def test_expanding_over_many_blocks(spark, monkeypatch, cells, d):
+    """Series of many blocks and of less than one, frequencies in one group and in many."""
+    monkeypatch.setattr(fracdiff, "_EXPANDING_BLOCK", 16)
+    monkeypatch.setattr(fracdiff, "_EXPANDING_CELLS", cells)
     rng = np.random.default_rng(1)
-    n, size = 2 * fracdiff._EXPANDING_BLOCK + 900, fracdiff._EXPANDING_BLOCK
-    x = rng.normal(size=n)
-    w = np.array(fracdiff.weights(0.3, n))
-    blocks = [x[i : i + size] for i in range(0, n, size)]
-    pairs = pd.DataFrame([("a", i, j, n, blocks[i]) for i in range(3) for j in range(i, 3)], columns=["symbol", "block", "target", "n", "xs"])
-    total = np.zeros(n)
-    for r in pd.concat(fracdiff._block_sums(iter([pairs]), 0.3, 0.01)).itertuples():
-        total[r.target * size : r.target * size + len(r.sums)] += r.sums
-    for p in [0, 1, size - 1, size, size + 1, 2 * size, n - 1]:
-        assert abs(total[p] - np.dot(w[: p + 1], x[p::-1])) < 1e-8
+    x = {"a": rng.normal(size=333) + 9, "b": rng.normal(size=5), "c": rng.normal(size=32)}
+    rows = [(s, i, float(v)) for s, xs in x.items() for i, v in enumerate(xs)]
+    got = {(r.symbol, r.us): r.fd for r in fracdiff.fracdiff_expanding(frame(spark, rows, "symbol string, us long, x double"), "x", d, 0.2).collect()}
+    want = {}
+    for s, xs in x.items():
+        w = np.array(fracdiff.weights(d, len(xs)))
+        want |= {(s, i): float(np.dot(w[: i + 1], xs[i::-1])) for i in range(fracdiff.skipped(d, len(xs), 0.2), len(xs))}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-10
+    assert fracdiff.fracdiff_expanding(frame(spark, rows, "symbol string, us long, x double").limit(0), "x", d, 0.2).count() == 0
+
+
+@pytest.mark.parametrize("d", [0.0, 0.4, 1.0, 1.6])
+def test_skipped_rows_in_stretches(d):
+    for n in (1, 7, 100, 257):
+        size = np.abs(fracdiff.weights(d, n))[::-1]
+        for threshold in (0.01, 0.3):
+            want = int((np.cumsum(size) / size.sum() > threshold).sum())
+            assert fracdiff.skipped(d, n, threshold) == want == fracdiff.skipped(d, n, threshold, 16)
 
 
 @pytest.mark.parametrize("settings", [{}, {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}, {"spark.sql.adaptive.enabled": "false"}])

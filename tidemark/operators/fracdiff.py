@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import blocked, numbered, running, unblocked
+from tidemark.session import staged
 
 
 def weights(d: float, size: int) -> list[float]:
@@ -63,31 +64,72 @@ def ffd(series: DataFrame, value: str, d: float, threshold: float, out: str = "f
     return unblocked(rows, len(w) - 1).where(F.col(out).isNotNull() & finite(value)).drop("_x")
 
 
-#: Rows of a block of an expanding difference.
-_EXPANDING_BLOCK = 1 << 14
+#: Rows of a block of an expanding difference, and complex numbers that a task convolves over blocks at once.
+_EXPANDING_BLOCK, _EXPANDING_CELLS = 1 << 14, 1 << 20
 
 
-def skipped(d: float, n: int, threshold: float) -> int:
-    """How many first rows of a series of ``n`` lose more than ``threshold`` of the weights' total size."""
-    size = np.abs(np.cumprod(np.concatenate([[1.0], -(d - np.arange(1, n) + 1) / np.arange(1, n)])))[::-1] if n else np.zeros(0)
-    return int((np.cumsum(size) / max(size.sum(), 1e-300) > threshold).sum())
+def _weights_from(d: float, first: int, value: float, size: int) -> np.ndarray:
+    """Weights ``first`` to ``first + size - 1``, of which the first is ``value``."""
+    k = np.arange(first + 1, first + size)
+    return value * np.cumprod(np.concatenate([[1.0], -(d - k + 1) / k]))
 
 
-def _block_sums(batches: Iterator[pd.DataFrame], d: float, threshold: float) -> Iterator[pd.DataFrame]:
-    """What one block of a series gives to itself or a later block: a convolution with the weights between them."""
+def skipped(d: float, n: int, threshold: float, step: int = 1 << 20) -> int:
+    """How many first rows of a series of ``n`` lose more than ``threshold`` of the weights' total size, a bounded stretch of weights at a time."""
+    sums, value = [], 1.0
+    for a in range(0, n, step):
+        part = _weights_from(d, a, value, min(step, n - a) + 1)
+        sums.append(float(np.abs(part[:-1]).sum()))
+        value = float(part[-1])
+    left, total, lost, value = 0.0, sum(sums), 0, 1.0
+    for a, own in zip(range(0, n, step), sums, strict=True):
+        part = _weights_from(d, a, value, min(step, n - a) + 1)
+        value = float(part[-1])
+        # row r loses the weights from n - 1 - r on: the size from weight k on, for each k of this stretch
+        tail = total - left - np.concatenate([[0.0], np.cumsum(np.abs(part[:-1]))[:-1]])
+        lost += int((tail / max(total, 1e-300) > threshold).sum())
+        left += own
+    return lost
+
+
+def _spectrum(x: np.ndarray, size: int, groups: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(g, part.real, part.imag) for g, part in enumerate(np.array_split(np.fft.rfft(x, 2 * size), groups))]
+
+
+_SPECTRA = "block int, g int, re array<double>, im array<double>"
+
+
+def _block_spectra(batches: Iterator[pd.DataFrame], size: int, groups: int) -> Iterator[pd.DataFrame]:
+    """The transform of every block of a series, cut into groups of frequencies."""
+    for batch in batches:
+        for symbol, block, xs in batch[["symbol", "block", "xs"]].itertuples(index=False):
+            yield pd.DataFrame([(symbol, block, *part) for part in _spectrum(np.asarray(xs), size, groups)], columns=["symbol", "block", "g", "re", "im"])
+
+
+def _lag_spectra(batches: Iterator[pd.DataFrame], d: float, starts: np.ndarray, size: int, groups: int) -> Iterator[pd.DataFrame]:
+    """The transform of the weights between a block and the one ``block`` blocks before it."""
     for batch in batches:
-        out = []
-        for symbol, block, target, n, xs in batch[["symbol", "block", "target", "n", "xs"]].itertuples(index=False):
-            x = np.asarray(xs)
-            far = (target - block) * _EXPANDING_BLOCK
-            here = min(_EXPANDING_BLOCK, n - target * _EXPANDING_BLOCK)
-            w = np.cumprod(np.concatenate([[1.0], -(d - np.arange(1, far + here) + 1) / np.arange(1, far + here)]))
-            reach = w[max(0, far - len(x) + 1) :]
-            size = len(x) + len(reach) - 1
-            total = np.convolve(reach, x) if min(len(x), len(reach)) < 64 else np.fft.irfft(np.fft.rfft(x, size) * np.fft.rfft(reach, size), size)
-            first = far - max(0, far - len(x) + 1)
-            out.append((symbol, target, skipped(d, n, threshold), total[first : first + here].tolist()))
-        yield pd.DataFrame(out, columns=["symbol", "target", "skip", "sums"])
+        for m in batch["block"]:
+            ahead = _weights_from(d, m * size, starts[m], size)
+            back = _weights_from(d, (m - 1) * size, starts[m - 1], size)[1:] if m else np.zeros(size - 1)
+            yield pd.DataFrame([(m, *part) for part in _spectrum(np.concatenate([ahead, [0.0], back]), size, groups)], columns=["block", "g", "re", "im"])
+
+
+def _over_blocks(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """For a few frequencies of one series, the convolution over its blocks, which is a product in a second transform."""
+    cells = []
+    for own in (0, 1):
+        part = rows[rows["kind"] == own].sort_values("block")
+        cells.append(np.stack([np.asarray(r) + 1j * np.asarray(i) for r, i in zip(part["re"], part["im"], strict=True)]))
+    n = len(cells[0])
+    both = np.fft.ifft(np.fft.fft(cells[0], 2 * n, axis=0) * np.fft.fft(cells[1], 2 * n, axis=0), axis=0)[:n]
+    return pd.DataFrame([(*key, t, both[t].real, both[t].imag) for t in range(n)], columns=["symbol", "g", "block", "re", "im"])
+
+
+def _from_spectra(key: tuple, rows: pd.DataFrame, size: int) -> pd.DataFrame:
+    rows = rows.sort_values("g")
+    whole = np.concatenate([np.asarray(r) + 1j * np.asarray(i) for r, i in zip(rows["re"], rows["im"], strict=True)])
+    return pd.DataFrame([(*key, np.fft.irfft(whole, 2 * size)[:size])], columns=["symbol", "block", "sums"])
 
 
 def fracdiff_expanding(series: DataFrame, value: str, d: float, threshold: float, out: str = "fd") -> DataFrame:
@@ -95,21 +137,44 @@ def fracdiff_expanding(series: DataFrame, value: str, d: float, threshold: float
 
     The weights are as many as the series has rows; rows before the share of
     dropped weight falls to ``threshold`` are skipped, and so are rows whose own
-    value is not finite.  A row needs all rows before it, so the work grows
-    with the square of a series' blocks; every pair of blocks is a row of its
-    own, and their sums meet in an aggregate.
+    value is not finite.  An empty series stays empty.
+
+    A convolution of all rows with all weights in two transforms: blocks of
+    rows are transformed by themselves; then all blocks of a few frequencies
+    meet in one task and are convolved over blocks; then each block's
+    frequencies meet and are transformed back.  A series moves twice, whatever
+    its length, the work is n log n, and no task holds more than a block or
+    ``_EXPANDING_CELLS`` numbers (or one frequency of all blocks).
     """
-    filled = numbered(forward_fill(series, value, "_x").where("_x IS NOT NULL"))
-    rows = filled.withColumn("_block", F.floor(F.col("_pos") / _EXPANDING_BLOCK).cast("int"))
-    lists = rows.groupBy("symbol", "_block").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("_x").cast("double").alias("x")))).alias("xs"), F.count("*").alias("_n"))
-    n = lists.groupBy("symbol").agg(F.sum("_n").alias("n"), F.max("_block").alias("last"))
-    pairs = lists.join(n, "symbol").select("symbol", F.col("_block").alias("block"), F.explode(F.sequence("_block", "last")).alias("target"), "n", F.col("xs.x").alias("xs"))
-    parts = pairs.repartition("symbol", "block", "target").mapInPandas(partial(_block_sums, d=d, threshold=threshold), "symbol string, target int, skip long, sums array<double>")
-    sums = parts.select("symbol", F.col("target").alias("_block"), "skip", F.posexplode("sums").alias("_in", "_s")).groupBy("symbol", "_block", "_in").agg(F.sum("_s").alias(out), F.first("skip").alias("_skip"))
-    rows = rows.withColumn("_in", (F.col("_pos") % _EXPANDING_BLOCK).cast("int")).join(sums, ["symbol", "_block", "_in"])
+    size = _EXPANDING_BLOCK
+    filled = staged(numbered(forward_fill(series, value, "_x").where("_x IS NOT NULL")), "filled")
+    rows = filled.withColumn("_block", F.floor(F.col("_pos") / size).cast("int"))
+    lists = rows.groupBy("symbol", "_block").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col("_x").cast("double").alias("x")))).alias("xs"))
+    n = rows.groupBy("symbol").agg(F.count("*").alias("n"), F.max("_block").alias("last"))
+    most = (n.agg(F.max("last")).first()[0] or 0) + 1
+    groups = max(1, min(size + 1, -(-most * (size + 1) // _EXPANDING_CELLS)))
+    starts, value_ = np.empty(most), 1.0
+    for m in range(most):  # one number a block
+        starts[m] = value_
+        value_ = float(_weights_from(d, m * size, value_, size + 1)[-1])
+    spectra = lists.select("symbol", F.col("_block").alias("block"), F.col("xs.x").alias("xs")).mapInPandas(partial(_block_spectra, size=size, groups=groups), f"symbol string, {_SPECTRA}")
+    lags = series.sparkSession.range(most).select(F.col("id").cast("int").alias("block")).mapInPandas(partial(_lag_spectra, d=d, starts=starts, size=size, groups=groups), _SPECTRA)
+    own = n.select("symbol", F.explode(F.sequence(F.lit(0), "last")).alias("block")).join(lags, "block")
+    both = spectra.withColumn("kind", F.lit(0)).unionByName(own.withColumn("kind", F.lit(1)))
+    mixed = both.groupBy("symbol", "g").applyInPandas(_over_blocks, "symbol string, g int, block int, re array<double>, im array<double>")
+    back = partial(_from_spectra, size=size)
+    sums = mixed.groupBy("symbol", "block").applyInPandas(lambda key, part: back(key, part), "symbol string, block int, sums array<double>")
+    sums = sums.select("symbol", F.col("block").alias("_block"), F.posexplode("sums").alias("_in", out))
+    skip = n.select("symbol", "n").mapInPandas(partial(_skips, d=d, threshold=threshold), "symbol string, _skip long")
+    rows = rows.withColumn("_in", (F.col("_pos") % size).cast("int")).join(sums, ["symbol", "_block", "_in"]).join(skip, "symbol")
     return rows.where((F.col("_pos") >= F.col("_skip")) & finite(value)).drop("_x", "_pos", "_block", "_in", "_skip")
 
 
+def _skips(batches: Iterator[pd.DataFrame], d: float, threshold: float) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"symbol": batch["symbol"], "_skip": [skipped(d, int(n), threshold) for n in batch["n"]]})
+
+
 def resample_last(series: DataFrame, value: str, span: int) -> DataFrame:
     """The last value of each bucket."""
     start = F.col("us") - F.pmod("us", F.lit(span))

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import permuted_position
 from tidemark.operators.crossval import positions
 from tidemark.session import staged
 
@@ -27,11 +28,16 @@ def forest(rows: DataFrame, features: list[str], trees: int = 20, share: float =
     return RandomForestClassifier(featuresCol="_x", labelCol="y", weightCol="_w", impurity="entropy", numTrees=trees, maxDepth=depth, subsamplingRate=share, featureSubsetStrategy=subset, bootstrap=bootstrap, seed=seed).fit(vectors)
 
 
-def score(model: RandomForestClassificationModel, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Weighted accuracy and negative log loss of a model in one row."""
+def _scores(model, rows: DataFrame, features: list[str], by: list[str]) -> DataFrame:
+    """Weighted accuracy and negative log loss of a fitted model, by groups of rows."""
     done = model.transform(VectorAssembler(inputCols=features, outputCol="_x").transform(rows))
     p = F.least(F.lit(1 - 1e-15), F.greatest(F.lit(1e-15), F.element_at(vector_to_array("probability"), F.col("y").cast("int") + 1)))
-    return done.agg((F.sum(F.when(F.col("prediction") == F.col("y"), F.col("w")).otherwise(0)) / F.sum("w")).alias("accuracy"), (F.sum(F.log(p) * F.col("w")) / F.sum("w")).alias("neg_log_loss"))
+    return done.groupBy(*by).agg((F.sum(F.when(F.col("prediction") == F.col("y"), F.col("w")).otherwise(0)) / F.sum("w")).alias("accuracy"), (F.sum(F.log(p) * F.col("w")) / F.sum("w")).alias("neg_log_loss"))
+
+
+def score(model, rows: DataFrame, features: list[str]) -> DataFrame:
+    """Weighted accuracy and negative log loss of a model in one row."""
+    return _scores(model, rows, features, [])
 
 
 def split(samples: DataFrame, roles: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
@@ -39,12 +45,18 @@ def split(samples: DataFrame, roles: DataFrame, fold: int) -> tuple[DataFrame, D
     return tuple(samples.join(own.where(F.col("role") == r).select("sample"), "sample") for r in ("train", "test"))
 
 
-def cv_scores(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], **options) -> DataFrame:
-    """Scores by fold."""
+def logistic(rows: DataFrame, features: list[str], penalty: float = 0.01):
+    """Logistic regression on ``y`` with weights ``w``."""
+    vectors = VectorAssembler(inputCols=features, outputCol="_x").transform(rows)
+    return LogisticRegression(featuresCol="_x", labelCol="y", weightCol="w", regParam=penalty).fit(vectors)
+
+
+def cv_scores(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], fit: Callable = forest, **options) -> DataFrame:
+    """Scores by fold, of whatever ``fit(rows, features, **options)`` returns: a fitted classifier of ``_x`` with ``prediction`` and ``probability``."""
     out = None
     for k in range(folds):
         train, test = split(samples, roles, k)
-        part = score(forest(train, features, **options), test, features).select(F.lit(k).alias("fold"), "accuracy", "neg_log_loss")
+        part = score(fit(train, features, **options), test, features).select(F.lit(k).alias("fold"), "accuracy", "neg_log_loss")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -59,25 +71,44 @@ def mean_decrease_impurity(spark, model: RandomForestClassificationModel, featur
 
 
 def permuted(rows: DataFrame, feature: str, seed: int) -> DataFrame:
-    """The rows with one column shuffled among them: numbered by id and by a random key, and joined by number."""
-    left = positions(rows.drop(feature, "pos"), ["sample"])
-    right = positions(rows.select(feature, F.xxhash64("sample", F.lit(seed), F.lit(feature)).alias("_key")), ["_key"]).drop("_key")
-    return left.join(right, "pos")
+    """The rows, numbered as ``pos``, with one column shuffled among them by a seeded permutation of their numbers."""
+    numbered = positions(rows.drop("pos"), ["sample"])
+    n = numbered.count()
+    moved = numbered.select(permuted_position(F.col("pos"), n, seed, feature).alias("pos"), feature)
+    return numbered.drop(feature).join(moved, "pos")
 
 
-def mean_decrease_accuracy(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], scoring: str = "neg_log_loss", seed: int = 3, **options) -> DataFrame:
-    """Loss of score when a feature is shuffled in the test fold, relative to what was left to lose; by log loss or by accuracy."""
+def every_permuted(rows: DataFrame, features: list[str], n: int, seed: int) -> DataFrame:
+    """Rows numbered 0 to ``n - 1`` by ``pos``, once as they are (``feature`` is null) and once for each feature with that one shuffled.
+
+    Each row sends every value to the position that the feature's permutation
+    gives it; a position gets one of each, and they meet in one shuffle.
+    """
+    sent = F.explode(F.array(*(F.struct(permuted_position(F.col("pos"), n, seed, f).alias("pos"), F.lit(i).alias("i"), F.col(f).cast("double").alias("v")) for i, f in enumerate(features))))
+    got = rows.select(sent.alias("s")).groupBy("s.pos").agg(F.array_sort(F.collect_list(F.struct("s.i", "s.v"))).alias("_got"))
+    which = F.explode(F.array(F.lit(-1), *(F.lit(i) for i in range(len(features)))))
+    long = rows.join(got, "pos").withColumn("_which", which)
+    shuffled = [F.when(F.col("_which") == i, F.col("_got")[i]["v"]).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)]
+    name = F.when(F.col("_which") >= 0, F.array(*(F.lit(f) for f in features))[F.greatest(F.col("_which"), F.lit(0))])
+    return long.select(*(c for c in rows.columns if c not in features), *shuffled, name.alias("feature"))
+
+
+def mean_decrease_accuracy(samples: DataFrame, roles: DataFrame, folds: int, features: list[str], scoring: str = "neg_log_loss", seed: int = 3, fit: Callable = forest, **options) -> DataFrame:
+    """Loss of score when a feature is shuffled in the test fold, relative to what was left to lose; by log loss or by accuracy.
+
+    A fold is numbered once, and scored with all its shuffled features in one job.
+    """
     best = {"neg_log_loss": 0.0, "accuracy": 1.0}[scoring]
     out = None
     for k in range(folds):
         train, test = split(samples, roles, k)
-        test = staged(test, "fold")  # shuffled and scored once for every feature
-        model = forest(train, features, **options)
-        base = score(model, test, features).select(F.col(scoring).alias("base"))
-        for f in features:
-            worse = score(model, permuted(test, f, seed + k), features).select(F.col(scoring).alias("worse"))
-            part = base.crossJoin(worse).select(F.lit(f).alias("feature"), F.try_divide(F.col("base") - F.col("worse"), F.lit(best) - F.col("worse")).alias("v"))
-            out = part if out is None else out.unionByName(part)
+        test = positions(test.drop("pos"), ["sample"])
+        model = fit(train, features, **options)
+        each = _scores(model, every_permuted(test, features, test.count(), seed + k), features, ["feature"])
+        each = staged(each, "scores")  # a row a feature
+        base = each.where("feature IS NULL").select(F.col(scoring).alias("base"))
+        part = each.where("feature IS NOT NULL").crossJoin(base).select("feature", F.try_divide(F.col("base") - F.col(scoring), F.lit(best) - F.col(scoring)).alias("v"))
+        out = part if out is None else out.unionByName(part)
     return out.groupBy("feature").agg(F.avg("v").alias("mean"), (F.stddev_samp("v") / folds**0.5).alias("std"))
 
 
@@ -161,24 +192,37 @@ def importance_by_kind(importances: DataFrame) -> DataFrame:
 
 
 def _products(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's rows: number, entries and products of entries."""
-    n, first, second = 0, np.zeros(dims), np.zeros((dims, dims))
+    """A task's rows as their number, means, and centred sums of products, merged batch by batch so that nothing large cancels."""
+    n, mean, second = 0, np.zeros(dims), np.zeros((dims, dims))
     for batch in batches:
         column = batch.column(0).drop_null()
+        if not len(column):
+            continue
         x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)[:, :dims]
-        n, first, second = n + len(x), first + x.sum(axis=0), second + x.T @ x
-    i, j = np.triu_indices(dims)
-    columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), first[i], first[j], second[i, i], second[j, j], second[i, j]]
-    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
+        own = x.mean(axis=0)
+        gap = own - mean
+        second += (x - own).T @ (x - own) + np.outer(gap, gap) * (n * len(x) / (n + len(x)))
+        mean += gap * (len(x) / (n + len(x)))
+        n += len(x)
+    if n:
+        i, j = np.triu_indices(dims)
+        columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), mean[i], mean[j], second[i, i], second[j, j], second[i, j]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["i", "j", "n", "a", "b", "aa", "bb", "ab"])
 
 
 def correlations(vectors: DataFrame, column: str, dims: int) -> DataFrame:
-    """Correlation of every two of the ``dims`` entries of an array: ``i, j, corr``, from each task's sums of products."""
+    """Correlation of every two of the ``dims`` entries of an array: ``i, j, corr``, from each task's centred sums of products.
+
+    Sums of tasks merge by their own centres: to the products inside tasks
+    come those of the tasks' means about the mean of all.
+    """
     parts = vectors.select(column).mapInArrow(partial(_products, dims=dims), "i int, j int, n long, a double, b double, aa double, bb double, ab double")
-    m = parts.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")))
-    spread = lambda xx, x: F.col(xx) - F.col(x) * F.col(x) / F.col("n")
-    corr = F.try_divide(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.sqrt(spread("aa", "a") * spread("bb", "b")))
-    return m.select("i", "j", F.when(F.col("i") == F.col("j"), F.when(spread("aa", "a") > 0, 1.0)).otherwise(corr).alias("corr"))
+    between = {x: F.expr(f"aggregate(p, 0D, (s, t) -> s + t.{x} + t.n * (t.{x[0]} - m.a{x[0]}) * (t.{x[1]} - m.a{x[1]}))") for x in ("aa", "bb", "ab")}
+    each = parts.groupBy("i", "j").agg(F.collect_list(F.struct("n", "a", "b", "aa", "bb", "ab")).alias("p"))  # a row a task
+    mean = lambda x: F.expr(f"aggregate(p, 0D, (s, t) -> s + t.n * t.{x}) / aggregate(p, 0D, (s, t) -> s + t.n)")
+    m = each.select("i", "j", "p", F.struct(mean("a").alias("aa"), mean("b").alias("ab")).alias("m")).select("i", "j", *(e.alias(x) for x, e in between.items()))
+    corr = F.try_divide(F.col("ab"), F.sqrt(F.col("aa") * F.col("bb")))
+    return m.select("i", "j", F.when(F.col("i") == F.col("j"), F.when(F.col("aa") > 0, 1.0)).otherwise(corr).alias("corr"))
 
 
 def _project(batches: Iterator[pa.RecordBatch], column: str, centre: np.ndarray, axes: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
