@@ -674,3 +674,21 @@ def test_one_symbol_is_many_tasks(spark, monkeypatch):
         assert runs.select("task").distinct().count() > 1 and runs.where("direction = 0").count() == 20
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_split_bars_in_sql(spark):
+    """The table function against the closed form, and what it refuses."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import tables as functions
+
+    functions.register(spark)
+    odd = tape_events(spark, SMALL).withColumn("dollar", F.when(F.col("trade_id") % 50 == 0, 0).when(F.col("trade_id") % 51 == 0, None).otherwise(F.col("dollar"))).withColumn("more", F.lit("x"))
+    odd.createOrReplaceTempView("odd_tape")
+    key = lambda rows: sorted(tuple(round(x, 3) if isinstance(x, float) else x for x in r) for r in rows.select("symbol", "bar_id", "us", "open", "high", "low", "close", "volume", "dollar", "target", "value").collect())
+    for size in (7_000, 150_000):
+        assert key(spark.sql(f"SELECT * FROM split_bars(TABLE(odd_tape), 'dollar', {size})")) == key(bars.value_bars_split(odd.drop("more"), "dollar", size))
+    assert spark.sql("SELECT * FROM split_bars(TABLE(SELECT * FROM odd_tape WHERE false), 'qty', 5)").count() == 0
+    for bad in ("TABLE(odd_tape), 'price', 5", "TABLE(odd_tape), 'qty', 0", "TABLE(SELECT 1 AS symbol), 'qty', 5"):
+        with pytest.raises(Exception, match="the (value|threshold|first argument) is"):
+            spark.sql(f"SELECT * FROM split_bars({bad})").collect()

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import tables as table_functions
 from tidemark.functions.stats import ensemble_accuracy, weighted_tau
 from tidemark.operators import bars, crossval, diagnostics, fracdiff, importance, incremental, labels, series, weights
 from tidemark.operators.asof import as_of_join
@@ -84,6 +85,14 @@ def value_bars_split_volume(spark, d):
     return bars.value_bars_split(tape_events(spark, d), "qty", VOLUME_BAR)
 
 
+@_query
+def sql_split_bars(spark, d):
+    """Split bars by the table function, in SQL."""
+    table_functions.register(spark)
+    tape_events(spark, d).createOrReplaceTempView("tape_of_events")
+    return spark.sql(f"SELECT * FROM split_bars(TABLE(tape_of_events), 'dollar', {DOLLAR_BAR})")
+
+
 @_query
 def bar_merge(spark, d):
     return bars.merge_bars(bars.time_bars(tape_events(spark, d), "15m"), HOUR)
@@ -685,11 +694,18 @@ def cv_score(spark, d):
 def bagged_oob(spark, d):
     """Out-of-bag accuracy of bagged trees, and of bagged forests of one tree on bags of the size that the mean uniqueness allows."""
     rows, _ = _learning(spark, d)
-    plain = importance.bagged_trees(rows, _FEATURES, 5, 1.0)[1].select(F.lit("bagged").alias("kind"), "oob", "judged")
-    double = importance.bagged_trees(rows, _FEATURES, 5, fracdiff.sample_share(rows), subset="sqrt")[1].select(F.lit("double").alias("kind"), "oob", "judged")
+    plain = importance.bagged_trees(rows, _FEATURES, 10, 1.0)[1].select(F.lit("bagged").alias("kind"), "oob", "judged")
+    double = importance.bagged_trees(rows, _FEATURES, 10, fracdiff.sample_share(rows), subset="sqrt")[1].select(F.lit("double").alias("kind"), "oob", "judged")
     return plain.unionByName(double)
 
 
+@_query
+def cv_score_logistic(spark, d):
+    """The same folds under another classifier."""
+    rows, roles = _learning(spark, d)
+    return importance.cv_scores(rows, roles, FOLDS, _FEATURES, fit=importance.logistic)
+
+
 @_query
 def mdi(spark, d):
     rows, _ = _learning(spark, d)

@@ -246,4 +246,4 @@ ag AS (SELECT sp.symbol, sp.t0, sp.t1, avg(1 / c) AS tw, abs(coalesce(sum(r / c)
 SELECT sp.symbol, sp.t0, sp.t1, round(tw, 6) AS tw, round(coalesce(raw, 0), 6) AS raw FROM sp LEFT JOIN ag ON ag.symbol = sp.symbol AND ag.t0 = sp.t0 AND ag.t1 = sp.t1"""
     out["raw_day_totals"] = f"WITH {_T} SELECT symbol, us // {day} AS day, sum(dollar)::DOUBLE AS dollar, sum(qty)::DOUBLE AS qty FROM t WHERE us // {day} BETWEEN 19728 AND 19737 GROUP BY symbol, us // {day}"
     out["stream_zip_adaptive_bars"] = out["adaptive_bars"].replace("epoch_us(ts) AS us", "epoch_us(ts) // 1000 * 1000 AS us")  # files have milliseconds
-    return {**out, "stream_adaptive_bars": out["adaptive_bars"], "incremental_adaptive_bars": out["adaptive_bars"], "incremental_split_bars": out["value_bars_split_dollar"], "raw_file_bars": RAW_BARS.format(hour=hour)}
+    return {**out, "stream_adaptive_bars": out["adaptive_bars"], "incremental_adaptive_bars": out["adaptive_bars"], "incremental_split_bars": out["value_bars_split_dollar"], "sql_split_bars": out["value_bars_split_dollar"], "raw_file_bars": RAW_BARS.format(hour=hour)}
