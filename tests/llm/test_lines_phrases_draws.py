@@ -142,7 +142,7 @@ def test_paths_are_compacted(spark, wordy):
     """The passage of 25 words, in 20 texts, is one row of the graph; all its edges come back from it."""
     docs = spark.createDataFrame(wordy, "lang string, text string").select(F.lit("all").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     tables = []
-    for _ in range(3):
+    for _ in range(2):
         tables.append(phrases.frequent_bits(docs, 10, tables))
     grams = phrases.longest_grams(docs, 3, tables)
     edges = grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c"))

@@ -10,11 +10,11 @@ into one row of words with one weight, and everything about their inner nodes
 is read off that row.
 
 A gram that occurs fewer than ``least`` times is in no phrase that counts, so
-grams are cut short before they hold one: an infrequent edge counts as a piece
-that ends in its node, and the flow through frequent nodes stays what it is.
-Level by level, a table of 2**26 bits over the hashes of frequent grams (8 MB,
-whatever the input) tells them; a gram that shares a bit with a frequent one
-stays, and falls with its counts.
+grams are cut short before they hold one as a node or less: to the flow through
+frequent nodes that is a piece that ends there.  Level by level up to the nodes,
+a table of 2**26 bits over the hashes of frequent grams (8 MB, whatever the
+input) tells them; a gram that shares a bit with a frequent one stays, and falls
+with its counts.
 
 A null text has no words, a null language is ``und``; documents are judged
 whole, and repeated rows and ids count each.  Null ids are no hindrance; other
@@ -40,7 +40,7 @@ COVERED = 50
 #: Bytes of text that a task looks at together.
 _BLOCK = 1 << 20
 #: Buckets, and grams, with counts that a task gathers over its blocks before they leave it.
-_GATHERED, _GRAMS = 2 << 20, 1 << 19
+_GATHERED, _GRAMS = 2 << 20, 1 << 18
 _BITS = 26
 #: Parts of a language whose best phrases are found apart before they meet.
 _SALTS = 64
@@ -367,7 +367,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
         raise ValueError("a phrase has two words at least")
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     tables: list[np.ndarray] = []
-    for _ in range(longest):
+    for _ in range(1, longest):
         tables.append(frequent_bits(docs, least, tables))
     grams = longest_grams(docs, longest, tables)
     edges = staged(grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")), "edges")
