@@ -692,3 +692,23 @@ def test_split_bars_in_sql(spark):
     for bad in ("TABLE(odd_tape), 'price', 5", "TABLE(odd_tape), 'qty', 0", "TABLE(SELECT 1 AS symbol), 'qty', 5"):
         with pytest.raises(Exception, match="the (value|threshold|first argument) is"):
             spark.sql(f"SELECT * FROM split_bars({bad})").collect()
+
+
+def test_operators_on_empty_tables(spark):
+    """Nothing in, nothing out: no operator fails on an empty table."""
+    from tidemark.operators import diagnostics
+
+    t = tape_events(spark, SMALL).limit(0)
+    s = frame(spark, [], "symbol string, us long, price long, x double, h double, ret double")
+    e = frame(spark, [], "symbol string, t0 long, t1 long, p0 long, vertical long, target double, side int, bin int, tw double")
+    samples = frame(spark, [], "sample long, pos long, t0 long, t1 long")
+    made = [
+        bars.time_bars(t, "7d"), bars.value_bars_whole(t, "dollar", 10), bars.value_bars_split(t, "dollar", 10), bars.dynamic_thresholds(t, "dollar", 5), bars.adaptive_bars(t, "dollar", 5), bars.daily_totals(t),
+        diagnostics.thresholds_by_count(t, "1h"), diagnostics.log_returns(s.withColumnRenamed("price", "close"), ["symbol"], ["us"]), diagnostics.rolling_deviation(s, "price", 5),
+        labels.returns_over(s), series.ewm_std(s, "ret", 10), series.cusum(s, "x", "h"), labels.moving_side(s, 2, 5), labels.triple_barrier(e, s, 1.0, 1.0, DAY), labels.label(e, s), labels.drop_rare(e), labels.event_mapping(s, 3),
+        weights.concurrency(e, s), weights.average_uniqueness(e, weights.concurrency(e, s)), weights.return_weights(e, weights.concurrency(e, s), s), weights.time_decay(e, 0.5), weights.standard_draws(e), weights.bootstrap(e, s, ["symbol"]),
+        fracdiff.ffd(s, "x", 0.4, 0.01), fracdiff.min_d_table(s, "x", [0.0, 0.5], 0.1), fracdiff.lag_features(s, "x", 3), fracdiff.adf_moments(s, "x", ["symbol"]), fracdiff.resample_last(s, "price", DAY),
+        crossval.purged_kfold(samples, 3, 0.01), crossval.purged_folds_of_events(samples, 3, 0.01), crossval.embargo_times(samples, 0.01), crossval.purge_train(samples, samples),
+    ]
+    for k, rows in enumerate(made):
+        assert rows.count() == 0, k

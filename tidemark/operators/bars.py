@@ -1,4 +1,9 @@
-"""Bars from a tape: by time, by value (whole or split trades), and by thresholds that change from day to day."""
+"""Bars from a tape: by time, by value (whole or split trades), and by thresholds that change from day to day.
+
+A tape's times, prices and quantities are not null (``clean_trades`` leaves such
+rows out); a trade without a value above zero is in no split bar.  An empty tape
+gives no bars.
+"""
 
 from __future__ import annotations
 

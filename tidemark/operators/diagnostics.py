@@ -1,4 +1,8 @@
-"""Thresholds from a tape's totals, and figures that compare kinds of bars."""
+"""Thresholds from a tape's totals, and figures that compare kinds of bars.
+
+Returns to or from a price that is null or not above zero are left out; groups
+without rows do not appear.
+"""
 
 from __future__ import annotations
 

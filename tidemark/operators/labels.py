@@ -1,4 +1,8 @@
-"""Events, barriers and labels on price series ``(symbol, us, price)`` with unique times per symbol."""
+"""Events, barriers and labels on price series ``(symbol, us, price)`` with unique times per symbol.
+
+A row without a price touches no barrier and labels no event; returns to or
+from it are null.  Empty series and event lists give empty results.
+"""
 
 from __future__ import annotations
 

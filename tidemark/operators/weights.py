@@ -1,4 +1,9 @@
-"""Overlap of events, their uniqueness, and sample weights."""
+"""Overlap of events, their uniqueness, and sample weights.
+
+Events may begin and end between the rows of their series; one without an end
+runs to the last row.  Rows without a price add nothing to return weights.
+Empty event lists give empty results, and no row is covered.
+"""
 
 from __future__ import annotations
 
