@@ -42,7 +42,7 @@ from tidemark.llm.shared import id_order, partitions, staged
 #: Bytes of an anchor gram.
 GRAM = 20
 #: Text of one step of suffix sorting, and of the lanes gathered to sort those of like length together.
-_SORT_BYTES, _GATHER_BYTES = 1 << 20, 12 << 20
+_SORT_BYTES, _GATHER_BYTES = 1 << 19, 6 << 20
 #: Anchors with up to so many classes are cut into so many parts; beyond the last, every window is a part.
 _PARTS = ((64, 2), (2048, 8))
 
