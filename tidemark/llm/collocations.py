@@ -12,7 +12,7 @@ is read off that row.
 A gram that occurs fewer than ``least`` times is in no phrase that counts, so
 grams are cut short before they hold one as a node or less: to the flow through
 frequent nodes that is a piece that ends there.  Level by level up to the nodes,
-a table of 2**26 bits over the hashes of frequent grams (8 MB, whatever the
+a table of 2**24 bits over the hashes of frequent grams (2 MB, whatever the
 input) tells them; a gram that shares a bit with a frequent one stays, and falls
 with its counts.
 
@@ -41,7 +41,7 @@ COVERED = 50
 _BLOCK = 1 << 20
 #: Buckets, and grams, with counts that a task gathers over its blocks before they leave it.
 _GATHERED, _GRAMS = 2 << 20, 1 << 18
-_BITS = 26
+_BITS = 24
 #: Parts of a language whose best phrases are found apart before they meet.
 _SALTS = 64
 
@@ -218,8 +218,9 @@ def frequent_bits(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.n
     parts = docs.mapInArrow(count, "upper int, places binary, counts binary").repartition("upper").sortWithinPartitions("upper")
     words = parts.mapInArrow(total, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table = np.zeros(1 << (_BITS - 6), np.int64)
-    rows = words.toPandas()  # at most 2**20 rows of two numbers
-    table[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64)
+    rows = words.toArrow()  # at most 2**18 rows of two numbers
+    table[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    known.destroy()
     return table.view(np.uint64)
 
 
@@ -268,7 +269,9 @@ def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> Da
                     size = 0
         yield from merged(parts) if parts else ()
 
-    return docs.mapInArrow(run, "lang string, gram string, k int, c long")
+    out = docs.mapInArrow(run, "lang string, gram string, k int, c long")
+    out._known = known  # for who is done with it
+    return out
 
 
 def _rows(lang: np.ndarray, names: list[str], grams: pa.Array, k: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -371,6 +374,7 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
         tables.append(frequent_bits(docs, least, tables))
     grams = longest_grams(docs, longest, tables)
     edges = staged(grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")), "edges")
+    grams._known.destroy()
     level = node_flow(edges, longest)
     often = {k: rows.where(F.col("f") >= least) for k, rows in level.items()}
     paths = staged(compacted(often[longest], often[longest - 1], longest), "paths")
