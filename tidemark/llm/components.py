@@ -9,13 +9,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import discard, staged
+from tidemark.llm.shared import discard, few, light, staged
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces the links of each batch by links from every node to the smallest node it reaches within the batch."""
+#: Links that a task looks at together at most, but for one batch more.
+_GATHERED = 1 << 18
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held, size = [], 0
     for batch in batches:
-        u, v = batch.column("u").to_numpy(), batch.column("v").to_numpy()
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        size += batch.num_rows
+        if size >= _GATHERED:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces some links of a task at a time by links from every node to the smallest node it reaches by them."""
+    for u, v in _gathered(batches):
         nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
         a, b = back[: len(u)], back[len(u) :]
         label = np.arange(len(nodes))
@@ -33,6 +48,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[label[far]])], names=["u", "v"])
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components ``(node, root)`` of all links so far: of those that gave ``roots`` (none at first) and of ``links(u, v)``.
+
+    The new links are looked at between the components that they join, so what
+    is settled already is not gone through again.  Both are tables.
+    """
+    if roots is None:
+        return components(links)
+    n = roots.count()
+    root_of = lambda end: light(roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), n)
+    ends = links.join(root_of("u"), "u", "left").join(root_of("v"), "v", "left")
+    ends = staged(few(ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).distinct(), links.count()), "links")
+    above = components(ends)
+    m = above.count()
+    old = roots.join(light(above.select(F.col("node").alias("root"), F.col("root").alias("top")), m), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = above.join(light(roots.select("node"), n), "node", "left_anti").select("node", "root")
+    out = staged(few(old.union(new), n + m), "roots")
+    discard(ends, above)
+    return out
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows ``(node, root)`` for every node of ``links(u, v)``; ``root`` is the smallest node that it reaches.
 
@@ -48,7 +84,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         .mapInArrow(_forest, "u long, v long")
         .distinct()
     )
-    edges = staged(edges, "links")
+    n = links.count()
+    edges = staged(few(edges, n), "links")
     seen = None
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -57,7 +94,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         larger = larger.where("u <> v").distinct()
         low = larger.groupBy("u").agg(F.min("v").alias("m"))
         smaller = larger.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        before, edges = edges, staged(smaller.where("u <> v").distinct(), "links")
+        before, edges = edges, staged(few(smaller.where("u <> v").distinct(), 2 * n), "links")
         discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") < F.col("v"))).first()
         if now == seen:
@@ -66,6 +103,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    out = staged(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), "roots")
+    out = staged(few(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), 2 * n), "roots")
     discard(edges)
     return out

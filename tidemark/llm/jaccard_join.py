@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
-from tidemark.llm.components import components
-from tidemark.llm.shared import buckets, discard, light, partitions, staged
+from tidemark.llm.components import joined
+from tidemark.llm.shared import buckets, discard, few, light, partitions, staged
 
 #: Shingles, and sets, that a task gathers at most before it deals them out; a set's number takes 16 bits.
 _FLUSH, _SETS = 1 << 20, 1 << 15
@@ -212,9 +212,8 @@ def _home(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(sets[who]), pa.array(size[who].astype(np.int32)), pa.array(common), lists], schema=schema)
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Links among a table of ``pairs(a, b)``: partial overlaps by fragment, summed per pair; only segments of proposed sets move."""
-    n = pairs.count()
+def _verified(pairs: DataFrame, n: int, segments: DataFrame, percent: int) -> DataFrame:
+    """Links among a table of ``n`` ``pairs(a, b)``: partial overlaps by fragment, summed per pair; only segments of proposed sets move."""
     of = lambda side: segments.join(light(pairs.select(F.col(side).alias("digest")).distinct(), n), "digest", "left_semi")
     first = of("a").select(F.col("digest").alias("a"), "fragment", F.col("grams").alias("grams_a"), F.col("size").alias("size_a"))
     second = of("b").select(F.col("digest").alias("b"), "fragment", F.col("grams").alias("grams_b"), F.col("size").alias("size_b"))
@@ -261,15 +260,17 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
     """The rows of :func:`jaccard_components` with two columns more: ``check``, the xxhash64 of the text (null: empty), and ``root``, the component whatever ids it has (null for an empty set)."""
     n = buckets(docs, "text")
     spread = partitions(docs.sparkSession)
+    # a fragment or a flush lies in one partition, and a task that takes several goes from one to the next
+    tasks = max(n, docs.sparkSession.sparkContext.defaultParallelism)
     texts = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("check"))
     documents = staged(texts.mapInArrow(partial(_documents, width=width), _DOCUMENTS), "documents")
     dealt = docs.select("text").mapInArrow(partial(_deal, n=n, width=width), _DEALT)
-    dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush")
+    dealt = dealt.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush").coalesce(tasks)
     told = dealt.mapInArrow(_count, _DEALT)
-    told = told.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush")
+    told = told.repartition(spread, "bucket").sortWithinPartitions("bucket", "flush").coalesce(tasks)
     # equal sets of several flushes are one from here on
     sets = told.mapInArrow(partial(_home, percent=percent), _HOME).groupBy("digest").agg(*(F.first(c).alias(c) for c in ("size", "common", "grams")))
-    sets = staged(sets, "sets")
+    sets = staged(sets.coalesce(tasks), "sets")
 
     # The rarest grams propose: what a partner must share at least once, less the grams that nobody shares.
     # left: how many shared grams a set has from this one on; no overlap that begins here can be larger.
@@ -281,10 +282,11 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
     segments = staged(sets.select("digest", "size", cut).select("digest", "size", "s.*").where(F.size("grams") > 0), "segments")
     discard(sets)
     # n-grams with more rows than a block should hold: as many as there are blocks at most, so they may be sent everywhere
-    most = max(_LEAST_BLOCK, prefix.count() // (4 * spread))
-    hot = staged(prefix.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > most).select("gram", F.ceil(F.col("c") / most).cast("int").alias("blocks")), "hot")
+    held = prefix.count()
+    most = max(_LEAST_BLOCK, held // (4 * spread))
+    hot = prefix.groupBy("gram").agg(F.count("*").alias("c")).where(F.col("c") > most).select("gram", F.ceil(F.col("c") / most).cast("int").alias("blocks"))
+    hot = staged(few(hot, held), "hot")
 
-    links = []
     roots = None
     for k in range(rounds + 1):
         rows = prefix.withColumn("root", F.col("digest"))
@@ -292,8 +294,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
             # what has merged under an n-gram stays merged, so its rows are done
             known = light(roots.select(F.col("node").alias("digest"), "root"), roots.count())
             rows = prefix.select("digest", "size", "common", "gram", "left").join(known, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-            apart = staged(rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), "apart")
-            rows = staged(rows.join(light(apart, apart.count()), "gram", "left_semi"), "rows")
+            apart = staged(few(rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram"), held), "apart")
+            open_ = apart.count()
+            if not open_:  # no n-gram is left in two components: no link is missing
+                discard(apart)
+                break
+            rows = staged(few(rows.join(light(apart, open_), "gram", "left_semi"), held), "rows")
             discard(prefix, apart)
             prefix = rows
         # the set with the most common grams is the likely hub of its group; later rounds try others
@@ -305,28 +311,35 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 75, rounds: i
             heads = rows.join(F.broadcast(hot), "gram", "left_semi").groupBy("gram").agg(F.max("me").alias("hub"))
             near = near.join(F.broadcast(heads), "gram", "left")
             pairs = near.select("me", F.explode(F.array_distinct(F.array("head", "before", "hub"))).alias("other")).where("other IS NOT NULL")
+            bound = 3 * held
         else:
-            pairs = _all_pairs(rows, hot, percent)
-        pairs = staged(
+            pairs = _all_pairs(rows, hot, held, percent)
+            bound = 10 * held  # sizes and places leave few pairs of a row
+        pairs = (
             pairs.where("me.root <> other.root").where(_may_link("me", "other", percent))
             .select(F.least("me.digest", "other.digest").alias("a"), F.greatest("me.digest", "other.digest").alias("b"))
-            .distinct(),
-            "pairs",
+            .distinct()
         )
-        found = staged(_verified(pairs, segments, percent), "links")
+        pairs = staged(few(pairs, bound), "pairs")
+        proposed = pairs.count()
+        if roots is not None and not proposed:
+            discard(pairs)
+            continue
+        found = staged(few(_verified(pairs, proposed, segments, percent), proposed), "links")
         discard(pairs)
-        links.append(found)
         if roots is not None and found.isEmpty():
+            discard(found)
             continue
-        before, roots = roots, components(reduce(DataFrame.union, links))
-        discard(before)
-    discard(prefix, segments, hot, *links)
+        before, roots = roots, joined(roots, found)
+        discard(before, found)
+    discard(prefix, segments, hot)
 
     # a component's smallest id: by set first, then by component, then back; each step's input is a table, so that a skewed key's rows may be split
+    every = documents.count()
     own = documents.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("first"))
-    own = staged(own.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left"), "own")
-    low = staged(own.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least")), "least")
-    named = staged(own.join(low, "root", "left").select("digest", F.coalesce("root", "digest").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "components")
+    own = staged(few(own.join(roots.select(F.col("node").alias("digest"), "root"), "digest", "left"), every), "own")
+    low = staged(few(own.where("root IS NOT NULL").groupBy("root").agg(F.min("first").alias("least")), every), "least")
+    named = staged(few(own.join(low, "root", "left").select("digest", F.coalesce("root", "digest").alias("root"), F.when(F.col("root").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), every), "components")
     discard(roots, own, low)
     return documents.join(named, "digest", "left").select("doc_id", "check", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -336,7 +349,7 @@ def _may_link(a: str, b: str, percent: int) -> str:
     return f"{100 + percent} * least({a}.left, {b}.left) >= {percent} * ({a}.size + {b}.size) AND 100 * least({a}.size, {b}.size) >= {percent} * greatest({a}.size, {b}.size)"
 
 
-def _all_pairs(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
+def _all_pairs(rows: DataFrame, hot: DataFrame, held: int, percent: int) -> DataFrame:
     """Pairs of different components of one n-gram that sizes and places allow, but for those inside its most common component.
 
     Partners differ in size by less than a band, so only sets of the same band
@@ -344,8 +357,8 @@ def _all_pairs(rows: DataFrame, hot: DataFrame, percent: int) -> DataFrame:
     """
     band = F.floor(F.log("me.size") / math.log(100 / percent) + 1e-9).cast("int")
     most = rows.groupBy("gram", "me.root").agg(F.count("*").alias("c")).groupBy("gram").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-    apart = staged(most.where("roots > 1").select("gram", "most"), "apart")
+    apart = staged(few(most.where("roots > 1").select("gram", "most"), held), "apart")
     rows = rows.join(apart, "gram").withColumn("band", band)
-    few = _dealt(rows.where("me.root <> most"), hot).select("gram", "block", "me", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
+    rest = _dealt(rows.where("me.root <> most"), hot).select("gram", "block", "me", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
     wide = rows.join(F.broadcast(hot), "gram", "left").select("gram", "band", F.col("me").alias("other"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"))
-    return few.join(wide, ["gram", "band", "block"]).where("me.root <> other.root")
+    return rest.join(wide, ["gram", "band", "block"]).where("me.root <> other.root")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import discard, new_path, partitions, shared_folder, staged
 
-__all__ = ["bounded_sample", "buckets", "discard", "id_order", "light", "new_path", "partitions", "shared_folder", "staged"]
+__all__ = ["bounded_sample", "buckets", "discard", "few", "id_order", "light", "new_path", "partitions", "shared_folder", "staged"]
 
 
 def buckets(rows: DataFrame, column: str, each: int = 4 << 20) -> int:
@@ -25,6 +25,15 @@ def light(rows: DataFrame, n: int) -> DataFrame:
     return F.broadcast(rows) if n <= LIGHT else rows
 
 
+#: Rows of a few numbers that one task writes at least, where there are more tasks than cores.
+_TASK_ROWS = 50_000
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows`` of a few numbers each, ``n`` at most, in as many tasks as they are worth: however many partitions a shuffle has, a small table is no more files than there are cores."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // _TASK_ROWS)))
+
+
 def id_order(column: str | Column) -> Column:
     """Sort key that puts a null identifier before every other."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(-(1 << 63)).cast("long"))
