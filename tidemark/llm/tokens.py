@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 from tidemark.llm import textops
 
-#: Distinct words that a worker keeps; beyond it, it starts anew.
+#: Distinct words, and pieces of words, after which a worker begins another table; it keeps the one before, for words that come again.
 _KEEP = 150_000
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
 #: Fixed value: the word pattern that the vocabulary file names, for the characters of _PLAIN.
@@ -37,12 +37,10 @@ class WordTokens:
         self._all = Tokenizer.from_file(path)
         self._letters = _byte_letters()
         self._end_id = end_id
-        self._start_anew()
-
-    def _start_anew(self) -> None:
-        self._slot: dict[int, int] = {}
-        self._piece: dict[str, bytes] = {}
-        self._pool, self._begin, self._size = array("H", [self._end_id]), array("q", [0]), array("q", [1])
+        self._words: dict[int, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+        self._words_before: dict[int, bytes] = {}
+        self._pieces_before: dict[str, bytes] = {}
 
     def _encode_word(self, word: str) -> bytes:
         """A word's ids as 16-bit numbers."""
@@ -50,17 +48,22 @@ class WordTokens:
             return array("H", self._all.encode(word, add_special_tokens=False).ids).tobytes()
         out = b""
         for piece in _PIECES.findall(word.lower()):
-            ids = self._piece.get(piece)
+            ids = self._pieces.get(piece)
             if ids is None:
-                shown = piece if piece.isascii() else "".join(self._letters[b] for b in piece.encode())
-                ids = self._piece[piece] = array("H", [t.id for t in self._all.model.tokenize(shown)]).tobytes()
+                ids = self._pieces_before.get(piece)
+                if ids is None:
+                    shown = piece if piece.isascii() else "".join(self._letters[b] for b in piece.encode())
+                    ids = array("H", [t.id for t in self._all.model.tokenize(shown)]).tobytes()
+                self._pieces[piece] = ids
             out += ids
         return out
 
     def __call__(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a block, each row closed by the end id, and the rows' ends among them."""
-        if len(self._slot) > _KEEP or len(self._piece) > _KEEP:
-            self._start_anew()
+        if len(self._words) > _KEEP:
+            self._words, self._words_before = {}, self._words
+        if len(self._pieces) > _KEEP:
+            self._pieces, self._pieces_before = {}, self._pieces
         raw = data.tobytes()
         # the strings of special tokens count only as they are written, so such rows go through the library whole
         special = [r for r in range(len(at) - 1) if b"<|" in raw[at[r] : at[r + 1]]] if b"<|" in raw else []
@@ -68,23 +71,24 @@ class WordTokens:
         start, end, first = textops.words(low, at)
         hashed = textops.span_hash(textops.prefix_hash(low), start, end)
         distinct, example, back = np.unique(hashed, return_index=True, return_inverse=True)
-        known = [self._slot.get(h, -1) for h in distinct.tolist()]
         text = low.tobytes()
-        for k, slot in enumerate(known):
-            if slot < 0:
-                w = int(example[k])
-                ids = self._encode_word(text[start[w] : end[w]].decode())
-                known[k] = self._slot[int(distinct[k])] = len(self._begin)
-                self._begin.append(len(self._pool))
-                self._size.append(len(ids) // 2)
-                self._pool.frombytes(ids)
-        begin, size, pool = (np.frombuffer(x, k) for x, k in ((self._begin, np.int64), (self._size, np.int64), (self._pool, np.uint16)))
-        slots = np.insert(np.asarray(known, np.int64)[back] if len(back) else np.zeros(0, np.int64), first[1:], 0)
+        known = [array("H", [self._end_id]).tobytes()]
+        for h, w in zip(distinct.tolist(), example.tolist(), strict=True):
+            ids = self._words.get(h)
+            if ids is None:
+                ids = self._words_before.get(h)
+                if ids is None:
+                    ids = self._encode_word(text[start[w] : end[w]].decode())
+                self._words[h] = ids
+            known.append(ids)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        begin = np.cumsum(size) - size
+        pool = np.frombuffer(b"".join(known), np.uint16)
+        slots = np.insert(back.astype(np.int64) + 1, first[1:], 0)
         count = size[slots]
         ends = np.cumsum(count)
         ids = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[slots] - ends + count, count)]
         row_end = ends[first[1:] + np.arange(len(at) - 1)]
-        del begin, size, pool
         if special:
             rows = np.split(ids, row_end[:-1])
             for r in special:
