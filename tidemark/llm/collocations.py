@@ -14,7 +14,9 @@ grams are cut short before they hold one as a node or less: to the flow through
 frequent nodes that is a piece that ends there.  Level by level up to the nodes,
 a table of 2**24 bits over the hashes of frequent grams (2 MB, whatever the
 input) tells them; a gram that shares a bit with a frequent one stays, and falls
-with its counts.
+with its counts.  An edge that turns out infrequent once its tasks' counts meet
+is cut to its node then, where all that leaves or ends there has met too, so no
+table ever holds it.
 
 A null text has no words, a null language is ``und``; documents are judged
 whole, and repeated rows and ids count each.  Null ids are no hindrance; other
@@ -28,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import textops
-from tidemark.llm.shared import discard, staged
+from tidemark.llm.shared import buckets, discard, staged
 
 LONGEST, LEAST, TOP = 3, 10, 2000
 #: A phrase goes when a longer one that holds it has at least this many hundredths of its count.
@@ -41,6 +44,8 @@ COVERED = 50
 _BLOCK = 1 << 20
 #: Buckets, and grams, with counts that a task gathers over its blocks before they leave it.
 _GATHERED, _GRAMS = 2 << 20, 1 << 18
+#: Bytes of text for each bucket of nodes.
+_BUCKET = 32 << 20
 _BITS = 24
 #: Parts of a language whose best phrases are found apart before they meet.
 _SALTS = 64
@@ -119,20 +124,24 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, list[st
         yield flush()
 
 
+def _named(names: list[str]) -> np.ndarray:
+    """Hashes of languages."""
+    return np.array([textops.span_hash(textops.prefix_hash(b), np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(x.encode() + b"|", np.uint8) for x in names)], np.uint64)
+
+
 def _mixed(words: _Words, names: list[str]) -> np.ndarray:
     """Hashes of words in their languages."""
-    own = np.array([textops.span_hash(textops.prefix_hash(b), np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(x.encode() + b"|", np.uint8) for x in names)], np.uint64)
-    return textops.mix(words.hash + own[words.lang]) if words.n else words.hash
+    return textops.mix(words.hash + _named(names)[words.lang]) if words.n else words.hash
 
 
-def _grown(words: _Words, names: list[str], tables: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many words (up to ``most``) a gram from each place may have, and where one of ``most`` begins, with its hash.
+def _grown(words: _Words, names: list[str], tables: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many words (up to ``most``) a gram from each place may have, where one of ``most`` begins, with its hash, and the hash of the node from each place: the gram of ``most - 1`` words or less.
 
     A gram of k words may be frequent only if its two parts of k - 1 are, and
     if its own bit is set in the k-th table, where there is one.
     """
     own = _mixed(words, names)
-    h, ok, ahead = own, np.ones(words.n, dtype=bool), np.zeros(words.n, np.int64)
+    h, node, ok, ahead = own, own, np.ones(words.n, dtype=bool), np.zeros(words.n, np.int64)
     for k in range(1, most + 1):
         if k > 1:
             ok = ok & np.append(ok[1:], False)
@@ -143,7 +152,9 @@ def _grown(words: _Words, names: list[str], tables: list[np.ndarray], most: int)
             bit = h & np.uint64((1 << _BITS) - 1)
             ok = ok & ((tables[k - 1][(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1)
         ahead[ok] = k
-    return ahead, ok, h
+        if 1 < k < most:
+            node = np.where(ok, h, node)
+    return ahead, ok, h, node
 
 
 #: Hashed grams are counted in 2**32 buckets, dealt by their upper half; a row carries the lower halves of one block's buckets under one upper half.
@@ -177,7 +188,7 @@ def frequent_bits(docs: DataFrame, least: int, tables: list[np.ndarray]) -> np.n
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for words, names in _blocks(batches):
-            _, ok, h = _grown(words, names, known.value, k)
+            _, ok, h, _ = _grown(words, names, known.value, k)
             bucket, n = np.unique((h[ok] & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
             parts.append((bucket, np.minimum(n, enough).astype(np.uint8)))
             size += len(bucket)
@@ -232,20 +243,48 @@ def _strings(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data[where])).cast(pa.string())
 
 
-def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> DataFrame:
-    """``lang, gram, k, c``: grams of ``longest`` words, shorter ones where a piece ends, with their counts; and with ``k = 0`` all words of a language."""
-    known = docs.sparkSession.sparkContext.broadcast(tables)
+def _packed(rows: pa.Table, bits: int) -> pa.RecordBatch:
+    """Grams ``lang, gram, node, c`` by language and bucket of their nodes (the upper ``bits`` of the hash): counts, then the grams node by node, a line each, compressed."""
+    langs = rows.column("lang").combine_chunks().dictionary_encode()
+    code, node = langs.indices.to_numpy(), rows.column("node").to_numpy()
+    order = np.lexsort((node, code))
+    code, bucket = code[order], (node[order] >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (bucket[1:] != bucket[:-1])))
+    data, at = textops.text_bytes(rows.column("gram").combine_chunks().take(pa.array(order)))
+    lines, counts = np.insert(data, at[1:], 0x0A).tobytes(), rows.column("c").to_numpy()[order].astype("<i8")
+    raw = [counts[i:j].tobytes() + lines[at[i] + i : at[j] + j] for i, j in zip(cuts, [*cuts[1:], len(code)], strict=True)]
+    n, size = np.diff([*cuts, len(code)]), [len(x) for x in raw]
+    packed = [pa.compress(x, codec="zstd", asbytes=True) for x in raw]
+    return pa.RecordBatch.from_arrays(
+        [langs.dictionary.take(pa.array(code[cuts])), pa.array(bucket[cuts], pa.int32()), pa.array(n, pa.int32()), pa.array(size, pa.int32()), pa.array(packed, pa.binary())], ["lang", "bucket", "n", "size", "packed"]
+    )
+
 
-    def merged(parts: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
-        summed = pa.Table.from_batches(parts).group_by(["lang", "gram", "k"], use_threads=False).aggregate([("c", "sum")])
-        return summed.select(["lang", "gram", "k", "c_sum"]).rename_columns(["lang", "gram", "k", "c"]).combine_chunks().to_batches()
+def _unpacked(n: int, size: int, packed: bytes) -> pa.Table:
+    """Grams ``gram, c`` of one row of ``_packed``."""
+    raw = np.frombuffer(pa.decompress(packed, decompressed_size=size, codec="zstd"), np.uint8)
+    counts, lines = raw[: 8 * n].view("<i8"), raw[8 * n :]
+    ends = lines == 0x0A  # no word holds one
+    at = np.append(0, np.flatnonzero(ends) - np.arange(n))
+    return pa.table({"gram": pa.LargeStringArray.from_buffers(n, pa.py_buffer(at), pa.py_buffer(lines[~ends])), "c": pa.array(counts)})
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    """The counts ``c`` of equal rows in one."""
+    keys = [x for x in parts[0].column_names if x != "c"]
+    rows = pa.concat_tables(parts).group_by(keys, use_threads=False).aggregate([("c", "sum")])
+    return rows.select([*keys, "c_sum"]).rename_columns([*keys, "c"])
+
+
+def packed_grams(docs: DataFrame, longest: int, known, bits: int) -> DataFrame:
+    """``lang, bucket, n, size, packed``: what tasks have counted of the longest grams, for 2**bits buckets of nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for words, names in _blocks(batches):
             total = np.bincount(words.lang, minlength=len(names))
-            parts.append(_rows(np.arange(len(names)), names, pa.array([""] * len(names), pa.string()), np.zeros(len(names), np.int64), total))
-            ahead, _, _ = _grown(words, names, known.value, longest)
+            parts.append(_rows(np.arange(len(names)), names, pa.array([""] * len(names), pa.string()), _named(names), total))
+            ahead, _, _, node = _grown(words, names, known.value, longest)
             pick = np.flatnonzero(ahead)
             if not len(pick):
                 continue
@@ -259,24 +298,66 @@ def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray]) -> Da
                 key = key * base + np.where(ahead[pick] > k, number[np.minimum(pick + k, words.n - 1)], 0)
             _, example, count = np.unique(key, return_index=True, return_counts=True)
             at = pick[example]
-            parts.append(_rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + ahead[at] - 1]), ahead[at], count))
+            parts.append(_rows(words.lang[at], names, _strings(words.data, words.start[at], words.stop[at + ahead[at] - 1]), node[at], count))
             size += parts[-1].num_rows
             if size > 2 * _GRAMS:
-                parts = merged(parts)
+                parts = [_summed(parts)]
                 size = parts[0].num_rows
                 if size > _GRAMS:
-                    yield parts.pop()
+                    yield _packed(parts.pop(), bits)
                     size = 0
-        yield from merged(parts) if parts else ()
+        if parts:
+            yield _packed(_summed(parts), bits)
+
+    return docs.mapInArrow(run, "lang string, bucket int, n int, size int, packed binary")
+
+
+def longest_grams(docs: DataFrame, longest: int, tables: list[np.ndarray], least: int = LEAST) -> DataFrame:
+    """``lang, gram, k, c``, a row a gram: grams of ``longest`` words that occur ``least`` times or more, shorter ones where a piece ends or is cut, with their counts; and with ``k = 0`` all words of a language.
+
+    Edges meet in the bucket of the node that they leave, with the pieces that
+    end there: infrequent ones are cut to it as soon as they are counted.
+    """
+    known = docs.sparkSession.sparkContext.broadcast(tables)
+    bits = buckets(docs, "text", _BUCKET).bit_length() - 1
+
+    def whole(lang: str, parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        rows = _summed(parts)
+        words = pc.add(pc.count_substring(rows.column("gram"), " "), 1)
+        few = pc.and_(pc.equal(words, longest), pc.less(rows.column("c"), least))
+        cut = rows.filter(few)
+        node = pc.list_element(pc.split_pattern(cut.column("gram"), " ", max_splits=1, reverse=True), 0)
+        rows = _summed([rows.filter(pc.invert(few)), cut.set_column(0, "gram", node)])
+        for batch in rows.to_batches(max_chunksize=1 << 16):
+            gram = batch.column("gram")
+            k = pc.if_else(pc.equal(gram, ""), 0, pc.add(pc.count_substring(gram, " "), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), gram.cast(pa.string()), k.cast(pa.int32()), batch.column("c")], ["lang", "gram", "k", "c"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums a sorted partition, one bucket after the other."""
+        now, parts, size = None, [], 0
+        for batch in batches:
+            for lang, bucket, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (lang, bucket) != now:
+                    if parts:
+                        yield from whole(now[0], parts)
+                    now, parts, size = (lang, bucket), [], 0
+                parts.append(_unpacked(*row))
+                size += parts[-1].num_rows
+                if size > 4 * _GRAMS:
+                    parts, size = [_summed(parts)], 0
+        if parts:
+            yield from whole(now[0], parts)
 
-    out = docs.mapInArrow(run, "lang string, gram string, k int, c long")
+    met = packed_grams(docs, longest, known, bits).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket")
+    out = met.mapInArrow(total, "lang string, gram string, k int, c long")
     out._known = known  # for who is done with it
     return out
 
 
-def _rows(lang: np.ndarray, names: list[str], grams: pa.Array, k: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: np.ndarray, names: list[str], grams: pa.Array, node: np.ndarray, count: np.ndarray) -> pa.Table:
     langs = pa.DictionaryArray.from_arrays(pa.array(lang, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-    return pa.RecordBatch.from_arrays([langs, grams, pa.array(k, pa.int32()), pa.array(count, pa.int64())], ["lang", "gram", "k", "c"])
+    return pa.table({"lang": langs, "gram": grams, "node": pa.array(node, pa.uint64()), "c": pa.array(count, pa.int64())})
 
 
 def _head(k: int, phrase: str = "gram") -> Column:
@@ -372,8 +453,8 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     tables: list[np.ndarray] = []
     for _ in range(1, longest):
         tables.append(frequent_bits(docs, least, tables))
-    grams = longest_grams(docs, longest, tables)
-    edges = staged(grams.groupBy("lang", "gram", "k").agg(F.sum("c").alias("c")), "edges")
+    grams = longest_grams(docs, longest, tables, least)
+    edges = staged(grams, "edges")
     grams._known.destroy()
     level = node_flow(edges, longest)
     often = {k: rows.where(F.col("f") >= least) for k, rows in level.items()}
